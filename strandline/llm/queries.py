@@ -2,26 +2,47 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import mixing, quality_rules, url_filters
-from strandline.llm.common import table
+from strandline.llm import mixing, quality_rules, token_counts, token_files, url_filters
+from strandline.llm.common import shared_path, table
 
 #: host, path, verdict
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
+def tokenizer_path(name: str) -> str:
+    """A file of the public tokenizers; STRANDLINE_TOKENIZERS names another folder."""
+    if folder := os.environ.get("STRANDLINE_TOKENIZERS"):
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = mixing.mix(table(spark, sf_dir, "documents"))
     return documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "tokens")
+    manifest = token_files.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), folder)
+    return token_files.read_tokens(spark, folder, manifest)
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -29,7 +50,9 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_token_counts": op2_token_counts,
     "op6_quality_rules": op6_quality_rules,
+    "op9_token_files": op9_token_files,
     "op10_url_filters": op10_url_filters,
 }
 ORACLE: dict[str, str] = {}
