@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import mixing, neighbours, quality_rules, simhash, token_counts, token_files, url_filters, warc
+from strandline.llm import mixing, neighbours, packing, quality_rules, simhash, token_counts, token_files, url_filters, warc
 from strandline.llm.common import shared_path, table
 
 #: host, path, verdict
@@ -51,6 +51,10 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "tokens")
     manifest = token_files.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), folder)
@@ -69,6 +73,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op6_quality_rules": op6_quality_rules,
     "op7_neighbours": op7_neighbours,
+    "op8_packing": op8_packing,
     "op9_token_files": op9_token_files,
     "op10_url_filters": op10_url_filters,
 }
