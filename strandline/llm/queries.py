@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import mixing, neighbours, packing, quality_rules, simhash, token_counts, token_files, url_filters, warc
+from strandline.llm import kneser_ney, mixing, neighbours, packing, quality_rules, simhash, token_counts, token_files, url_filters, warc
 from strandline.llm.common import shared_path, table
 
 #: host, path, verdict
@@ -42,6 +42,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = kneser_ney.classify(docs, table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "lang", "perplexity", "threshold", F.col("good").alias("kept"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -71,6 +77,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_simhash": op3_simhash,
     "op4_warc": op4_warc,
+    "op5_classifier": op5_classifier,
     "op6_quality_rules": op6_quality_rules,
     "op7_neighbours": op7_neighbours,
     "op8_packing": op8_packing,
