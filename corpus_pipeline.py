@@ -1,3 +1,59 @@
-STAGES = []
+"""A corpus pipeline: five stages over ``documents``, each written and read again.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All
+but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandline.llm import kneser_ney, mixing, packing, quality_rules, simhash
+from strandline.llm.common import materialise, table
+from strandline.llm.queries import tokenizer_path
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the quality rules reject."""
+    return quality_rules.keep_good(docs)
+
+
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose perplexity is far beyond that of trusted text of their language."""
+    return kneser_ney.classify(docs, table(spark, sf_dir, "labels")).where("good").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group of near copies."""
+    return simhash.keep_first(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or drop documents so that sources come near their target weights."""
+    return mixing.resample(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the tokens of all documents into windows."""
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("quality_classifier", classifier),
+    ("near_dedup", near_dedup),
+    ("mixing", mix),
+    ("packing", pack),
+]
+
+#: Fingerprints, permutations and token ids aren't SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``; each one's rows are written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -128,7 +128,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     times in whole passes, so no document is taken more often than that. The same rows
     and seed give the same mix, whatever the partitions.
     """
-    sized = materialise(sizes(docs, text_column), "sizes")
+    return mix_sized(materialise(sizes(docs, text_column), "sizes"), weights, share, most, block_words, shard_slots, buckets, seed)
+
+
+def mix_sized(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = 256, shard_slots: int = 4096, buckets: int = 1024, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+    """``mix`` from the rows of ``sizes``; further columns are carried to the documents."""
+    carried = [c for c in sized.columns if c not in ("doc_id", "source", "_source", "size")]
     goals = materialise(targets(sized, weights, share, most), "targets")
     b = block_words
     goals = goals.withColumns({"_want": F.least(F.round("target"), F.floor(most * F.col("source_size"))).cast("long"), "_blocks": F.ceil(F.col("source_size") / b)})
@@ -153,6 +158,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     low = F.greatest(F.col("start") - F.col("block") * b, F.lit(0))
     high = F.least(F.col("start") + F.col("size") - F.col("block") * b, F.lit(b))
     took = F.coalesce(F.col("_whole") * (high - low) + F.greatest(F.least(high, F.col("_cut")) - low, F.lit(0)), F.lit(0))
-    taken = pieces.join(drawn, ["_source", "block"], "left").groupBy("_source", "_bucket", "_row", "doc_id", "source", "size").agg(F.sum(took).alias("taken"))
-    documents = taken.join(goals.select("_source", "source_size", "target"), "_source").select("doc_id", "source", "size", "source_size", "target", "taken")
+    taken = pieces.join(drawn, ["_source", "block"], "left").groupBy("_source", "_bucket", "_row", "doc_id", "source", "size", *carried).agg(F.sum(took).alias("taken"))
+    documents = taken.join(goals.select("_source", "source_size", "target"), "_source").select("doc_id", "source", "size", "source_size", "target", "taken", *carried)
     return documents, slots
+
+
+def resample(docs: DataFrame, seed: int = 17, buckets: int = 1024, **options) -> DataFrame:
+    """The rows of ``docs``, whole documents, as often as the mix takes them.
+
+    A document comes as often as the mix takes all of its words. Those taken in part
+    then come once more, in a pseudorandom order, until the words taken in part of their
+    source are reached: a source differs from its words in the mix by less than a document.
+    A document without words comes once.
+    """
+    numbered = materialise(docs.withColumns({"_rid": F.monotonically_increasing_id(), "_size": F.size(words(F.col("text"))).cast("long")}), "numbered")
+    sized = numbered.select("doc_id", "source", key_of(F.col("source")).alias("_source"), F.col("_size").alias("size"), "_rid")
+    documents, _ = mix_sized(sized, seed=seed, buckets=buckets, **options)
+    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(1))
+    documents = materialise(documents.select("doc_id", "source", key_of(F.col("source")).alias("_source"), "size", "_rid", whole.alias("_whole"), F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0)).alias("_part")), "taken")
+    partly = documents.where("_part > 0")
+    due = partly.groupBy("_source").agg(F.sum("_part").alias("_due"))
+    more = positions(partly.drop("_whole", "_part"), seed + 1, buckets).join(due, "_source").where(F.col("start") < F.col("_due")).select("_rid", F.lit(1).alias("_more"))
+    copies = documents.join(more, "_rid", "left").select("_rid", (F.col("_whole") + F.coalesce("_more", F.lit(0))).alias("_copies")).where("_copies > 0")
+    return numbered.join(copies, "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)

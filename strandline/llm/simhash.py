@@ -16,6 +16,7 @@ same key are linked to one of them instead. No bucket is capped or skipped.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -279,7 +280,7 @@ def _forest(fp: np.ndarray, distance: int) -> tuple[list[np.ndarray], list[np.nd
     return a, b
 
 
-def _compare(rows: DataFrame, distance: int, small: int = 24) -> DataFrame:
+def _compare(rows: DataFrame, distance: int, small: int) -> DataFrame:
     """a, b: edges between the fingerprints of each bucket that are within the distance."""
 
     def edges(key: np.ndarray, fp: np.ndarray, probe: np.ndarray) -> pa.RecordBatch:
@@ -321,9 +322,11 @@ def _compare(rows: DataFrame, distance: int, small: int = 24) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def links(distinct: DataFrame, distance: int = 3, cap: int = 4096, plan: list[tuple[list[int], int]] | None = None) -> DataFrame:
+def links(distinct: DataFrame, distance: int = 3, cap: int = 4096, small: int = 24, plan: list[tuple[list[int], int]] | None = None) -> DataFrame:
     """a, b: edges within ``distance`` that connect exactly what all pairs within it would.
 
+    Buckets of up to ``small`` fingerprints give all their pairs within it, larger ones a
+    spanning forest.
     ``distinct`` holds each fingerprint once, in its first column.
     """
     if plan is None:
@@ -336,16 +339,76 @@ def links(distinct: DataFrame, distance: int = 3, cap: int = 4096, plan: list[tu
         sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.max(F.bit_count("free")).alias("free")).where(F.col("n") > cap)
         hot = materialise(sizes, "hot-buckets")
         if hot.isEmpty():
-            edges = _compare(rows, distance)
+            edges = _compare(rows, distance, small)
             return edges if found is None else found.unionByName(edges).distinct()
         # The rest of the buckets are done; those too large are cut again, or met by keys if few bits are free.
-        edges = _compare(rows.join(hot.select("key"), "key", "left_anti"), distance)
+        edges = _compare(rows.join(hot.select("key"), "key", "left_anti"), distance, small)
         crowded = materialise(rows.join(hot.select("key", F.col("free").alias("_free")), "key"), "crowded")
         edges = edges.unionByName(_near_keys(crowded.where(F.col("_free") <= 5 * parts).drop("_free"), distance))
         found = materialise(edges if found is None else found.unionByName(edges), "links")
         rows = materialise(_cut_again(crowded.where(F.col("_free") > 5 * parts).drop("_free"), parts), "cut-again")
 
 
+def word_set_fingerprint(words: list[bytes]) -> int:
+    """The fingerprint of a text's distinct words; it changes little if a few words do."""
+    from xxhash import xxh64_intdigest as digest
+
+    own = set(words)
+    return fingerprint(np.fromiter((digest(w, 42) for w in own), U, len(own)))
+
+
+def similarity(a: str, b: str, size: int) -> float:
+    """Jaccard similarity of the sets of shingles of ``size`` words."""
+    x, y = (set(shingle_hashes(t.encode(), size).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def keep_first(docs: DataFrame, size: int = 5, least: float = 0.8, distance: int = 7, small: int = 192, cap: int = 4096) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group the row with the smallest doc_id.
+
+    Texts that are equal but for A-Z case and white space are one. Candidates are texts
+    whose fingerprints over distinct words differ in at most ``distance`` bits; a candidate
+    pair is a link if the texts' sets of ``size``-word shingles have a similarity of
+    ``least`` or more. Groups are what links connect. Buckets of up to ``small``
+    fingerprints give all candidate pairs, larger ones those of a spanning forest.
+    Null ids come last, and of repeated rows one stays.
+    """
+    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType()), T.StructField("_key", T.StringType())])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, keys = [], []
+            for t in batch.column(batch.schema.get_field_index("text")):
+                words = (t.as_py() or "").encode().lower().split()
+                fps.append(word_set_fingerprint(words))
+                keys.append(hashlib.md5(b" ".join(words)).hexdigest())
+            yield batch.append_column("_fp", pa.array(np.array(fps, U).view(np.int64))).append_column("_key", pa.array(keys, pa.string()))
+
+    marked = materialise(docs.mapInArrow(mark, schema), "marked")
+    texts = materialise(marked.groupBy("_key", "_fp").agg(F.count("*").alias("_n")), "texts")
+    of_fp = texts.groupBy("_fp").agg(F.min("_key").alias("_first"))
+    found = links(of_fp.select("_fp"), distance, cap, small)
+    between = found.join(of_fp.select(F.col("_fp").alias("a"), F.col("_first").alias("x")), "a").join(of_fp.select(F.col("_fp").alias("b"), F.col("_first").alias("y")), "b").select("x", "y")
+    within = texts.join(of_fp, "_fp").where("_key <> _first").select(F.col("_key").alias("x"), F.col("_first").alias("y"))
+    pairs = materialise(between.unionByName(within), "pairs")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [similarity(a.as_py() or "", b.as_py() or "", size) >= least for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("_key")).distinct()
+    one = materialise(marked.select("_key", "text").join(asked, "_key", "left_semi").dropDuplicates(["_key"]), "candidates")
+    both = pairs.join(one.withColumnRenamed("_key", "x").withColumnRenamed("text", "s"), "x").join(one.withColumnRenamed("_key", "y").withColumnRenamed("text", "t"), "y")
+    near = both.select(F.col("x").alias("a"), F.col("y").alias("b"), "s", "t").mapInArrow(verify, "a string, b string")
+    roots = components(near).select(F.col("node").alias("_key"), F.col("root").alias("_root"))
+
+    ids = marked.select("_key", "doc_id").distinct().join(roots, "_key", "left").withColumn("_root", F.coalesce("_root", "_key"))
+    first = ids.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("m")).select(F.col("m._key").alias("_key"), F.coalesce(F.col("m.doc_id").cast("string"), F.lit("null")).alias("_id"))
+    kept = marked.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).join(first, ["_key", "_id"], "left_semi")
+    return kept.dropDuplicates(["_key", "_id"]).select(*docs.columns)
+
+
 def group_fingerprints(marked: DataFrame, distance: int = 3, cap: int = 4096) -> DataFrame:
     """_fp, _root, component_id for the fingerprints of ``marked`` (doc_id, _fp).
 
