@@ -1,4 +1,768 @@
-"""Named queries and their DuckDB counterparts."""
+"""Named queries and their DuckDB counterparts.
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+Each query runs operators over the recorder-shaped views of the tables. Doubles are
+rounded after aggregation, on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from strandline.operators import alphabet, compat, fit, likelihood, margins, reads, relate, scan, simulate, tree, trie, writes
+from strandline.sources import fixture, tables
+from strandline.streaming import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+class Views:
+    """The views of a folder of tables."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+        self.reads = fixture.reads(spark, sf_dir)
+        self.tapes = reads.tapes(self.reads, fixture.DESIGN)
+        self.prefixes = reads.explode_prefixes(self.tapes)
+        self.cells = fixture.cells(spark, sf_dir)
+        self.entries = reads.entries(self.tapes, self.cells)
+
+    def characters(self) -> DataFrame:
+        return trie.character_ids(trie.characters(self.prefixes.where("d = 2")))
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, decimals and small integers widened."""
+    out = []
+    for f in df.schema.fields:
+        kind = f.dataType.simpleString()
+        c = F.col(f"`{f.name}`")
+        out.append((F.round(c, digits) + F.lit(0.0)).alias(f.name) if kind == "double" else c.cast("long").alias(f.name) if kind in ("int", "smallint", "tinyint") or kind.startswith("decimal") else c)
+    return df.select(*out)
+
+
+def query(sql: str | None = None, digits: int = 6):
+    """Register a function of ``Views`` under its name, and its SQL over the views of ``fixture.SQL``."""
+
+    def register(f: Callable[[Views], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(Views(spark, sf_dir)), digits)
+        if sql:
+            ORACLE[f.__name__] = f"WITH RECURSIVE {fixture.SQL.strip()}{sql}" if sql.lstrip().startswith(",") else f"WITH RECURSIVE {fixture.SQL.strip()} {sql}"
+        return f
+
+    return register
+
+
+# Composition.
+
+
+@query("""SELECT count(DISTINCT cell) AS cells, count(DISTINCT tape) AS tapes, count(sym) AS entries, count(*) FILTER (regexp_matches(sym, '^Brand#[1-4][0-9]$')) AS designed,
+  count(*) FILTER (NOT regexp_matches(sym, '^Brand#[1-4][0-9]$')) AS other, count(DISTINCT sym) AS symbols,
+  (SELECT sym FROM reads GROUP BY sym ORDER BY count(*) DESC, sym DESC LIMIT 1) AS top_symbol, (SELECT max(n) FROM (SELECT count(*) AS n FROM reads GROUP BY sym)) AS top_n,
+  round((SELECT max(n) FROM (SELECT count(*) AS n FROM reads GROUP BY sym)) / count(sym), 6) AS top_share FROM reads""")
+def q_profile(v: Views) -> DataFrame:
+    return alphabet.profile(v.reads, fixture.DESIGN)
+
+
+@query("SELECT sym, count(*) AS n, NOT regexp_matches(sym, '^Brand#[1-4][0-9]$') AS promoted FROM reads GROUP BY sym HAVING count(*) >= 20")
+def q_alphabet(v: Views) -> DataFrame:
+    return reads.frequent_symbols(v.reads, 20, fixture.DESIGN)
+
+
+@query(""", s AS (SELECT sym, count(*) AS n, count(*) / sum(count(*)) OVER () AS p FROM reads GROUP BY sym)
+  SELECT round(sum(p * p), 6) AS q, count(*) AS m_obs, CAST(sum(n) AS BIGINT) AS edits, round(1 / sum(p * p), 6) AS effective, round(1 / count(*), 6) AS floor FROM s""")
+def q_collision_mass(v: Views) -> DataFrame:
+    return alphabet.collision_mass(alphabet.shares(v.reads, []), [])
+
+
+@query(""", s AS (SELECT site, sym, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY site) AS p FROM reads GROUP BY site, sym)
+  SELECT CAST(site AS BIGINT) AS site, round(sum(p * p), 6) AS q, count(*) AS m_obs, CAST(sum(n) AS BIGINT) AS edits, round(1 / sum(p * p), 6) AS effective, round(1 / count(*), 6) AS floor FROM s GROUP BY site""")
+def q_per_site_q(v: Views) -> DataFrame:
+    return alphabet.collision_mass(alphabet.shares(v.reads, ["site"]), ["site"])
+
+
+@query(""", s AS (SELECT sym, count(*) / sum(count(*)) OVER () AS p FROM reads GROUP BY sym)
+  SELECT sym, round(p, 6) AS p, row_number() OVER w AS rank, round(sum(p * p) OVER w / sum(p * p) OVER (), 6) AS q_share, round(row_number() OVER w / count(*) OVER (), 6) AS uniform_share
+  FROM s WINDOW w AS (ORDER BY p DESC, sym ROWS UNBOUNDED PRECEDING)""")
+def q_cumulative_q(v: Views) -> DataFrame:
+    return alphabet.cumulative_q(alphabet.shares(v.reads, []))
+
+
+@query(""", s AS (SELECT clone, sym, count(*) AS n FROM reads GROUP BY ALL HAVING count(*) >= 5)
+  SELECT CAST(clone AS BIGINT) AS clone, sym, n, round(n / sum(n) OVER (PARTITION BY clone), 6) AS p FROM s""")
+def q_trimmed_shares(v: Views) -> DataFrame:
+    return alphabet.trimmed(alphabet.shares(v.reads, ["clone"]), ["clone"], 5)
+
+
+@query("SELECT sym, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS p FROM reads GROUP BY sym")
+def q_pooled_shares(v: Views) -> DataFrame:
+    return alphabet.pooled_shares(alphabet.shares(v.reads, ["clone"]), "clone")
+
+
+TO_REST = """ f AS (SELECT u.{k} AS unit, s.sym, coalesce(n, 0) AS n FROM (SELECT DISTINCT {k} FROM {t}) u CROSS JOIN (SELECT DISTINCT sym FROM {t}) s LEFT JOIN (SELECT {k}, sym, count(*) AS n FROM {t} GROUP BY ALL) c ON c.{k} = u.{k} AND c.sym = s.sym),
+  g AS (SELECT unit, n, n / sum(n) OVER (PARTITION BY unit) AS p, (sum(n) OVER (PARTITION BY sym) - n) / (sum(n) OVER () - sum(n) OVER (PARTITION BY unit)) AS r FROM f)
+  SELECT CAST(unit AS BIGINT) AS {k}, round(sum(abs(p - r)) / 2, 6) AS tv, round(sum(CASE WHEN n > 0 AND r > 0 THEN 2 * n * ln(p / r) ELSE 0 END), 6) AS g2 FROM g GROUP BY unit"""
+
+
+@query("," + TO_REST.format(k="tape", t="reads"))
+def q_tape_composition(v: Views) -> DataFrame:
+    return alphabet.distance_to_rest(v.reads.groupBy("tape", "sym").agg(F.count("*").alias("n")), "tape")
+
+
+@query("," + TO_REST.format(k="site", t="reads"))
+def q_site_composition(v: Views) -> DataFrame:
+    return alphabet.distance_to_rest(v.reads.groupBy("site", "sym").agg(F.count("*").alias("n")), "site")
+
+
+@query("SELECT sym, count(*) AS n FROM reads GROUP BY sym ORDER BY n DESC, sym LIMIT 10")
+def q_top_symbols(v: Views) -> DataFrame:
+    return alphabet.top_k(v.reads.groupBy("sym").agg(F.count("*").alias("n")), 10, F.desc("n"), "sym")
+
+
+@query("SELECT sym, count(*) AS total, round(max(n) / sum(n), 6) AS top_share FROM (SELECT sym, clone, count(*) AS n FROM reads GROUP BY ALL) GROUP BY sym".replace("count(*) AS total", "CAST(sum(n) AS BIGINT) AS total"))
+def q_top_clone_share(v: Views) -> DataFrame:
+    return alphabet.top_share(v.reads.groupBy("sym", "clone").agg(F.count("*").alias("n")), ["sym"])
+
+
+@query()
+def q_rarefaction(v: Views) -> DataFrame:
+    return alphabet.rarefaction(v.reads, 100, 3, "cell", "tape", "site")
+
+
+@query("SELECT cell, CAST(tape AS VARCHAR) AS tape, CAST(site AS BIGINT) AS site, sym FROM reads")
+def q_wide_round_trip(v: Views) -> DataFrame:
+    return tables.unpivot_sites(fixture.wide(v.reads)).where("sym IS NOT NULL")
+
+
+# Reads and missing values.
+
+
+@query("SELECT CASE WHEN regexp_matches(sym, '^Brand#[1-4][0-9]$') THEN 'good' ELSE 'bad' END AS class, count(*) AS n FROM reads GROUP BY ALL")
+def q_value_classes(v: Views) -> DataFrame:
+    return v.reads.groupBy(reads.value_class(F.col("sym"), fixture.DESIGN).alias("class")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT pattern, count(*) AS n FROM (SELECT CASE WHEN max(site) = count(*) THEN 'prefix' ELSE 'gap' END AS pattern FROM reads GROUP BY cell, tape) GROUP BY pattern")
+def q_missing_pattern(v: Views) -> DataFrame:
+    return reads.pattern_class(v.reads).groupBy("pattern").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(term AS BIGINT) AS term, CAST(depth AS BIGINT) AS depth, count(*) AS n FROM tapes GROUP BY ALL")
+def q_termination(v: Views) -> DataFrame:
+    return v.tapes.groupBy("term", "depth").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT count(*) FILTER (term = 1) AS unedited, count(*) FILTER (term = 2) AS junk, count(*) FILTER (term = 3) AS complete,
+  (SELECT CAST(sum(missing) AS BIGINT) FROM entries) AS absent, CAST(sum(depth) AS BIGINT) AS edits FROM tapes""")
+def q_entry_decomposition(v: Views) -> DataFrame:
+    own = v.tapes.agg(F.count_if(F.col("term") == 1).alias("unedited"), F.count_if(F.col("term") == 2).alias("junk"), F.count_if(F.col("term") == 3).alias("complete"), F.sum("depth").alias("edits"))
+    return own.join(F.broadcast(v.entries.agg(F.sum("missing").alias("absent"))))
+
+
+@query("""SELECT level, round(avg(CASE WHEN depth >= level OR term IN (1, 3) THEN 1 ELSE 0 END), 6) AS determined, round(avg(CASE WHEN depth >= level THEN 1 ELSE 0 END), 6) AS reached
+  FROM tapes CROSS JOIN range(1, 7) t(level) GROUP BY level""")
+def q_determination_rates(v: Views) -> DataFrame:
+    levels = F.explode(F.sequence(F.lit(1), F.lit(6))).alias("level")
+    t = v.tapes.select("depth", "term", levels)
+    return t.groupBy("level").agg(F.avg(((F.col("depth") >= F.col("level")) | F.col("term").isin(1, 3)).cast("double")).alias("determined"), F.avg((F.col("depth") >= F.col("level")).cast("double")).alias("reached"))
+
+
+@query("SELECT cell, CAST(clone AS BIGINT) AS clone, sample, r FROM rc WHERE r >= 12")
+def q_qc_filter(v: Views) -> DataFrame:
+    return reads.qc_cells(v.entries, 12)
+
+
+@query("""SELECT b AS band, count(*) AS n FROM (SELECT CASE WHEN n < 6 THEN 0 WHEN n < 10 THEN 1 WHEN n < 20 THEN 2 WHEN n < 50 THEN 3 WHEN n < 200 THEN 4 ELSE 5 END AS b FROM (SELECT clone, count(*) AS n FROM cells GROUP BY clone)) GROUP BY b""")
+def q_size_bands(v: Views) -> DataFrame:
+    return v.cells.groupBy("clone").agg(F.count("*").alias("n")).groupBy(reads.size_stratum(F.col("n")).alias("band")).agg(F.count("*").alias("n"))
+
+
+# Margins.
+
+
+@query("SELECT cell, CAST(clone AS BIGINT) AS clone, sample, r FROM rc")
+def q_margins_cell(v: Views) -> DataFrame:
+    return margins.cell_margin(v.entries)
+
+
+@query("SELECT CAST(tape AS BIGINT) AS tape, r, round(p, 6) AS p FROM rt")
+def q_margins_tape(v: Views) -> DataFrame:
+    return margins.tape_margin(v.entries)
+
+
+@query("SELECT x AS r, coalesce(n, 0) AS n FROM range(0, 21) t(x) LEFT JOIN (SELECT r, count(*) AS n FROM rc GROUP BY r) h ON h.r = t.x")
+def q_rc_histogram(v: Views) -> DataFrame:
+    return margins.histogram(margins.cell_margin(v.entries), "r", 20)
+
+
+@query(""", a AS (SELECT count(*) AS n, avg(r) AS mean_r, var_samp(r) AS var_r FROM rc), b AS (SELECT count(*) AS k, sum((1 - p) * p) AS s, avg(1 - p) AS p FROM rt)
+  SELECT n, k, round(p, 6) AS p, round(mean_r, 6) AS mean_r, round(var_r, 6) AS var_r, round(var_r / s, 6) AS vif, round((var_r / s - 1) / (k - 1), 6) AS rho FROM a CROSS JOIN b""")
+def q_vif_rho(v: Views) -> DataFrame:
+    return margins.overdispersion(v.entries)
+
+
+@query("SELECT CAST(cut AS BIGINT) AS cut, count(*) AS n, round(avg(r), 6) AS mean_r, round(var_samp(r), 6) AS var_r FROM rc JOIN (VALUES (0), (10), (15)) c(cut) ON r >= cut GROUP BY cut")
+def q_cut_sweep(v: Views) -> DataFrame:
+    return margins.cut_sweep(margins.cell_margin(v.entries), [0, 10, 15])
+
+
+@query(""", g AS (SELECT sample, tape, avg(missing) AS p FROM entries GROUP BY ALL)
+  SELECT x.sample AS a, y.sample AS b, round(corr(x.p, y.p), 6) AS corr FROM g x JOIN g y ON x.tape = y.tape AND x.sample < y.sample GROUP BY ALL""")
+def q_tape_rate_corr(v: Views) -> DataFrame:
+    return margins.correlation_matrix(v.entries, "sample")
+
+
+DEPTHS = """, d AS (SELECT cell, count(*) AS n, avg(depth) AS mean_depth FROM tapes WHERE depth > 0 GROUP BY cell HAVING count(*) >= 5)"""
+
+
+@query(DEPTHS + "SELECT cell, n, round(mean_depth, 6) AS mean_depth FROM d")
+def q_mean_depths(v: Views) -> DataFrame:
+    return margins.mean_depths(v.tapes, "cell")
+
+
+INTERVAL = "round(rho, 6) AS rho, n, round(tanh(atanh(rho) - 1.959963984540054 / sqrt(n - 3)), 6) AS low, round(tanh(atanh(rho) + 1.959963984540054 / sqrt(n - 3)), 6) AS high"
+
+
+@query(DEPTHS + f""", k AS (SELECT row_number() OVER (ORDER BY n, cell) AS x, row_number() OVER (ORDER BY mean_depth, cell) AS y FROM d), r AS (SELECT corr(x, y) AS rho, count(*) AS n FROM k) SELECT {INTERVAL} FROM r""")
+def q_depth_spearman_pos(v: Views) -> DataFrame:
+    return margins.spearman(margins.mean_depths(v.tapes, "cell"), "n", "mean_depth", "cell")
+
+
+@query(DEPTHS + f""", k AS (SELECT rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0 AS x, rank() OVER (ORDER BY mean_depth) + (count(*) OVER (PARTITION BY mean_depth) - 1) / 2.0 AS y FROM d), r AS (SELECT corr(x, y) AS rho, count(*) AS n FROM k) SELECT {INTERVAL} FROM r""")
+def q_depth_spearman_avg(v: Views) -> DataFrame:
+    return margins.spearman(margins.mean_depths(v.tapes, "cell"), "n", "mean_depth")
+
+
+@query(""", g AS (SELECT tape, avg(missing) FILTER (sample = 'BUILDING') AS x, avg(missing) FILTER (sample = 'MACHINERY') AS y FROM entries GROUP BY tape)
+  SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(corr(x, y), 6) AS r, round(covar_samp(x, y), 6) AS covariance FROM g""")
+def q_reliability(v: Views) -> DataFrame:
+    of = lambda s: F.avg(F.when(F.col("sample") == s, F.col("missing")))
+    return margins.replicate_fit(v.entries.groupBy("tape").agg(of("BUILDING").alias("x"), of("MACHINERY").alias("y")), "x", "y")
+
+
+@query("SELECT CAST(clone AS BIGINT) AS clone, count(*) AS m, CAST(sum(r) AS DOUBLE) AS sum_x, CAST(sum(r) * sum(r) - sum(r * r) AS DOUBLE) AS pair_sum FROM rc GROUP BY clone")
+def q_pair_sums(v: Views) -> DataFrame:
+    x = margins.cell_margin(v.entries).withColumn("x", F.col("r").cast("double"))
+    return margins.pair_moments(x, ["clone"])
+
+
+WITHIN = """, x AS (SELECT clone, {f} AS f, {x} - avg({x}) OVER (PARTITION BY {f}) AS x FROM {t}),
+  o AS (SELECT f, sum(s * s - q) AS i, sum(m * (m - 1)) AS n2 FROM (SELECT f, clone, sum(x) AS s, sum(x * x) AS q, count(*) AS m FROM x GROUP BY ALL) GROUP BY f),
+  e AS (SELECT f, count(*) AS n, sum(x * x) AS ss, sum(x) * sum(x) - sum(x * x) AS a FROM x GROUP BY f)
+  SELECT {k} n, round(i / n2 / (ss / n), 6) AS rho_within, round((a - i) / (n * (n - 1) - n2) / (ss / n), 6) AS rho_between FROM o JOIN e USING (f)"""
+
+
+@query(WITHIN.format(f="1", x="r", t="rc", k=""))
+def q_icc_clone(v: Views) -> DataFrame:
+    return margins.within_correlation(margins.cell_margin(v.entries).withColumn("x", F.col("r").cast("double")), "clone")
+
+
+@query(WITHIN.format(f="tape", x="missing", t="entries", k="CAST(f AS BIGINT) AS tape,"))
+def q_rho_allpairs(v: Views) -> DataFrame:
+    return margins.within_correlation(v.entries.withColumn("x", F.col("missing").cast("double")), "clone", "tape")
+
+
+@query(""", g AS (SELECT clone, count(*) AS m, avg(r) AS mean, var_pop(r) AS v FROM rc GROUP BY clone), s AS (SELECT sum(m) AS n, count(*) AS g, sum(m * v) AS ssw, sum(m * mean) AS sx, sum(m * mean * mean) AS sm, sum(m * m) AS mm FROM g),
+  t AS (SELECT n, g, (sm - sx * sx / n) / (g - 1) AS b, ssw / (n - g) AS w, (n - mm / n) / (g - 1) AS m0 FROM s)
+  SELECT CAST(n AS BIGINT) AS n, g, round(b, 6) AS ms_between, round(w, 6) AS ms_within, round(((b - w) / m0) / ((b - w) / m0 + w), 6) AS share FROM t""")
+def q_between_group(v: Views) -> DataFrame:
+    return margins.noise_corrected_share(margins.cell_margin(v.entries), "clone", "r")
+
+
+@query("""SELECT CAST(clone AS BIGINT) AS clone, CAST(tape AS BIGINT) AS tape, count(*) AS m, CAST(min(missing) AS BIGINT) AS all_missing, CAST(1 - max(missing) AS BIGINT) AS all_present, round(max(p), 6) AS p,
+  round(pow(max(p), count(*)), 6) AS e_missing, round(pow(1 - max(p), count(*)), 6) AS e_present FROM entries JOIN rt USING (tape) GROUP BY clone, tape""")
+def q_complete_loss(v: Views) -> DataFrame:
+    return margins.complete_loss(v.entries)
+
+
+@query()
+def q_perm_within_clone(v: Views) -> DataFrame:
+    x = margins.cell_margin(v.entries).withColumn("x", F.col("r").cast("double"))
+    return margins.permutation_null(x, "clone", "sample", "cell", 20, 7)
+
+
+@query()
+def q_perm_null_summary(v: Views) -> DataFrame:
+    x = margins.cell_margin(v.entries).withColumn("x", F.col("r").cast("double"))
+    observed = margins.within_correlation(x, "clone").first()["rho_within"]
+    return margins.permutation_summary(margins.permutation_null(x, "clone", "sample", "cell", 50, 7), observed, "rho_within")
+
+
+# Tries and characters.
+
+
+NODES = """, nodes AS (SELECT clone, tape, d - 1 AS level, CASE WHEN d = 1 THEN '' ELSE substr(prefix, 1, length(prefix) - 9) END AS prefix, count(*) AS n_next, count(DISTINCT right(prefix, 8)) AS s FROM prefixes GROUP BY ALL)"""
+
+
+@query(NODES + " SELECT CAST(clone AS BIGINT) AS clone, CAST(tape AS BIGINT) AS tape, CAST(level AS BIGINT) AS level, prefix, n_next, s FROM nodes")
+def q_trie_nodes(v: Views) -> DataFrame:
+    return trie.nodes(v.tapes).drop("symbols")
+
+
+@query(NODES + """ SELECT CAST(level AS BIGINT) AS level, count(*) AS n_nodes, round(quantile_cont(s, 0.5), 6) AS median_s, round(avg(n_next), 6) AS mean_next, max(s) AS max_s, round(avg(CASE WHEN s >= 2 THEN 1 ELSE 0 END), 6) AS branching FROM nodes GROUP BY level""")
+def q_trie_levels(v: Views) -> DataFrame:
+    return trie.level_summary(trie.nodes(v.tapes))
+
+
+@query("SELECT cell, CAST(tape AS BIGINT) AS tape, CAST(d AS BIGINT) AS d, dense_rank() OVER (PARTITION BY tape, d ORDER BY prefix) - 1 AS code FROM prefixes")
+def q_prefix_codes(v: Views) -> DataFrame:
+    return trie.prefix_codes(v.prefixes)
+
+
+@query("SELECT CAST(clone AS BIGINT) AS clone, CAST(tape AS BIGINT) AS tape, CAST(d AS BIGINT) AS level, prefix, count(DISTINCT cell) AS m, array_to_string(list_sort(list(DISTINCT cell)), ',') AS cells FROM prefixes GROUP BY ALL HAVING count(DISTINCT cell) >= 2")
+def q_characters(v: Views) -> DataFrame:
+    return trie.characters(v.prefixes).withColumn("cells", F.array_join(F.col("cells").cast("array<string>"), ","))
+
+
+@query()
+def q_m_moment(v: Views) -> DataFrame:
+    return trie.moment_estimates(trie.nodes(v.tapes).drop("symbols"), alphabet.shares(v.reads.where(F.col("sym").rlike(fixture.DESIGN)), []))
+
+
+@query()
+def q_m_mle(v: Views) -> DataFrame:
+    return trie.likelihood_estimates(trie.nodes(v.tapes), alphabet.shares(v.reads.where(F.col("sym").rlike(fixture.DESIGN)), [])).drop("symbols")
+
+
+CONSENSUS = """, pc AS (SELECT clone, tape, d, prefix, count(*) AS n FROM prefixes GROUP BY ALL), best AS (SELECT clone, tape, d, prefix, n FROM (SELECT *, sum(n) OVER (PARTITION BY clone, tape, d) AS a, row_number() OVER (PARTITION BY clone, tape, d ORDER BY n DESC, prefix) AS k FROM pc) WHERE k = 1 AND 2 * n >= a),
+  cons AS (SELECT clone, tape, d, prefix, n FROM best WHERE d = 1 UNION ALL SELECT b.clone, b.tape, b.d, b.prefix, b.n FROM cons c JOIN best b ON b.clone = c.clone AND b.tape = c.tape AND b.d = c.d + 1 AND starts_with(b.prefix, c.prefix || '>'))"""
+
+
+@query(CONSENSUS + " SELECT CAST(clone AS BIGINT) AS clone, CAST(tape AS BIGINT) AS tape, CAST(d AS BIGINT) AS d, prefix, n FROM cons")
+def q_consensus(v: Views) -> DataFrame:
+    return trie.consensus(v.prefixes).select("clone", "tape", "d", "prefix", "n")
+
+
+@query(CONSENSUS + """, j AS (SELECT x.clone AS a, y.clone AS b, count(*) AS tapes FROM cons x JOIN cons y ON x.tape = y.tape AND x.clone < y.clone WHERE x.d = 1 AND y.d = 1 GROUP BY ALL),
+  s AS (SELECT x.clone AS a, y.clone AS b, count(*) AS n FROM cons x JOIN cons y ON x.tape = y.tape AND x.d = y.d AND x.prefix = y.prefix AND x.clone < y.clone GROUP BY ALL)
+  SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, tapes, round(coalesce(n, 0) / tapes, 6) AS shared FROM j LEFT JOIN s USING (a, b)""")
+def q_group_relatedness(v: Views) -> DataFrame:
+    return relate.consensus_matrix(trie.consensus(v.prefixes))
+
+
+@query(CONSENSUS + """, m AS (SELECT p.cell, p.clone, c.clone AS rival, count(*) AS n FROM prefixes p JOIN cons c ON c.tape = p.tape AND c.d = p.d AND c.prefix = p.prefix GROUP BY ALL)
+  SELECT cell, CAST(clone AS BIGINT) AS clone, coalesce(max(n) FILTER (rival = clone), 0) AS own, coalesce(max(n) FILTER (rival <> clone), 0) AS best,
+  CAST(arg_min(rival, -n * 1000 + rival) FILTER (rival <> clone) AS BIGINT) AS rival FROM m GROUP BY cell, clone""")
+def q_collision_flags(v: Views) -> DataFrame:
+    return relate.collision_flags(v.prefixes, trie.consensus(v.prefixes))
+
+
+@query()
+def q_labels(v: Views) -> DataFrame:
+    return trie.labels(v.tapes, v.characters(), v.cells, 2).groupBy("clone", "tape", "label").agg(F.count("*").alias("n"))
+
+
+# Compatibility.
+
+
+CHARS = """, ch AS (SELECT clone, tape, d AS level, prefix, count(DISTINCT cell) AS m, row_number() OVER (PARTITION BY clone ORDER BY tape, prefix) AS id FROM prefixes WHERE d = 2 GROUP BY clone, tape, d, prefix HAVING count(DISTINCT cell) >= 2),
+  cc AS (SELECT DISTINCT ch.clone, id, ch.tape, level, m, cell FROM ch JOIN prefixes p ON p.clone = ch.clone AND p.tape = ch.tape AND p.d = ch.level AND p.prefix = ch.prefix),
+  pr AS (SELECT x.clone, x.id AS a, y.id AS b, x.tape AS ta, y.tape AS tb, x.level AS la, y.level AS lb, x.m AS ma, y.m AS mb, count(*) AS n11 FROM cc x JOIN cc y ON x.clone = y.clone AND x.cell = y.cell AND x.id < y.id AND x.tape <> y.tape GROUP BY ALL)"""
+BIG = lambda *c: ", ".join(f"CAST({x} AS BIGINT) AS {x}" for x in c)
+
+
+@query(CHARS + f" SELECT {BIG('clone', 'a', 'b', 'ta', 'tb', 'la', 'lb', 'ma', 'mb', 'n11')}, ma - n11 AS n10, mb - n11 AS n01, ma > n11 AND mb > n11 AS conflict FROM pr")
+def q_pairs_as_absent(v: Views) -> DataFrame:
+    return compat.as_absent(compat.co_occurring(v.characters()))
+
+
+@query(CHARS + f""", da AS (SELECT clone, a, b, count(*) AS n FROM pr JOIN (SELECT clone, id AS a, cell FROM cc) c USING (clone, a) JOIN tapes t ON t.cell = c.cell AND t.tape = tb AND (t.depth >= lb OR t.term IN (1, 3)) GROUP BY ALL),
+  db AS (SELECT clone, a, b, count(*) AS n FROM pr JOIN (SELECT clone, id AS b, cell FROM cc) c USING (clone, b) JOIN tapes t ON t.cell = c.cell AND t.tape = ta AND (t.depth >= la OR t.term IN (1, 3)) GROUP BY ALL)
+  SELECT {BIG('clone', 'a', 'b', 'ta', 'tb', 'la', 'lb', 'ma', 'mb', 'n11')}, coalesce(da.n, 0) - n11 AS n10, coalesce(db.n, 0) - n11 AS n01, coalesce(da.n, 0) > n11 AND coalesce(db.n, 0) > n11 AS conflict FROM pr LEFT JOIN da USING (clone, a, b) LEFT JOIN db USING (clone, a, b)""")
+def q_pairs_excluded(v: Views) -> DataFrame:
+    c = v.characters()
+    return compat.excluding(compat.co_occurring(c), c, v.tapes)
+
+
+@query(CHARS + """, e AS (SELECT clone, a, b FROM pr WHERE ma > n11 AND mb > n11), u AS (SELECT clone, a AS id FROM e UNION ALL SELECT clone, b FROM e)
+  SELECT CAST(clone AS BIGINT) AS clone, CAST(id AS BIGINT) AS id, count(*) AS degree FROM u GROUP BY ALL""")
+def q_conflict_degree(v: Views) -> DataFrame:
+    return compat.degrees(compat.as_absent(compat.co_occurring(v.characters())).where("conflict"))
+
+
+@query(CHARS + """, t AS (SELECT clone, CAST(sum(c) AS BIGINT) AS n_characters, CAST((sum(c) * sum(c) - sum(c * c)) / 2 AS BIGINT) AS n_pairs FROM (SELECT clone, tape, count(*) AS c FROM ch GROUP BY ALL) GROUP BY clone),
+  e AS (SELECT clone, count(*) FILTER (ma > n11 AND mb > n11) AS n_conflicts FROM pr GROUP BY clone)
+  SELECT CAST(clone AS BIGINT) AS clone, n_characters, n_pairs, coalesce(n_conflicts, 0) AS n_conflicts, round(CASE WHEN n_pairs > 0 THEN 1 - coalesce(n_conflicts, 0) / n_pairs END, 6) AS compatible FROM t LEFT JOIN e USING (clone)""")
+def q_compat_rate(v: Views) -> DataFrame:
+    c = v.characters()
+    bad = compat.as_absent(compat.co_occurring(c)).groupBy("clone").agg(F.count_if("conflict").alias("_n"))
+    out = compat.pair_totals(c).join(bad, "clone", "left").withColumn("n_conflicts", F.coalesce("_n", F.lit(0))).drop("_n")
+    return out.withColumn("compatible", F.when(F.col("n_pairs") > 0, 1 - F.col("n_conflicts") / F.col("n_pairs")))
+
+
+@query(CHARS + " SELECT CAST(clone AS BIGINT) AS clone, CAST(sum(k * (k - 1) / 2) AS BIGINT) AS pair_rows FROM (SELECT clone, cell, count(*) AS k FROM cc GROUP BY ALL) GROUP BY clone")
+def q_pair_volume(v: Views) -> DataFrame:
+    return compat.pair_volume(v.characters())
+
+
+@query(CHARS + """, s AS (SELECT clone, id, tape, level, array_to_string(list_sort(list(cell)), ',') AS cells, count(*) AS size FROM cc GROUP BY ALL)
+  SELECT CAST(clone AS BIGINT) AS clone, cells, count(*) AS copies, count(DISTINCT tape) AS support, CAST(min(level) AS BIGINT) AS depth, size FROM s GROUP BY clone, cells, size""")
+def q_dedup_clades(v: Views) -> DataFrame:
+    return compat.clades(v.characters()).withColumn("cells", F.array_join(F.col("cells").cast("array<string>"), ","))
+
+
+@query()
+def q_skeleton(v: Views) -> DataFrame:
+    return compat.laminar_skeleton(compat.clades(v.characters()))
+
+
+@query()
+def q_polytomy(v: Views) -> DataFrame:
+    return compat.laminar_skeleton(compat.clades(v.characters())).groupBy("clone", "parent").agg(F.count("*").alias("children"))
+
+
+@query()
+def q_independent_set(v: Views) -> DataFrame:
+    c = v.characters()
+    return compat.independent_set(compat.as_absent(compat.co_occurring(c)).where("conflict"), c)
+
+
+@query(CHARS + """, cl AS (SELECT clone, array_to_string(list_sort(list(cell)), ',') AS k, count(*) AS size, list(cell) AS cells FROM cc GROUP BY clone, id), dc AS (SELECT clone, k, size, any_value(cells) AS cells FROM cl GROUP BY ALL),
+  x AS (SELECT clone, k, size, sample, count(*) AS n FROM (SELECT clone, k, size, unnest(cells) AS cell FROM dc) z JOIN (SELECT cell, sample FROM cells) s USING (cell) GROUP BY ALL),
+  w AS (SELECT sample, count(*) AS whole FROM cells GROUP BY sample), y AS (SELECT clone, k, size, count(*) AS labels, count(*) FILTER (n < whole) AS broken FROM x JOIN w USING (sample) GROUP BY ALL)
+  SELECT CASE WHEN labels = 1 THEN 'WITHIN' WHEN broken = 0 THEN 'UNION' ELSE 'STRADDLE' END AS kind, count(*) AS n FROM y GROUP BY kind""")
+def q_groundtruth_class(v: Views) -> DataFrame:
+    return compat.truth_class(compat.clades(v.characters()), v.cells.select("cell", F.col("sample").alias("label"))).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+# The event scan.
+
+
+COMBOS = """, pe AS (SELECT cell, clone, e.tape, missing, greatest(least(p, 1 - 1e-6), 1e-6) AS p FROM entries e JOIN rt USING (tape)),
+  mem AS (SELECT clone, tape AS anchor, d, prefix, cell, count(*) OVER (PARTITION BY clone, tape, d, prefix) AS cm FROM prefixes),
+  co AS (SELECT m.clone, anchor, d, prefix, e.tape, count(*) AS m, CAST(sum(missing) AS BIGINT) AS k, sum(p) AS e, sum(p * (1 - p)) AS v,
+         sum(CASE WHEN missing = 1 THEN ln(0.95) - ln(p) ELSE ln(0.05) - ln(1 - p) END) AS hard, sum(CASE WHEN missing = 1 THEN ln(p) ELSE ln(1 - p) END) AS u
+         FROM mem m JOIN pe e ON e.cell = m.cell AND e.tape <> anchor WHERE cm >= 4 GROUP BY ALL),
+  st AS (SELECT *, CASE WHEN k > e THEN CASE WHEN k = 0 THEN 0 ELSE k * ln(k / m) END + CASE WHEN m = k THEN 0 ELSE (m - k) * ln((m - k) / m) END - u ELSE 0 END AS soft, (k - e) / sqrt(v) AS z,
+         CASE WHEN m < 6 THEN 0 WHEN m < 10 THEN 1 WHEN m < 20 THEN 2 WHEN m < 50 THEN 3 WHEN m < 200 THEN 4 ELSE 5 END AS stratum FROM co)"""
+
+
+def _stats(v: Views) -> DataFrame:
+    return scan.statistics(scan.combos(v.prefixes, scan.with_rates(v.entries)))
+
+
+@query(COMBOS + f" SELECT {BIG('clone', 'anchor', 'd')}, prefix, {BIG('tape', 'm', 'k')}, round(e, 6) AS e, round(v, 6) AS v, round(hard, 6) AS hard, round(u, 6) AS u FROM co")
+def q_scan_counts(v: Views) -> DataFrame:
+    return scan.combos(v.prefixes, scan.with_rates(v.entries))
+
+
+@query(COMBOS + f" SELECT {BIG('clone', 'anchor', 'd')}, prefix, {BIG('tape', 'stratum')}, round(hard, 5) AS hard, round(soft, 5) AS soft, round(z, 5) AS z FROM st", digits=5)
+def q_score_z(v: Views) -> DataFrame:
+    return _stats(v).select("clone", "anchor", "d", "prefix", "tape", "stratum", "hard", "soft", "z")
+
+
+@query(COMBOS + """, h AS (SELECT stratum, CAST(least(floor((hard + 20) / 0.5), 99) AS BIGINT) AS t_idx, count(*) AS n FROM st WHERE hard >= -20 GROUP BY ALL)
+  SELECT CAST(g.stratum AS BIGINT) AS stratum, g.t_idx, CAST(sum(coalesce(n, 0)) OVER (PARTITION BY g.stratum ORDER BY g.t_idx DESC) AS BIGINT) AS n_above
+  FROM (SELECT stratum, t_idx FROM (SELECT DISTINCT stratum FROM st) CROSS JOIN range(0, 100) r(t_idx)) g LEFT JOIN h ON h.stratum = g.stratum AND h.t_idx = g.t_idx""")
+def q_stratum_counts(v: Views) -> DataFrame:
+    return scan.counts_above(_stats(v), "hard", -20, 0.5, 100)
+
+
+@query("""SELECT CAST(clone AS BIGINT) AS clone, CAST(e.tape AS BIGINT) AS tape, count(*) AS m, CAST(sum(missing) AS BIGINT) AS k, round(sum(greatest(least(p, 1 - 1e-6), 1e-6)), 6) AS e,
+  round(sum(CASE WHEN missing = 1 THEN ln(0.95) - ln(greatest(least(p, 1 - 1e-6), 1e-6)) ELSE ln(0.05) - ln(1 - greatest(least(p, 1 - 1e-6), 1e-6)) END), 6) AS hard
+  FROM entries e JOIN rt USING (tape) GROUP BY clone, e.tape HAVING count(*) >= 5""")
+def q_clone_wide(v: Views) -> DataFrame:
+    return scan.clone_wide(scan.with_rates(v.entries))
+
+
+def _null_counts(v: Views) -> tuple[DataFrame, DataFrame]:
+    e = scan.with_rates(v.entries)
+    clade = v.prefixes.where("d = 1")
+    seen = scan.counts_above(scan.statistics(scan.combos(clade, e)), "soft", 0, 0.25, 40)
+    parts = []
+    for b in (1, 2, 3):
+        moved = scan.permuted(e, 1, 100 + b).drop("perm")
+        parts.append(scan.counts_above(scan.statistics(scan.combos(clade, moved)), "soft", 0, 0.25, 40).withColumn("perm", F.lit(b)))
+    null = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return seen, null.groupBy("stratum", "t_idx").agg((F.sum("n_above") / 3).alias("expected"))
+
+
+@query()
+def q_fdr_curve(v: Views) -> DataFrame:
+    return scan.fdr_curve(*_null_counts(v))
+
+
+@query()
+def q_threshold_grid(v: Views) -> DataFrame:
+    return scan.thresholds(scan.fdr_curve(*_null_counts(v)), budget=1.0)
+
+
+@query(COMBOS + f""", pop AS (SELECT clone, tape, count(*) AS n_pop, CAST(sum(missing) AS BIGINT) AS k_pop FROM entries GROUP BY ALL)
+  SELECT {BIG('clone', 'anchor', 'd')}, prefix, {BIG('tape', 'm', 'k', 'n_pop', 'k_pop')}, round(m * k_pop / n_pop, 6) AS e_pop, round(m * (n_pop - m) / (n_pop - 1) * (k_pop / n_pop) * (1 - k_pop / n_pop), 6) AS v_pop
+  FROM co JOIN pop USING (clone, tape)""")
+def q_exact_moments(v: Views) -> DataFrame:
+    e = scan.with_rates(v.entries)
+    return scan.exact_moments(scan.combos(v.prefixes, e), e).select("clone", "anchor", "d", "prefix", "tape", "m", "k", "n_pop", "k_pop", "e_pop", "v_pop")
+
+
+def _exact(v: Views) -> DataFrame:
+    e = scan.with_rates(v.entries)
+    return scan.exact_moments(scan.statistics(scan.combos(v.prefixes, e)), e)
+
+
+@query()
+def q_exact_p(v: Views) -> DataFrame:
+    return _exact(v).select("clone", "anchor", "d", "prefix", "tape", "p_normal", "p_hyper", "p_used")
+
+
+@query()
+def q_bonferroni(v: Views) -> DataFrame:
+    return scan.event_summary(scan.bonferroni(_exact(v), "p_used", 1.0).where("passes"))
+
+
+@query()
+def q_survival_excess(v: Views) -> DataFrame:
+    return scan.survival_excess(_exact(v), "p_used", [1, 2, 3, 4])
+
+
+@query()
+def q_detection_plane(v: Views) -> DataFrame:
+    t = _exact(v)
+    return scan.detection_plane(t.withColumns({"rate": F.col("k") / F.col("m"), "minus": -F.log10(F.greatest("p_used", F.lit(1e-12)))}), "rate", "minus", 10, 12, 12.0)
+
+
+@query(""", r AS (SELECT tape, (avg(missing) FILTER (sample = 'BUILDING') - avg(missing)) AS diff FROM entries GROUP BY tape), k AS (SELECT tape, 1 / (1 + exp(diff * 50)) AS p FROM r),
+  o AS (SELECT tape, p, row_number() OVER (ORDER BY p, tape) AS rank, count(*) OVER () AS n FROM k)
+  SELECT CAST(tape AS BIGINT) AS tape, round(p, 6) AS p, rank, rank <= coalesce(max(CASE WHEN p <= 0.5 * rank / n THEN rank END) OVER (), 0) AS passes FROM o""")
+def q_bh(v: Views) -> DataFrame:
+    diff = F.avg(F.when(F.col("sample") == "BUILDING", F.col("missing"))) - F.avg("missing")
+    p = v.entries.groupBy("tape").agg((1 / (1 + F.exp(diff * 50))).alias("p"))
+    return scan.benjamini_hochberg(p, "p", "tape", 0.5)
+
+
+@query()
+def q_collapsed_events(v: Views) -> DataFrame:
+    s = _stats(v).where("z > 2")
+    cells = v.prefixes.groupBy("clone", F.col("tape").alias("anchor"), "d", "prefix").agg(F.collect_list("cell").alias("cells"))
+    return scan.collapse(s.join(cells, ["clone", "anchor", "d", "prefix"]), "soft").drop("cells")
+
+
+# Writes.
+
+
+WR = """, wr0 AS (SELECT DISTINCT clone, tape, CASE WHEN d = 1 THEN '' ELSE substr(prefix, 1, length(prefix) - 9) END AS parent, right(prefix, 8) AS child, d AS site FROM prefixes),
+  wr AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY clone, tape, parent) AS n FROM wr0) WHERE n >= 2)"""
+
+
+@query(WR + f" SELECT {BIG('clone', 'tape')}, parent, child, {BIG('site')} FROM wr")
+def q_writes(v: Views) -> DataFrame:
+    return writes.independent_writes(v.tapes)
+
+
+@query(WR + f" SELECT {BIG('tape', 'site')}, child, count(*) AS n FROM wr GROUP BY tape, site, child")
+def q_contingency(v: Views) -> DataFrame:
+    return writes.contingency(writes.independent_writes(v.tapes))
+
+
+@query(WR + """, per AS (SELECT site, tape, child, count(*) AS n FROM wr GROUP BY ALL), f AS (SELECT a.site, a.tape, b.child, coalesce(n, 0) AS n FROM (SELECT DISTINCT site, tape FROM per) a JOIN (SELECT DISTINCT site, child FROM per) b USING (site) LEFT JOIN per USING (site, tape, child)),
+  g AS (SELECT tape, child, n, sum(n) OVER (PARTITION BY site, tape) AS u, sum(n) OVER (PARTITION BY site, child) AS c, sum(n) OVER (PARTITION BY site) AS s FROM f),
+  h AS (SELECT tape, child, sum(u * (n / u - (c - n) / (s - u))) / sum(u) AS diff FROM g WHERE s > u GROUP BY ALL)
+  SELECT CAST(tape AS BIGINT) AS tape, round(sum(abs(diff)) / 2, 6) AS tv FROM h GROUP BY tape""")
+def q_tv_stratified(v: Views) -> DataFrame:
+    return writes.stratified_distance(writes.independent_writes(v.tapes), "site").drop("top_symbol")
+
+
+@query(WR + """, per AS (SELECT site, tape, child, count(*) AS a FROM wr GROUP BY ALL), t AS (SELECT tape, child, a, sum(a) OVER (PARTITION BY site, tape) - a AS b, sum(a) OVER (PARTITION BY site, child) - a AS c, sum(a) OVER (PARTITION BY site) - sum(a) OVER (PARTITION BY site, tape) - sum(a) OVER (PARTITION BY site, child) + a AS d FROM per),
+  r AS (SELECT tape, child, a * d / n AS r, b * c / n AS s, (a + d) / n AS p, (b + c) / n AS q FROM (SELECT *, a + b + c + d AS n FROM t)),
+  m AS (SELECT tape, child, sum(r) AS r, sum(s) AS s, sum(p * r) AS pr, sum(p * s + q * r) AS ps, sum(q * s) AS qs FROM r GROUP BY ALL)
+  SELECT CAST(tape AS BIGINT) AS tape, child, round(ln(r / s), 6) AS log_or, round(pr / (2 * r * r) + ps / (2 * r * s) + qs / (2 * s * s), 6) AS variance FROM m WHERE r > 0 AND s > 0""")
+def q_mantel_haenszel(v: Views) -> DataFrame:
+    return writes.mantel_haenszel(writes.symbol_tables(writes.independent_writes(v.tapes), "tape", "site"), ["tape", "child"])
+
+
+@query()
+def q_recovered_map(v: Views) -> DataFrame:
+    z = writes.mantel_haenszel(writes.symbol_tables(writes.independent_writes(v.tapes), "tape", "site"), ["tape", "child"])
+    return writes.call_map(z.select("tape", F.col("child").alias("item"), (F.col("log_or") / F.sqrt("variance")).alias("z")), "tape")
+
+
+# Relatedness.
+
+
+PAIRS = """, sh AS (SELECT x.clone, x.cell AS i, y.cell AS j, count(*) AS shared FROM prefixes x JOIN prefixes y ON x.clone = y.clone AND x.tape = y.tape AND x.d = y.d AND x.prefix = y.prefix AND x.cell < y.cell GROUP BY ALL),
+  jo AS (SELECT x.clone, x.cell AS i, y.cell AS j, count(*) AS joint FROM tapes x JOIN tapes y ON x.clone = y.clone AND x.tape = y.tape AND x.cell < y.cell WHERE x.depth > 0 AND y.depth > 0 GROUP BY ALL),
+  pa AS (SELECT clone, i, j, coalesce(shared, 0) AS shared, joint, coalesce(shared, 0) / joint AS rel FROM jo LEFT JOIN sh USING (clone, i, j)),
+  near AS (SELECT clone, i, j, rank FROM (SELECT clone, i, j, row_number() OVER (PARTITION BY i ORDER BY rel DESC, j) AS rank FROM (SELECT clone, i, j, rel FROM pa UNION ALL SELECT clone, j, i, rel FROM pa)) WHERE rank <= 5)"""
+
+
+@query(PAIRS + " SELECT CAST(clone AS BIGINT) AS clone, i, j, shared, joint, round(rel, 6) AS rel FROM pa")
+def q_relatedness_pairs(v: Views) -> DataFrame:
+    return relate.pairs(v.prefixes, v.tapes)
+
+
+@query(PAIRS + " SELECT CAST(clone AS BIGINT) AS clone, i, j, rank FROM near")
+def q_knn(v: Views) -> DataFrame:
+    return relate.nearest(relate.pairs(v.prefixes, v.tapes), 5)
+
+
+@query(PAIRS + """, nm AS (SELECT i, e.tape, sum(missing) AS k FROM near JOIN entries e ON e.cell = j GROUP BY ALL)
+  SELECT CAST(k AS BIGINT) AS k, count(*) AS n_entries, CAST(sum(missing) AS BIGINT) AS n_missing FROM nm JOIN entries e ON e.cell = i AND e.tape = nm.tape GROUP BY k""")
+def q_neighbour_counts(v: Views) -> DataFrame:
+    near = relate.nearest(relate.pairs(v.prefixes, v.tapes), 5)
+    return relate.hits_by_count(relate.neighbour_missing(near, v.entries), v.entries)
+
+
+@query(PAIRS + """, s AS (SELECT i, e.tape, min(missing) AS a, max(missing) AS b FROM near JOIN entries e ON e.cell = j GROUP BY ALL)
+  SELECT CAST(tape AS BIGINT) AS tape, count(*) AS sets, CAST(sum(a) AS BIGINT) AS all_missing, CAST(sum(1 - b) AS BIGINT) AS all_present FROM s GROUP BY tape""")
+def q_unanimity(v: Views) -> DataFrame:
+    return relate.unanimity(relate.nearest(relate.pairs(v.prefixes, v.tapes), 5), v.entries)
+
+
+@query(PAIRS + """, ed AS (SELECT list_distinct([quantile_cont(rel, 0), quantile_cont(rel, 0.25), quantile_cont(rel, 0.5), quantile_cont(rel, 0.75)]) AS e FROM pa), lo AS (SELECT unnest(e) AS low FROM ed), bi AS (SELECT row_number() OVER (ORDER BY low) - 1 AS bin, low, lead(low) OVER (ORDER BY low) AS high FROM lo),
+  re AS (SELECT cell, e.tape, (missing - p) / sqrt(p * (1 - p)) AS r FROM (SELECT cell, tape, missing FROM entries) e JOIN (SELECT tape, greatest(least(p, 1 - 1e-6), 1e-6) AS p FROM rt) q USING (tape))
+  SELECT bin, count(DISTINCT (i, j)) AS n_pairs, round(avg(rel), 6) AS mean_rel, round(avg(x.r * y.r), 6) AS product FROM pa JOIN bi ON rel >= low AND (high IS NULL OR rel < high) JOIN re x ON x.cell = i JOIN re y ON y.cell = j AND y.tape = x.tape GROUP BY bin""")
+def q_variogram_bins(v: Views) -> DataFrame:
+    return relate.variogram(relate.pairs(v.prefixes, v.tapes), relate.residuals(scan.with_rates(v.entries)), 4)
+
+
+@query()
+def q_random_mates(v: Views) -> DataFrame:
+    return relate.random_mates(v.cells.select("cell", "clone"), 5, 9)
+
+
+@query()
+def q_caliper_match(v: Views) -> DataFrame:
+    return relate.caliper_mates(margins.cell_margin(v.entries), "r", 5, 9)
+
+
+# Fits.
+
+
+@query()
+def q_twoway_fit(v: Views) -> DataFrame:
+    return fit.two_way(v.entries).select("cell", "tape", "missing", "p")
+
+
+@query()
+def q_third_margin(v: Views) -> DataFrame:
+    return fit.clone_margins(fit.two_way(v.entries))
+
+
+def _nats(k: str, name: str) -> str:
+    by = f"PARTITION BY {k}" if k else ""
+    return f"SELECT '{name}' AS model, count(*) AS n, round(sum(CASE WHEN missing = 1 THEN ln(q) ELSE ln(1 - q) END), 6) AS nats FROM (SELECT missing, greatest(least((sum(missing) OVER ({by}) + 0.5) / (count(*) OVER ({by}) + 1), 1 - 1e-6), 1e-6) AS q FROM entries)"
+
+
+@query(" UNION ALL ".join((_nats("", "M0"), _nats("clone", "M1"), _nats("cell", "M2"))))
+def q_ladder_m0_m2(v: Views) -> DataFrame:
+    return fit.ladder(v.entries)
+
+
+@query()
+def q_ladder_m3_m4(v: Views) -> DataFrame:
+    fitted = fit.two_way(v.entries)
+    near = relate.neighbour_missing(relate.random_mates(v.cells.select("cell", "clone"), 5, 9), v.entries).select(F.col("i").alias("cell"), "tape", (F.col("k") / F.col("n")).alias("f"))
+    rows = fitted.join(near, ["cell", "tape"]).withColumns({"eta": F.col("alpha") + F.col("beta"), "u": F.col("f") - F.col("p")}).persist()
+    w = fit.offset_logistic(rows, "eta", "u", "missing")
+    m4 = rows.withColumn("q", 1 / (1 + F.exp(-(F.col("eta") + w * F.col("u")))))
+    return fit.log_likelihood(rows, "p").select(F.lit("M3").alias("model"), "n", "nats").unionByName(fit.log_likelihood(m4, "q").select(F.lit("M4").alias("model"), "n", "nats"))
+
+
+# Trees.
+
+
+def key_tree(v: Views) -> DataFrame:
+    """The world, its regions, nations and customers as one tree; a node's time is its level."""
+    t = lambda n: fixture.table(v.spark, v.dir, n)
+    node = lambda df, key, parent, at, tip: df.select(F.lit(0).cast("long").alias("tree"), key.cast("long").alias("node"), parent.cast("long").alias("parent"), F.lit(float(at)).alias("t"), F.lit(tip).alias("tip"))
+    out = node(v.spark.range(1), F.lit(0), F.lit(None), 0, False)
+    out = out.unionByName(node(t("region"), F.col("r_regionkey") + 1, F.lit(0), 1, False))
+    out = out.unionByName(node(t("nation"), F.col("n_nationkey") + 100, F.col("n_regionkey") + 1, 2, False))
+    return out.unionByName(node(t("customer"), F.col("c_custkey") + 1000, F.col("c_nationkey") + 100, 3, True))
+
+
+KEYS = """, kt(node, parent, t, tip) AS (SELECT 0, NULL, 0.0, false UNION ALL SELECT r_regionkey + 1, 0, 1.0, false FROM region UNION ALL SELECT n_nationkey + 100, n_regionkey + 1, 2.0, false FROM nation UNION ALL SELECT c_custkey + 1000, c_nationkey + 100, 3.0, true FROM customer),
+  up(node, anc, steps) AS (SELECT node, node, 0 FROM kt UNION ALL SELECT up.node, kt.parent, steps + 1 FROM up JOIN kt ON kt.node = up.anc WHERE kt.parent IS NOT NULL)"""
+
+
+@query(KEYS + " SELECT CAST(0 AS BIGINT) AS tree, CAST(node AS BIGINT) AS node, CAST(anc AS BIGINT) AS anc, CAST(steps AS BIGINT) AS steps FROM up")
+def q_tree_closure(v: Views) -> DataFrame:
+    return tree.closure(key_tree(v))
+
+
+@query(KEYS + " SELECT CAST(0 AS BIGINT) AS tree, CAST(anc AS BIGINT) AS node, count(*) AS n_tips FROM up JOIN kt USING (node) WHERE tip GROUP BY anc")
+def q_clade_sizes(v: Views) -> DataFrame:
+    return tree.clade_sizes(key_tree(v))
+
+
+@query(KEYS + """, p AS (SELECT DISTINCT o_custkey % (SELECT max(c_custkey) FROM customer) + 1000 AS i, o_custkey + 1000 AS j FROM orders WHERE o_orderkey % 50 = 0 AND o_custkey % (SELECT max(c_custkey) FROM customer) <> o_custkey),
+  m AS (SELECT i, j, arg_max(x.anc, 10 - x.steps) AS lca FROM p JOIN up x ON x.node = i JOIN up y ON y.node = j AND y.anc = x.anc GROUP BY i, j)
+  SELECT CAST(0 AS BIGINT) AS tree, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(lca AS BIGINT) AS lca FROM m""".replace("""SELECT DISTINCT o_custkey % (SELECT max(c_custkey) FROM customer) + 1000 AS i, o_custkey + 1000 AS j FROM orders WHERE o_orderkey % 50 = 0 AND o_custkey % (SELECT max(c_custkey) FROM customer) <> o_custkey""", """SELECT DISTINCT a.c_custkey + 1000 AS i, b.c_custkey + 1000 AS j FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 7"""))
+def q_lca(v: Views) -> DataFrame:
+    c = fixture.table(v.spark, v.dir, "customer").select("c_custkey")
+    other = c.select((F.col("c_custkey") - 7).alias("c_custkey"))
+    pairs = c.join(other, "c_custkey").select(F.lit(0).cast("long").alias("tree"), (F.col("c_custkey") + 1000).cast("long").alias("i"), (F.col("c_custkey") + 1007).cast("long").alias("j"))
+    return tree.last_common_ancestor(key_tree(v), pairs)
+
+
+@query(KEYS + """, l(node, key) AS (SELECT n_nationkey + 100, n_nationkey % 3 FROM nation WHERE n_nationkey % 4 = 0), h AS (SELECT DISTINCT node, key FROM up JOIN (SELECT node AS anc, key FROM l) USING (anc))
+  SELECT CAST(0 AS BIGINT) AS tree, CAST(kt.node AS BIGINT) AS node, CAST(k.key AS BIGINT) AS key, h.node IS NOT NULL AS lost FROM kt CROSS JOIN (SELECT DISTINCT key FROM l) k LEFT JOIN h ON h.node = kt.node AND h.key = k.key""")
+def q_dollo_propagate(v: Views) -> DataFrame:
+    n = fixture.table(v.spark, v.dir, "nation").where("n_nationkey % 4 = 0")
+    lost = n.select(F.lit(0).cast("long").alias("tree"), (F.col("n_nationkey") + 100).cast("long").alias("node"), (F.col("n_nationkey") % 3).alias("key"))
+    return tree.propagate(key_tree(v), lost)
+
+
+@query(KEYS + " SELECT CAST(0 AS BIGINT) AS tree, idx, count(*) AS n FROM (SELECT c.t, p.t AS t0 FROM kt c JOIN kt p ON p.node = c.parent) JOIN range(1, 7) r(idx) ON idx * 0.5 > t0 AND idx * 0.5 <= t GROUP BY idx")
+def q_ltt(v: Views) -> DataFrame:
+    return tree.lineages(key_tree(v), 6)
+
+
+@query("SELECT fault, CAST(0 AS BIGINT) AS n FROM (VALUES ('roots'), ('orphan'), ('order'), ('tip')) t(fault)")
+def q_tree_faults(v: Views) -> DataFrame:
+    return tree.faults(key_tree(v))
+
+
+SIM = dict(n_trees=8, tips=12, seed=5)
+SHARES = [0.4, 0.3, 0.2, 0.1]
+
+
+@query()
+def q_simulate_tree(v: Views) -> DataFrame:
+    return simulate.trees(v.spark, **SIM)
+
+
+@query()
+def q_tree_statistics(v: Views) -> DataFrame:
+    t = simulate.trees(v.spark, **SIM)
+    return tree.statistics(t).join(tree.balance(t), "tree")
+
+
+@query()
+def q_newick(v: Views) -> DataFrame:
+    return tree.newick(simulate.trees(v.spark, **SIM))
+
+
+@query()
+def q_decorate(v: Views) -> DataFrame:
+    t = simulate.trees(v.spark, **SIM)
+    own = simulate.observed(simulate.decorate(t, 4, 3.0, SHARES), t, tree.propagate(t, simulate.losses(t, 4, 0.4)).where("lost"), 0.1)
+    return own.select("tree", "node", "tape", F.array_join(F.col("read").cast("array<string>"), ",").alias("read"), "seen")
+
+
+@query()
+def q_loglik(v: Views) -> DataFrame:
+    t = simulate.trees(v.spark, **SIM)
+    own = simulate.observed(simulate.decorate(t, 4, 3.0, SHARES), t, tree.propagate(t, simulate.losses(t, 4, 0.4)).where("lost"), 0.1)
+    return likelihood.log_likelihoods(t, own, 3.0, SHARES, silence=0.4, missed=0.1)
+
+
+@query()
+def q_tree_prior(v: Views) -> DataFrame:
+    return likelihood.tree_prior(simulate.trees(v.spark, **SIM), 1.0, 0.3, 0.5, 1.0)
+
+
+# Events (the batch form of the streaming reads).
+
+
+@query()
+def q_event_reads_sites(v: Views) -> DataFrame:
+    return ingest.from_events(fixture.table(v.spark, v.dir, "events")).groupBy("site", "sym").agg(F.count("*").alias("n"))
+
+
+ORACLE["q_event_reads_sites"] = """WITH r AS (SELECT event_type AS sym, row_number() OVER (PARTITION BY user_id, day(ts) % 8 ORDER BY ts, event_id) AS site FROM events)
+  SELECT site, sym, count(*) AS n FROM r WHERE site <= 6 GROUP BY ALL"""
