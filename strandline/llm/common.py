@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,3 +60,10 @@ def let(value: Column, body) -> Column:
 def key_of(column: Column) -> Column:
     """A non-null string key that keeps null apart from every string."""
     return F.when(column.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), column))
+
+
+def protect(df: DataFrame, needed: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with all columns but the needed ones renamed, and a function that brings rows back to its columns."""
+    names = {c: c if c in needed else f"_x{i}" for i, c in enumerate(df.columns)}
+    out = df.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    return out, lambda rows: rows.select(*(F.col(n).alias(c) for c, n in names.items()))

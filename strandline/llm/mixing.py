@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.llm.common import key_of, materialise, words
+from strandline.llm.common import key_of, materialise, protect, words
 
 WEIGHTS = (5, 2, 1)
 
@@ -171,6 +171,7 @@ def resample(docs: DataFrame, seed: int = 17, buckets: int = 1024, **options) ->
     source are reached: a source differs from its words in the mix by less than a document.
     A document without words comes once.
     """
+    docs, restore = protect(docs, ["doc_id", "text", "source"])
     numbered = materialise(docs.withColumns({"_rid": F.monotonically_increasing_id(), "_size": F.size(words(F.col("text"))).cast("long")}), "numbered")
     sized = numbered.select("doc_id", "source", key_of(F.col("source")).alias("_source"), F.col("_size").alias("size"), "_rid")
     documents, _ = mix_sized(sized, seed=seed, buckets=buckets, **options)
@@ -180,4 +181,4 @@ def resample(docs: DataFrame, seed: int = 17, buckets: int = 1024, **options) ->
     due = partly.groupBy("_source").agg(F.sum("_part").alias("_due"))
     more = positions(partly.drop("_whole", "_part"), seed + 1, buckets).join(due, "_source").where(F.col("start") < F.col("_due")).select("_rid", F.lit(1).alias("_more"))
     copies = documents.join(more, "_rid", "left").select("_rid", (F.col("_whole") + F.coalesce("_more", F.lit(0))).alias("_copies")).where("_copies > 0")
-    return numbered.join(copies, "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    return restore(numbered.join(copies, "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))))

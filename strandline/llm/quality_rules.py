@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.llm.common import SEPARATOR_CHARS, key_of, let, materialise, words
+from strandline.llm.common import SEPARATOR_CHARS, key_of, let, materialise, protect, words
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -155,5 +155,5 @@ def quality_verdicts(docs: DataFrame, **options) -> DataFrame:
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
-    measured = materialise(with_counts(docs), "quality")
-    return judge(measured, **options).where("kept").select(*docs.columns)
+    own, restore = protect(docs, ["doc_id", "text", "lang", "source"])
+    return restore(judge(materialise(with_counts(own), "quality"), **options).where("kept"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import materialise
+from strandline.llm.common import materialise, protect
 from strandline.llm.components import components
 
 BITS = 64
@@ -373,6 +373,7 @@ def keep_first(docs: DataFrame, size: int = 5, least: float = 0.8, distance: int
     fingerprints give all candidate pairs, larger ones those of a spanning forest.
     Null ids come last, and of repeated rows one stays.
     """
+    docs, restore = protect(docs, ["doc_id", "text"])
     schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType()), T.StructField("_key", T.StringType())])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,7 +407,7 @@ def keep_first(docs: DataFrame, size: int = 5, least: float = 0.8, distance: int
     ids = marked.select("_key", "doc_id").distinct().join(roots, "_key", "left").withColumn("_root", F.coalesce("_root", "_key"))
     first = ids.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("m")).select(F.col("m._key").alias("_key"), F.coalesce(F.col("m.doc_id").cast("string"), F.lit("null")).alias("_id"))
     kept = marked.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).join(first, ["_key", "_id"], "left_semi")
-    return kept.dropDuplicates(["_key", "_id"]).select(*docs.columns)
+    return restore(kept.dropDuplicates(["_key", "_id"]))
 
 
 def group_fingerprints(marked: DataFrame, distance: int = 3, cap: int = 4096) -> DataFrame:
