@@ -92,6 +92,28 @@ ORACLE: dict[str, str] = {
                CASE WHEN page_id < largest THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN page_id < largest THEN largest END AS refers_to
         FROM p LEFT JOIN l USING (html)""",
+    "op6_quality_rules": r"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce('s' || lang, 'n') AS l, coalesce('s' || source, 'n') AS s FROM documents),
+        w AS (SELECT rid, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+        g AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+        r AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM g) WHERE n > 1) GROUP BY rid),
+        x AS (SELECT rid, list_filter(string_split(text, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS x FROM d),
+        c AS (SELECT rid, doc_id, l, s, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+                     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, CAST(len(x) - len(list_distinct(x)) AS BIGINT) AS n_dup_lines,
+                     CAST(len(x) AS BIGINT) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals
+              FROM d JOIN w USING (rid) JOIN x USING (rid) LEFT JOIN r USING (rid)),
+        m AS (SELECT rid, l, s, unnest([
+                {'m': 1, 'v': 100 * word_chars // n_words}, {'m': 2, 'v': 1000 * n_symbols // n_words}, {'m': 3, 'v': 1000 * n_dup_lines // greatest(n_lines, 1)},
+                {'m': 4, 'v': 1000 * n_repeat_words // n_words}, {'m': 5, 'v': 1000 * n_capitals // greatest(word_chars, 1)}], recursive := true) FROM c WHERE n_words > 0),
+        b AS (SELECT rid, l, s, m, v, (v >> k) << k AS b FROM (SELECT *, CAST(greatest(0, length(bin(v)) - 7) AS BIGINT) AS k FROM m)),
+        qs AS (SELECT l, s, m, count(*) AS n, list_sort(list(b)) AS b FROM b GROUP BY ALL), ql AS (SELECT l, m, count(*) AS n, list_sort(list(b)) AS b FROM b GROUP BY ALL), qa AS (SELECT m, count(*) AS n, list_sort(list(b)) AS b FROM b GROUP BY ALL),
+        q AS (SELECT qs.l, qs.s, m, CASE WHEN qs.n >= 40 THEN qs.b WHEN ql.n >= 40 THEN ql.b ELSE qa.b END AS b FROM qs JOIN ql USING (l, m) JOIN qa USING (m)),
+        f AS (SELECT l, s, m, q75 + greatest(6 * (q75 - q25), least) AS high, CASE WHEN m = 1 THEN q25 - greatest(6 * (q75 - q25), least) END AS low
+              FROM (SELECT l, s, m, b[CAST(ceil(len(b) / 4) AS BIGINT)] AS q25, b[CAST(ceil(3 * len(b) / 4) AS BIGINT)] AS q75, [300, 100, 500, 500, 400][m] AS least FROM q)),
+        v AS (SELECT rid, bool_or(v > high OR coalesce(v < low, false)) AS failed FROM b JOIN f USING (l, s, m) GROUP BY rid)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(failed, false) AS kept
+        FROM c LEFT JOIN v USING (rid)""",
     "op10_url_filters": """
         WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
         h AS (SELECT page_id, translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
