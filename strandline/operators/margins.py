@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,17 +43,23 @@ def correlation_matrix(entries: DataFrame, group: str) -> DataFrame:
     return a.join(b, "tape").where("a < b").groupBy("a", "b").agg(F.corr("pa", "pb").alias("corr"))
 
 
-def average_rank(value: str, tie_scope: Column | None = None) -> Column:
-    """Ranks with ties averaged."""
-    return F.rank().over(W.orderBy(value)) + (F.count("*").over(W.partitionBy(value)) - 1) / 2.0
+def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Add ranks with ties averaged: rows are counted by value, and only distinct values are put in order."""
+    per = df.groupBy(value).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(W.orderBy(value))
+    return df.join(per.select(value, (upto - (F.col("_n") - 1) / 2.0).alias(name)), value)
 
 
 def spearman(df: DataFrame, x: str, y: str, tie: str | None = None) -> DataFrame:
-    """rho and its 95 % interval by Fisher's z; ties averaged, or broken by ``tie`` if given."""
+    """rho and its 95 % interval by Fisher's z; ties averaged, or broken by ``tie`` if given.
+
+    With a tie-breaker every row needs a place of its own, so one task orders all rows:
+    that form is for tables of groups, not of entries.
+    """
     if tie:
         ranks = df.select(F.row_number().over(W.orderBy(x, tie)).alias("rx"), F.row_number().over(W.orderBy(y, tie)).alias("ry"))
     else:
-        ranks = df.select(average_rank(x).alias("rx"), average_rank(y).alias("ry"))
+        ranks = average_ranks(average_ranks(df.select(x, y), x, "rx"), y, "ry")
     out = ranks.agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
     half = 1.959963984540054 / F.sqrt(F.col("n") - 3)
     return out.withColumns({"low": F.tanh(F.atanh("rho") - half), "high": F.tanh(F.atanh("rho") + half)})

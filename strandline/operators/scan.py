@@ -95,7 +95,7 @@ def permutation_accumulators(observed: DataFrame, null: DataFrame, keys: list[st
 def exact_moments(combos: DataFrame, entries: DataFrame) -> DataFrame:
     """Add n_pop, k_pop, e_pop, z_pop, p_normal, p_hyper and p_used: a clade's count as a draw without replacement from its clone."""
     pop = entries.groupBy("clone", "tape").agg(F.count("*").alias("n_pop"), F.sum("missing").alias("k_pop"))
-    out = combos.join(F.broadcast(pop), ["clone", "tape"])
+    out = combos.join(pop, ["clone", "tape"])
     pi = F.col("k_pop") / F.col("n_pop")
     var = F.col("m") * (F.col("n_pop") - F.col("m")) / (F.col("n_pop") - 1) * pi * (1 - pi)
     out = out.withColumns({"e_pop": F.col("m") * pi, "v_pop": var})
