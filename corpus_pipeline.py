@@ -1,7 +1,8 @@
 """A corpus pipeline: five stages over ``documents``, each written and read again.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All
-but the last return the columns of ``documents``.
+but the last return the columns of ``documents``. As its input has been written, a stage begins by
+removing what earlier stages left in the shared folder, other than that input.
 """
 
 from __future__ import annotations
@@ -10,32 +11,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import kneser_ney, mixing, packing, quality_rules, simhash
-from strandline.llm.common import materialise, table
+from strandline.llm.common import materialise, remove_all_but, table
 from strandline.llm.queries import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the quality rules reject."""
+    remove_all_but(spark, docs)
     return quality_rules.keep_good(docs)
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose perplexity is far beyond that of trusted text of their language."""
+    remove_all_but(spark, docs)
     return kneser_ney.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near copies."""
+    remove_all_but(spark, docs)
     return simhash.keep_first(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or drop documents so that sources come near their target weights."""
+    remove_all_but(spark, docs)
     return mixing.resample(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the tokens of all documents into windows."""
+    remove_all_but(spark, docs)
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
