@@ -1,56 +1,74 @@
 """A corpus pipeline: five stages over ``documents``, each written and read again.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All
-but the last return the columns of ``documents``. As its input has been written, a stage begins by
-removing what earlier stages left in the shared folder, other than that input.
+but the last return the columns of ``documents``. As its input has been written, a stage but the
+first begins by removing what the stages before it left in the shared folder, other than its input.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import kneser_ney, mixing, packing, quality_rules, simhash
-from strandline.llm.common import materialise, remove_all_but, table
+from strandline.llm.common import MADE, materialise, remove, table
 from strandline.llm.queries import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the quality rules reject."""
-    remove_all_but(spark, docs)
     return quality_rules.keep_good(docs)
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose perplexity is far beyond that of trusted text of their language."""
-    remove_all_but(spark, docs)
     return kneser_ney.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near copies."""
-    remove_all_but(spark, docs)
     return simhash.keep_first(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or drop documents so that sources come near their target weights."""
-    remove_all_but(spark, docs)
     return mixing.resample(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the tokens of all documents into windows."""
-    remove_all_but(spark, docs)
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
+#: What the stages of this run have left in the shared folder.
+_LEFT: list[str] = []
+
+
+def tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame], first: bool = False) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``stage`` with the tables of the stages before it removed."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if first:
+            _LEFT.clear()
+        remove(spark, _LEFT, docs)
+        before = len(MADE)
+        out = stage(spark, docs, sf_dir)
+        _LEFT.extend(MADE[before:])
+        return out
+
+    return run
+
+
 STAGES = [
-    ("quality_rules", quality),
-    ("quality_classifier", classifier),
-    ("near_dedup", near_dedup),
-    ("mixing", mix),
-    ("packing", pack),
+    ("quality_rules", tidy(quality, first=True)),
+    ("quality_classifier", tidy(classifier)),
+    ("near_dedup", tidy(near_dedup)),
+    ("mixing", tidy(mix)),
+    ("packing", tidy(pack)),
 ]
 
 #: Fingerprints, permutations and token ids aren't SQL; the tests hold the stages against brute force.
@@ -62,4 +80,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        _LEFT.append(MADE[-1])
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -34,27 +34,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Paths that this process made in the shared folder and has not removed.
-_MADE: list[str] = []
+#: Paths that this process made in the shared folder, in order.
+MADE: list[str] = []
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _MADE[-1]
+    MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
 
 
-def remove_all_but(spark: SparkSession, needed: DataFrame) -> None:
-    """Remove what this process made in the shared folder and ``needed`` doesn't read.
-
-    For callers that have written the results they want elsewhere.
-    """
+def remove(spark: SparkSession, paths: list[str], needed: DataFrame) -> None:
+    """Remove paths that ``needed`` doesn't read, and take them off the list."""
     files = needed.inputFiles()
-    for path in list(_MADE):
+    for path in list(paths):
         if not any(path.rpartition("/")[2] in f for f in files):
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-            _MADE.remove(path)
+            paths.remove(path)
 
 
 def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
