@@ -83,8 +83,9 @@ def permuted(index: Column, n: Column, key: Column, seed: int, rounds: int = 4)
     a = F.greatest(F.ceil(F.sqrt(n)), F.lit(1)).cast("long")
     b = F.greatest(F.ceil(n / a), F.lit(1)).cast("long")
     once = lambda x: F.transform(F.array(x), lambda y: turn(y, a, b))[0]
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(64)), index.cast("long"), lambda x, i: F.when((i > 1) & (x < n), x).otherwise(once(x)))
-    return F.when(n <= 1, F.lit(0).cast("long")).otherwise(walk)
+    walk = lambda x: F.aggregate(F.sequence(F.lit(2), F.lit(64)), x, lambda y, _: F.when(y < n, y).otherwise(once(y)))
+    first = F.transform(F.array(turn(index.cast("long"), a, b)), lambda x: F.when(x < n, x).otherwise(walk(x)))[0]  # nearly all need one step
+    return F.when(n <= 1, F.lit(0).cast("long")).otherwise(first)
 
 
 def plan_slots(quotas: DataFrame, slots: int, seed: int, shard_slots: int, grid: int = 4096) -> DataFrame:
@@ -142,7 +143,10 @@ def mix_sized(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     goals = goals.withColumn("quota", (F.col("_passes") * F.col("_blocks") + F.ceil(F.col("_rest") / b)).cast("long"))
     n_slots = goals.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
 
-    slots = plan_slots(goals, n_slots, seed, shard_slots).select(F.col("_shard").alias("shard"), "_source", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_n") - 1)).alias("slot"))
+    drawn = plan_slots(goals, n_slots, seed, shard_slots)
+    # Few rows, each of which stands for many slots: deal them out before they are generated.
+    drawn = drawn.repartition(int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_shard", "_source", "_first")
+    slots = drawn.select(F.col("_shard").alias("shard"), "_source", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_n") - 1)).alias("slot"))
     slots = slots.join(goals.select("_source", "source_size", "_blocks", "_passes", "_rest", "quota"), "_source")
     at, full = F.pmod("slot", "_blocks"), F.floor(F.col("source_size") / b)
     block = F.when(at < full, permuted(at, full, F.concat_ws("|", "_source", F.floor(F.col("slot") / F.col("_blocks"))), seed)).otherwise(at)
