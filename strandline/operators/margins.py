@@ -124,3 +124,38 @@ def complete_loss(entries: DataFrame) -> DataFrame:
     p = entries.groupBy("tape").agg(F.avg("missing").alias("p"))
     out = entries.join(F.broadcast(p), "tape").groupBy("clone", "tape").agg(F.count("*").alias("m"), F.min("missing").alias("all_missing"), (1 - F.max("missing")).alias("all_present"), F.max("p").alias("p"))
     return out.withColumns({"e_missing": F.pow("p", F.col("m")), "e_present": F.pow(1 - F.col("p"), F.col("m"))})
+
+
+def feasibility(entries: DataFrame, least: int = 3) -> DataFrame:
+    """clone, m, n_tapes, informative: tapes that between ``least`` and m - ``least`` cells of the clone lack."""
+    per = entries.groupBy("clone", "tape").agg(F.count("*").alias("m"), F.sum("missing").alias("k"))
+    return per.groupBy("clone").agg(F.max("m").alias("m"), F.count("*").alias("n_tapes"), F.count_if((F.col("k") >= least) & (F.col("k") <= F.col("m") - least)).alias("informative"))
+
+
+def lineage_excess(prefixes: DataFrame, entries: DataFrame) -> DataFrame:
+    """d, pairs, observed, null, excess: mean product of two cells' missingness in the same clade, over all tapes but its own.
+
+    entries has p; values are missing - p. The null is what shuffling cells within clones
+    would give on average: each clade's pairs at the mean of all pairs of its clone.
+    """
+    x = entries.select("cell", "clone", "tape", (F.col("missing") - F.col("p")).alias("x"))
+    whole = pair_moments(x, ["clone", "tape"]).where("m > 1").select("clone", "tape", (F.col("pair_sum") / (F.col("m") * (F.col("m") - 1))).alias("_mean"))
+    clades = prefixes.select("clone", F.col("tape").alias("anchor"), "d", "prefix", "cell")
+    joined = clades.join(x.drop("clone"), "cell").where("tape <> anchor")
+    own = pair_moments(joined, ["clone", "anchor", "d", "prefix", "tape"]).where("m > 1").withColumn("_pairs", F.col("m") * (F.col("m") - 1))
+    out = own.join(whole, ["clone", "tape"]).groupBy("d").agg(F.sum("_pairs").alias("pairs"), (F.sum("pair_sum") / F.sum("_pairs")).alias("observed"), (F.sum(F.col("_pairs") * F.col("_mean")) / F.sum("_pairs")).alias("null"))
+    return out.withColumn("excess", F.col("observed") - F.col("null"))
+
+
+def group_decomposition(values: DataFrame, group: str, x: str = "x") -> DataFrame:
+    """pooled, without_largest, equal_weight, share_positive: the within-group correlation taken apart by group."""
+    centred = values.withColumn("_x", F.col(x) - F.avg(x).over(W.partitionBy()))
+    var = centred.agg(F.avg(F.col("_x") * F.col("_x")).alias("_v"))
+    own = pair_moments(centred, [group], "_x").where("m > 1").withColumn("_pairs", F.col("m") * (F.col("m") - 1))
+    own = own.withColumn("_last", F.row_number().over(W.orderBy(F.desc("m"), group)) == 1)
+    out = own.agg((F.sum("pair_sum") / F.sum("_pairs")).alias("a"), (F.sum(F.when(~F.col("_last"), F.col("pair_sum"))) / F.sum(F.when(~F.col("_last"), F.col("_pairs")))).alias("b"), F.avg(F.col("pair_sum") / F.col("_pairs")).alias("c"), F.avg((F.col("pair_sum") > 0).cast("double")).alias("share_positive"))
+    return out.join(F.broadcast(var)).select((F.col("a") / F.col("_v")).alias("pooled"), (F.col("b") / F.col("_v")).alias("without_largest"), (F.col("c") / F.col("_v")).alias("equal_weight"), "share_positive")
+
+
+def rate_histogram(margin: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
+    return margin.groupBy(F.width_bucket(value, F.lit(low), F.lit(high), F.lit(bins)).alias("bin")).agg(F.count("*").alias("n"))

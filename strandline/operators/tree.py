@@ -122,3 +122,16 @@ def newick(tree: DataFrame) -> DataFrame:
         return pd.DataFrame({"tree": [rows["tree"].iloc[0]], "text": [text[root] + ";"]})
 
     return tree.select("tree", "node", "parent", "t").groupBy("tree").applyInPandas(run, "tree long, text string")
+
+
+def epoch_overlap(tree: DataFrame, epochs: DataFrame) -> DataFrame:
+    """tree, node, epoch, span: how much of each branch lies in each epoch (epoch, low, high). Epochs are a few rows of configuration."""
+    up = tree.join(tree.select("tree", F.col("node").alias("parent"), F.col("t").alias("t0")), ["tree", "parent"])
+    met = up.join(F.broadcast(epochs), (F.col("t0") < F.col("high")) & (F.col("t") > F.col("low")))
+    return met.select("tree", "node", "epoch", (F.least("t", "high") - F.greatest("t0", "low")).alias("span"))
+
+
+def root_split(tree: DataFrame) -> DataFrame:
+    """tree, child, n_tips of the nodes right below the root."""
+    root = tree.where("parent IS NULL").select("tree", F.col("node").alias("parent"))
+    return tree.join(root, ["tree", "parent"]).select("tree", "node").join(clade_sizes(tree), ["tree", "node"]).select("tree", F.col("node").alias("child"), "n_tips")

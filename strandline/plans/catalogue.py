@@ -766,3 +766,116 @@ def q_event_reads_sites(v: Views) -> DataFrame:
 
 ORACLE["q_event_reads_sites"] = """WITH r AS (SELECT event_type AS sym, row_number() OVER (PARTITION BY user_id, day(ts) % 8 ORDER BY ts, event_id) AS site FROM events)
   SELECT site, sym, count(*) AS n FROM r WHERE site <= 6 GROUP BY ALL"""
+
+
+# More margins, trees and summaries.
+
+
+@query(CHARS + """ SELECT CAST(clone AS BIGINT) AS clone, CAST(tape AS BIGINT) AS tape, label, count(*) AS n FROM (
+  SELECT c.clone, k.tape, CASE WHEN cc.id IS NOT NULL THEN CAST(cc.id AS VARCHAR) WHEN t.term IS NULL THEN 'ABSENT' ELSE 'UNDET' END AS label
+  FROM cells c CROSS JOIN ktapes k LEFT JOIN tapes t ON t.cell = c.cell AND t.tape = k.tape LEFT JOIN cc ON cc.cell = c.cell AND cc.clone = c.clone AND cc.tape = k.tape) GROUP BY clone, tape, label""")
+def q_label_counts(v: Views) -> DataFrame:
+    return trie.labels(v.tapes, v.characters(), v.cells, 2).groupBy("clone", "tape", "label").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT CAST(clone AS BIGINT) AS clone, CAST(max(m) AS BIGINT) AS m, count(*) AS n_tapes, count(*) FILTER (k >= 3 AND k <= m - 3) AS informative
+  FROM (SELECT clone, tape, count(*) AS m, sum(missing) AS k FROM entries GROUP BY ALL) GROUP BY clone""")
+def q_feasibility(v: Views) -> DataFrame:
+    return margins.feasibility(v.entries)
+
+
+@query(COMBOS + """, xx AS (SELECT cell, clone, tape, missing - p AS x FROM pe), wh AS (SELECT clone, tape, (sum(x) * sum(x) - sum(x * x)) / (count(*) * (count(*) - 1)) AS mean FROM xx GROUP BY ALL HAVING count(*) > 1),
+  ow AS (SELECT m.clone, anchor, d, prefix, x.tape, count(*) * (count(*) - 1) AS pairs, sum(x) * sum(x) - sum(x * x) AS s FROM mem m JOIN xx x ON x.cell = m.cell AND x.tape <> anchor GROUP BY ALL HAVING count(*) > 1)
+  SELECT CAST(d AS BIGINT) AS d, CAST(sum(pairs) AS BIGINT) AS pairs, round(sum(s) / sum(pairs), 6) AS observed, round(sum(pairs * mean) / sum(pairs), 6) AS null, round(sum(s) / sum(pairs) - sum(pairs * mean) / sum(pairs), 6) AS excess FROM ow JOIN wh USING (clone, tape) GROUP BY d""".replace("AS null", 'AS "null"'))
+def q_lineage_depth(v: Views) -> DataFrame:
+    return margins.lineage_excess(v.prefixes, scan.with_rates(v.entries))
+
+
+@query(""", x AS (SELECT clone, r - avg(r) OVER () AS x FROM rc), g AS (SELECT clone, count(*) AS m, sum(x) * sum(x) - sum(x * x) AS s, count(*) * (count(*) - 1) AS n FROM x GROUP BY clone HAVING count(*) > 1),
+  h AS (SELECT *, row_number() OVER (ORDER BY m DESC, clone) = 1 AS big FROM g), v AS (SELECT avg(x * x) AS v FROM x)
+  SELECT round(sum(s) / sum(n) / any_value(v), 6) AS pooled, round(sum(s) FILTER (NOT big) / sum(n) FILTER (NOT big) / any_value(v), 6) AS without_largest, round(avg(s / n) / any_value(v), 6) AS equal_weight, round(avg(CASE WHEN s > 0 THEN 1 ELSE 0 END), 6) AS share_positive FROM h CROSS JOIN v""")
+def q_clone_decomposition(v: Views) -> DataFrame:
+    return margins.group_decomposition(margins.cell_margin(v.entries).withColumn("x", F.col("r").cast("double")), "clone")
+
+
+@query("SELECT CAST(CASE WHEN r < 0 THEN 0 WHEN r >= 20 THEN 11 ELSE floor(r / 2) + 1 END AS BIGINT) AS bin, count(*) AS n FROM rc GROUP BY ALL")
+def q_rate_histogram(v: Views) -> DataFrame:
+    return margins.rate_histogram(margins.cell_margin(v.entries), "r", 0.0, 20.0, 10)
+
+
+@query(COMBOS + """, cs AS (SELECT clone, count(*) AS size FROM cells GROUP BY clone)
+  SELECT CASE WHEN size < 5 THEN 0 WHEN size < 50 THEN 1 ELSE 2 END AS band, count(*) AS tests, count(*) FILTER (z > 2) AS hits FROM st JOIN cs USING (clone) GROUP BY band""")
+def q_events_by_band(v: Views) -> DataFrame:
+    size = v.cells.groupBy("clone").agg(F.count("*").alias("size"))
+    band = reads.band(F.col("size"), [0, 5, 50, 1 << 30]).alias("band")
+    return _stats(v).join(size, "clone").groupBy(band).agg(F.count("*").alias("tests"), F.count_if(F.col("z") > 2).alias("hits"))
+
+
+@query(PAIRS + """, f AS (SELECT i, e.tape, CAST(floor(least(sum(missing) / count(*), 0.99) * 4) AS BIGINT) AS fband FROM near JOIN entries e ON e.cell = j GROUP BY ALL), q AS (SELECT quantile_cont(p, 0.25) AS a, quantile_cont(p, 0.5) AS b, quantile_cont(p, 0.75) AS c FROM rt)
+  SELECT CASE WHEN p < a THEN 0 WHEN p < b THEN 1 WHEN p < c THEN 2 ELSE 3 END AS pband, fband, count(*) AS n, round(avg(missing), 6) AS rate FROM entries e JOIN rt USING (tape) JOIN f ON f.i = e.cell AND f.tape = e.tape CROSS JOIN q GROUP BY ALL""")
+def q_strata_table(v: Views) -> DataFrame:
+    rt = margins.tape_margin(v.entries).select("tape", "p")
+    edges = rt.agg(F.percentile("p", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    near = relate.neighbour_missing(relate.nearest(relate.pairs(v.prefixes, v.tapes), 5), v.entries).select(F.col("i").alias("cell"), "tape", F.floor(F.least(F.col("k") / F.col("n"), F.lit(0.99)) * 4).alias("fband"))
+    rows = v.entries.join(rt, "tape").join(near, ["cell", "tape"]).join(F.broadcast(edges))
+    pband = F.when(F.col("p") < F.col("q")[0], 0).when(F.col("p") < F.col("q")[1], 1).when(F.col("p") < F.col("q")[2], 2).otherwise(3)
+    return rows.groupBy(pband.alias("pband"), "fband").agg(F.count("*").alias("n"), F.avg("missing").alias("rate"))
+
+
+@query(""", t AS (SELECT sample, tape, first(sym ORDER BY n DESC, sym DESC) AS sym FROM (SELECT sample, tape, sym, count(*) AS n FROM reads GROUP BY ALL) GROUP BY ALL)
+  SELECT count(*) AS shared, count(*) FILTER (a.sym = b.sym) AS agree FROM t a JOIN t b ON a.tape = b.tape WHERE a.sample = 'BUILDING' AND b.sample = 'MACHINERY'""")
+def q_map_concordance(v: Views) -> DataFrame:
+    n = v.reads.groupBy("sample", "tape", "sym").agg(F.count("*").alias("n"))
+    top = n.groupBy("sample", "tape").agg(F.max_by("sym", F.struct("n", "sym")).alias("sym"))
+    return writes.agreement(top.where("sample = 'BUILDING'"), top.where("sample = 'MACHINERY'"), "tape", "sym")
+
+
+@query(KEYS + " SELECT CAST(0 AS BIGINT) AS tree, CAST(anc AS BIGINT) AS child, count(*) AS n_tips FROM up JOIN kt USING (node) WHERE tip AND anc IN (SELECT node FROM kt WHERE parent = 0) GROUP BY anc")
+def q_root_split(v: Views) -> DataFrame:
+    return tree.root_split(key_tree(v))
+
+
+@query(KEYS + """ SELECT CAST(0 AS BIGINT) AS tree, epoch, round(sum(least(t, high) - greatest(t0, low)), 6) AS span FROM (SELECT c.node, c.t, p.t AS t0 FROM kt c JOIN kt p ON p.node = c.parent)
+  JOIN (VALUES (0, 0.0, 0.7), (1, 0.7, 1.9), (2, 1.9, 9.0)) e(epoch, low, high) ON t0 < high AND t > low GROUP BY epoch""".replace("epoch, round", "CAST(epoch AS BIGINT) AS epoch, round"))
+def q_epoch_overlap(v: Views) -> DataFrame:
+    epochs = v.spark.createDataFrame([(0, 0.0, 0.7), (1, 0.7, 1.9), (2, 1.9, 9.0)], "epoch int, low double, high double")
+    return tree.epoch_overlap(key_tree(v), epochs).groupBy("tree", "epoch").agg(F.sum("span").alias("span"))
+
+
+@query("SELECT i * 0.1 AS t, round(0.35 / (0.5 + (0.7 - 0.5) * exp(-0.7 * i * 0.1)), 6) AS survival, round(exp(0.7 * i * 0.1), 6) AS size FROM range(0, 21) r(i)".replace("i * 0.1 AS t", "round(i * 0.1, 6) AS t"))
+def q_survival_curve(v: Views) -> DataFrame:
+    t = F.col("id") * 0.1
+    return v.spark.range(21).select(t.alias("t"), simulate.survival(1.0, 0.3, 0.5, t).alias("survival"), simulate.expected_size(1.0, 0.3, t).alias("size"))
+
+
+@query(""", h AS (SELECT user_id % 4 AS chain, value, ntile(2) OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS h FROM events), p AS (SELECT chain, h, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM h GROUP BY ALL)
+  SELECT round(sqrt(((avg(n) - 1) / avg(n) * avg(v) + var_samp(m)) / avg(v)), 6) AS rhat FROM p""")
+def q_split_rhat(v: Views) -> DataFrame:
+    draws = fixture.table(v.spark, v.dir, "events").select((F.col("user_id") % 4).alias("chain"), "event_id", "value")
+    return likelihood.split_rhat(draws, "chain", "event_id", "value")
+
+
+@query(""", g AS (SELECT i / 50.0 AS x, exp(-pow(i / 50.0 - 0.304, 2) * 40) AS y FROM range(0, 51) r(i)), p AS (SELECT x, y, y / sum(y) OVER () AS p FROM g), c AS (SELECT x, y, p, sum(p) OVER (ORDER BY x) AS c, sum(p) OVER (ORDER BY p DESC, x) AS h FROM p)
+  SELECT round(arg_max(x, y), 6) AS mode, round(min(x) FILTER (c >= 0.5), 6) AS median, round(min(x) FILTER (c >= 0.025), 6) AS low, round(min(x) FILTER (c >= 0.975), 6) AS high, round(min(x) FILTER (h - p < 0.95), 6) AS hpd_low, round(max(x) FILTER (h - p < 0.95), 6) AS hpd_high FROM c""")
+def q_posterior_grid(v: Views) -> DataFrame:
+    x = F.col("id") / 50.0
+    return likelihood.grid_posterior(v.spark.range(51).select(x.alias("x"), F.exp(-F.pow(x - 0.304, 2) * 40).alias("y")), "x", "y")
+
+
+@query("""SELECT a.cell, CAST(a.tape AS BIGINT) AS tape, CAST(coalesce(max(x.d), 0) AS BIGINT) AS shared FROM tapes a JOIN tapes b ON b.cell = a.cell + 1 AND b.tape = a.tape
+  LEFT JOIN prefixes x ON x.cell = a.cell AND x.tape = a.tape AND EXISTS (SELECT 1 FROM prefixes y WHERE y.cell = b.cell AND y.tape = b.tape AND y.d = x.d AND y.prefix = x.prefix) GROUP BY a.cell, a.tape""")
+def q_lcp_match(v: Views) -> DataFrame:
+    from strandline.functions.special import common_prefix
+
+    other = v.tapes.select((F.col("cell") - 1).alias("cell"), "tape", F.col("read").alias("other"))
+    return v.tapes.join(other, ["cell", "tape"]).select("cell", "tape", common_prefix(F.col("read"), F.col("other")).alias("shared"))
+
+
+@query("SELECT CAST(clone AS BIGINT) AS clone, n, (row_number() OVER (ORDER BY n DESC, clone) - 1) % 4 AS task FROM (SELECT clone, count(*) AS n FROM cells GROUP BY clone)")
+def q_job_assignment(v: Views) -> DataFrame:
+    return tables.assign_jobs(v.cells.groupBy("clone").agg(F.count("*").alias("n")), "n", 4, "clone")
+
+
+@query("SELECT sample, count(*) AS n_rows, round(avg(r), 6) AS r_mean, round(stddev_samp(r), 6) AS r_sd FROM rc GROUP BY sample")
+def q_part_manifest(v: Views) -> DataFrame:
+    return tables.manifest(margins.cell_margin(v.entries), ["sample"], ["r"])
