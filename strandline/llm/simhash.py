@@ -385,8 +385,10 @@ def keep_first(docs: DataFrame, size: int = 5, least: float = 0.8, distance: int
                 keys.append(hashlib.md5(b" ".join(words)).hexdigest())
             yield batch.append_column("_fp", pa.array(np.array(fps, U).view(np.int64))).append_column("_key", pa.array(keys, pa.string()))
 
-    marked = materialise(docs.mapInArrow(mark, schema), "marked")
-    texts = materialise(marked.groupBy("_key", "_fp").agg(F.count("*").alias("_n")), "texts")
+    marked = materialise(docs.mapInArrow(mark, schema).withColumn("_rid", F.monotonically_increasing_id()), "marked")
+    # From here on a text stands for all its copies: a partial sum meets them before any shuffle.
+    least_id = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rid"))
+    texts = materialise(marked.groupBy("_key", "_fp").agg(least_id.alias("_m")).select("_key", "_fp", "_m.*"), "texts")
     of_fp = texts.groupBy("_fp").agg(F.min("_key").alias("_first"))
     found = links(of_fp.select("_fp"), distance, cap, small)
     between = found.join(of_fp.select(F.col("_fp").alias("a"), F.col("_first").alias("x")), "a").join(of_fp.select(F.col("_fp").alias("b"), F.col("_first").alias("y")), "b").select("x", "y")
@@ -398,16 +400,15 @@ def keep_first(docs: DataFrame, size: int = 5, least: float = 0.8, distance: int
             ok = [similarity(a.as_py() or "", b.as_py() or "", size) >= least for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    asked = pairs.select(F.explode(F.array("x", "y")).alias("_key")).distinct()
-    one = materialise(marked.select("_key", "text").join(asked, "_key", "left_semi").dropDuplicates(["_key"]), "candidates")
+    asked = texts.join(pairs.select(F.explode(F.array("x", "y")).alias("_key")).distinct(), "_key", "left_semi")
+    one = materialise(marked.select("_rid", "text").join(asked.select("_key", "_rid"), "_rid").select("_key", "text"), "candidates")
     both = pairs.join(one.withColumnRenamed("_key", "x").withColumnRenamed("text", "s"), "x").join(one.withColumnRenamed("_key", "y").withColumnRenamed("text", "t"), "y")
     near = both.select(F.col("x").alias("a"), F.col("y").alias("b"), "s", "t").mapInArrow(verify, "a string, b string")
     roots = components(near).select(F.col("node").alias("_key"), F.col("root").alias("_root"))
 
-    ids = marked.select("_key", "doc_id").distinct().join(roots, "_key", "left").withColumn("_root", F.coalesce("_root", "_key"))
-    first = ids.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("m")).select(F.col("m._key").alias("_key"), F.coalesce(F.col("m.doc_id").cast("string"), F.lit("null")).alias("_id"))
-    kept = marked.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).join(first, ["_key", "_id"], "left_semi")
-    return restore(kept.dropDuplicates(["_key", "_id"]))
+    rooted = texts.join(roots, "_key", "left").withColumn("_root", F.coalesce("_root", "_key"))
+    first = rooted.groupBy("_root").agg(F.min(F.struct("none", "doc_id", "_key", "_rid")).alias("m")).select("m._rid")
+    return restore(marked.join(first, "_rid", "left_semi"))
 
 
 def group_fingerprints(marked: DataFrame, distance: int = 3, cap: int = 4096) -> DataFrame:

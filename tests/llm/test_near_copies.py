@@ -165,3 +165,10 @@ def test_keep_first(spark):
     got = out.collect()
     assert {r.doc_id for r in got if r.doc_id not in (None, 7)} == want and len(got) == len(want) + 2
     assert sum(r.doc_id == 7 for r in got) == 1
+
+
+def test_keep_first_of_many_exact_copies(spark):
+    text = "one two three four five six seven eight"
+    rows = [(500 - i, text.upper() if i % 2 else text.replace(" ", "\n"), "x", "y", i) for i in range(300)] + [(1, "something else " * 9, "x", "y", -1)]
+    got = simhash.keep_first(spark.createDataFrame(rows, SCHEMA).repartition(7)).collect()
+    assert sorted(tuple(r) for r in got) == sorted([rows[-1], rows[299]])
