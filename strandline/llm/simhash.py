@@ -24,6 +24,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -349,65 +350,137 @@ def links(distinct: DataFrame, distance: int = 3, cap: int = 4096, small: int =
         rows = materialise(_cut_again(crowded.where(F.col("_free") > 5 * parts).drop("_free"), parts), "cut-again")
 
 
-def word_set_fingerprint(words: list[bytes]) -> int:
-    """The fingerprint of a text's distinct words; it changes little if a few words do."""
-    from xxhash import xxh64_intdigest as digest
-
-    own = set(words)
-    return fingerprint(np.fromiter((digest(w, 42) for w in own), U, len(own)))
-
-
 def similarity(a: str, b: str, size: int) -> float:
     """Jaccard similarity of the sets of shingles of ``size`` words."""
     x, y = (set(shingle_hashes(t.encode(), size).tolist()) for t in (a, b))
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def keep_first(docs: DataFrame, size: int = 5, least: float = 0.8, distance: int = 7, small: int = 192, cap: int = 4096) -> DataFrame:
+#: The share of texts, one in so many, whose shingles are counted to order all shingles, and how many of the most common are told apart.
+SAMPLED, COMMON = 16, 1 << 18
+
+
+def common_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (sorted) that a sample of ``texts`` (_rid, text) repeats most, and how often. They steer the cost, never the result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes((t.as_py() or "").encode(), size)).view(np.int64))], ["s"])
+
+    sample = texts.where(F.pmod(F.xxhash64("_rid"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "s long")
+    top = sample.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "s").limit(COMMON).toArrow()
+    own = top.column("s").to_numpy().astype(np.int64).view(U)
+    order = np.argsort(own)
+    return own[order], top.column("n").to_numpy()[order]
+
+
+def prefixes(texts: DataFrame, size: int, least: float) -> DataFrame:
+    """_rid, n, s, p: the shingles of each text (_rid, text), of n, up to position p in one order of all shingles, rare ones first.
+
+    Two texts with a similarity of ``least`` or more share at least that part of the
+    shingles of either, so they share one of the first n - ceil(least * n) + 1 of each.
+    """
+    common, counts = common_shingles(texts, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rid, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.unique(shingle_hashes((t.as_py() or "").encode(), size))
+                if not len(own):
+                    continue
+                weight = np.zeros(len(own), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                    weight = np.where(common[at] == own, counts[at], 0)
+                first = own[np.lexsort((own, weight))][: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1]
+                full = lambda v, kind, k=len(first): pa.array(np.full(k, v, kind))
+                yield pa.RecordBatch.from_arrays([full(rid, np.int64), full(len(own), np.int32), pa.array(first.view(np.int64)), pa.array(np.arange(len(first), dtype=np.int32))], ["_rid", "n", "s", "p"])
+
+    return texts.select("_rid", "text").mapInArrow(run, "_rid long, n int, s long, p int")
+
+
+def _meet(x: DataFrame, y: DataFrame, on: list[str], least: float) -> DataFrame:
+    """x, y: distinct pairs of rows that meet and whose counts and positions leave room for the similarity."""
+    side = lambda rows, k: rows.select(*on, F.col("_rid").alias(k), *(F.col(c).alias(f"{c}{k}") for c in ("n", "p", "root") if c in rows.columns))
+    both = side(x, "x").join(side(y, "y"), on).where("x < y" + (" AND rootx <> rooty" if "root" in x.columns else ""))
+    room = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))  # of the first shingle shared and those after it
+    return both.where(room * (1 + least) >= least * (F.col("nx") + F.col("ny")) - 1e-6).select("x", "y").distinct()
+
+
+def similar_pairs(texts: DataFrame, size: int = 5, least: float = 0.8, small: int = 192, block: int = 1024) -> DataFrame:
+    """a, b: pairs of ``texts`` (_rid, text) with a similarity of ``least`` or more that connect exactly what all such pairs would.
+
+    Candidates share a shingle of their prefixes (``prefixes``), so none is missed.
+    Shingles of up to ``small`` texts give all their candidate pairs; those that earlier
+    links connect needn't be verified. Of the others, each
+    text first meets the one most of whose prefix is shared; then all candidate pairs
+    that are still in different components meet in blocks of about ``block`` texts.
+    """
+    # One shuffle and no copy of the prefixes on disk: most shingles are of one text only.
+    shared = materialise(prefixes(texts, size, least).withColumn("k", F.count("*").over(W.partitionBy("s"))).where("k > 1"), "shared-shingles")
+    few, many = shared.where(F.col("k") <= small), shared.where(F.col("k") > small)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [similarity(a.as_py() or "", b.as_py() or "", size) >= least for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs, "pairs")
+        asked = pairs.select(F.explode(F.array("x", "y")).alias("_rid")).distinct()
+        one = materialise(texts.select("_rid", "text").join(asked, "_rid", "left_semi"), "candidates")
+        both = pairs.join(one.select(F.col("_rid").alias("x"), F.col("text").alias("s")), "x").join(one.select(F.col("_rid").alias("y"), F.col("text").alias("t")), "y")
+        return materialise(both.select(F.col("x").alias("a"), F.col("y").alias("b"), "s", "t").mapInArrow(verify, "a long, b long"), "similar")
+
+    def apart(rows: DataFrame, found: DataFrame, key: str, root: str) -> DataFrame:
+        """``rows`` with the component of the text ``key`` in ``found``."""
+        return rows.join(found.select(F.col("node").alias(key), F.col("root").alias(root)), key, "left").withColumn(root, F.coalesce(root, key))
+
+    # Each text meets its first candidate, then only pairs still in different components are left.
+    pairs = materialise(_meet(few, few, ["s"], least), "near-pairs")
+    firsts = pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
+    heat = shared.groupBy("_rid").agg((F.sum("k") / F.first("n")).alias("heat"))
+    leaders = many.join(heat, "_rid").groupBy("s").agg(F.max(F.struct("heat", "_rid")).alias("m")).select("s", F.col("m._rid").alias("y"))
+    led = many.join(leaders, "s").where("_rid <> y").select(F.least("_rid", "y").alias("x"), F.greatest("_rid", "y").alias("y"))
+    near = verified(firsts.unionByName(led).distinct())
+    found = components(near)
+    near = near.unionByName(verified(apart(apart(pairs, found, "x", "_rx"), found, "y", "_ry").where("_rx <> _ry").select("x", "y").join(firsts, ["x", "y"], "left_anti")))
+    if many.isEmpty():
+        return near
+    rooted = apart(many, components(near), "_rid", "root")
+    mixed = rooted.groupBy("s").agg(F.min("root").alias("_l"), F.max("root").alias("_m")).where("_l < _m").select("s")
+    rest = materialise(rooted.join(mixed, "s").withColumn("parts", F.ceil(F.col("k") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("_rid"), F.col("parts"))), "crowded-shingles")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))
+    left, right = rest.withColumn("u", F.col("part")).withColumn("v", every), rest.withColumn("v", F.col("part")).withColumn("u", every)
+    return near.unionByName(verified(_meet(left, right, ["s", "u", "v"], least)))
+
+
+def keep_first(docs: DataFrame, size: int = 5, least: float = 0.8, small: int = 192) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the row with the smallest doc_id.
 
-    Texts that are equal but for A-Z case and white space are one. Candidates are texts
-    whose fingerprints over distinct words differ in at most ``distance`` bits; a candidate
-    pair is a link if the texts' sets of ``size``-word shingles have a similarity of
-    ``least`` or more. Groups are what links connect. Buckets of up to ``small``
-    fingerprints give all candidate pairs, larger ones those of a spanning forest.
+    Texts that are equal but for A-Z case and white space are one. Two texts are linked if
+    their sets of ``size``-word shingles have a similarity of ``least`` or more; groups are
+    what links connect, and no link that connects is missed (``similar_pairs``).
     Null ids come last, and of repeated rows one stays.
     """
     docs, restore = protect(docs, ["doc_id", "text"])
-    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType()), T.StructField("_key", T.StringType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("_key", T.StringType())])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, keys = [], []
-            for t in batch.column(batch.schema.get_field_index("text")):
-                words = (t.as_py() or "").encode().lower().split()
-                fps.append(word_set_fingerprint(words))
-                keys.append(hashlib.md5(b" ".join(words)).hexdigest())
-            yield batch.append_column("_fp", pa.array(np.array(fps, U).view(np.int64))).append_column("_key", pa.array(keys, pa.string()))
+            keys = [hashlib.md5(b" ".join((t.as_py() or "").encode().lower().split())).hexdigest() for t in batch.column(batch.schema.get_field_index("text"))]
+            yield batch.append_column("_key", pa.array(keys, pa.string()))
 
     marked = materialise(docs.mapInArrow(mark, schema).withColumn("_rid", F.monotonically_increasing_id()), "marked")
     # From here on a text stands for all its copies: a partial sum meets them before any shuffle.
     least_id = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rid"))
-    texts = materialise(marked.groupBy("_key", "_fp").agg(least_id.alias("_m")).select("_key", "_fp", "_m.*"), "texts")
-    of_fp = texts.groupBy("_fp").agg(F.min("_key").alias("_first"))
-    found = links(of_fp.select("_fp"), distance, cap, small)
-    between = found.join(of_fp.select(F.col("_fp").alias("a"), F.col("_first").alias("x")), "a").join(of_fp.select(F.col("_fp").alias("b"), F.col("_first").alias("y")), "b").select("x", "y")
-    within = texts.join(of_fp, "_fp").where("_key <> _first").select(F.col("_key").alias("x"), F.col("_first").alias("y"))
-    pairs = materialise(between.unionByName(within), "pairs")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [similarity(a.as_py() or "", b.as_py() or "", size) >= least for a, b in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    asked = texts.join(pairs.select(F.explode(F.array("x", "y")).alias("_key")).distinct(), "_key", "left_semi")
-    one = materialise(marked.select("_rid", "text").join(asked.select("_key", "_rid"), "_rid").select("_key", "text"), "candidates")
-    both = pairs.join(one.withColumnRenamed("_key", "x").withColumnRenamed("text", "s"), "x").join(one.withColumnRenamed("_key", "y").withColumnRenamed("text", "t"), "y")
-    near = both.select(F.col("x").alias("a"), F.col("y").alias("b"), "s", "t").mapInArrow(verify, "a string, b string")
-    roots = components(near).select(F.col("node").alias("_key"), F.col("root").alias("_root"))
+    texts = materialise(marked.groupBy("_key").agg(least_id.alias("_m")).select("_m.*"), "texts")
+    one = materialise(marked.select("_rid", "text").join(texts.select("_rid"), "_rid", "left_semi"), "distinct-texts")
+    roots = components(similar_pairs(one, size, least, small)).select(F.col("node").alias("_rid"), F.col("root").alias("_root"))
 
-    rooted = texts.join(roots, "_key", "left").withColumn("_root", F.coalesce("_root", "_key"))
-    first = rooted.groupBy("_root").agg(F.min(F.struct("none", "doc_id", "_key", "_rid")).alias("m")).select("m._rid")
+    rooted = texts.join(roots, "_rid", "left").withColumn("_root", F.coalesce("_root", "_rid"))
+    first = rooted.groupBy("_root").agg(F.min(F.struct("none", "doc_id", "_rid")).alias("m")).select("m._rid")
     return restore(marked.join(first, "_rid", "left_semi"))
 
 

@@ -172,3 +172,29 @@ def test_keep_first_of_many_exact_copies(spark):
     rows = [(500 - i, text.upper() if i % 2 else text.replace(" ", "\n"), "x", "y", i) for i in range(300)] + [(1, "something else " * 9, "x", "y", -1)]
     got = simhash.keep_first(spark.createDataFrame(rows, SCHEMA).repartition(7)).collect()
     assert sorted(tuple(r) for r in got) == sorted([rows[-1], rows[299]])
+
+
+def test_keep_first_misses_no_copy_of_a_large_group(spark):
+    # Copies that are like the original but not like each other, which share crowded shingles.
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(320)]
+    texts = [" ".join(base)]
+    while len(texts) < 260:
+        again = list(base)
+        for i in rng.sample(range(5, 315), 6):
+            again[i] = f"new{rng.randrange(10**9)}"
+        j = simhash.similarity(texts[0], " ".join(again), 5)
+        if 0.82 <= j <= 0.88:
+            texts.append(" ".join(again))
+    rows = [(len(texts) - i, t, "x", "y", 1) for i, t in enumerate(texts)]
+    # One more is like a single copy only, and one like none.
+    far = texts[100].split()
+    rows += [(1000, " ".join(far[:290]), "x", "y", 1), (1001, " ".join(far[:200]), "x", "y", 1)]
+    sets = [shingle_set(r[1]) for r in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    roots = union_find(len(rows), near)
+    want = sorted(min(r[0] for r, x in zip(rows, roots, strict=True) if x == root) for root in set(roots))
+    for small in (192, 8):
+        got = simhash.keep_first(spark.createDataFrame(rows, SCHEMA), small=small).collect()
+        assert sorted(r.doc_id for r in got) == want, small
+    assert want[0] == 1 and len(want) == 2
