@@ -198,3 +198,28 @@ def test_keep_first_misses_no_copy_of_a_large_group(spark):
         got = simhash.keep_first(spark.createDataFrame(rows, SCHEMA), small=small).collect()
         assert sorted(r.doc_id for r in got) == want, small
     assert want[0] == 1 and len(want) == 2
+
+
+def edited(rng, words, kind, part):
+    """A near copy of ``words``: a stretch of ``part`` of it cut or added at an end, or single words replaced."""
+    k = round(part * len(words))
+    new = [f"new{rng.randrange(10**9)}" for _ in range(k)]
+    if kind == "words":
+        at = set(rng.sample(range(len(words)), max(1, k // 6)))
+        return [f"new{rng.randrange(10**9)}" if i in at else w for i, w in enumerate(words)]
+    return {"last cut": words[: len(words) - k], "first cut": words[k:], "appended": words + new, "put in front": new + words}[kind]
+
+
+@pytest.mark.parametrize("kind", ["last cut", "first cut", "appended", "put in front", "words"])
+def test_keep_first_finds_copies_by_any_edit(spark, kind):
+    rng = random.Random(kind)
+    rows = []
+    for g in range(120):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 200))]
+        part = rng.uniform(0.08, 0.18)
+        rows += [(2 * g, " ".join(words), "x", "y", 1), (2 * g + 1, " ".join(edited(rng, words, kind, part)), "x", "y", 1)]
+    sets = [shingle_set(r[1]) for r in rows]
+    near = [len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1]) for i in range(0, len(rows), 2)]
+    assert sum(near) > 40
+    want = [r[0] for i, r in enumerate(rows) if i % 2 == 0 or not near[i // 2]]
+    assert sorted(r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, SCHEMA)).collect()) == want
