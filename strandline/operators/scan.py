@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,14 +25,14 @@ def entry_weight(missing: Column, p: Column, eps: float) -> Column:
     return F.when(missing == 1, math.log(1 - eps) - F.log(p)).otherwise(math.log(eps) - F.log(1 - p))
 
 
-def combos(prefixes: DataFrame, entries: DataFrame, eps: float = 0.05, least: int = 4) -> DataFrame:
-    """clone, anchor, d, prefix, tape, m, k, e, v, hard, u: sums over the cells of each clade for each other tape."""
+def combos(prefixes: DataFrame, entries: DataFrame, eps: float = 0.05, least: int = 4, by: Sequence[str] = ()) -> DataFrame:
+    """clone, anchor, d, prefix, tape, m, k, e, v, hard, u: sums over the cells of each clade for each other tape, and for each value of ``by`` of the entries."""
     clades = prefixes.select("clone", F.col("tape").alias("anchor"), "d", "prefix", "cell")
     sizes = clades.groupBy("clone", "anchor", "d", "prefix").agg(F.count("*").alias("_m")).where(F.col("_m") >= least).drop("_m")
     members = clades.join(sizes, ["clone", "anchor", "d", "prefix"])
-    w = entries.select("cell", "tape", "missing", "p", entry_weight(F.col("missing"), F.col("p"), eps).alias("w"), F.when(F.col("missing") == 1, F.log("p")).otherwise(F.log(1 - F.col("p"))).alias("u"))
+    w = entries.select(*by, "cell", "tape", "missing", "p", entry_weight(F.col("missing"), F.col("p"), eps).alias("w"), F.when(F.col("missing") == 1, F.log("p")).otherwise(F.log(1 - F.col("p"))).alias("u"))
     joined = members.join(w, "cell").where("tape <> anchor")
-    return joined.groupBy("clone", "anchor", "d", "prefix", "tape").agg(F.count("*").alias("m"), F.sum("missing").alias("k"), F.sum("p").alias("e"), F.sum(F.col("p") * (1 - F.col("p"))).alias("v"), F.sum("w").alias("hard"), F.sum("u").alias("u"))
+    return joined.groupBy(*by, "clone", "anchor", "d", "prefix", "tape").agg(F.count("*").alias("m"), F.sum("missing").alias("k"), F.sum("p").alias("e"), F.sum(F.col("p") * (1 - F.col("p"))).alias("v"), F.sum("w").alias("hard"), F.sum("u").alias("u"))
 
 
 def statistics(combos: DataFrame) -> DataFrame:

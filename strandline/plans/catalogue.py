@@ -469,16 +469,17 @@ def q_clone_wide(v: Views) -> DataFrame:
     return scan.clone_wide(scan.with_rates(v.entries))
 
 
-def _null_counts(v: Views) -> tuple[DataFrame, DataFrame]:
+#: Permutations of the null of the event scan.
+PERMUTATIONS = 100
+
+
+def _null_counts(v: Views, permutations: int = PERMUTATIONS) -> tuple[DataFrame, DataFrame]:
+    """Counts over clades of every depth, and their means over permutations, made in one job."""
     e = scan.with_rates(v.entries)
-    clade = v.prefixes.where("d = 1")
-    seen = scan.counts_above(scan.statistics(scan.combos(clade, e)), "soft", 0, 0.25, 40)
-    parts = []
-    for b in (1, 2, 3):
-        moved = scan.permuted(e, 1, 100 + b).drop("perm")
-        parts.append(scan.counts_above(scan.statistics(scan.combos(clade, moved)), "soft", 0, 0.25, 40).withColumn("perm", F.lit(b)))
-    null = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return seen, null.groupBy("stratum", "t_idx").agg((F.sum("n_above") / 3).alias("expected"))
+    seen = scan.counts_above(scan.statistics(scan.combos(v.prefixes, e)), "soft", 0, 0.25, 40)
+    moved = scan.combos(v.prefixes, scan.permuted(e, permutations, 101), by=["perm"])
+    null = scan.counts_above(scan.statistics(moved), "soft", 0, 0.25, 40)
+    return seen, null.select("stratum", "t_idx", (F.col("n_above") / permutations).alias("expected"))
 
 
 @query()

@@ -123,6 +123,19 @@ def test_permutations_keep_blocks(spark):
     assert sorted(map(str, p.collect())) == sorted(map(str, scan.permuted(e.repartition(5), 3, 7).collect()))
 
 
+def test_null_counts_take_all_depths_and_permutations(spark):
+    from types import SimpleNamespace
+
+    from strandline.plans import catalogue
+
+    e = spark.createDataFrame([(i, 1, t, (i * t) % 2) for i in range(12) for t in range(4)], "cell long, clone int, tape int, missing int")
+    p = spark.createDataFrame([(i, 1, 0, d, "A" * d) for i in range(12) for d in (1, 2, 3) if i >= 2 * d], "cell long, clone int, tape int, d int, prefix string")
+    seen, null = catalogue._null_counts(SimpleNamespace(prefixes=p, entries=e), 5)
+    total = lambda df, c: sum(r[c] for r in df.where("t_idx = 0").collect())
+    assert total(seen, "n_above") == 9 and total(null, "expected") == 9
+    assert catalogue.PERMUTATIONS >= 100
+
+
 def test_two_way_fit_meets_margins(spark):
     rng = np.random.default_rng(3)
     rows = [(c, c % 4, t, int(rng.random() < 1 / (1 + np.exp(-(c - 20) / 10 - (t - 4) / 4)))) for c in range(40) for t in range(8)]
