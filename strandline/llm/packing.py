@@ -2,9 +2,11 @@
 
 Texts are encoded once into a written table. Document frequencies of tokens, counted
 over all documents, number as many as the vocabulary, so they are shared with all tasks.
-Documents are sorted by the least hash of their token triples, which puts copies and
-close texts side by side, and each stretch of that order with ``shard_tokens`` tokens is
-a shard with a BM25 inverted index of its own.
+Documents are sorted by the least hash of their token triples (their place), which puts
+copies and close texts side by side, and each stretch of that order with ``shard_tokens``
+tokens is a shard with a BM25 inverted index of its own, over all of its tokens. A place
+that more than a thousandth of all documents share counts as one document in the
+frequencies, so that a large group of copies doesn't make its own tokens look common.
 
 In a shard, a window begins with a seed document. While it has room, the index returns
 the unused documents that match the seed best, and these fill it in turn; one that does
@@ -49,7 +51,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         enc = encoder(tokenizer)
         kind = np.dtype("<u2") if max(len(enc.marks), end_id + 1) <= 1 << 16 else np.dtype("<u4")
         for batch in batches:
-            for part, texts in chunks(batch, "text", 4 << 20):
+            for part, texts in chunks(batch, "text", 8 << 20):
                 n, ids = enc.encode(texts)
                 ids = np.insert(ids.astype(kind), np.cumsum(n), end_id)
                 ends = np.cumsum(n + 1)
@@ -60,62 +62,85 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, place long")
 
 
+def crowded_places(encoded: DataFrame, part: int = 1000) -> dict[int, int]:
+    """Places that more than one in ``part`` documents share, fewer than ``part`` therefore, and how many share each."""
+    per = encoded.groupBy("place").agg(F.count("*").alias("n"))
+    least = encoded.count() // part
+    return {r["place"]: r["n"] for r in per.where(F.col("n") > F.lit(max(least, 1))).collect()}
+
+
 def document_frequencies(encoded: DataFrame, vocabulary: int, width: int) -> tuple[np.ndarray, int, int]:
-    """In how many documents each token stands, the number of documents and of tokens, over all of them."""
+    """In how many documents each token stands, the number of documents and of tokens, over all of them.
+
+    Documents of a crowded place weigh one together, in whole millionths.
+    """
+    crowded, unit = crowded_places(encoded), 1_000_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary + 2, np.int64)  # the last two: documents and tokens
         for batch in batches:
-            for x in batch.column(0):
+            for x, place in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 ids = np.frombuffer(x.as_buffer(), f"<u{width}")
                 seen = np.unique(ids)
-                total[seen] += 1
-                total[-2:] += (1, len(ids))
+                weight = unit // crowded[place] if place in crowded else unit
+                total[seen] += weight
+                total[-2:] += (weight, len(ids))
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["k", "n"])
 
-    rows = encoded.select("ids").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    rows = encoded.select("ids", "place").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(vocabulary + 2, np.int64)
     out[rows.column("k").to_numpy()] = rows.column("n").to_numpy()
-    return out[:-2], int(out[-2]), int(out[-1])
+    return out[:-2] / unit, out[-2] / unit, int(out[-1])
 
 
 class ShardIndex:
     """A BM25 inverted index of a shard's documents.
 
-    Tokens in more than ``common`` of all documents tell little and aren't indexed.
+    A document's query is its ``terms`` strongest tokens (of the highest BM25 weight in it).
     """
 
-    def __init__(self, docs: list[np.ndarray], df: np.ndarray, n_docs: int, mean: float, terms: int = 8, common: float = 0.1, k1: float = 1.2, b: float = 0.75):
-        idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
-        useful = (df > 0) & (df <= max(1.0, common * n_docs))
-        self.n = len(docs)
+    def __init__(self, docs: list[np.ndarray], df: np.ndarray, n_docs: float, mean: float, terms: int = 64, k1: float = 1.2, b: float = 0.75):
+        idf = np.log1p(np.maximum(n_docs - df, 0) + 0.5) - np.log(df + 0.5)
+        self.n, self.terms = len(docs), terms
         lengths = np.fromiter(map(len, docs), np.int64, len(docs))
-        flat = np.concatenate(docs)
         own = np.repeat(np.arange(len(docs)), lengths)
-        keep = useful[flat]
-        code, tf = np.unique(flat[keep].astype(np.int64) * len(docs) + own[keep], return_counts=True)
-        term, doc = code // len(docs), code % len(docs)
-        weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / mean))
-        self.docs, self.weights = doc, weight
-        self.starts = np.searchsorted(term, np.arange(len(df) + 1))
-        order = np.lexsort((term, -weight, doc))  # a document's strongest terms are its query
-        at = np.searchsorted(doc[order], np.arange(len(docs) + 1))
-        self.queries = [term[order[a : min(b_, a + terms)]] for a, b_ in zip(at[:-1], at[1:], strict=True)]
+        code = np.sort(np.concatenate(docs).astype(np.int64) * len(docs) + own)
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        tf = np.diff(first, append=len(code))
+        self.term, self.docs = np.divmod(code[first], len(docs))
+        self.weights = np.maximum(idf[self.term], 1e-6) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[self.docs] / mean))
+        self.starts = np.searchsorted(self.term, np.arange(len(df) + 1))
+        self.of_doc = np.argsort(self.docs.astype(np.uint32), kind="stable")
+        self.at = np.searchsorted(self.docs[self.of_doc], np.arange(len(docs) + 1))
         self.used = np.zeros(len(docs), bool)
         self.next = 0
 
+    def query(self, doc: int) -> np.ndarray:
+        """The strongest tokens of a document, ties to the smaller id."""
+        own = self.of_doc[self.at[doc] : self.at[doc + 1]]
+        return self.term[own[np.argsort(-self.weights[own], kind="stable")[: self.terms]]]
+
+    def scores(self, doc: int) -> np.ndarray:
+        """BM25 of each document for the query of one."""
+        spans = [slice(self.starts[t], self.starts[t + 1]) for t in self.query(doc)]
+        return np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.n)
+
     def neighbours(self, seed: int, most: int = 16) -> Iterator[int]:
-        """Unused documents, best match first, then those next in order."""
-        score = np.zeros(self.n)
-        for t in self.queries[seed]:
-            low, high = self.starts[t], self.starts[t + 1]
-            score[self.docs[low:high]] += self.weights[low:high]
-        score[self.used] = 0
-        hits = np.flatnonzero(score)
-        if len(hits) > most:
-            hits = hits[np.argpartition(-score[hits], most - 1)[:most]]
-        yield from hits[np.lexsort((hits, -score[hits]))].tolist()
+        """All unused documents: those that match, best first, looked up ``most`` at a time, then those next in order."""
+        while True:
+            score = self.scores(seed)
+            score[self.used] = 0
+            hits = np.flatnonzero(score)
+            if not len(hits):
+                break
+            if len(hits) > most:
+                edge = np.partition(score[hits], len(hits) - most)[len(hits) - most]
+                hits = hits[score[hits] >= edge]
+            best = hits[np.lexsort((hits, -score[hits]))][:most]
+            yield from best.tolist()
+            if not self.used[best].all():
+                return  # the caller passed some by
         while (doc := self.first_unused()) is not None:
             yield doc
 

@@ -43,7 +43,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
 
         schema = pa.schema([("name", pa.string()), ("task", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
         for batch in batches:
-            for part, texts in chunks(batch, "text", 4 << 20):
+            for part, texts in chunks(batch, "text", 8 << 20):
                 n, ids = enc.encode(texts)
                 ends = np.cumsum(n)
                 ids = np.insert(ids.astype(np.uint16 if bits <= 16 else np.uint32), ends, end_id)

@@ -130,10 +130,51 @@ def test_neighbours_fill_a_seed_s_window():
     df = np.zeros(500, np.int64)
     for d in docs:
         df[np.unique(d)] += 1
-    index = packing.ShardIndex(docs, df, 40, 30.0, common=0.5)
+    index = packing.ShardIndex(docs, df, 40, 30.0)
     same = total = 0
     for pieces_ in packing.pack_shard(docs, index, 120):
         kinds = [order[d] // 8 for d, _, _ in pieces_]
         same += sum(k == kinds[0] for k in kinds[1:])
         total += len(kinds) - 1
     assert same / total > 0.6
+
+
+def test_neighbours_are_those_of_brute_force_bm25():
+    """Every unused document in the order of its score, over all tokens, then the rest in order; also for tokens that most documents have."""
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 12 if i % 3 else 60, rng.integers(1, 25)) for i in range(60)] + [np.array([900])] * 3
+    df = np.zeros(1000)
+    for d in docs:
+        df[np.unique(d)] += 1
+    mean = sum(map(len, docs)) / len(docs)
+
+    def score(query, doc):
+        out = 0.0
+        for t in set(query.tolist()):
+            tf = int((doc == t).sum())
+            idf = np.log(1 + (len(docs) - df[t] + 0.5) / (df[t] + 0.5))
+            out += max(idf, 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len(doc) / mean)) if tf else 0.0
+        return out
+
+    for seed in (0, 7, 61):
+        index = packing.ShardIndex(docs, df, len(docs), mean, terms=1000)
+        index.used[[seed, 3]] = True
+        got = []
+        for d in index.neighbours(seed, most=5):
+            index.used[d] = True
+            got.append(d)
+        left = [d for d in range(len(docs)) if d not in (seed, 3)]
+        of = {d: score(docs[seed], docs[d]) for d in left}
+        hits = [d for d in left if of[d] > 0]
+        assert set(got[: len(hits)]) == set(hits) and got[len(hits) :] == [d for d in left if d not in hits]
+        assert all(of[a] > of[b] - 1e-9 for a, b in zip(got[: len(hits)], got[1 : len(hits)], strict=False))  # sums in another order
+
+
+def test_a_crowded_place_weighs_as_one(spark):
+    copies = [(i, "one text that many rows share again and again", "x", 1) for i in range(3000)]
+    others = [(10_000 + i, f"number {i} stands alone", "x", 1) for i in range(20)]
+    encoded = packing.encode(spark.createDataFrame(copies + others, SCHEMA), BYTE, 0)
+    df, n_docs, _ = packing.document_frequencies(encoded, 50_257, 2)
+    again = library(BYTE)([" again"])[0][0]
+    alone = library(BYTE)([" alone"])[0][0]
+    assert df[again] == pytest.approx(1, abs=0.01) and df[alone] == pytest.approx(20, abs=0.01) and n_docs == pytest.approx(21, abs=0.02)
