@@ -101,7 +101,7 @@ class ShardIndex:
     """
 
     def __init__(self, docs: list[np.ndarray], df: np.ndarray, n_docs: float, mean: float, terms: int = 64, k1: float = 1.2, b: float = 0.75):
-        idf = np.log1p(np.maximum(n_docs - df, 0) + 0.5) - np.log(df + 0.5)
+        idf = np.log1p((np.maximum(n_docs - df, 0) + 0.5) / (df + 0.5))
         self.n, self.terms = len(docs), terms
         lengths = np.fromiter(map(len, docs), np.int64, len(docs))
         own = np.repeat(np.arange(len(docs)), lengths)
