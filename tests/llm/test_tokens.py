@@ -172,7 +172,7 @@ def test_neighbours_are_those_of_brute_force_bm25():
 
 def test_a_crowded_place_weighs_as_one(spark):
     copies = [(i, "one text that many rows share again and again", "x", 1) for i in range(3000)]
-    others = [(10_000 + i, f"number {i} stands alone", "x", 1) for i in range(20)]
+    others = [(10_000 + i, " ".join(hex(7919 * i + 31 * k) for k in range(12)) + " alone", "x", 1) for i in range(20)]
     encoded = packing.encode(spark.createDataFrame(copies + others, SCHEMA), BYTE, 0)
     df, n_docs, _ = packing.document_frequencies(encoded, 50_257, 2)
     again = library(BYTE)([" again"])[0][0]
