@@ -6,6 +6,7 @@ import uuid
 from urllib.parse import urlsplit
 
 from pyarrow import fs
+from pyspark.sql import DataFrame
 
 
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
@@ -33,3 +34,18 @@ def put(folder: str, name: str, data: bytes) -> None:
         if store.get_file_info(f"{path}/{name}").size != len(data):
             raise
         store.delete_file(temporary)
+
+
+def get(folder: str, name: str, n_bytes: int) -> bytes:
+    """The bytes of a file that a manifest lists; an error if it is missing or of another size."""
+    store, path = filesystem(folder)
+    with store.open_input_file(f"{path}/{name}") as f:
+        data = f.read()
+    if len(data) != n_bytes:
+        raise ValueError(f"{name} has {len(data)} bytes, its manifest says {n_bytes}")
+    return data
+
+
+def dealt(manifest: DataFrame, most: int = 20_000) -> DataFrame:
+    """A manifest with a task for each file, up to ``most`` tasks."""
+    return manifest.repartition(max(1, min(most, manifest.count())))

@@ -38,8 +38,8 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "warc")
-    warc.write_warc(table(spark, sf_dir, "pages"), folder)
-    return warc.read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    manifest = warc.write_warc(table(spark, sf_dir, "pages"), folder)
+    return warc.read_warc(folder, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "tokens")
     manifest = token_files.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), folder)
-    return token_files.read_tokens(spark, folder, manifest)
+    return token_files.read_tokens(folder, manifest)
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,13 +8,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.llm import wavelet
 from strandline.llm.common import materialise
-from strandline.llm.files import put
+from strandline.llm.files import dealt, get, put
 from strandline.llm.pieces import chunks, encoder
 
 MANIFEST = "name string, task int, seq int, n_docs long, n_ids long, n_bytes long"
@@ -27,6 +27,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
     task begins a new file once it has ``shard_ids`` ids, between two documents. The
     manifest is a written table: name, task and seq (their order is that of the
     documents), n_docs, n_ids, n_bytes. A null text is empty and has only its end id.
+    Repeated rows are written each, a long text is one document, other columns are
+    ignored; an empty table gives an empty manifest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,19 +77,22 @@ def shard_starts(manifest: DataFrame) -> DataFrame:
     return manifest.withColumn("_in", inside).join(tasks, "task").select("name", (F.col("_base") + F.col("_in")).alias("base"))
 
 
-def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from the files alone."""
+def read_tokens(folder: str, manifest: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of each document, from the files alone.
+
+    Only files of the manifest are read; one that is missing, of another size or damaged
+    is an error. An empty manifest gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                matrix, doc_ids, lengths = wavelet.load(content.as_py())
+            for name, n_bytes, base in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                matrix, doc_ids, lengths = wavelet.load(get(folder, name, n_bytes))
                 ids = memoryview(matrix.decode().astype("<u4").tobytes())
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
                 crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(crc)), pa.array(doc_ids, pa.int64()), pa.array(starts), pa.array(lengths), pa.array(crc, pa.int64())], ["name", "doc_id", "local", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts + base), pa.array(lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wm").load(folder).select(F.substring_index("path", "/", -1).alias("name"), "content")
-    read = files.mapInArrow(run, "name string, doc_id long, local long, n_tokens long, ids_crc32 long")
-    return read.join(shard_starts(manifest), "name").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    files = manifest.join(shard_starts(manifest), "name").select("name", "n_bytes", "base")
+    return dealt(files).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

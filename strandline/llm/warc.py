@@ -22,11 +22,11 @@ from urllib.parse import quote
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import materialise
-from strandline.llm.files import put
+from strandline.llm.files import dealt, get, put
 
 MANIFEST = "name string, shard int, seq int, records long, n_bytes long, sha1 string"
 DATE = "2000-01-01T00:00:00Z"
@@ -82,6 +82,8 @@ def write_warc(pages: DataFrame, folder: str, shards: int | None = None, min_byt
     A null html is an empty payload; a null url gives no target; a null page_id sorts
     first and is never larger than another. Of repeated rows (same page_id and payload of
     ``min_bytes`` or more) the first is as if alone and the others revisit the response.
+    A payload of any length is one record. Other columns are ignored; an empty table
+    gives an empty manifest.
     """
     spark = pages.sparkSession
     wide = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
@@ -150,19 +152,24 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
-def read_warc(spark: SparkSession, folder: str) -> DataFrame:
+def read_warc(folder: str, manifest: DataFrame) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits) from the archives.
 
-    Block digests, and the payload digests of responses, are checked.
+    Only files of the manifest are read; a file that is missing, or differs from it in
+    size or SHA-1, is an error. Block digests, and the payload digests of responses, are
+    checked. An empty manifest gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         page = lambda urn: None if (i := urn.split(":")[2]) == "null" else int(i)
         for batch in batches:
-            for content in batch.column(0):
+            for name, n_bytes, sha1 in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 rows: list[dict] = []
                 held = 0
-                for fields, block in parse(content.as_py()):
+                content = get(folder, name, n_bytes)
+                if hashlib.sha1(content).hexdigest() != sha1:
+                    raise ValueError(f"{name} differs from its manifest")
+                for fields, block in parse(content):
                     sha = lambda x: base64.b32encode(hashlib.sha1(x).digest()).decode()
                     if fields["WARC-Block-Digest"] != f"sha1:{sha(block)}":
                         raise ValueError(f"a block differs from its digest: {fields['WARC-Record-ID']}")
@@ -181,5 +188,4 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content")
-    return files.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return dealt(manifest.select("name", "n_bytes", "sha1")).mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")

@@ -22,13 +22,15 @@ def pages():
 
 def test_round_trip(spark, tmp_path):
     rows, folder = pages(), f"file://{tmp_path}/w"
-    manifest = warc.write_warc(spark.createDataFrame(rows, SCHEMA), folder, shards=3, roll_bytes=20_000).collect()
+    written = warc.write_warc(spark.createDataFrame(rows, SCHEMA), folder, shards=3, roll_bytes=20_000)
+    manifest = written.collect()
     assert len(manifest) > 3 and sum(m.records for m in manifest) == len(rows)
     for m in manifest:
         data = (tmp_path / "w" / m.name).read_bytes()
         assert hashlib.sha1(data).hexdigest() == m.sha1 and len(data) == m.n_bytes and gzip.decompress(data).startswith(b"WARC/1.1\r\n")
     assert not list((tmp_path / "w").glob("_tmp*"))
-    got = warc.read_warc(spark, folder).collect()
+    (tmp_path / "w" / "0000009-0000000.warc.gz").write_bytes((tmp_path / "w" / manifest[0].name).read_bytes())  # no manifest lists it
+    got = warc.read_warc(folder, written).collect()
     raw = lambda r: (r[2] or "").encode()
     key = lambda r: (r[0] is not None, r[0] or 0)
     largest = {}
@@ -57,14 +59,31 @@ def test_reruns_write_the_same_files(spark, tmp_path):
 
 
 def test_damage_is_noticed(spark, tmp_path):
-    warc.write_warc(spark.createDataFrame(pages()[:5], SCHEMA), f"file://{tmp_path}/w", shards=1)
+    folder = f"file://{tmp_path}/w"
+    manifest = warc.write_warc(spark.createDataFrame(pages()[:5], SCHEMA), folder, shards=1)
     (path,) = (tmp_path / "w").glob("*.warc.gz")
-    path.write_bytes(gzip.compress(gzip.decompress(path.read_bytes()).replace(b"<p", b"<q", 1).replace(b"p", b"q", 0)))
-    with pytest.raises(Exception, match="differs"):
-        warc.read_warc(spark, f"file://{tmp_path}/w").collect()
+    whole = path.read_bytes()
+    path.write_bytes(whole[:-10] + bytes(10))
+    with pytest.raises(Exception, match="differs from its manifest"):
+        warc.read_warc(folder, manifest).collect()
+    changed = gzip.compress(gzip.decompress(whole).replace(b"<p", b"<q", 1))
+    path.write_bytes(changed)
+    as_written = manifest.selectExpr("name", f"{len(changed)}L AS n_bytes", f"'{hashlib.sha1(changed).hexdigest()}' AS sha1")
+    with pytest.raises(Exception, match="differs from its digest"):
+        warc.read_warc(folder, as_written).collect()
+    path.unlink()
+    with pytest.raises(Exception, match="warc.gz"):
+        warc.read_warc(folder, manifest).collect()
 
 
 def test_no_pages(spark, tmp_path):
-    (tmp_path / "w").mkdir()
-    assert warc.write_warc(spark.createDataFrame([], SCHEMA), f"file://{tmp_path}/w").count() == 0
-    assert warc.read_warc(spark, f"file://{tmp_path}/w").count() == 0
+    folder = f"file://{tmp_path}/w"
+    manifest = warc.write_warc(spark.createDataFrame([], SCHEMA), folder)
+    assert manifest.count() == 0 and warc.read_warc(folder, manifest).count() == 0
+
+
+def test_a_very_long_page(spark, tmp_path):
+    folder, html = f"file://{tmp_path}/w", "<p>long é " * 800_000
+    got = warc.read_warc(folder, warc.write_warc(spark.createDataFrame([(1, "u", html, "d", 1, "s"), (2, "u", html, "d", 1, "s")], SCHEMA), folder)).collect()
+    assert {(g.page_id, g.payload_bytes, g.record_type, g.refers_to) for g in got} == {(1, len(html.encode()), "revisit", 2), (2, len(html.encode()), "response", None)}
+    assert [bytes(g.payload).decode() for g in got if g.payload] == [html]

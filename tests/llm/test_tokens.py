@@ -64,7 +64,7 @@ def test_counts(spark):
 def test_token_files(spark, tmp_path, shard):
     folder = f"file://{tmp_path}/t"
     manifest = token_files.write_tokens(spark.createDataFrame(rows(), SCHEMA), WORD, folder, shard_ids=shard)
-    got = [tuple(r) for r in token_files.read_tokens(spark, folder, manifest).collect()]
+    got = [tuple(r) for r in token_files.read_tokens(folder, manifest).collect()]
     ordered = rows()
     ids = {id(r): [*x, 1] for r, x in zip(ordered, library(WORD)([r[1] or "" for r in ordered]), strict=True)}
     ordered.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
@@ -77,10 +77,21 @@ def test_token_files(spark, tmp_path, shard):
     assert (manifest.count() > 10) == (shard == 50)
 
 
+def test_only_files_of_the_manifest_are_read(spark, tmp_path):
+    folder = f"file://{tmp_path}/t"
+    manifest = token_files.write_tokens(spark.createDataFrame(rows(), SCHEMA), WORD, folder, shard_ids=2000)
+    n, name = manifest.count(), manifest.first()["name"]
+    assert n > 2
+    (tmp_path / "t" / "9999999-0000000.wm").write_bytes((tmp_path / "t" / name).read_bytes())
+    assert token_files.read_tokens(folder, manifest).count() == len(rows())
+    (tmp_path / "t" / name).unlink()
+    with pytest.raises(Exception, match=name):
+        token_files.read_tokens(folder, manifest).collect()
+
+
 def test_no_token_files(spark, tmp_path):
-    (tmp_path / "t").mkdir()
-    empty = token_files.write_tokens(spark.createDataFrame([], SCHEMA), WORD, f"file://{tmp_path}/t")
-    assert token_files.read_tokens(spark, f"file://{tmp_path}/t", empty).count() == 0
+    folder = f"file://{tmp_path}/t"
+    assert token_files.read_tokens(folder, token_files.write_tokens(spark.createDataFrame([], SCHEMA), WORD, folder)).count() == 0
 
 
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 5000])
