@@ -358,46 +358,98 @@ def similarity(a: str, b: str, size: int) -> float:
 
 #: The share of texts, one in so many, whose shingles are counted to order all shingles, and how many of the most common are told apart.
 SAMPLED, COMMON = 16, 1 << 18
+#: Bytes of a shingle's hash in a set.
+WIDTH = 6
 
 
-def common_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (sorted) that a sample of ``texts`` (_rid, text) repeats most, and how often. They steer the cost, never the result."""
+def pack_set(hashes: np.ndarray) -> bytes:
+    """A sorted set of hashes, their lowest 48 bits each."""
+    own = np.unique(hashes & U((1 << 8 * WIDTH) - 1))
+    return own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
+
+
+def unpack_set(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // WIDTH, 8), np.uint8)
+    out[:, :WIDTH] = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
+    return out.view("<u8").ravel()
+
+
+def bucket_counts(own: np.ndarray) -> bytes:
+    """How many of a set's hashes fall into each of about a bucket for two; empty if a count is over 255."""
+    n = 1 << max(5, (len(own) // 2).bit_length() - 1)
+    counts = np.bincount((own & U(n - 1)).astype(np.int64), minlength=n)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def overlap_bound(a: bytes, b: bytes) -> int | None:
+    """At most so many hashes are in both sets, by their bucket counts; None if these don't tell."""
+    if not a or not b:
+        return None
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) > len(y):
+        x, y = y, x
+    return int(np.minimum(x, y.reshape(-1, len(x)).sum(axis=0)).sum())  # buckets are the lowest bits: fold the finer ones
+
+
+def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
+    """_rid, _fp (fingerprint), n, s (set of shingle hashes), c (bucket counts) of each text (_rid, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes((t.as_py() or "").encode(), size)).view(np.int64))], ["s"])
+            out = []
+            for t in batch.column(1):
+                hashes = shingle_hashes((t.as_py() or "").encode(), size)
+                packed = pack_set(hashes)
+                out.append((fingerprint(hashes), len(packed) // WIDTH, packed, bucket_counts(unpack_set(packed)) if packed else b""))
+            fp, n, s, c = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fp, U).view(np.int64)), pa.array(n, pa.int32()), pa.array(s, pa.binary()), pa.array(c, pa.binary())], ["_rid", "_fp", "n", "s", "c"])
 
-    sample = texts.where(F.pmod(F.xxhash64("_rid"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "s long")
+    return texts.select("_rid", "text").mapInArrow(run, "_rid long, _fp long, n int, s binary, c binary")
+
+
+def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (sorted) that a sample of ``sets`` repeats most, and how often. They steer the cost, never the result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(unpack_set(x.as_py()).view(np.int64))], ["s"])
+
+    sample = sets.where(F.pmod(F.xxhash64("_rid"), F.lit(SAMPLED)) == 0).select("s").mapInArrow(run, "s long")
     top = sample.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "s").limit(COMMON).toArrow()
     own = top.column("s").to_numpy().astype(np.int64).view(U)
     order = np.argsort(own)
     return own[order], top.column("n").to_numpy()[order]
 
 
-def prefixes(texts: DataFrame, size: int, least: float) -> DataFrame:
-    """_rid, n, s, p: the shingles of each text (_rid, text), of n, up to position p in one order of all shingles, rare ones first.
+def prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """_rid, n, s, p: the shingles of each of ``sets``, of n, up to position p in one order of all shingles, rare ones first.
 
     Two texts with a similarity of ``least`` or more share at least that part of the
     shingles of either, so they share one of the first n - ceil(least * n) + 1 of each.
     """
-    common, counts = common_shingles(texts, size)
+    common, counts = common_shingles(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rid, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.unique(shingle_hashes((t.as_py() or "").encode(), size))
+            rids, sizes, firsts = [], [], []
+            for rid, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = unpack_set(x.as_py())
                 if not len(own):
                     continue
                 weight = np.zeros(len(own), np.int64)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, own), len(common) - 1)
                     weight = np.where(common[at] == own, counts[at], 0)
-                first = own[np.lexsort((own, weight))][: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1]
-                full = lambda v, kind, k=len(first): pa.array(np.full(k, v, kind))
-                yield pa.RecordBatch.from_arrays([full(rid, np.int64), full(len(own), np.int32), pa.array(first.view(np.int64)), pa.array(np.arange(len(first), dtype=np.int32))], ["_rid", "n", "s", "p"])
+                rids.append(rid)
+                sizes.append(len(own))
+                firsts.append(own[np.lexsort((own, weight))][: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1])
+            if rids:
+                each = [len(f) for f in firsts]
+                column = lambda v, kind, each=each: pa.array(np.repeat(np.array(v, kind), each))
+                yield pa.RecordBatch.from_arrays([column(rids, np.int64), column(sizes, np.int32), pa.array(np.concatenate(firsts).view(np.int64)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in each]))], ["_rid", "n", "s", "p"])
 
-    return texts.select("_rid", "text").mapInArrow(run, "_rid long, n int, s long, p int")
+    return sets.select("_rid", "s").mapInArrow(run, "_rid long, n int, s long, p int")
 
 
 def _meet(x: DataFrame, y: DataFrame, on: list[str], least: float) -> DataFrame:
@@ -408,44 +460,79 @@ def _meet(x: DataFrame, y: DataFrame, on: list[str], least: float) -> DataFrame:
     return both.where(room * (1 + least) >= least * (F.col("nx") + F.col("ny")) - 1e-6).select("x", "y").distinct()
 
 
-def similar_pairs(texts: DataFrame, size: int = 5, least: float = 0.8, small: int = 192, block: int = 1024) -> DataFrame:
-    """a, b: pairs of ``texts`` (_rid, text) with a similarity of ``least`` or more that connect exactly what all such pairs would.
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """a, b: the pairs (x, y) whose sets have a similarity of ``least`` or more.
 
-    Candidates share a shingle of their prefixes (``prefixes``), so none is missed.
-    Shingles of up to ``small`` texts give all their candidate pairs; those that earlier
-    links connect needn't be verified. Of the others, each
-    text first meets the one most of whose prefix is shared; then all candidate pairs
-    that are still in different components meet in blocks of about ``block`` texts.
+    Bucket counts, about a tenth of the sets, bound the overlap of a pair first; only what
+    they leave open brings the sets together.
     """
-    # One shuffle and no copy of the prefixes on disk: most shingles are of one text only.
-    shared = materialise(prefixes(texts, size, least).withColumn("k", F.count("*").over(W.partitionBy("s"))).where("k > 1"), "shared-shingles")
-    few, many = shared.where(F.col("k") <= small), shared.where(F.col("k") > small)
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for nx, ny, cx, cy in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                most = overlap_bound(cx.as_py(), cy.as_py())
+                ok.append(most is None or most >= least * (nx + ny - most) - 1e-6)
+            yield batch.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [similarity(a.as_py() or "", b.as_py() or "", size) >= least for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            ok = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = unpack_set(a.as_py()), unpack_set(b.as_py())
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= least * (len(x) + len(y) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(pairs, "pairs")
-        asked = pairs.select(F.explode(F.array("x", "y")).alias("_rid")).distinct()
-        one = materialise(texts.select("_rid", "text").join(asked, "_rid", "left_semi"), "candidates")
-        both = pairs.join(one.select(F.col("_rid").alias("x"), F.col("text").alias("s")), "x").join(one.select(F.col("_rid").alias("y"), F.col("text").alias("t")), "y")
-        return materialise(both.select(F.col("x").alias("a"), F.col("y").alias("b"), "s", "t").mapInArrow(verify, "a long, b long"), "similar")
+    def beside(rows: DataFrame, columns: list[str]) -> DataFrame:
+        own = lambda k: sets.select(F.col("_rid").alias(k), *(F.col(c).alias(f"{c}{k}") for c in columns))
+        return rows.join(own("x"), "x").join(own("y"), "y")
+
+    left = beside(pairs, ["n", "c"]).select("x", "y", "nx", "ny", "cx", "cy").mapInArrow(possible, "x long, y long")
+    left = materialise(left, "possible-pairs")
+    return materialise(beside(left, ["s"]).select(F.col("x").alias("a"), F.col("y").alias("b"), "sx", "sy").mapInArrow(similar, "a long, b long"), "similar")
+
+
+def fingerprint_pairs(sets: DataFrame, distance: int) -> DataFrame:
+    """x, y: pairs of texts whose fingerprints are equal or linked (``links``); of texts with one fingerprint each meets the first."""
+    firsts = sets.where("n > 0").groupBy("_fp").agg(F.min("_rid").alias("_first"))
+    firsts = materialise(firsts, "fingerprints")
+    same = sets.where("n > 0").join(firsts, "_fp").where("_rid <> _first").select(F.col("_first").alias("x"), F.col("_rid").alias("y"))
+    of = lambda k: firsts.select(F.col("_fp").alias(k), F.col("_first").alias(f"_{k}"))
+    near = links(firsts.select("_fp"), distance).join(of("a"), "a").join(of("b"), "b").select(F.least("_a", "_b").alias("x"), F.greatest("_a", "_b").alias("y"))
+    return same.unionByName(near).distinct()
+
+
+def similar_pairs(sets: DataFrame, least: float = 0.8, small: int = 192, block: int = 1024, distance: int = 3) -> DataFrame:
+    """a, b: pairs of ``sets`` with a similarity of ``least`` or more that connect exactly what all such pairs would.
+
+    First come the pairs that SimHash fingerprints within ``distance`` bits propose. The
+    rest is exact: candidates share a shingle of their prefixes (``prefixes``), so none is
+    missed, and those in different components are verified. Of a shingle with more than
+    ``small`` texts, each text first meets the one most of whose prefix is shared; then
+    all candidate pairs still apart meet in blocks of about ``block`` texts.
+    """
+    near = verified(materialise(fingerprint_pairs(sets, distance), "fingerprint-pairs"), sets, least)
 
     def apart(rows: DataFrame, found: DataFrame, key: str, root: str) -> DataFrame:
         """``rows`` with the component of the text ``key`` in ``found``."""
         return rows.join(found.select(F.col("node").alias(key), F.col("root").alias(root)), key, "left").withColumn(root, F.coalesce(root, key))
 
+    def split(pairs: DataFrame, found: DataFrame) -> DataFrame:
+        return apart(apart(pairs, found, "x", "_rx"), found, "y", "_ry").where("_rx <> _ry").select("x", "y")
+
+    # One shuffle and no copy of the prefixes on disk: most shingles are of one text only.
+    shared = materialise(prefixes(sets, least).withColumn("k", F.count("*").over(W.partitionBy("s"))).where("k > 1"), "shared-shingles")
+    few, many = shared.where(F.col("k") <= small), shared.where(F.col("k") > small)
+
     # Each text meets its first candidate, then only pairs still in different components are left.
-    pairs = materialise(_meet(few, few, ["s"], least), "near-pairs")
+    pairs = materialise(split(_meet(few, few, ["s"], least), components(near)), "near-pairs")
     firsts = pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
     heat = shared.groupBy("_rid").agg((F.sum("k") / F.first("n")).alias("heat"))
     leaders = many.join(heat, "_rid").groupBy("s").agg(F.max(F.struct("heat", "_rid")).alias("m")).select("s", F.col("m._rid").alias("y"))
     led = many.join(leaders, "s").where("_rid <> y").select(F.least("_rid", "y").alias("x"), F.greatest("_rid", "y").alias("y"))
-    near = verified(firsts.unionByName(led).distinct())
-    found = components(near)
-    near = near.unionByName(verified(apart(apart(pairs, found, "x", "_rx"), found, "y", "_ry").where("_rx <> _ry").select("x", "y").join(firsts, ["x", "y"], "left_anti")))
+    near = near.unionByName(verified(materialise(firsts.unionByName(led).distinct(), "first-pairs"), sets, least))
+    near = near.unionByName(verified(materialise(split(pairs, components(near)).join(firsts, ["x", "y"], "left_anti"), "rest-pairs"), sets, least))
     if many.isEmpty():
         return near
     rooted = apart(many, components(near), "_rid", "root")
@@ -453,16 +540,19 @@ def similar_pairs(texts: DataFrame, size: int = 5, least: float = 0.8, small: in
     rest = materialise(rooted.join(mixed, "s").withColumn("parts", F.ceil(F.col("k") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("_rid"), F.col("parts"))), "crowded-shingles")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))
     left, right = rest.withColumn("u", F.col("part")).withColumn("v", every), rest.withColumn("v", F.col("part")).withColumn("u", every)
-    return near.unionByName(verified(_meet(left, right, ["s", "u", "v"], least)))
+    return near.unionByName(verified(materialise(_meet(left, right, ["s", "u", "v"], least), "crowded-pairs"), sets, least))
 
 
-def keep_first(docs: DataFrame, size: int = 5, least: float = 0.8, small: int = 192) -> DataFrame:
+def keep_first(docs: DataFrame, size: int = 5, least: float = 0.8, small: int = 192, distance: int = 3) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the row with the smallest doc_id.
 
     Texts that are equal but for A-Z case and white space are one. Two texts are linked if
     their sets of ``size``-word shingles have a similarity of ``least`` or more; groups are
-    what links connect, and no link that connects is missed (``similar_pairs``).
-    Null ids come last, and of repeated rows one stays.
+    what links connect. SimHash fingerprints propose links first, and an exact search
+    finds those they miss (``similar_pairs``).
+    Null ids come last, and of repeated rows one stays. Null and empty texts are one text.
+    Texts of any length are taken whole; other columns, whatever their names, are kept; an
+    empty table stays empty.
     """
     docs, restore = protect(docs, ["doc_id", "text"])
     schema = T.StructType([*docs.schema.fields, T.StructField("_key", T.StringType())])
@@ -476,8 +566,8 @@ def keep_first(docs: DataFrame, size: int = 5, least: float = 0.8, small: int =
     # From here on a text stands for all its copies: a partial sum meets them before any shuffle.
     least_id = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rid"))
     texts = materialise(marked.groupBy("_key").agg(least_id.alias("_m")).select("_m.*"), "texts")
-    one = materialise(marked.select("_rid", "text").join(texts.select("_rid"), "_rid", "left_semi"), "distinct-texts")
-    roots = components(similar_pairs(one, size, least, small)).select(F.col("node").alias("_rid"), F.col("root").alias("_root"))
+    sets = materialise(shingle_sets(marked.select("_rid", "text").join(texts.select("_rid"), "_rid", "left_semi"), size), "shingle-sets")
+    roots = components(similar_pairs(sets, least, small, distance=distance)).select(F.col("node").alias("_rid"), F.col("root").alias("_root"))
 
     rooted = texts.join(roots, "_rid", "left").withColumn("_root", F.coalesce("_root", "_rid"))
     first = rooted.groupBy("_root").agg(F.min(F.struct("none", "doc_id", "_rid")).alias("m")).select("m._rid")
