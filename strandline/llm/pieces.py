@@ -32,7 +32,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are th
 AFTER_LETTERS = b".,;:!?#$%&*+=@/^_~()[]{}\"`-"
 #: Bytes of text in a chunk, pieces in the memo of a worker, and plain pieces that the library gets in one string.
 CHUNK_BYTES = 12 << 20
-MEMO = 600_000
+MEMO = 400_000
 GROUP = 400
 
 _AFTER = np.zeros(256, dtype=bool)
@@ -52,19 +52,19 @@ def _cuts(b: np.ndarray) -> np.ndarray:
     cut = np.zeros(len(b), dtype=bool)
     if len(b) < 3:
         return cut
+    cut[1:] = _letter_ends(b)[:-1]
+    cut[1:] &= _AFTER[b[1:]]
     wide = (b >= 0xC3) & (b <= 0xDF)  # first of two bytes; no white space among these characters
     shown = (b > 0x20) & (b < 0x7F)
-    tail = np.zeros(len(b), dtype=bool)
-    tail[1:] = wide[:-1] & (b[1:] >= 0x80) & (b[1:] < 0xC0)
-    left = shown | tail  # a character that isn't white space ends here
-    right = shown | wide  # or begins here
+    right = shown | wide  # a character that isn't white space begins here
+    left = shown  # or ends here
+    left[1:] |= wide[:-1] & (b[1:] >= 0x80) & (b[1:] < 0xC0)
     alone = np.zeros(len(b), dtype=bool)
-    alone[1:-1] = left[:-2] & right[2:]
+    np.logical_and(left[:-2], right[2:], out=alone[1:-1])
     cut |= alone & (b == 0x20)
-    line = alone & (b == 0x0A)
-    cut |= line
-    cut[1:] |= line[:-1]
-    cut[1:] |= _letter_ends(b)[:-1] & _AFTER[b[1:]]
+    alone &= b == 0x0A
+    cut |= alone
+    cut[1:] |= alone[:-1]
     return cut
 
 
