@@ -139,15 +139,32 @@ def normal_tail(z: Column) -> Column:
     """Upper tail of the normal law; null for null."""
 
     def run(z: pd.Series) -> pd.Series:
-        return z.map(lambda x: None if pd.isna(x) else normal_sf(x))
+        known, which = np.unique(z.to_numpy(float), return_inverse=True)
+        return pd.Series(np.array([normal_sf(x) for x in known])[which]).where(z.notna().to_numpy())
 
     return F.pandas_udf(run, "double")(z)
 
 
+def hypergeometric_tails(k: np.ndarray, n: np.ndarray, marked: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+    """``hypergeometric_sf`` of many; one table of log factorials, and a step for each number of marked ones."""
+    table = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, int(n.max()) + 1 if len(n) else 1)))))
+    choose = lambda a, b: table[a] - table[b] - table[a - b]
+    low, high = np.maximum(np.maximum(k, drawn - (n - marked)), 0), np.minimum(marked, drawn)
+    total, i = np.zeros(len(k)), low.copy()
+    left = np.flatnonzero(i <= high)
+    while len(left):
+        own = i[left]
+        total[left] += np.exp(choose(marked[left], own) + choose(n[left] - marked[left], drawn[left] - own) - choose(n[left], drawn[left]))
+        i[left] += 1
+        left = left[i[left] <= high[left]]
+    return np.minimum(total, 1.0)
+
+
 def hypergeometric_tail(k: Column, n: Column, marked: Column, drawn: Column) -> Column:
-    """Chance of k or more marked ones among ``drawn`` of n."""
+    """Chance of k or more marked ones among ``drawn`` of n; the table has as many rows as the largest n."""
 
     def run(k: pd.Series, n: pd.Series, marked: pd.Series, drawn: pd.Series) -> pd.Series:
-        return pd.Series([hypergeometric_sf(*map(int, x)) for x in zip(k, n, marked, drawn, strict=True)], dtype=float)
+        rows, which = np.unique(np.stack([x.to_numpy(np.int64) for x in (k, n, marked, drawn)]), axis=1, return_inverse=True)
+        return pd.Series(hypergeometric_tails(*rows)[which.ravel()])
 
     return F.pandas_udf(run, "double")(k, n, marked, drawn)

@@ -80,3 +80,85 @@ def top_share(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
 
 def top_k(df: DataFrame, k: int, *order: Column | str) -> DataFrame:
     return df.orderBy(*order).limit(k)
+
+
+def own_cell_distance(reads: DataFrame, least: int, seed: int) -> DataFrame:
+    """tape, n_cells, n, g2, tv, floor, excess: a tape's composition against that of the other tapes of the cells that have it.
+
+    floor is the distance between two halves, by hash, of the tape's own symbols.
+    """
+    from strandline.operators.reads import uniform
+
+    have = reads.where("site = 1 AND sym IS NOT NULL").select("tape", "cell").distinct()
+    n_cells = have.groupBy("tape").agg(F.count("*").alias("n_cells")).where(F.col("n_cells") >= least)
+    have = have.join(n_cells, "tape").select("tape", "cell")
+    seen = reads.where("sym IS NOT NULL")
+    half = F.when(uniform(seed, "cell", "tape", "site") < 0.5, 1).otherwise(0)
+    own = seen.join(have, ["tape", "cell"]).groupBy("tape", "sym").agg(F.count("*").alias("n"), F.sum(half).alias("a"))
+    in_cell = seen.groupBy("cell", "sym").agg(F.count("*").alias("c"))
+    every = have.join(in_cell, "cell").groupBy("tape", "sym").agg(F.sum("c").alias("c"))
+    t = W.partitionBy("tape")
+    rows = every.join(own, ["tape", "sym"], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "a": F.coalesce("a", F.lit(0))}).withColumn("o", F.col("c") - F.col("n"))
+    rows = rows.withColumns({"b": F.col("n") - F.col("a"), "_n": F.sum("n").over(t), "_o": F.greatest(F.sum("o").over(t), F.lit(1)), "_a": F.greatest(F.sum("a").over(t), F.lit(1)), "_b": F.greatest(F.sum(F.col("n") - F.col("a")).over(t), F.lit(1))})
+    p, ref = F.col("n") / F.col("_n"), F.col("o") / F.col("_o")
+    g = F.when(F.col("n") > 0, 2 * F.col("n") * F.log(p / F.greatest(ref, F.lit(1e-12)))).otherwise(0.0)
+    out = rows.groupBy("tape").agg(F.max("_n").alias("n"), F.sum(g).alias("g2"), (F.sum(F.abs(p - ref)) / 2).alias("tv"), (F.sum(F.abs(F.col("a") / F.col("_a") - F.col("b") / F.col("_b"))) / 2).alias("floor"))
+    return out.join(n_cells, "tape").withColumn("excess", F.col("tv") - F.col("floor")).select("tape", "n_cells", "n", "g2", "tv", "floor", "excess")
+
+
+def occupancy(shares: DataFrame, draws: list[int]) -> DataFrame:
+    """m, mean, sd: of the number of distinct symbols in m draws, with the covariance of every two symbols.
+
+    Pairs are of symbols of an alphabet, not of rows.
+    """
+    p = shares.select("sym", "p")
+    m = F.explode(F.array(*(F.lit(float(x)) for x in draws))).alias("m")
+    one = p.select("p", m).groupBy("m").agg(F.sum(1 - F.pow(1 - F.col("p"), F.col("m"))).alias("mean"), F.sum(F.pow(1 - F.col("p"), F.col("m")) * (1 - F.pow(1 - F.col("p"), F.col("m")))).alias("_v"))
+    both = p.select(F.col("sym").alias("a"), F.col("p").alias("pa"), F.lit(1).alias("_k")).join(p.select(F.col("sym").alias("b"), F.col("p").alias("pb"), F.lit(1).alias("_k")), "_k").where("a < b").select("pa", "pb", m)
+    none = F.pow(F.greatest(1 - F.col("pa") - F.col("pb"), F.lit(0.0)), F.col("m")) - F.pow((1 - F.col("pa")) * (1 - F.col("pb")), F.col("m"))
+    pairs = both.groupBy("m").agg((2 * F.sum(none)).alias("_c"))
+    return one.join(pairs, "m", "left").select("m", "mean", F.sqrt(F.greatest(F.col("_v") + F.coalesce("_c", F.lit(0.0)), F.lit(0.0))).alias("sd"))
+
+
+def prefix_concordance(reads: DataFrame, tapes: DataFrame, design: str, least: int = 3) -> DataFrame:
+    """tape, site, sym, good, n, top: for symbols at site 2 on whose sites before are readable, the share of their commonest preceding prefix."""
+    rows = reads.where("sym IS NOT NULL AND site >= 2").select("cell", "tape", "site", "sym").join(tapes.select("cell", "tape", "read", "depth"), ["cell", "tape"]).where("depth >= site - 1")
+    rows = rows.withColumn("prefix", F.array_join(F.slice("read", F.lit(1), F.col("site") - 1), ">"))
+    per = rows.groupBy("tape", "site", "sym", "prefix").agg(F.count("*").alias("n"))
+    return top_share(per, ["tape", "site", "sym"]).where(F.col("total") >= least).select("tape", "site", "sym", F.col("sym").rlike(design).alias("good"), F.col("total").alias("n"), F.col("top_share").alias("top"))
+
+
+def null_top_shares(clones: DataFrame, sizes: list[int], reps: int, seed: int) -> DataFrame:
+    """n, top: the median share of the commonest clone among n cells drawn at random with replacement.
+
+    clones: clone, n. A draw is a place in the running total of the clones' sizes, which is a row for each clone.
+    """
+    from strandline.operators.reads import uniform
+
+    spark = clones.sparkSession
+    upto = F.sum("n").over(W.orderBy("clone"))
+    ends = clones.select("clone", (upto - F.col("n")).alias("_from"), upto.alias("_to"), F.sum("n").over(W.partitionBy()).alias("_all"))
+    each = spark.createDataFrame([(s,) for s in sizes], "size int").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("size"))))
+    total = clones.agg(F.sum("n").alias("_total"))
+    draws = each.join(F.broadcast(total)).withColumn("_at", F.floor(uniform(seed, "size", "rep", "draw") * F.col("_total")))
+    # The interval join meets on tenths of a thousandth of the total.
+    cell = lambda x, n: F.floor(x * 10_000 / n)
+    edges = ends.withColumn("_cell", F.explode(F.sequence(cell(F.col("_from"), F.col("_all")), cell(F.col("_to") - 1, F.col("_all")))))
+    hit = draws.withColumn("_cell", cell(F.col("_at"), F.col("_total"))).join(edges, "_cell").where("_at >= _from AND _at < _to")
+    top = hit.groupBy("size", "rep", "clone").agg(F.count("*").alias("_k")).groupBy("size", "rep").agg((F.max("_k") / F.max("size")).alias("_top"))
+    return top.groupBy(F.col("size").alias("n")).agg(F.percentile("_top", 0.5).alias("top"))
+
+
+def excess_top_share(items: DataFrame, null: DataFrame) -> DataFrame:
+    """Add expected, the null's top share at the item's n by linear interpolation, and excess. The null has a row for each point."""
+    points = null.select(F.col("n").alias("_x0"), F.col("top").alias("_y0"), F.lead("n").over(W.orderBy("n")).alias("_x1"), F.lead("top").over(W.orderBy("n")).alias("_y1"))
+    met = items.join(F.broadcast(points), (F.col("n") >= F.col("_x0")) & (F.col("_x1").isNull() | (F.col("n") < F.col("_x1"))))
+    expected = F.col("_y0") + F.coalesce((F.col("n") - F.col("_x0")) / (F.col("_x1") - F.col("_x0")) * (F.col("_y1") - F.col("_y0")), F.lit(0.0))
+    return met.withColumn("expected", expected).withColumn("excess", F.col("top") - F.col("expected")).drop("_x0", "_x1", "_y0", "_y1")
+
+
+def prefix_log_probability(prefixes: DataFrame, shares: DataFrame) -> DataFrame:
+    """clone, tape, d, prefix, log_p: the sum of the log shares of the symbols of each distinct prefix."""
+    own = prefixes.select("clone", "tape", "d", "prefix").distinct()
+    each = own.withColumn("sym", F.explode(F.split("prefix", ">"))).join(shares.select("sym", "p"), "sym")
+    return each.groupBy("clone", "tape", "d", "prefix").agg(F.sum(F.log("p")).alias("log_p"))

@@ -130,3 +130,57 @@ def truth_class(clades: DataFrame, truth: DataFrame) -> DataFrame:
     per = cells.join(truth, "cell").groupBy("clade", "size", "label").agg(F.count("*").alias("n")).join(sizes, "label")
     out = per.groupBy("clade", "size").agg(F.count("*").alias("labels"), F.count_if(F.col("n") < F.col("whole")).alias("broken"), (F.max("n") / F.sum("n")).alias("purity"))
     return out.withColumn("kind", F.when(F.col("labels") == 1, "WITHIN").when(F.col("broken") == 0, "UNION").otherwise("STRADDLE"))
+
+
+def crosstab(labels: DataFrame) -> DataFrame:
+    """clone, a, b, n11, n10, n01 of characters of different tapes that share a cell, from label vectors (cell, clone, tape, level, label).
+
+    A cell counts for a pair only where both tapes tell their state. It makes a row for
+    each cell and two of its labels: a cross-check of the sparse counts, not the way to large tables.
+    """
+    told = labels.where("label <> 'UNDET'").select("clone", "cell", "tape", "level", F.when(F.col("label") != "ABSENT", F.col("label").cast("long")).alias("id"))
+    side = lambda x: told.select("clone", "cell", *(F.col(c).alias(f"{c}{x}") for c in ("tape", "level", "id")))
+    both = side("a").join(side("b"), ["clone", "cell"]).where("tapea < tapeb")
+    vectors = ["clone", "tapea", "levela", "tapeb", "levelb"]
+    n11 = both.where("ida IS NOT NULL AND idb IS NOT NULL").groupBy(*vectors, "ida", "idb").agg(F.count("*").alias("n11"))
+    of = lambda c, name: both.where(f"{c} IS NOT NULL").groupBy(*vectors, c).agg(F.count("*").alias(name))
+    out = n11.join(of("ida", "_ra"), [*vectors, "ida"]).join(of("idb", "_rb"), [*vectors, "idb"])
+    a, b = F.least("ida", "idb"), F.greatest("ida", "idb")
+    first = F.col("ida") < F.col("idb")
+    n10, n01 = F.col("_ra") - F.col("n11"), F.col("_rb") - F.col("n11")
+    return out.select("clone", a.alias("a"), b.alias("b"), "n11", F.when(first, n10).otherwise(n01).alias("n10"), F.when(first, n01).otherwise(n10).alias("n01"))
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """clone, id, near: the sorted partners of each character."""
+    both = edges.select("clone", F.col("a").alias("id"), F.col("b").alias("_n")).unionByName(edges.select("clone", F.col("b").alias("id"), F.col("a").alias("_n")))
+    return both.groupBy("clone", "id").agg(F.array_sort(F.collect_set("_n")).alias("near"))
+
+
+def witnesses(edges: DataFrame, characters: DataFrame) -> DataFrame:
+    """clone, a, b, both, only_a, only_b: the cells that make two characters conflict."""
+    of = lambda k: characters.select("clone", F.col("id").alias(k), F.col("cells").alias(f"_{k}"))
+    met = edges.select("clone", "a", "b").join(of("a"), ["clone", "a"]).join(of("b"), ["clone", "b"])
+    return met.select("clone", "a", "b", F.array_sort(F.array_intersect("_a", "_b")).alias("both"), F.array_sort(F.array_except("_a", "_b")).alias("only_a"), F.array_sort(F.array_except("_b", "_a")).alias("only_b"))
+
+
+def proper_clades(clades: DataFrame, cells: DataFrame) -> DataFrame:
+    """Clades of two cells or more that aren't the whole clone."""
+    whole = cells.groupBy("clone").agg(F.count("*").alias("_n"))
+    return clades.join(whole, "clone").where("size >= 2 AND size < _n").drop("_n")
+
+
+def inside_outside(prefixes: DataFrame, least: int = 4) -> DataFrame:
+    """clone, tape, d, prefix, inside, outside: cells of a clade, and cells of the clone whose tape tells another prefix of that length."""
+    per = prefixes.groupBy("clone", "tape", "d", "prefix").agg(F.count("*").alias("inside"))
+    told = prefixes.groupBy("clone", "tape", "d").agg(F.count("*").alias("_n"))
+    return per.where(F.col("inside") >= least).join(told, ["clone", "tape", "d"]).select("clone", "tape", "d", "prefix", "inside", (F.col("_n") - F.col("inside")).alias("outside"))
+
+
+def children(skeleton: DataFrame, clades: DataFrame, cells: DataFrame) -> DataFrame:
+    """clone, node (null for the clone itself), clades, cells: direct child clades of each node, and cells it owns directly."""
+    inner = skeleton.groupBy("clone", F.col("parent").alias("node")).agg(F.count("*").alias("clades"), F.sum("size").alias("_in"))
+    nodes = skeleton.select("clone", "node", "size").unionByName(cells.groupBy("clone").agg(F.count("*").alias("size")).select("clone", F.lit(None).cast("long").alias("node"), "size"))
+    key = lambda df, n: df.withColumn("_k", F.coalesce("node", F.lit(-1))).drop(n)
+    out = key(nodes, "").join(key(inner, "node"), ["clone", "_k"], "left")
+    return out.select("clone", "node", F.coalesce("clades", F.lit(0)).alias("clades"), (F.col("size") - F.coalesce("_in", F.lit(0))).alias("cells"))

@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.special import poisson_pmf, poisson_sf
@@ -25,8 +25,8 @@ def advance(n: int, sites: int, mean: float) -> float:
     return poisson_sf(n, mean) if n == sites else poisson_pmf(n, mean)
 
 
-def tape_log_likelihood(parent: dict[int, int], time: dict[int, float], reads: dict[int, tuple[int, ...] | None], rate: float, shares: list[float], sites: int, silence: float, missed: float) -> float:
-    """Log likelihood of a tape: ``reads`` has a tip's symbols, or None if it isn't seen."""
+def tape_log_likelihood(parent: dict[int, int], time: dict[int, float], reads: dict[int, tuple[int, ...] | None], rate: float, shares: list[float], sites: int, silence: float, missed: float, stem: float = 0.0) -> float:
+    """Log likelihood of a tape: ``reads`` has a tip's symbols, or None if it isn't seen. A branch of length ``stem`` leads from an empty founder to the root."""
     children: dict[int, list[int]] = {}
     root = None
     for node, up in parent.items():
@@ -76,11 +76,18 @@ def tape_log_likelihood(parent: dict[int, int], time: dict[int, float], reads: d
         if top > 0:
             live, silent, scale = live / top, silent / top, scale + math.log(top)
         common[node], value[node] = prefix, (live, silent)
-    first = value[root][0][0]
+    live, gone = value[root]
+    first = live[0]
+    if stem > 0:
+        keep, p, reached = math.exp(-silence * stem), 1.0, first if common[root] is None else 0.0
+        for k in range(len(live) if common[root] is not None else 0):
+            p *= shares[common[root][k - 1]] if k else 1.0
+            reached += advance(k, sites, rate * stem) * p * live[k]
+        first = keep * reached + (1 - keep) * gone
     return math.log(first) + scale if first > 0 else -math.inf
 
 
-def log_likelihoods(trees: DataFrame, tips: DataFrame, rate: float, shares: list[float], sites: int = 6, silence: float = 0.0, missed: float = 0.0) -> DataFrame:
+def log_likelihoods(trees: DataFrame, tips: DataFrame, rate: float, shares: list[float], sites: int = 6, silence: float = 0.0, missed: float = 0.0, stem: float = 0.0) -> DataFrame:
     """tree, tape, loglik: a kernel for each tree and tape. tips: tree, node, tape, read, seen."""
     tapes = tips.select("tree", "tape").distinct()
     rows = trees.join(tapes, "tree").join(tips.select("tree", "node", "tape", "read", "seen"), ["tree", "node", "tape"], "left")
@@ -89,19 +96,54 @@ def log_likelihoods(trees: DataFrame, tips: DataFrame, rate: float, shares: list
         parent = {int(n): None if pd.isna(p) else int(p) for n, p in zip(rows["node"], rows["parent"], strict=True)}
         time = dict(zip(rows["node"].astype(int), rows["t"], strict=True))
         reads = {int(n): tuple(r) if s else None for n, r, s, t in zip(rows["node"], rows["read"], rows["seen"], rows["tip"], strict=True) if t}
-        ll = tape_log_likelihood(parent, time, reads, rate, shares, sites, silence, missed)
+        ll = tape_log_likelihood(parent, time, reads, rate, shares, sites, silence, missed, stem)
         return pd.DataFrame({"tree": [rows["tree"].iloc[0]], "tape": [rows["tape"].iloc[0]], "loglik": [ll]})
 
     return rows.groupBy("tree", "tape").applyInPandas(run, "tree long, tape int, loglik double")
 
 
+def one_descendant(h: Column, birth: float, death: float, rho: float) -> Column:
+    """Chance that a lineage at height h leaves exactly one sampled descendant."""
+    r, k = birth - death, birth * (1 - rho) - death
+    e = F.exp(-r * h)
+    return rho * r * r * e / F.pow(birth * rho + k * e, 2)
+
+
 def tree_prior(trees: DataFrame, birth: float, death: float, rho: float, height: float) -> DataFrame:
-    """tree, log_prior: density of the branching times of sampled birth-death trees, given that the root survives."""
-    r = birth - death
-    s = height - F.col("t")
-    q = F.pow(rho * birth + (r - rho * birth) * F.exp(-r * s), -2) * (r * r) * F.exp(-r * s)
-    inner = trees.where("NOT tip")
-    return inner.groupBy("tree").agg(F.sum(F.log(F.lit(birth * rho)) + F.log(q)).alias("log_prior"))
+    """tree, log_prior: of the heights of inner nodes of sampled birth-death trees, given the number of tips and a founder at ``height``.
+
+    The heights are independent, each with the density of ``one_descendant`` over its
+    integral up to ``height``. Nodes have t, the time from the founder.
+    """
+    r, k = birth - death, birth * (1 - rho) - death
+    whole = rho * -math.expm1(-r * height) / (birth * rho + k * math.exp(-r * height))
+    density = one_descendant(height - F.col("t"), birth, death, rho) / whole
+    return trees.where("NOT tip").groupBy("tree").agg(F.sum(F.log(density)).alias("log_prior"))
+
+
+def height_ratios(trees: DataFrame, height: float) -> DataFrame:
+    """tree, node, x of inner nodes: the log odds of a node's height over its parent's, the root's over the founder's ``height``."""
+    h = trees.select("tree", "node", "parent", "tip", (height - F.col("t")).alias("h"))
+    above = h.select("tree", F.col("node").alias("parent"), F.col("h").alias("_hp"))
+    f = F.col("h") / F.coalesce("_hp", F.lit(height))
+    return h.where("NOT tip").join(above, ["tree", "parent"], "left").select("tree", "node", F.log(f / (1 - f)).alias("x"))
+
+
+def times_of_ratios(trees: DataFrame, ratios: DataFrame, height: float) -> DataFrame:
+    """tree, node, t: the inverse of ``height_ratios``; heights are products along the path to the root."""
+    from strandline.operators.tree import descend
+
+    own = ratios.select("tree", "node", -F.log(1 + F.exp(-F.col("x")))).toDF("tree", "node", "x")
+    return descend(trees.where("NOT tip"), own).select("tree", "node", (height - height * F.exp("x")).alias("t"))
+
+
+def log_jacobian(trees: DataFrame, height: float) -> DataFrame:
+    """tree, log_jacobian of the map from ratios to heights."""
+    ratios = height_ratios(trees, height)
+    h = trees.select("tree", F.col("node").alias("parent"), (height - F.col("t")).alias("_hp"))
+    own = trees.select("tree", "node", "parent").join(ratios, ["tree", "node"]).join(h, ["tree", "parent"], "left")
+    s = 1 / (1 + F.exp(-F.col("x")))
+    return own.groupBy("tree").agg(F.sum(F.log(F.coalesce("_hp", F.lit(height))) + F.log(s) + F.log(1 - s)).alias("log_jacobian"))
 
 
 def rate_profile(trees: DataFrame, tips: DataFrame, rates: list[float], shares: list[float], sites: int = 6) -> DataFrame:

@@ -78,7 +78,8 @@ def pair_moments(values: DataFrame, keys: list[str], x: str = "x") -> DataFrame:
 def within_correlation(values: DataFrame, group: str, feature: str | None = None, x: str = "x") -> DataFrame:
     """rho of pairs within groups, and of pairs between them, values centred over all rows (of a feature, if given)."""
     keys = [feature] if feature else []
-    centred = values.withColumn("_x", F.col(x) - F.avg(x).over(W.partitionBy(*keys)))
+    means = values.groupBy(*keys).agg(F.avg(x).alias("_mean"))
+    centred = (values.join(means, keys) if keys else values.join(F.broadcast(means))).withColumn("_x", F.col(x) - F.col("_mean"))
     own = pair_moments(centred, [*keys, group], "_x").groupBy(*keys).agg(F.sum("pair_sum").alias("_in"), F.sum(F.col("m") * (F.col("m") - 1)).alias("_pairs"))
     every = centred.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("_x") * F.col("_x")).alias("_ss"), (F.pow(F.sum("_x"), 2) - F.sum(F.col("_x") * F.col("_x"))).alias("_all"))
     out = own.join(every, keys) if keys else own.join(F.broadcast(every))
@@ -149,7 +150,7 @@ def lineage_excess(prefixes: DataFrame, entries: DataFrame) -> DataFrame:
 
 def group_decomposition(values: DataFrame, group: str, x: str = "x") -> DataFrame:
     """pooled, without_largest, equal_weight, share_positive: the within-group correlation taken apart by group."""
-    centred = values.withColumn("_x", F.col(x) - F.avg(x).over(W.partitionBy()))
+    centred = values.join(F.broadcast(values.agg(F.avg(x).alias("_mean")))).withColumn("_x", F.col(x) - F.col("_mean"))
     var = centred.agg(F.avg(F.col("_x") * F.col("_x")).alias("_v"))
     own = pair_moments(centred, [group], "_x").where("m > 1").withColumn("_pairs", F.col("m") * (F.col("m") - 1))
     own = own.withColumn("_last", F.row_number().over(W.orderBy(F.desc("m"), group)) == 1)
@@ -159,3 +160,77 @@ def group_decomposition(values: DataFrame, group: str, x: str = "x") -> DataFram
 
 def rate_histogram(margin: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
     return margin.groupBy(F.width_bucket(value, F.lit(low), F.lit(high), F.lit(bins)).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def band_profile(cells: DataFrame, value: str, flag: str, edges: list[int]) -> DataFrame:
+    """band, n, share: of cells in each half-open band the share with a flag."""
+    from strandline.operators.reads import band
+
+    return cells.groupBy(band(F.col(value), edges).alias("band")).agg(F.count("*").alias("n"), F.avg(F.col(flag).cast("double")).alias("share"))
+
+
+def reference_depths(tapes: DataFrame, entries: DataFrame, top: int, least: int) -> DataFrame:
+    """cell, n, mean_depth over the ``top`` tapes that most cells have, of cells with ``least`` of them."""
+    ref = tape_margin(entries).orderBy(F.desc("r"), "tape").limit(top).select("tape")
+    own = tapes.where("depth > 0").join(F.broadcast(ref), "tape")  # at most ``top`` rows
+    return own.groupBy("cell").agg(F.count("*").alias("n"), F.avg("depth").alias("mean_depth")).where(F.col("n") >= least)
+
+
+def rho_three_ways(entries: DataFrame, unit: str) -> DataFrame:
+    """One row: the correlation of two entries of a unit from the variance of its sums, from all ordered pairs, and from the analysis of variance, and what they say of P(missing | missing)."""
+    y = 1 - F.col("missing")
+    per = entries.groupBy(unit).agg(F.sum(y).cast("double").alias("r"), F.count("*").cast("double").alias("m"))
+    all_ = per.agg(F.var_samp("r").alias("_vr"), F.var_samp(F.col("r") / F.col("m")).alias("_vm"), F.avg("m").alias("m"), (F.sum("r") / F.sum("m")).alias("p"), F.sum(F.col("r") * (F.col("r") - 1)).alias("_rr"), F.sum(F.col("m") * (F.col("m") - 1)).alias("_mm"), F.sum((F.col("m") - F.col("r")) * (F.col("m") - F.col("r") - 1)).alias("_qq"), F.sum((F.col("m") - F.col("r")) * (F.col("m") - 1)).alias("_qm"))
+    total = F.col("p") * (1 - F.col("p"))
+    vif = F.col("_vr") / (F.col("m") * total)
+    rho = (vif - 1) / (F.col("m") - 1)
+    return all_.select("m", "p", vif.alias("vif"), rho.alias("rho_variance"), ((F.col("_rr") / F.col("_mm") - F.col("p") * F.col("p")) / total).alias("rho_pairs"), (F.greatest(F.col("_vm") - total / F.col("m"), F.lit(0.0)) / total).alias("rho_anova"), (F.col("_qq") / F.col("_qm")).alias("p_missing_given_missing"), (1 - F.col("p") + rho * F.col("p")).alias("p_predicted"))
+
+
+def threshold_split(points: DataFrame, x: str, y: str, cut: float) -> DataFrame:
+    """n and mean of ``y`` below and from ``cut`` of ``x`` on, and the rank correlation above it."""
+    sides = points.agg(F.count_if(F.col(x) < cut).alias("n_below"), F.avg(F.when(F.col(x) < cut, F.col(y))).alias("mean_below"), F.count_if(F.col(x) >= cut).alias("n_above"), F.avg(F.when(F.col(x) >= cut, F.col(y))).alias("mean_above"))
+    return sides.join(F.broadcast(spearman(points.where(F.col(x) >= cut), x, y).select(F.col("rho").alias("rho_above"))))
+
+
+def depth_family(tapes: DataFrame, level: int) -> DataFrame:
+    """cell, clone, sample, tape, x, w: whether a tape reached a level, with weight 0 where junk hides it."""
+    from strandline.operators.reads import reached
+
+    x, w = reached(level, F.col("depth"), F.col("term"))
+    return tapes.select("cell", "clone", "sample", "tape", x.cast("double").alias("x"), w.cast("double").alias("w"))
+
+
+def with_tape_mean(values: DataFrame) -> DataFrame:
+    """Add p, the weighted mean of x of the tape, kept off 0 and 1."""
+    p = values.groupBy("tape").agg(F.greatest(F.least(F.sum(F.col("x") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1.0)), F.lit(1 - 1e-6)), F.lit(1e-6)).alias("p"))
+    return values.join(p, "tape")
+
+
+def standardised_pairs(values: DataFrame, group: str, keys: list[str]) -> DataFrame:
+    """keys, _num, _den: sums over ordered pairs of a group of products of residuals x - p, and of their standard deviations."""
+    r = F.when(F.col("w") > 0, F.col("x") - F.col("p")).otherwise(0.0)
+    v = F.when(F.col("w") > 0, F.col("p") * (1 - F.col("p"))).otherwise(0.0)
+    own = values.withColumns({"_r": r, "_v": v}).groupBy(*keys, group)
+    per = own.agg((F.pow(F.sum("_r"), 2) - F.sum(F.col("_r") * F.col("_r"))).alias("_n"), (F.pow(F.sum(F.sqrt("_v")), 2) - F.sum("_v")).alias("_d"))
+    return per.groupBy(*keys).agg(F.sum("_n").alias("_num"), F.sum("_d").alias("_den"))
+
+
+def rho_in_clones_and_samples(values: DataFrame) -> DataFrame:
+    """tape, rho_within (pairs of a clone), rho_between (pairs of a sample and not of a clone) of x, w around p."""
+    a = standardised_pairs(values, "clone", ["tape"]).select("tape", F.col("_num").alias("_nw"), F.col("_den").alias("_dw"))
+    b = standardised_pairs(values, "sample", ["tape"])
+    both = a.join(b, "tape").withColumns({"_nb": F.col("_num") - F.col("_nw"), "_db": F.col("_den") - F.col("_dw")})
+    ratio = lambda n, d: F.when(F.col(d) > 0, F.col(n) / F.col(d))
+    return both.select("tape", ratio("_nw", "_dw").alias("rho_within"), ratio("_nb", "_db").alias("rho_between"))
+
+
+def tape_null(values: DataFrame, moves: DataFrame) -> DataFrame:
+    """tape, observed, mean, sd, z, skew, p_up, p_down of rho_within against whole rows of cells moved by ``moves`` (perm, cell, source); values are compared to nine digits."""
+    rho = lambda v, keys: standardised_pairs(v, "clone", keys).select(*keys, F.when(F.col("_den") > 0, F.round(F.col("_num") / F.col("_den"), 9)).alias("rho"))
+    seen = rho(values, ["tape"]).withColumnRenamed("rho", "observed")
+    here = moves.join(values.select("cell", "clone").distinct(), "cell").select("perm", "clone", "source")
+    moved = here.join(values.select(F.col("cell").alias("source"), "tape", "x", "w", "p"), "source")
+    null = rho(moved, ["perm", "tape"]).join(seen, "tape")
+    per = null.groupBy("tape").agg(F.max("observed").alias("observed"), F.avg("rho").alias("mean"), F.stddev_samp("rho").alias("sd"), (F.avg(F.pow("rho", 3)) - 3 * F.avg("rho") * F.avg(F.col("rho") * F.col("rho")) + 2 * F.pow(F.avg("rho"), 3)).alias("_m3"), F.count_if(F.col("rho") >= F.col("observed")).alias("_up"), F.count_if(F.col("rho") <= F.col("observed")).alias("_down"), F.count("*").alias("_b"))
+    return per.select("tape", "observed", "mean", "sd", ((F.col("observed") - F.col("mean")) / F.col("sd")).alias("z"), (F.col("_m3") / F.pow("sd", 3)).alias("skew"), ((1 + F.col("_up")) / (1 + F.col("_b"))).alias("p_up"), ((1 + F.col("_down")) / (1 + F.col("_b"))).alias("p_down"))

@@ -100,10 +100,10 @@ def explode_prefixes(tapes: DataFrame) -> DataFrame:
 
 
 def hash_order(seed: int, *ids: str) -> Column:
-    """An order that looks random and depends on the seed and ids alone."""
-    return F.xxhash64(F.lit(seed), *ids)
+    """An order that looks random and depends on the seed and ids alone: the MD5 of both, which any SQL engine can repeat."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(i).cast("string") for i in ids)).cast("binary"))
 
 
 def uniform(seed: int, *ids: str) -> Column:
-    """A number in [0, 1) from the seed and ids alone."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *ids), 11) / F.lit(float(1 << 53))
+    """A number in [0, 1) from the seed and ids alone: the first 52 bits of ``hash_order``."""
+    return F.conv(F.substring(hash_order(seed, *ids), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))

@@ -33,6 +33,15 @@ def nearest(pairs: DataFrame, k: int) -> DataFrame:
     return both_ways(pairs).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("clone", "i", "j", "rank")
 
 
+def nearest_in(pairs: DataFrame, keys: list[str], k: int, pad: int) -> DataFrame:
+    """keys, i, j, rank, times: ``nearest`` and ``padded`` for each value of ``keys``; pairs: keys, i, j, rel."""
+    both = pairs.select(*keys, "i", "j", "rel").unionByName(pairs.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"), "rel"))
+    order = W.partitionBy(*keys, "i").orderBy(F.col("rel").desc(), "j")
+    near = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    n = F.count("*").over(W.partitionBy(*keys, "i"))
+    return near.withColumn("_n", n).select(*keys, "i", "j", "rank", (F.floor(F.lit(pad) / F.col("_n")) + F.when(F.col("rank") <= pad % F.col("_n"), 1).otherwise(0)).cast("long").alias("times"))
+
+
 def random_mates(cells: DataFrame, k: int, seed: int) -> DataFrame:
     """clone, i, j, rank: k mates of each cell by hash order, itself excluded.
 
@@ -116,3 +125,61 @@ def collision_flags(prefixes: DataFrame, consensus: DataFrame) -> DataFrame:
     other = F.max(F.when(F.col("rival") != F.col("clone"), F.struct("n", (-F.col("rival")).alias("r"))))
     out = met.groupBy("cell", "clone").agg(F.coalesce(own, F.lit(0)).alias("own"), other.alias("_o"))
     return out.select("cell", "clone", "own", F.coalesce("_o.n", F.lit(0)).alias("best"), (-F.col("_o.r")).alias("rival"))
+
+
+def floored_residuals(entries: DataFrame, floor: float) -> DataFrame:
+    """Add r: (missing - p) over the tape's standard deviation, at least that of a rate of ``floor``."""
+    least = (floor * (1 - floor)) ** 0.5
+    return entries.withColumn("r", (F.col("missing") - F.col("p")) / F.greatest(F.sqrt(F.col("p") * (1 - F.col("p"))), F.lit(least)))
+
+
+def padded(mates: DataFrame, k: int) -> DataFrame:
+    """Add times: how often a mate counts when fewer than ``k`` are repeated in turn up to k."""
+    n = F.count("*").over(W.partitionBy("i"))
+    return mates.withColumn("_n", n).withColumn("times", (F.floor(F.lit(k) / F.col("_n")) + F.when(F.col("rank") <= k % F.col("_n"), 1).otherwise(0)).cast("long")).drop("_n")
+
+
+def neighbour_mean(mates: DataFrame, residuals: DataFrame) -> DataFrame:
+    """i, tape, u, f, n: mean residual and missing share of a cell's mates, each counted ``times``."""
+    own = residuals.select(F.col("cell").alias("j"), "tape", "r", "missing")
+    met = mates.join(own, "j")
+    n = F.sum("times")
+    return met.groupBy("i", "tape").agg((F.sum(F.col("times") * F.col("r")) / n).alias("u"), (F.sum(F.col("times") * F.col("missing")) / n).alias("f"), n.alias("n"))
+
+
+def independent_mates(cells: DataFrame, k: int, seed: int) -> DataFrame:
+    """clone, i, j, rank: k mates of each cell, each an independent draw among the others of its clone; mates may repeat."""
+    from strandline.operators.reads import uniform
+
+    ring = cells.select("clone", "cell").withColumn("_at", F.row_number().over(W.partitionBy("clone").orderBy("cell")) - 1)
+    size = cells.groupBy("clone").agg(F.count("*").alias("_n")).where("_n > 1")
+    ask = ring.join(size, "clone").withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    draw = F.floor(uniform(seed, "cell", "rank") * (F.col("_n") - 1))
+    ask = ask.withColumn("_want", draw + F.when(draw >= F.col("_at"), 1).otherwise(0)).select("clone", F.col("cell").alias("i"), "rank", "_want")
+    return ask.join(ring.select("clone", F.col("cell").alias("j"), F.col("_at").cast("long").alias("_want")), ["clone", "_want"]).select("clone", "i", "j", "rank")
+
+
+def split_variogram(pairs: DataFrame, residuals: DataFrame, edges: list[float]) -> DataFrame:
+    """split, bin, n_pairs, mean_rel, product: pairs (split, i, j, rel) by fixed bins of relatedness, and the mean over the split's tapes of the product of residuals (split, cell, tape, r)."""
+    bin_ = F.lit(None).cast("int")
+    for b, low in enumerate(edges):
+        bin_ = F.when(F.col("rel") >= low, b).otherwise(bin_)
+    binned = pairs.withColumn("bin", bin_).where("bin IS NOT NULL")
+    own = binned.join(residuals.select("split", F.col("cell").alias("i"), "tape", F.col("r").alias("_ri")), ["split", "i"]).join(residuals.select("split", F.col("cell").alias("j"), "tape", F.col("r").alias("_rj")), ["split", "j", "tape"])
+    per = own.groupBy("split", "bin", "i", "j").agg(F.avg(F.col("_ri") * F.col("_rj")).alias("_s"), F.max("rel").alias("rel"))
+    return per.groupBy("split", "bin").agg(F.count("*").alias("n_pairs"), F.avg("rel").alias("mean_rel"), F.avg("_s").alias("product"))
+
+
+def over_splits(observed: DataFrame, null: DataFrame) -> DataFrame:
+    """bin, observed, null, difference, sd, t over the splits."""
+    both = observed.select("split", "bin", F.col("product").alias("_o")).join(null.select("split", "bin", F.col("product").alias("_n")), ["split", "bin"])
+    d = F.col("_o") - F.col("_n")
+    out = both.groupBy("bin").agg(F.avg("_o").alias("observed"), F.avg("_n").alias("null"), F.avg(d).alias("difference"), F.stddev_samp(d).alias("sd"), F.count("*").alias("_k"))
+    return out.select("bin", "observed", "null", "difference", "sd", F.when(F.col("sd") > 0, F.col("difference") / (F.col("sd") / F.sqrt("_k"))).alias("t"))
+
+
+def audit(pairs: DataFrame) -> DataFrame:
+    """quarter, n, joint, rel, corr: mean joint tapes and relatedness of pairs by quartile of joint tapes, and their correlation over all pairs."""
+    edges = pairs.agg(F.percentile("joint", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"), F.corr("rel", "joint").alias("corr"))
+    quarter = F.when(F.col("joint") < F.col("_q")[0], 0).when(F.col("joint") < F.col("_q")[1], 1).when(F.col("joint") < F.col("_q")[2], 2).otherwise(3)
+    return pairs.join(F.broadcast(edges)).groupBy(quarter.alias("quarter"), "corr").agg(F.count("*").alias("n"), F.avg("joint").alias("joint"), F.avg("rel").alias("rel"))

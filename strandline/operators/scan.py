@@ -107,8 +107,8 @@ def exact_moments(combos: DataFrame, entries: DataFrame) -> DataFrame:
 
 def bonferroni(tests: DataFrame, p: str, false: float) -> DataFrame:
     """Add passes: p at most the expected number of false ones over the number of tests."""
-    n = F.count(p).over(W.partitionBy())
-    return tests.withColumn("passes", F.col(p) <= false / n)
+    n = tests.agg(F.count(p).alias("_n"))
+    return tests.join(F.broadcast(n)).withColumn("passes", F.col(p) <= false / F.col("_n")).drop("_n")
 
 
 def benjamini_hochberg(tests: DataFrame, p: str, tie: str, q: float) -> DataFrame:
@@ -149,3 +149,111 @@ def survival_excess(tests: DataFrame, p: str, exponents: list[int]) -> DataFrame
     """t, observed, expected: tests with p at most 10 to the -t, beside n 10^-t."""
     rows = tests.select(p, F.explode(F.array(*(F.lit(t) for t in exponents))).alias("t"))
     return rows.groupBy("t").agg(F.count_if(F.col(p) <= F.pow(F.lit(10.0), -F.col("t"))).alias("observed"), (F.count("*") * F.pow(F.lit(10.0), -F.first("t"))).alias("expected"))
+
+
+def hard_at(combos: DataFrame, eps: list[float]) -> DataFrame:
+    """clone, anchor, d, prefix, tape, eps, hard: the hard score for other error rates, from the counts and u alone."""
+    e = F.explode(F.array(*(F.lit(x) for x in eps))).alias("eps")
+    hard = F.col("k") * F.log(1 - F.col("eps")) + (F.col("m") - F.col("k")) * F.log("eps") - F.col("u")
+    return combos.select("clone", "anchor", "d", "prefix", "tape", "m", "k", "u", e).withColumn("hard", hard).drop("m", "k", "u")
+
+
+def loss_expectations(combos: DataFrame, members: DataFrame, entries: DataFrame) -> DataFrame:
+    """Add all_missing, all_present, what independence expects of either, and inherited: the whole clone lacks the tape."""
+    p = entries.select("cell", "tape", "missing", F.log("p").alias("_l"), F.log(1 - F.col("p")).alias("_l1"))
+    own = members.join(p, "cell").where("tape <> anchor").groupBy("clone", "anchor", "d", "prefix", "tape").agg(F.exp(F.sum("_l")).alias("e_missing"), F.exp(F.sum("_l1")).alias("e_present"))
+    whole = entries.groupBy("clone", "tape").agg((F.min("missing") == 1).alias("inherited"))
+    out = combos.join(own, ["clone", "anchor", "d", "prefix", "tape"]).join(whole, ["clone", "tape"])
+    return out.withColumns({"all_missing": (F.col("k") == F.col("m")).cast("int"), "all_present": (F.col("k") == 0).cast("int")})
+
+
+def clade_members(prefixes: DataFrame, least: int = 4) -> DataFrame:
+    """clone, anchor, d, prefix, cell of clades with ``least`` cells."""
+    clades = prefixes.select("clone", F.col("tape").alias("anchor"), "d", "prefix", "cell")
+    sizes = clades.groupBy("clone", "anchor", "d", "prefix").agg(F.count("*").alias("_m")).where(F.col("_m") >= least).drop("_m")
+    return clades.join(sizes, ["clone", "anchor", "d", "prefix"])
+
+
+COMBO = ["clone", "anchor", "d", "prefix", "tape"]
+
+
+def hold_out_margins(observed: DataFrame, null: DataFrame, value: str, hold: int) -> DataFrame:
+    """COMBO, stratum, source (0 observed, else the permutation held out), margin: a value less the largest of the other permutations.
+
+    null has perm from 1 on; the first ``hold`` of them are held out.
+    """
+    top = null.where(F.col("perm") > hold).groupBy(*COMBO).agg(F.max(value).alias("_top"))
+    sources = observed.select(*COMBO, "stratum", F.lit(0).alias("source"), F.col(value).alias("_v")).unionByName(null.where(F.col("perm") <= hold).select(*COMBO, "stratum", F.col("perm").alias("source"), F.col(value).alias("_v")))
+    return sources.join(top, COMBO).select(*COMBO, "stratum", "source", (F.col("_v") - F.col("_top")).alias("margin"))
+
+
+def calibrated_thresholds(margins: DataFrame, hold: int, step: float, points: int, budget: float) -> DataFrame:
+    """stratum, t_idx, observed, expected: the first point of a grid from 0 on at which the held-out permutations have at most ``budget`` margins on average, if any margin is observed there."""
+    at = F.least(F.floor(F.col("margin") / step), F.lit(points - 1)).cast("int")
+    per = margins.where("margin >= 0").groupBy("stratum", at.alias("t_idx")).agg(F.count_if(F.col("source") == 0).alias("_o"), F.count_if(F.col("source") > 0).alias("_u"))
+    grid = margins.select("stratum").distinct().withColumn("t_idx", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    down = W.partitionBy("stratum").orderBy(F.col("t_idx").desc())
+    full = grid.join(per, ["stratum", "t_idx"], "left").select("stratum", "t_idx", F.sum(F.coalesce("_o", F.lit(0))).over(down).alias("observed"), (F.sum(F.coalesce("_u", F.lit(0))).over(down) / hold).alias("expected"))
+    first = full.where(F.col("expected") <= budget).groupBy("stratum").agg(F.min(F.struct("t_idx", "observed", "expected")).alias("x"))
+    return first.select("stratum", "x.*").where("observed > 0")
+
+
+def curve_over_permutations(null: DataFrame, value: str, step: float, points: int, b: int) -> DataFrame:
+    """stratum, t_idx, mean, sd, top over ``b`` permutations of how many values reach each grid point from 0 on; permutations without any count as 0."""
+    at = F.least(F.floor(F.col(value) / step), F.lit(points - 1)).cast("int")
+    per = null.where(F.col(value) >= 0).groupBy("stratum", "perm", at.alias("t_idx")).agg(F.count("*").alias("_n"))
+    grid = null.select("stratum").distinct().withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(b)))).withColumn("t_idx", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    down = W.partitionBy("stratum", "perm").orderBy(F.col("t_idx").desc())
+    full = grid.join(per, ["stratum", "perm", "t_idx"], "left").select("stratum", "t_idx", F.sum(F.coalesce("_n", F.lit(0))).over(down).alias("n"))
+    return full.groupBy("stratum", "t_idx").agg(F.avg("n").alias("mean"), F.stddev_samp("n").alias("sd"), F.max("n").alias("top"))
+
+
+def global_p(observed: DataFrame, null: DataFrame, value: str, cuts: list[float], b: int) -> DataFrame:
+    """cut, observed, null_mean, p: how many values reach a cut, and the share of permutations with as many."""
+    cut = F.explode(F.array(*(F.lit(float(c)) for c in cuts))).alias("cut")
+    seen = observed.select(value, cut).groupBy("cut").agg(F.count_if(F.col(value) >= F.col("cut")).alias("observed"))
+    per = null.select("perm", value, cut).groupBy("perm", "cut").agg(F.count_if(F.col(value) >= F.col("cut")).alias("n")).join(seen, "cut")
+    out = per.groupBy("cut", "observed").agg((F.sum("n") / b).alias("null_mean"), F.count_if(F.col("n") >= F.col("observed")).alias("_ge"))
+    return out.select("cut", "observed", "null_mean", ((1 + F.col("_ge")) / (1 + b)).alias("p"))
+
+
+def soft_two_sided(combos: DataFrame) -> DataFrame:
+    """Add soft: the likelihood ratio of one rate against the entries' own, whichever is higher."""
+    k, m = F.col("k"), F.col("m")
+    return combos.withColumn("soft", x_ln_y(k, k / m) + x_ln_y(m - k, (m - k) / m) - F.col("u"))
+
+
+def calibration(observed: DataFrame, null: DataFrame, value: str, tails: list[float]) -> DataFrame:
+    """tail, observed, null, enrichment, and mean and standard deviation of both: null counts are means over its permutations."""
+    def half(df: DataFrame, by: list[str]) -> DataFrame:
+        counts = [F.count_if(F.col(value) >= t).alias(f"t{i}") for i, t in enumerate(tails)]
+        return df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), *counts)
+
+    a = half(observed, [])
+    b = half(null, ["perm"]).agg(F.avg("mean").alias("null_mean"), F.avg("sd").alias("null_sd"), *(F.coalesce(F.avg(f"t{i}"), F.lit(0.0)).alias(f"n{i}") for i in range(len(tails))))
+    one = a.join(F.broadcast(b))
+    each = F.explode(F.array(*(F.struct(F.lit(float(t)).alias("tail"), F.col(f"t{i}").cast("double").alias("observed"), F.col(f"n{i}").alias("null")) for i, t in enumerate(tails)))).alias("x")
+    return one.select("mean", "sd", "null_mean", "null_sd", each).select("x.*", "mean", "sd", "null_mean", "null_sd").withColumn("enrichment", F.col("observed") / F.greatest("null", F.lit(1e-9)))
+
+
+def shifts(hits: DataFrame, members: DataFrame, entries: DataFrame, steps: int = 40) -> DataFrame:
+    """COMBO, delta, lrt: the shift of the log odds of a hit's entries that fits its count, and twice the log likelihood it gains.
+
+    A hit's entries come down to a count for each distinct rate, as many as it has tapes'
+    or fitted rates, and Newton steps, clipped to 1, run over these. Hits with all or none
+    missing have no finite shift and keep a null.
+    """
+    from strandline.functions.special import clip, logit, sigmoid
+
+    e = entries.select("cell", "tape", "missing", logit(F.col("p")).alias("eta"))
+    rows = members.join(hits.select(*COMBO), ["clone", "anchor", "d", "prefix"]).join(e, ["cell", "tape"])
+    rows = rows.groupBy(*COMBO, "eta").agg(F.count("*").alias("n"), F.sum("missing").alias("k"))
+    packed = rows.groupBy(*COMBO).agg(F.collect_list(F.struct("eta", "n", "k")).alias("_e"), F.sum("k").alias("_k"), F.sum("n").alias("_n")).where("_k > 0 AND _k < _n")
+    p = lambda x, d: sigmoid(x["eta"] + d)
+    total = lambda f: F.aggregate("_e", F.lit(0.0), lambda a, x: a + f(x))
+    grad = lambda d: total(lambda x: x["k"] - x["n"] * p(x, d))
+    curve = lambda d: total(lambda x: x["n"] * p(x, d) * (1 - p(x, d)))
+    delta = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), lambda d, _: d + clip(grad(d) / F.greatest(curve(d), F.lit(1e-12)), -1, 1))
+    ll = lambda d: total(lambda x: x["k"] * F.log(p(x, d)) + (x["n"] - x["k"]) * F.log(1 - p(x, d)))
+    done = packed.withColumn("delta", delta).select(*COMBO, "delta", (2 * (ll(F.col("delta")) - ll(F.lit(0.0)))).alias("lrt"))
+    return hits.select(*COMBO).join(done, COMBO, "left")

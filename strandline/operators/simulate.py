@@ -112,11 +112,11 @@ def trees(spark: SparkSession, n_trees: int, tips: int, birth: float = 1.0, deat
     return spark.range(n_trees).withColumnRenamed("id", "tree").mapInPandas(run, TREE)
 
 
-def decorate(trees: DataFrame, n_tapes: int, rate: float, shares: list[float], sites: int = 6, seed: int = 2) -> DataFrame:
+def decorate(trees: DataFrame, n_tapes: int, rate: float, shares: list[float], sites: int = 6, seed: int = 2, stem: float = 0.0) -> DataFrame:
     """tree, node, tape, read: symbols at each node, root to tip, capped at ``sites``.
 
     Along each branch edits come at ``rate``; each takes a symbol by its share. Nodes
-    begin with what their parent has.
+    begin with what their parent has; the root has had a branch of length ``stem``.
     """
     cut = np.cumsum(shares) / np.sum(shares)
 
@@ -130,7 +130,7 @@ def decorate(trees: DataFrame, n_tapes: int, rate: float, shares: list[float], s
             for tape in range(n_tapes):
                 rng = np.random.default_rng([seed, tree, int(node), tape])
                 start = have[int(parent), tape] if not pd.isna(parent) else []
-                span = time[node] - (time[int(parent)] if not pd.isna(parent) else time[node])
+                span = time[node] - time[int(parent)] if not pd.isna(parent) else stem
                 n = min(sites - len(start), int(rng.poisson(rate * span)))
                 have[int(node), tape] = start + np.searchsorted(cut, rng.random(n), side="right").tolist()
                 out.append((tree, int(node), tape, have[int(node), tape]))

@@ -1,53 +1,129 @@
-"""Trees as tables: tree, node, parent (null at the root), t (time from the root), tip."""
+"""Trees as tables: tree, node, parent (null at the root), t (time from the root), tip.
+
+What runs along paths is computed by doubling: a table of the ancestors 1, 2, 4, ...
+steps above each node takes as many joins as the depth has bits, and sums, minima and
+marks move along it in the same number of rounds. Only ``closure`` makes a row for each
+node and ancestor.
+"""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandline.operators.reads import hash_order
+from strandline.sources.shared import written
+
+KEY = ["tree", "node"]
+
+
+def jumps(tree: DataFrame) -> list[DataFrame]:
+    """tree, node, up: the ancestor 1, 2, 4, ... steps above each node that has one, a table for each step."""
+    now = written(tree.where("parent IS NOT NULL").select(*KEY, F.col("parent").alias("up")), "jump")
+    out: list[DataFrame] = []
+    while not now.isEmpty():
+        out.append(now)
+        if len(out) > 40:
+            raise ValueError("the parents of some nodes run in a circle")
+        over = now.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"))
+        now = written(now.join(over, ["tree", "up"]).select(*KEY, F.col("_up").alias("up")), "jump")
+    return out
+
 
 def closure(tree: DataFrame) -> DataFrame:
-    """tree, node, anc, steps: every node with each of its ancestors, itself included, by a recursive query."""
-    view = f"tree_{uuid.uuid4().hex}"
-    tree.select("tree", "node", "parent").createOrReplaceTempView(view)
-    return tree.sparkSession.sql(f"""
-        WITH RECURSIVE up(tree, node, anc, steps) AS (
-          SELECT tree, node, node, 0 FROM {view}
-          UNION ALL
-          SELECT up.tree, up.node, v.parent, up.steps + 1 FROM up JOIN {view} v ON v.tree = up.tree AND v.node = up.anc WHERE v.parent IS NOT NULL)
-        SELECT tree, node, anc, steps FROM up""")
+    """tree, node, anc, steps: every node with each of its ancestors, itself included."""
+    out = tree.select(*KEY, F.col("node").alias("anc"), F.lit(0).alias("steps"))
+    for k, jump in enumerate(jumps(tree)):
+        above = out.select("tree", F.col("node").alias("up"), "anc", "steps")
+        out = written(out.unionByName(jump.join(above, ["tree", "up"]).select(*KEY, "anc", (F.col("steps") + (1 << k)).alias("steps"))), "closure")
+    return out
+
+
+def gather(tree: DataFrame, own: DataFrame, merge: Callable[[str], Column], step: Callable[[Column, int], Column] = lambda x, _: x) -> DataFrame:
+    """tree, node, x: ``merge`` of the x of ``own`` (tree, node, x) over a node and all below it.
+
+    ``step(x, d)`` is x as it arrives d steps above. Nodes that nothing reaches have no row.
+    """
+    out = own
+    for k, jump in enumerate(jumps(tree)):
+        sent = jump.join(out, KEY).select("tree", F.col("up").alias("node"), step(F.col("x"), 1 << k).alias("x"))
+        out = written(out.unionByName(sent).groupBy(*KEY).agg(merge("x").alias("x")), "gather")
+    return out
+
+
+def descend(tree: DataFrame, own: DataFrame) -> DataFrame:
+    """tree, node, x: the sum of the x of ``own``, which has a row for each node, over a node and all its ancestors."""
+    out = own
+    for jump in jumps(tree):
+        above = out.select("tree", F.col("node").alias("up"), F.col("x").alias("_x"))
+        more = jump.join(above, ["tree", "up"]).select(*KEY, "_x")
+        out = written(out.join(more, KEY, "left").select(*KEY, (F.col("x") + F.coalesce("_x", F.lit(0).cast(own.schema["x"].dataType))).alias("x")), "descend")
+    return out
 
 
 def depths(tree: DataFrame) -> DataFrame:
     """Add level, the number of steps to the root."""
-    return tree.join(closure(tree).groupBy("tree", "node").agg(F.max("steps").alias("level")), ["tree", "node"])
+    one = tree.select(*KEY, F.col("parent").isNotNull().cast("int").alias("x"))
+    return tree.join(descend(tree, one).withColumnRenamed("x", "level"), KEY)
 
 
 def clade_sizes(tree: DataFrame) -> DataFrame:
-    """tree, node, n_tips."""
-    tips = tree.where("tip").select("tree", "node")
-    return closure(tree).join(tips, ["tree", "node"]).groupBy("tree", F.col("anc").alias("node")).agg(F.count("*").alias("n_tips"))
+    """tree, node, n_tips of the nodes with a tip at or below them."""
+    return gather(tree, tree.where("tip").select(*KEY, F.lit(1).cast("long").alias("x")), F.sum).withColumnRenamed("x", "n_tips")
+
+
+def preorder(tree: DataFrame) -> DataFrame:
+    """tree, node, first, last: numbers from 1 such that a node's clade is the nodes with first in [first, last]; siblings by id."""
+    size = gather(tree, tree.select(*KEY, F.lit(1).cast("long").alias("x")), F.sum)
+    own = tree.select(*KEY, "parent").join(size, KEY)
+    before = F.sum("x").over(W.partitionBy("tree", "parent").orderBy("node")) - F.col("x")
+    offset = own.select(*KEY, F.when(F.col("parent").isNull(), F.lit(1)).otherwise(before + 1).cast("long").alias("x"))
+    first = descend(tree, offset).withColumnRenamed("x", "first")
+    return first.join(size, KEY).select(*KEY, "first", (F.col("first") + F.col("x") - 1).alias("last"))
 
 
 def last_common_ancestor(tree: DataFrame, pairs: DataFrame) -> DataFrame:
-    """tree, i, j, lca: of the common ancestors the one most steps from the root."""
-    up = closure(tree)
-    level = up.groupBy("tree", "node").agg(F.max("steps").alias("level")).withColumnRenamed("node", "anc")
-    a = up.select("tree", F.col("node").alias("i"), "anc")
-    b = up.select("tree", F.col("node").alias("j"), "anc")
-    met = pairs.join(a, ["tree", "i"]).join(b, ["tree", "j", "anc"]).join(level, ["tree", "anc"])
-    return met.groupBy("tree", "i", "j").agg(F.max_by("anc", "level").alias("lca"))
+    """tree, i, j, lca: the deeper node is lifted to the other's level, then both to right below their ancestor."""
+    ups = jumps(tree)
+    level = depths(tree).select("tree", "node", "level")
+    of = lambda c: level.select("tree", F.col("node").alias(c), F.col("level").alias(f"_l{c}"))
+    now = pairs.select("tree", "i", "j").join(of("i"), ["tree", "i"]).join(of("j"), ["tree", "j"])
+    deep = F.col("_li") >= F.col("_lj")
+    now = now.select("tree", "i", "j", F.when(deep, F.col("i")).otherwise(F.col("j")).alias("a"), F.when(deep, F.col("j")).otherwise(F.col("i")).alias("b"), F.abs(F.col("_li") - F.col("_lj")).alias("_gap"))
+    lift = lambda rows, c, jump: rows.join(jump.select("tree", F.col("node").alias(c), F.col("up").alias(f"_{c}")), ["tree", c], "left")
+    for k in reversed(range(len(ups))):
+        moves = F.col("_gap").bitwiseAND(1 << k) > 0
+        now = written(lift(now, "a", ups[k]).withColumn("a", F.when(moves, F.col("_a")).otherwise(F.col("a"))).drop("_a"), "lca")
+    for k in reversed(range(len(ups))):
+        apart = F.col("_a").isNotNull() & F.col("_b").isNotNull() & (F.col("_a") != F.col("_b"))
+        both = lift(lift(now, "a", ups[k]), "b", ups[k])
+        now = written(both.withColumns({"a": F.when(apart, F.col("_a")).otherwise(F.col("a")), "b": F.when(apart, F.col("_b")).otherwise(F.col("b"))}).drop("_a", "_b"), "lca")
+    up = tree.select("tree", F.col("node").alias("a"), "parent")
+    return now.join(up, ["tree", "a"]).select("tree", "i", "j", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("parent")).alias("lca"))
 
 
 def propagate(tree: DataFrame, lost: DataFrame) -> DataFrame:
     """tree, node, key, lost: a loss at a node holds for all below it (it never comes back)."""
-    up = closure(tree)
-    hit = up.join(lost.withColumnRenamed("node", "anc"), ["tree", "anc"]).groupBy("tree", "node", "key").agg(F.lit(True).alias("lost"))
-    every = tree.select("tree", "node").join(F.broadcast(lost.select("key").distinct()))
-    return every.join(hit, ["tree", "node", "key"], "left").withColumn("lost", F.coalesce("lost", F.lit(False)))
+    hit = lost.select(*KEY, "key").distinct()
+    for jump in jumps(tree):
+        above = hit.select("tree", F.col("node").alias("up"), "key")
+        hit = written(hit.unionByName(jump.join(above, ["tree", "up"]).select(*KEY, "key")).distinct(), "lost")
+    # One row for each node and key is what is asked for; the keys are few (tapes).
+    every = tree.select(*KEY).join(lost.select("key").distinct())
+    return every.join(hit.withColumn("lost", F.lit(True)), ["tree", "node", "key"], "left").withColumn("lost", F.coalesce("lost", F.lit(False)))
+
+
+def tip_pairs(tree: DataFrame, seed: int) -> DataFrame:
+    """tree, node, i, j: for each node with two children or more, a tip below each of its first two, the least by hash order."""
+    tips = tree.where("tip").select(*KEY, F.struct(hash_order(seed, *KEY).alias("h"), "node").alias("x"))
+    pick = gather(tree, tips, F.min).select(*KEY, F.col("x.node").alias("pick"))
+    child = tree.where("parent IS NOT NULL").select("tree", F.col("parent"), "node").join(pick, KEY)
+    turn = F.row_number().over(W.partitionBy("tree", "parent").orderBy("node"))
+    two = child.withColumn("_k", turn).where("_k <= 2").groupBy("tree", F.col("parent").alias("node"))
+    return two.agg(F.max(F.when(F.col("_k") == 1, F.col("pick"))).alias("i"), F.max(F.when(F.col("_k") == 2, F.col("pick"))).alias("j")).where("j IS NOT NULL")
 
 
 def lineages(tree: DataFrame, points: int = 50) -> DataFrame:
@@ -69,10 +145,9 @@ def statistics(tree: DataFrame) -> DataFrame:
 
 def balance(tree: DataFrame) -> DataFrame:
     """tree, b1: the sum over inner nodes but the root of one over the most steps to a tip below."""
-    tips = tree.where("tip").select("tree", "node")
-    high = closure(tree).join(tips, ["tree", "node"]).groupBy("tree", F.col("anc").alias("node")).agg(F.max("steps").alias("h"))
-    inner = high.where("h > 0").join(tree.where("parent IS NOT NULL").select("tree", "node"), ["tree", "node"])
-    return inner.groupBy("tree").agg(F.sum(1 / F.col("h")).alias("b1"))
+    high = gather(tree, tree.where("tip").select(*KEY, F.lit(0).alias("x")), F.max, lambda x, d: x + d)
+    inner = high.where("x > 0").join(tree.where("parent IS NOT NULL").select(*KEY), KEY)
+    return inner.groupBy("tree").agg(F.sum(1 / F.col("x")).alias("b1"))
 
 
 def faults(tree: DataFrame) -> DataFrame:

@@ -94,13 +94,20 @@ def character_ids(characters: DataFrame) -> DataFrame:
     return characters.withColumn("id", F.row_number().over(W.partitionBy("clone").orderBy("tape", "level", "prefix")))
 
 
-def labels(tapes: DataFrame, characters: DataFrame, cells: DataFrame, level: int) -> DataFrame:
-    """cell, tape, label at a level: the character's id, ABSENT or UNDET."""
-    own = characters.where(F.col("level") == level).select("clone", "tape", "id", F.explode("cells").alias("cell"))
-    every = cells.join(F.broadcast(tapes.select("tape").distinct()))
+def labels(tapes: DataFrame, characters: DataFrame, cells: DataFrame) -> DataFrame:
+    """cell, clone, tape, level, label, for each tape and level at which the cell's clone has a character.
+
+    The label is the character's id, ABSENT if the tape tells its state at the level, or else UNDET.
+    """
+    from strandline.operators.reads import COMPLETE, UNEDITED
+
+    own = characters.select("clone", "tape", "level", "id", F.explode("cells").alias("cell"))
+    asked = characters.select("clone", "tape", "level").distinct()
+    every = cells.select("cell", "clone").join(asked, "clone")
     seen = tapes.select("cell", "tape", "term", "depth")
-    out = every.join(seen, ["cell", "tape"], "left").join(own, ["clone", "cell", "tape"], "left")
-    return out.select("cell", "clone", "tape", F.when(F.col("id").isNotNull(), F.col("id").cast("string")).when(F.col("term").isNull(), "ABSENT").otherwise("UNDET").alias("label"))
+    out = every.join(seen, ["cell", "tape"], "left").join(own, ["clone", "cell", "tape", "level"], "left")
+    tells = F.coalesce((F.col("depth") >= F.col("level")) | F.col("term").isin(UNEDITED, COMPLETE), F.lit(False))
+    return out.select("cell", "clone", "tape", "level", F.when(F.col("id").isNotNull(), F.col("id").cast("string")).when(tells, "ABSENT").otherwise("UNDET").alias("label"))
 
 
 def consensus(prefixes: DataFrame) -> DataFrame:

@@ -66,3 +66,102 @@ def agreement(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
 def expected_occupied(n_items: int, n_symbols: int) -> float:
     """Distinct symbols if each item took one at random."""
     return n_symbols * (1 - (1 - 1 / n_symbols) ** n_items)
+
+
+def bushiness(writes: DataFrame) -> DataFrame:
+    """tape, writes, parents, bush: writes for each parent that has any."""
+    per = writes.groupBy("tape").agg(F.count("*").alias("writes"), F.countDistinct("clone", "parent").alias("parents"))
+    return per.withColumn("bush", F.col("writes") / F.col("parents"))
+
+
+def clone_stratified(writes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, tape, child, n, p, reference, difference: a tape's symbols against those of other tapes of the same clones, clones weighted by the tape's writes there."""
+    k = list(keys)
+    per = writes.groupBy(*k, "clone", "tape", "child").agg(F.count("*").alias("n"))
+    own = per.groupBy(*k, "clone", "tape").agg(F.sum("n").alias("_ct"))
+    clone = per.groupBy(*k, "clone").agg(F.sum("n").alias("_c"))
+    symbol = per.groupBy(*k, "clone", "child").agg(F.sum("n").alias("_cs"))
+    tape = own.groupBy(*k, "tape").agg(F.sum("_ct").alias("_t"))
+    every = own.join(clone, [*k, "clone"]).join(symbol, [*k, "clone"]).join(per, [*k, "clone", "tape", "child"], "left").join(tape, [*k, "tape"]).withColumn("n", F.coalesce("n", F.lit(0)))
+    reference = F.col("_ct") / F.col("_t") * (F.col("_cs") - F.col("n")) / F.greatest(F.col("_c") - F.col("_ct"), F.lit(1))
+    out = every.groupBy(*k, "tape", "child").agg(F.sum("n").alias("n"), (F.sum("n") / F.max("_t")).alias("p"), F.sum(reference).alias("reference"))
+    return out.withColumn("difference", F.col("p") - F.col("reference"))
+
+
+def clone_stratified_distance(stratified: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, tape, n, tv, top (the symbol most in excess), bottom."""
+    order = F.struct("difference", "child")
+    return stratified.groupBy(*keys, "tape").agg(F.sum("n").alias("n"), (F.sum(F.abs("difference")) / 2).alias("tv"), F.max_by("child", order).alias("top"), F.min_by("child", order).alias("bottom"))
+
+
+def relabelled(writes: DataFrame, b: int, seed: int) -> DataFrame:
+    """perm and writes whose tapes change places within a clone and site."""
+    from strandline.operators.reads import hash_order
+
+    ids = ["clone", "site", "tape", "parent", "child"]
+    each = writes.select(*ids).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(b))))
+    block = ["perm", "clone", "site"]
+    here = each.withColumn("_i", F.row_number().over(W.partitionBy(*block).orderBy("tape", "parent", "child"))).drop("tape")
+    there = each.select(*block, "tape", F.row_number().over(W.partitionBy(*block).orderBy(hash_order(seed, "perm", *ids), "tape", "parent", "child")).alias("_i"))
+    return here.join(there, [*block, "_i"]).drop("_i")
+
+
+def standardised_map(observed: DataFrame, null: DataFrame, b: int) -> DataFrame:
+    """tape, child, z: a difference less its mean over ``b`` relabellings, over their spread; 0 without any. A symbol that a relabelling lacks counts as no difference."""
+    spread = null.groupBy("tape", "child").agg((F.sum("difference") / b).alias("_m"), (F.sum(F.col("difference") * F.col("difference")) / b).alias("_q"))
+    both = observed.select("tape", "child", "difference").join(spread, ["tape", "child"], "full").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("difference", "_m", "_q")})
+    sd = F.sqrt(F.greatest(F.col("_q") - F.col("_m") * F.col("_m"), F.lit(0.0)))
+    return both.select("tape", "child", F.when(sd > 1e-9, (F.col("difference") - F.col("_m")) / sd).otherwise(0.0).alias("z"))
+
+
+def concentration_of_map(z: DataFrame, n_symbols: int) -> DataFrame:
+    """tape, top, top_z, concentration: the largest z over the root mean square of the others."""
+    per = z.groupBy("tape").agg(F.max_by("child", F.struct("z", "child")).alias("top"), F.max("z").alias("top_z"), F.sum(F.col("z") * F.col("z")).alias("_ss"))
+    rms = F.sqrt(F.greatest(F.col("_ss") - F.col("top_z") * F.col("top_z"), F.lit(0.0)) / max(n_symbols - 1, 1))
+    return per.select("tape", "top", "top_z", F.when(rms > 1e-9, F.col("top_z") / rms).otherwise(0.0).alias("concentration"))
+
+
+def common_log_odds(tables: DataFrame, keys: list[str], half_width: float = 8.0, points: int = 321) -> DataFrame:
+    """keys, theta, gain: the common log odds ratio of 2 x 2 tables (a, b, c, d) on an even grid, each table's baseline profiled out.
+
+    a of a + b are cases inside, c of c + d outside. gain is the log likelihood over that
+    of no effect. The grid goes to the tables; each baseline is a root of a quadratic, so
+    the profile is an expression and the likelihood a grouped sum.
+    """
+    step = 2 * half_width / (points - 1)
+    # The groups' point 0 comes first, then all others: a tables-by-points table of sums.
+    grid = tables.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("_t", F.exp(F.col("_i") * step - half_width))
+    inside, outside, cases = F.col("a") + F.col("b"), F.col("c") + F.col("d"), F.col("a") + F.col("c")
+    # inside x t / (1 + x t) + outside x / (1 + x) = cases, for the odds x outside.
+    t = F.col("_t")
+    qa, qb, qc = t * (inside + outside - cases), inside * t + outside - cases * (1 + t), -cases
+    x = F.when(cases <= 0, 0.0).when(qa <= 0, F.lit(float("inf"))).otherwise((-qb + F.sqrt(qb * qb - 4 * qa * qc)) / (2 * qa))
+    grid = grid.withColumn("_x", x)
+    log = lambda n, p: F.when(n == 0, 0.0).otherwise(n * F.log(F.greatest(p, F.lit(1e-15))))
+    p1 = F.when(F.col("_x") == float("inf"), 1.0).otherwise(F.col("_x") * t / (1 + F.col("_x") * t))
+    p0 = F.when(F.col("_x") == float("inf"), 1.0).otherwise(F.col("_x") / (1 + F.col("_x")))
+    ll = log(F.col("a"), p1) + log(F.col("b"), 1 - p1) + log(F.col("c"), p0) + log(F.col("d"), 1 - p0)
+    per = grid.groupBy(*keys, "_i").agg(F.sum(ll).alias("_ll"))
+    best = per.groupBy(*keys).agg(F.max(F.struct(F.round("_ll", 9).alias("l"), (-F.abs(F.col("_i") - (points - 1) // 2)).alias("c"), "_i")).alias("_b"), F.max(F.when(F.col("_i") == (points - 1) // 2, F.col("_ll"))).alias("_l0"))
+    return best.select(*keys, (F.col("_b._i") * step - half_width).alias("theta"), (F.col("_b.l") - F.col("_l0")).alias("gain"))
+
+
+def permuted_agreement(a: DataFrame, b: DataFrame, key: str, value: str, perms: int, seed: int) -> DataFrame:
+    """One row: shared keys, agree, the mean and largest agreement over shuffles of the second map's keys, enrichment and p. Maps have a row for each key."""
+    from strandline.operators.reads import hash_order
+
+    both = a.select(key, F.col(value).alias("_a")).join(b.select(key, F.col(value).alias("_b")), key)
+    each = both.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(perms))))
+    here = each.select("perm", "_a", F.row_number().over(W.partitionBy("perm").orderBy(key)).alias("_i"))
+    there = each.select("perm", "_b", F.row_number().over(W.partitionBy("perm").orderBy(hash_order(seed, "perm", key), key)).alias("_i"))
+    null = here.join(there, ["perm", "_i"]).groupBy("perm").agg(F.count_if(F.col("_a") == F.col("_b")).alias("n"))
+    seen = both.agg(F.count("*").alias("shared"), F.count_if(F.col("_a") == F.col("_b")).alias("agree"))
+    out = null.join(F.broadcast(seen)).groupBy("shared", "agree").agg(F.avg("n").alias("null_mean"), F.max("n").alias("null_max"), F.count_if(F.col("n") >= F.col("agree")).alias("_ge"))
+    return out.select("shared", "agree", "null_mean", "null_max", (F.col("agree") / F.greatest("null_mean", F.lit(1e-9))).alias("enrichment"), ((1 + F.col("_ge")) / (1 + perms)).alias("p"))
+
+
+def injectivity(map_: DataFrame, value: str, n_symbols: int) -> DataFrame:
+    """called, distinct, expected distinct symbols if each item took one at random, and their ratio."""
+    out = map_.agg(F.count("*").alias("called"), F.countDistinct(value).alias("distinct"))
+    expected = n_symbols * (1 - F.pow(F.lit(1 - 1 / n_symbols), F.col("called")))
+    return out.withColumn("expected", expected).withColumn("ratio", F.col("distinct") / F.col("expected"))

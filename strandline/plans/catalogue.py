@@ -32,7 +32,7 @@ class Views:
         self.entries = reads.entries(self.tapes, self.cells)
 
     def characters(self) -> DataFrame:
-        return trie.character_ids(trie.characters(self.prefixes.where("d = 2")))
+        return trie.character_ids(trie.characters(self.prefixes))
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -128,7 +128,7 @@ def q_top_clone_share(v: Views) -> DataFrame:
     return alphabet.top_share(v.reads.groupBy("sym", "clone").agg(F.count("*").alias("n")), ["sym"])
 
 
-@query()
+@query("SELECT count(DISTINCT sym) AS symbols, count(*) AS drawn FROM (SELECT sym FROM reads ORDER BY md5(concat_ws('|', '3', cell, tape, site)), cell, tape, site LIMIT 100)")
 def q_rarefaction(v: Views) -> DataFrame:
     return alphabet.rarefaction(v.reads, 100, 3, "cell", "tape", "site")
 
@@ -279,13 +279,21 @@ def q_complete_loss(v: Views) -> DataFrame:
     return margins.complete_loss(v.entries)
 
 
-@query()
+PERMUTED = """, nh AS (SELECT perm, h.clone, t.x FROM (SELECT perm, sample, clone, row_number() OVER (PARTITION BY perm, sample ORDER BY cell) AS i FROM rc CROSS JOIN range(1, {b}) r(perm)) h
+  JOIN (SELECT perm, sample, CAST(r AS DOUBLE) AS x, row_number() OVER (PARTITION BY perm, sample ORDER BY md5(concat_ws('|', '7', perm, cell)), cell) AS i FROM rc CROSS JOIN range(1, {b}) r2(perm)) t USING (perm, sample, i)),
+  nx AS (SELECT perm, clone, x - avg(x) OVER (PARTITION BY perm) AS x FROM nh),
+  no AS (SELECT perm, sum(s * s - q) AS i, sum(m * (m - 1)) AS n2 FROM (SELECT perm, clone, sum(x) AS s, sum(x * x) AS q, count(*) AS m FROM nx GROUP BY ALL) GROUP BY perm),
+  np AS (SELECT perm, i / n2 / v AS rho_within FROM no JOIN (SELECT perm, avg(x * x) AS v FROM nx GROUP BY perm) USING (perm))"""
+
+
+@query(PERMUTED.format(b=21) + " SELECT CAST(perm AS BIGINT) AS perm, round(rho_within, 6) AS rho_within FROM np")
 def q_perm_within_clone(v: Views) -> DataFrame:
     x = margins.cell_margin(v.entries).withColumn("x", F.col("r").cast("double"))
     return margins.permutation_null(x, "clone", "sample", "cell", 20, 7)
 
 
-@query()
+@query(PERMUTED.format(b=51) + """, ox AS (SELECT clone, r - avg(r) OVER () AS x FROM rc), oo AS (SELECT sum(s * s - q) / sum(m * (m - 1)) AS i FROM (SELECT sum(x) AS s, sum(x * x) AS q, count(*) AS m FROM ox GROUP BY clone)), ob AS (SELECT i / (SELECT avg(x * x) FROM ox) AS o FROM oo)
+  SELECT round(avg(rho_within), 6) AS mean, round(stddev_samp(rho_within), 6) AS sd, round(quantile_cont(rho_within, 0.025), 6) AS q025, round(quantile_cont(rho_within, 0.975), 6) AS q975, count(*) AS b, round((any_value(o) - avg(rho_within)) / stddev_samp(rho_within), 6) AS z, round((1 + count(*) FILTER (rho_within >= o)) / (1 + count(*)), 6) AS p, round(any_value(o) - avg(rho_within), 6) AS excess FROM np CROSS JOIN ob""")
 def q_perm_null_summary(v: Views) -> DataFrame:
     x = margins.cell_margin(v.entries).withColumn("x", F.col("r").cast("double"))
     observed = margins.within_correlation(x, "clone").first()["rho_within"]
@@ -351,15 +359,10 @@ def q_collision_flags(v: Views) -> DataFrame:
     return relate.collision_flags(v.prefixes, trie.consensus(v.prefixes))
 
 
-@query()
-def q_labels(v: Views) -> DataFrame:
-    return trie.labels(v.tapes, v.characters(), v.cells, 2).groupBy("clone", "tape", "label").agg(F.count("*").alias("n"))
-
-
 # Compatibility.
 
 
-CHARS = """, ch AS (SELECT clone, tape, d AS level, prefix, count(DISTINCT cell) AS m, row_number() OVER (PARTITION BY clone ORDER BY tape, prefix) AS id FROM prefixes WHERE d = 2 GROUP BY clone, tape, d, prefix HAVING count(DISTINCT cell) >= 2),
+CHARS = """, ch AS (SELECT clone, tape, d AS level, prefix, count(DISTINCT cell) AS m, row_number() OVER (PARTITION BY clone ORDER BY tape, d, prefix) AS id FROM prefixes GROUP BY clone, tape, d, prefix HAVING count(DISTINCT cell) >= 2),
   cc AS (SELECT DISTINCT ch.clone, id, ch.tape, level, m, cell FROM ch JOIN prefixes p ON p.clone = ch.clone AND p.tape = ch.tape AND p.d = ch.level AND p.prefix = ch.prefix),
   pr AS (SELECT x.clone, x.id AS a, y.id AS b, x.tape AS ta, y.tape AS tb, x.level AS la, y.level AS lb, x.m AS ma, y.m AS mb, count(*) AS n11 FROM cc x JOIN cc y ON x.clone = y.clone AND x.cell = y.cell AND x.id < y.id AND x.tape <> y.tape GROUP BY ALL)"""
 BIG = lambda *c: ", ".join(f"CAST({x} AS BIGINT) AS {x}" for x in c)
@@ -455,11 +458,11 @@ def q_score_z(v: Views) -> DataFrame:
     return _stats(v).select("clone", "anchor", "d", "prefix", "tape", "stratum", "hard", "soft", "z")
 
 
-@query(COMBOS + """, h AS (SELECT stratum, CAST(least(floor((hard + 20) / 0.5), 99) AS BIGINT) AS t_idx, count(*) AS n FROM st WHERE hard >= -20 GROUP BY ALL)
+@query(COMBOS + """, h AS (SELECT stratum, CAST(least(floor((hard + 20) / 0.25), 599) AS BIGINT) AS t_idx, count(*) AS n FROM st WHERE hard >= -20 GROUP BY ALL)
   SELECT CAST(g.stratum AS BIGINT) AS stratum, g.t_idx, CAST(sum(coalesce(n, 0)) OVER (PARTITION BY g.stratum ORDER BY g.t_idx DESC) AS BIGINT) AS n_above
-  FROM (SELECT stratum, t_idx FROM (SELECT DISTINCT stratum FROM st) CROSS JOIN range(0, 100) r(t_idx)) g LEFT JOIN h ON h.stratum = g.stratum AND h.t_idx = g.t_idx""")
+  FROM (SELECT stratum, t_idx FROM (SELECT DISTINCT stratum FROM st) CROSS JOIN range(0, 600) r(t_idx)) g LEFT JOIN h ON h.stratum = g.stratum AND h.t_idx = g.t_idx""")
 def q_stratum_counts(v: Views) -> DataFrame:
-    return scan.counts_above(_stats(v), "hard", -20, 0.5, 100)
+    return scan.counts_above(_stats(v), "hard", -20, 0.25, 600)
 
 
 @query("""SELECT CAST(clone AS BIGINT) AS clone, CAST(e.tape AS BIGINT) AS tape, count(*) AS m, CAST(sum(missing) AS BIGINT) AS k, round(sum(greatest(least(p, 1 - 1e-6), 1e-6)), 6) AS e,
@@ -474,20 +477,32 @@ PERMUTATIONS = 100
 
 
 def _null_counts(v: Views, permutations: int = PERMUTATIONS) -> tuple[DataFrame, DataFrame]:
-    """Counts over clades of every depth, and their means over permutations, made in one job."""
+    """Counts over clades of every depth, and their means over permutations, made in one job. Scores are taken to nine digits."""
     e = scan.with_rates(v.entries)
-    seen = scan.counts_above(scan.statistics(scan.combos(v.prefixes, e)), "soft", 0, 0.25, 40)
+    near = lambda df: scan.statistics(df).withColumn("soft", F.round("soft", 9))
+    seen = scan.counts_above(near(scan.combos(v.prefixes, e)), "soft", 0, 0.25, 40)
     moved = scan.combos(v.prefixes, scan.permuted(e, permutations, 101), by=["perm"])
-    null = scan.counts_above(scan.statistics(moved), "soft", 0, 0.25, 40)
+    null = scan.counts_above(near(moved), "soft", 0, 0.25, 40)
     return seen, null.select("stratum", "t_idx", (F.col("n_above") / permutations).alias("expected"))
 
 
-@query()
+FDR = COMBOS + f""", pm AS (SELECT perm, h.cell, t.cell AS source FROM (SELECT perm, clone, cell, row_number() OVER (PARTITION BY perm, clone ORDER BY cell) AS i FROM cells CROSS JOIN range(1, {PERMUTATIONS + 1}) r(perm)) h
+  JOIN (SELECT perm, clone, cell, row_number() OVER (PARTITION BY perm, clone ORDER BY md5(concat_ws('|', '101', perm, cell)), cell) AS i FROM cells CROSS JOIN range(1, {PERMUTATIONS + 1}) r(perm)) t USING (perm, clone, i)),
+  nc AS (SELECT perm, m.clone, anchor, d, prefix, e.tape, count(*) AS m, CAST(sum(missing) AS BIGINT) AS k, sum(p) AS e, sum(CASE WHEN missing = 1 THEN ln(p) ELSE ln(1 - p) END) AS u
+         FROM mem m JOIN pm ON pm.cell = m.cell JOIN pe e ON e.cell = pm.source AND e.tape <> anchor WHERE cm >= 4 GROUP BY ALL),
+  sc AS (SELECT true AS seen, stratum, round(soft, 9) AS soft FROM st UNION ALL SELECT false, CASE WHEN m < 6 THEN 0 WHEN m < 10 THEN 1 WHEN m < 20 THEN 2 WHEN m < 50 THEN 3 WHEN m < 200 THEN 4 ELSE 5 END,
+         round(CASE WHEN k > e THEN CASE WHEN k = 0 THEN 0 ELSE k * ln(k / m) END + CASE WHEN m = k THEN 0 ELSE (m - k) * ln((m - k) / m) END - u ELSE 0 END, 9) FROM nc),
+  hi AS (SELECT seen, stratum, CAST(least(floor(soft / 0.25), 39) AS BIGINT) AS t_idx, count(*) AS n FROM sc WHERE soft >= 0 GROUP BY ALL),
+  ab AS (SELECT g.seen, g.stratum, g.t_idx, sum(coalesce(n, 0)) OVER (PARTITION BY g.seen, g.stratum ORDER BY g.t_idx DESC) AS n FROM (SELECT seen, stratum, t_idx FROM (SELECT DISTINCT seen, stratum FROM sc) CROSS JOIN range(0, 40) r(t_idx)) g LEFT JOIN hi USING (seen, stratum, t_idx)),
+  cv AS (SELECT o.stratum, o.t_idx, CAST(o.n AS BIGINT) AS n_above, x.n / {PERMUTATIONS} AS expected, min(least(1.0, x.n / {PERMUTATIONS} / greatest(o.n, 1))) OVER (PARTITION BY o.stratum ORDER BY o.t_idx) AS q FROM ab o JOIN ab x ON o.seen AND NOT x.seen AND x.stratum = o.stratum AND x.t_idx = o.t_idx)"""
+
+
+@query(FDR + " SELECT CAST(stratum AS BIGINT) AS stratum, t_idx, n_above, round(expected, 6) AS expected, round(q, 6) AS q FROM cv")
 def q_fdr_curve(v: Views) -> DataFrame:
     return scan.fdr_curve(*_null_counts(v))
 
 
-@query()
+@query(FDR + " SELECT CAST(stratum AS BIGINT) AS stratum, min(t_idx) FILTER (expected <= 1.0) AS t_idx, min(t_idx) FILTER (expected <= 1.0) IS NOT NULL AS reached FROM cv GROUP BY stratum")
 def q_threshold_grid(v: Views) -> DataFrame:
     return scan.thresholds(scan.fdr_curve(*_null_counts(v)), budget=1.0)
 
@@ -510,6 +525,13 @@ def q_exact_p(v: Views) -> DataFrame:
     return _exact(v).select("clone", "anchor", "d", "prefix", "tape", "p_normal", "p_hyper", "p_used")
 
 
+@query(COMBOS + f""", pop AS (SELECT clone, tape, count(*) AS n_pop, CAST(sum(missing) AS BIGINT) AS k_pop FROM entries GROUP BY ALL),
+  hy AS (SELECT clone, anchor, d, prefix, tape, m, k, n_pop, k_pop, unnest(range(greatest(k, m - (n_pop - k_pop), 0), least(k_pop, m) + 1)) AS i FROM co JOIN pop USING (clone, tape))
+  SELECT {BIG('clone', 'anchor', 'd')}, prefix, CAST(tape AS BIGINT) AS tape, round(least(1.0, sum(exp(lgamma(k_pop + 1) - lgamma(i + 1) - lgamma(k_pop - i + 1) + lgamma(n_pop - k_pop + 1) - lgamma(m - i + 1) - lgamma(n_pop - k_pop - m + i + 1) - lgamma(n_pop + 1) + lgamma(m + 1) + lgamma(n_pop - m + 1)))), 6) AS p_hyper FROM hy GROUP BY clone, anchor, d, prefix, tape""")
+def q_hyper_p(v: Views) -> DataFrame:
+    return _exact(v).select("clone", "anchor", "d", "prefix", "tape", "p_hyper")
+
+
 @query()
 def q_bonferroni(v: Views) -> DataFrame:
     return scan.event_summary(scan.bonferroni(_exact(v), "p_used", 1.0).where("passes"))
@@ -620,12 +642,15 @@ def q_variogram_bins(v: Views) -> DataFrame:
     return relate.variogram(relate.pairs(v.prefixes, v.tapes), relate.residuals(scan.with_rates(v.entries)), 4)
 
 
-@query()
+@query(""", rg AS (SELECT clone, cell, row_number() OVER (PARTITION BY clone ORDER BY md5(concat_ws('|', '9', cell)), cell) - 1 AS pos, count(*) OVER (PARTITION BY clone) AS n FROM cells)
+  SELECT CAST(a.clone AS BIGINT) AS clone, a.cell AS i, b.cell AS j, k AS rank FROM rg a CROSS JOIN range(1, 6) r(k) JOIN rg b ON b.clone = a.clone AND b.pos = (a.pos + k) % a.n WHERE a.n > 1 AND k <= a.n - 1""")
 def q_random_mates(v: Views) -> DataFrame:
     return relate.random_mates(v.cells.select("cell", "clone"), 5, 9)
 
 
-@query()
+@query(""", rk AS (SELECT clone, cell, row_number() OVER (PARTITION BY clone ORDER BY r, cell) AS k, greatest(3, count(*) OVER (PARTITION BY clone) // 40) AS w FROM rc),
+  nr AS (SELECT a.clone, a.cell AS i, b.cell AS j, row_number() OVER (PARTITION BY a.cell ORDER BY md5(concat_ws('|', '9', a.cell, b.cell)), b.cell) AS rank FROM rk a JOIN rk b ON a.clone = b.clone AND a.cell <> b.cell AND abs(a.k - b.k) <= a.w)
+  SELECT CAST(clone AS BIGINT) AS clone, i, j, rank FROM nr WHERE rank <= 5""")
 def q_caliper_match(v: Views) -> DataFrame:
     return relate.caliper_mates(margins.cell_margin(v.entries), "r", 5, 9)
 
@@ -653,16 +678,6 @@ def q_ladder_m0_m2(v: Views) -> DataFrame:
     return fit.ladder(v.entries)
 
 
-@query()
-def q_ladder_m3_m4(v: Views) -> DataFrame:
-    fitted = fit.two_way(v.entries)
-    near = relate.neighbour_missing(relate.random_mates(v.cells.select("cell", "clone"), 5, 9), v.entries).select(F.col("i").alias("cell"), "tape", (F.col("k") / F.col("n")).alias("f"))
-    rows = fitted.join(near, ["cell", "tape"]).withColumns({"eta": F.col("alpha") + F.col("beta"), "u": F.col("f") - F.col("p")}).persist()
-    w = fit.offset_logistic(rows, "eta", "u", "missing")
-    m4 = rows.withColumn("q", 1 / (1 + F.exp(-(F.col("eta") + w * F.col("u")))))
-    return fit.log_likelihood(rows, "p").select(F.lit("M3").alias("model"), "n", "nats").unionByName(fit.log_likelihood(m4, "q").select(F.lit("M4").alias("model"), "n", "nats"))
-
-
 # Trees.
 
 
@@ -713,9 +728,18 @@ def q_ltt(v: Views) -> DataFrame:
     return tree.lineages(key_tree(v), 6)
 
 
-@query("SELECT fault, CAST(0 AS BIGINT) AS n FROM (VALUES ('roots'), ('orphan'), ('order'), ('tip')) t(fault)")
+@query("""SELECT 'roots' AS fault, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'orphan', count(*) FROM customer WHERE c_custkey % 100 = 1 UNION ALL SELECT 'order', count(*) FROM customer WHERE c_custkey % 100 = 2
+  UNION ALL SELECT 'tip', count(*) FROM customer WHERE c_custkey % 100 = 3 AND c_custkey + 1 IN (SELECT c_custkey FROM customer)""")
 def q_tree_faults(v: Views) -> DataFrame:
-    return tree.faults(key_tree(v))
+    """A second root, customers whose parent is missing, that come before their nation, or that hang from another customer."""
+    at = F.col("node") - 1000
+    t = key_tree(v)
+    tip = F.col("tip")
+    parent = F.when(tip & (at % 100 == 1), F.lit(-7)).when(tip & (at % 100 == 3) & (at < F.col("_n")), F.col("node") + 1).otherwise(F.col("parent"))
+    last = t.agg((F.max("node") - 1000).alias("_n"))
+    planted = t.join(F.broadcast(last)).select("tree", "node", parent.cast("long").alias("parent"), F.when(tip & (at % 100 == 2), 0.5).otherwise(F.col("t")).alias("t"), "tip")
+    second = v.spark.createDataFrame([(0, 10**9, None, 0.0, False)], planted.schema)
+    return tree.faults(planted.unionByName(second))
 
 
 SIM = dict(n_trees=8, tips=12, seed=5)
@@ -752,9 +776,24 @@ def q_loglik(v: Views) -> DataFrame:
     return likelihood.log_likelihoods(t, own, 3.0, SHARES, silence=0.4, missed=0.1)
 
 
-@query()
+@query(KEYS + """ SELECT CAST(0 AS BIGINT) AS tree, round(sum(ln(0.5 * 0.7 * 0.7 * exp(-0.7 * (4 - t)) / pow(0.5 + 0.2 * exp(-0.7 * (4 - t)), 2) / (0.5 * (1 - exp(-2.8)) / (0.5 + 0.2 * exp(-2.8))))), 5) AS log_prior FROM kt WHERE NOT tip""", digits=5)
 def q_tree_prior(v: Views) -> DataFrame:
-    return likelihood.tree_prior(simulate.trees(v.spark, **SIM), 1.0, 0.3, 0.5, 1.0)
+    return likelihood.tree_prior(key_tree(v), 1.0, 0.3, 0.5, 4.0)
+
+
+@query(KEYS + """, hh AS (SELECT c.node, c.tip, 3.5 - c.t AS h, coalesce(3.5 - p.t, 4.0) AS hp FROM (SELECT node, parent, t, tip FROM kt) c LEFT JOIN kt p ON p.node = c.parent)
+  SELECT CAST(0 AS BIGINT) AS tree, CAST(node AS BIGINT) AS node, round(ln(h / hp / (1 - h / hp)), 6) AS x, round(4 - h, 6) AS t FROM hh WHERE NOT tip""")
+def q_height_ratios(v: Views) -> DataFrame:
+    """Nodes' times from a founder half a level above the root, as ratios and back again."""
+    t = key_tree(v).withColumn("t", F.col("t") + 0.5)
+    x = likelihood.height_ratios(t, 4.0)
+    return x.join(likelihood.times_of_ratios(t, x, 4.0), ["tree", "node"])
+
+
+@query(KEYS + """, hh AS (SELECT c.tip, 3.5 - c.t AS h, coalesce(3.5 - p.t, 4.0) AS hp FROM kt c LEFT JOIN kt p ON p.node = c.parent)
+  SELECT CAST(0 AS BIGINT) AS tree, round(sum(ln(hp) + ln(h / hp) + ln(1 - h / hp)), 6) AS log_jacobian FROM hh WHERE NOT tip""")
+def q_log_jacobian(v: Views) -> DataFrame:
+    return likelihood.log_jacobian(key_tree(v).withColumn("t", F.col("t") + 0.5), 4.0)
 
 
 # Events (the batch form of the streaming reads).
@@ -772,11 +811,12 @@ ORACLE["q_event_reads_sites"] = """WITH r AS (SELECT event_type AS sym, row_numb
 # More margins, trees and summaries.
 
 
-@query(CHARS + """ SELECT CAST(clone AS BIGINT) AS clone, CAST(tape AS BIGINT) AS tape, label, count(*) AS n FROM (
-  SELECT c.clone, k.tape, CASE WHEN cc.id IS NOT NULL THEN CAST(cc.id AS VARCHAR) WHEN t.term IS NULL THEN 'ABSENT' ELSE 'UNDET' END AS label
-  FROM cells c CROSS JOIN ktapes k LEFT JOIN tapes t ON t.cell = c.cell AND t.tape = k.tape LEFT JOIN cc ON cc.cell = c.cell AND cc.clone = c.clone AND cc.tape = k.tape) GROUP BY clone, tape, label""")
+@query(CHARS + """ SELECT CAST(clone AS BIGINT) AS clone, CAST(tape AS BIGINT) AS tape, CAST(level AS BIGINT) AS level, label, count(*) AS n FROM (
+  SELECT c.clone, k.tape, k.level, CASE WHEN cc.id IS NOT NULL THEN CAST(cc.id AS VARCHAR) WHEN t.depth >= k.level OR t.term IN (1, 3) THEN 'ABSENT' ELSE 'UNDET' END AS label
+  FROM cells c JOIN (SELECT DISTINCT clone, tape, level FROM ch) k USING (clone) LEFT JOIN tapes t ON t.cell = c.cell AND t.tape = k.tape
+  LEFT JOIN cc ON cc.cell = c.cell AND cc.clone = c.clone AND cc.tape = k.tape AND cc.level = k.level) GROUP BY clone, tape, level, label""")
 def q_label_counts(v: Views) -> DataFrame:
-    return trie.labels(v.tapes, v.characters(), v.cells, 2).groupBy("clone", "tape", "label").agg(F.count("*").alias("n"))
+    return trie.labels(v.tapes, v.characters(), v.cells).groupBy("clone", "tape", "level", "label").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT CAST(clone AS BIGINT) AS clone, CAST(max(m) AS BIGINT) AS m, count(*) AS n_tapes, count(*) FILTER (k >= 3 AND k <= m - 3) AS informative
