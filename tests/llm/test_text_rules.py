@@ -173,7 +173,8 @@ def brute_judge(url):
     return host, path, best[2], best[3]
 
 
-def test_urls(spark):
+@pytest.mark.parametrize("lane_rows", [2, 100_000])
+def test_urls(spark, lane_rows):
     rng = random.Random(6)
     hosts = ["example.com", "WWW.Example.com", "a.example.com", "b.a.example.com", "com", "xcom", "example.net", "q.example.net", "net", "org", "x.org", "example.com.", "", "É.com", "example.com:80"]
     paths = ["", "/", "/en/", "/en/7", "/en/77x", "/EN/7", "/de/8", "/de/9", "/es/", "/es", "/en/?q=/en/7", "/en#/x", "?x=/en/", "/en/7\nz"]
@@ -181,7 +182,7 @@ def test_urls(spark):
     urls += [None, "", "example.com/en/", "http:/example.com/en/", "a://b://example.com/en/", "://", "x://example.com"]
     rows = [(i, u, "h", "r", 1) for i, u in enumerate(urls)] + [(0, urls[0], "h", "r", 2), (None, "http://x.com/en/", "", "", 3)]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string, rule string, _lane int")
-    got = url_filters.judge_urls(pages, spark.createDataFrame(RULES, "host string, path string, verdict string"), lanes=5).collect()
+    got = url_filters.judge_urls(pages, spark.createDataFrame(RULES, "host string, path string, verdict string"), lane_rows=lane_rows).collect()
     want = sorted(str((i, *brute_judge(u))) for i, u, *_ in rows)
     assert sorted(str((r.page_id, r.host, r.path, r.rule, r.verdict)) for r in got) == want
 
@@ -189,5 +190,13 @@ def test_urls(spark):
 def test_urls_without_rows_or_rules(spark):
     rules = spark.createDataFrame([], "host string, path string, verdict string")
     pages = spark.createDataFrame([(1, "http://x.com/en/")], "page_id long, url string")
-    assert [tuple(r) for r in url_filters.judge_urls(pages, rules, lanes=2).collect()] == [(1, "x.com", "/en/", None, "allow")]
-    assert url_filters.judge_urls(pages.limit(0), rules, lanes=2).count() == 0
+    assert [tuple(r) for r in url_filters.judge_urls(pages, rules).collect()] == [(1, "x.com", "/en/", None, "allow")]
+    assert url_filters.judge_urls(pages.limit(0), rules).count() == 0
+
+
+def test_rules_go_only_where_their_hosts_are(spark):
+    rules = spark.createDataFrame([(f"h{i}.example{i % 500}.com", "", "block") for i in range(20_000)] + [("com", "/x", "block")], "host string, path string, verdict string")
+    long = "http://h7.example7.com/" + "a" * 200_000
+    pages = spark.createDataFrame([(1, long), (2, "http://h7.example8.com/x"), (3, "http://a.h8.example8.com/"), (4, "http://org/x")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict, len(r.path)) for r in url_filters.judge_urls(pages, rules).collect()}
+    assert got == {1: ("h7.example7.com", "block", 200_001), 2: ("com/x", "block", 2), 3: ("h8.example8.com", "block", 1), 4: (None, "allow", 2)}
