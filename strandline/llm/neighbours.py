@@ -2,7 +2,8 @@
 
 Coarse centroids and the codebooks of the residuals are fitted on a bounded sample of
 rows that a hash picks (``train_rows``); every row is then indexed: its list, and one
-code per subspace of its residual. A query visits its nearest lists, sums the entries of
+code per subspace of its residual. There are about half as many lists as the square root
+of the rows, and one for 16 rows of the sample at most. A query visits its nearest lists, sums the entries of
 its distance tables by the codes there, and the best by that estimate are reranked by
 exact distance on the original vectors.
 
@@ -83,12 +84,13 @@ class Index:
         residual = x - self.centres[near]
         return near, np.stack([_nearest(residual[:, d], b).astype(np.uint8) for d, b in zip(self.dims, self.books, strict=True)], axis=1)
 
-    def estimate(self, query: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
-        """Squared distances of a query to coded rows of a list."""
-        residual = query - self.centres[which]
-        out = np.zeros(len(codes))
+    def estimates(self, queries: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
+        """Squared distances (query, row) of queries to coded rows of a list: each query's table of a subspace is made once and read by all rows."""
+        residual = queries - self.centres[which]
+        out = np.zeros((len(queries), len(codes)))
         for s, (d, b) in enumerate(zip(self.dims, self.books, strict=True)):
-            out += ((residual[d] - b) ** 2).sum(axis=1)[codes[:, s]]
+            table = ((residual[:, None, d] - b[None]) ** 2).sum(axis=2)
+            out += table[:, codes[:, s]]
         return out
 
 
@@ -97,7 +99,7 @@ def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def nearest_neighbours(rows: DataFrame, every: int, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", train_rows: int = 16_384, rerank: int = 300, block_rows: int = 4096, block_queries: int = 256) -> DataFrame:
+def nearest_neighbours(rows: DataFrame, every: int, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", train_rows: int = 65_536, rerank: int = 300, block_rows: int = 8192, block_queries: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of each row whose id is divisible by ``every``.
 
     score is the Euclidean distance of the original vectors in double precision; nearest
@@ -118,7 +120,7 @@ def nearest_neighbours(rows: DataFrame, every: int, k: int = 10, id_column: str
     if not len(sample):
         sample = vectors.limit(1).select("vec").toArrow().column(0).combine_chunks()
     dim = len(sample[0])
-    fitted = spark.sparkContext.broadcast(Index(sample.flatten().to_numpy().reshape(-1, dim), max(1, min(1024, round(n**0.5 / 2), len(sample) // 16)), k=k))  # bounded by train_rows
+    fitted = spark.sparkContext.broadcast(Index(sample.flatten().to_numpy().reshape(-1, dim), max(1, min(round(n**0.5 / 2), len(sample) // 16)), k=k))  # bounded by train_rows
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +129,7 @@ def nearest_neighbours(rows: DataFrame, every: int, k: int = 10, id_column: str
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "list", "code"])
 
     coded = materialise(vectors.mapInArrow(index, "id long, list int, code binary"), "index")
-    sizes = dict(coded.groupBy("list").count().collect())  # a row for each list, 1024 at most
+    sizes = dict(coded.groupBy("list").count().collect())  # a row for each list, at most a sixteenth of train_rows
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, least = fitted.value.centres, fitted.value.visits
@@ -154,20 +156,24 @@ def nearest_neighbours(rows: DataFrame, every: int, k: int = 10, id_column: str
     def scan(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(asks):
-            rows = rows.sort_values("id")
+            rows, asks = rows.sort_values("id"), asks.sort_values("query_id")
             ids, codes = rows["id"].to_numpy(), np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
-            for q, vec in zip(asks["query_id"], asks["vec"], strict=True):
-                d = fitted.value.estimate(np.asarray(vec), int(rows["list"].iloc[0]), codes)
-                d[ids == q] = np.inf
-                # the best, and of those that tie with the last one those with the smallest ids
-                if len(d) > rerank:
-                    edge = np.partition(d, rerank - 1)[rerank - 1]
-                    below = np.flatnonzero(d < edge)
-                    best = np.concatenate((below, np.flatnonzero(d == edge)[: rerank - len(below)]))
+            which = int(rows["list"].iloc[0])
+            for at in range(0, len(asks), 128):
+                some = asks.iloc[at : at + 128]
+                names = some["query_id"].to_numpy()
+                d = fitted.value.estimates(np.stack(some["vec"].to_numpy()), which, codes)
+                d[ids[None] == names[:, None]] = np.inf
+                # the best of each, and of those that tie with the last one those with the smallest ids
+                if len(ids) > rerank:
+                    edge = np.partition(d, rerank - 1, axis=1)[:, rerank - 1, None]
+                    tied = d == edge
+                    room = rerank - (d < edge).sum(axis=1, keepdims=True)
+                    kept = (d < edge) | (tied & (np.cumsum(tied, axis=1) <= room))
                 else:
-                    best = np.arange(len(d))
-                best = best[np.isfinite(d[best])]
-                out.append(pd.DataFrame({"query_id": q, "id": ids[best], "estimate": d[best]}))
+                    kept = np.ones(d.shape, bool)
+                q, r = np.nonzero(kept & np.isfinite(d))
+                out.append(pd.DataFrame({"query_id": names[q], "id": ids[r], "estimate": d[q, r]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "estimate": pd.Series(dtype="float64")})
 
     key = ["list", "block", "ask"]
