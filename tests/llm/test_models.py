@@ -18,12 +18,19 @@ def sentence(rng, n, letters="abcdefgh"):
     return " ".join(word() for _ in range(n))
 
 
+SYMBOLS = kneser_ney.symbol_table("abcdefghé")
+
+
+def symbols(text):
+    return SYMBOLS[kneser_ney.code_points([text], 0)[0]].tolist()
+
+
 def brute_model(texts, order):
     """Probability of a symbol after a context, straight from the definition."""
     counts = [None, *({} for _ in range(order))]
     top = Counter()
     for t in texts:
-        s = [0] * (order - 1) + kneser_ney.symbols([t], 0)[0].tolist()
+        s = [0] * (order - 1) + symbols(t)
         top.update(tuple(s[i : i + order]) for i in range(len(s) - order + 1))
     counts[order] = top
     for k in range(order - 1, 0, -1):
@@ -55,13 +62,13 @@ def test_probabilities(spark):
     rng = random.Random(1)
     texts = [sentence(rng, 30) + rng.choice(".!#É") for _ in range(20)]
     order = 3
-    counts = kneser_ney.count_ngrams(spark.createDataFrame([("x", t) for t in texts], "_lang string, text string"), order)
+    counts = kneser_ney.count_ngrams(spark.createDataFrame([("x", t) for t in texts], "_lang string, text string"), order, {"x": "abcdefghé"})
     probs = kneser_ney.probabilities(counts, order)
     p = brute_model(texts, order)
     for r in probs.collect():
         gram = tuple(r.code // 64**i % 64 for i in range(r.k - 1, -1, -1))
         assert r.p == pytest.approx(p(gram[:-1], gram[-1]))
-    context = tuple(kneser_ney.symbols(["ab"], 0)[0].tolist())
+    context = tuple(symbols("ab"))
     assert sum(p(context, s) for s in range(64)) == pytest.approx(1)
     tables = {}
     for k in range(1, order + 1):
@@ -69,9 +76,9 @@ def test_probabilities(spark):
         tables[k, "p"] = (np.array([r.code for r in rows]), np.array([r.p for r in rows]))
         g = {r.code // 64: r.g for r in rows}
         tables[k, "g"] = (np.array(list(g)), np.array(list(g.values())))
-    model = kneser_ney.Model(tables, order)
+    model = kneser_ney.Model(tables, order, "abcdefghé")
     for t in [*texts[:3], "abc zz qq 123", "é", "\0a"]:
-        s = [0] * (order - 1) + kneser_ney.symbols([t.replace("\0", "�")], 0)[0].tolist()
+        s = [0] * (order - 1) + symbols(t.replace("\0", "\ufffd"))
         logs = [math.log(p(tuple(s[i - order + 1 : i]), s[i])) for i in range(order - 1, len(s))]
         assert model.perplexities([t])[0] == pytest.approx(math.exp(-sum(logs) / len(logs)), rel=1e-4)
     assert np.isnan(model.perplexities(["", "a"])).tolist() == [True, False]
@@ -94,6 +101,64 @@ def test_classifier(spark):
         assert len([i for i in range(400) if i in ids]) >= 398 and {None, 5000, 5001} <= ids and not any(1000 + i in ids for i in range(20))
 
 
+def brute_verdicts(rows, labelled, order=4, quantile=0.99, slack=1.5, least=20):
+    """doc_id and verdict of each row, from brute-force models of the training fold."""
+    fold = lambda i: i in labelled and labelled[i]
+    train, held = ([r for r in rows if fold(r[0]) is not False and fold(r[0]) == k] for k in (0, 1))
+    letters = lambda texts: "".join(c for c, _ in sorted(Counter(c for t in texts for c in t if c.isalpha() and not c.isupper()).items(), key=lambda x: (-x[1], x[0]))[:56])
+
+    def model(own):
+        texts = [r[1] for r in own]
+        table = kneser_ney.symbol_table(letters(texts))
+        of = lambda t: table[kneser_ney.code_points([t], 0)[0]].tolist()
+        global symbols
+        before, symbols = symbols, of
+        p = brute_model(texts, order)
+        symbols = before
+
+        def perplexity(text):
+            s = [0] * (order - 1) + of(text)
+            logs = [math.log(p(tuple(s[i - order + 1 : i]), s[i])) for i in range(order - 1, len(s))]
+            return math.exp(-sum(logs) / len(logs)) if logs else None
+
+        return perplexity
+
+    count = lambda rs: Counter(r[2] for r in rs)
+    own = [k for k in count(train) if min(count(train)[k], count(held)[k]) >= least]
+    models = {k: model([r for r in train if r[2] == k]) for k in own} | {"*": model(train)}
+    key = lambda r: r[2] if r[2] in own else "*"
+    scores = [(key(r), models[key(r)](r[1])) for r in held]
+    limit = {k: slack * sorted(x for j, x in scores if k in (j, "*"))[max(0, math.ceil(quantile * sum(k in (j, "*") for j, _ in scores)) - 1)] for k in models}
+    return {r[0]: (x := models[key(r)](r[1])) is None or x <= limit[key(r)] for r in rows}
+
+
+def test_verdicts_are_those_of_brute_force_in_any_script(spark):
+    """Languages in Latin, Cyrillic and Chinese script, and one with few documents; junk in letters of the same script."""
+    rng = random.Random(8)
+    scripts = {"en": "abcdefgh", "ru": "\u0430\u0431\u0432\u0433\u0434\u0435\u0436\u0437", "zh": "\u7684\u4e00\u662f\u4e0d\u4e86\u4eba\u6211\u5728", "few": "xyzw"}
+
+    def text(lang, junk):
+        letters = scripts[lang]
+        order_ = {c: letters[(i + 1) % 8 if len(letters) > 4 else (i + 1) % 4] for i, c in enumerate(letters)}
+        out, c = [], letters[0]
+        for _ in range(80):
+            c = rng.choice(letters) if junk or rng.random() < 0.15 else order_[c]
+            out.append(c + (" " if rng.random() < 0.2 else ""))
+        return "".join(out)
+
+    rows = [(i, text(lang, False), lang) for j, (lang, n) in enumerate((("en", 120), ("ru", 120), ("zh", 120), ("few", 12))) for i in range(1000 * j, 1000 * j + n)]
+    rows += [(10_000 + 100 * j + i, text(lang, True), lang) for j, lang in enumerate(("en", "ru", "zh")) for i in range(10)] + [(20_000, "", "ru")]
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows if r[0] < 10_000], "doc_id long, quality int, toxic int")
+    folds = {r.doc_id: r.fold for r in kneser_ney.trusted_ids(labels).collect()}
+    want = brute_verdicts(rows, folds)
+    docs = spark.createDataFrame([(*r, "clash", 0.5) for r in rows], "doc_id long, text string, lang string, perplexity string, _lang double")
+    judged = kneser_ney.classify(docs, labels)
+    assert judged.columns == ["doc_id", "text", "lang", "_lang", "perplexity", "threshold", "good"]
+    got = {r.doc_id: r.good for r in judged.collect()}
+    assert got == want
+    assert not any(got[10_000 + 100 * j + i] for j in range(3) for i in range(10)) and sum(got.values()) > 350
+
+
 def test_classifier_without_labels_or_documents(spark):
     docs = spark.createDataFrame(corpus(random.Random(4)), DOCS)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
