@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,14 +36,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Paths that this process made in the shared folder, in order.
-MADE: list[str] = []
+#: Where ``shared_path`` notes the paths it makes; each thread has its own.
+_NOTED: ContextVar[list[str] | None] = ContextVar("_NOTED", default=None)
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """A list of the paths that are made in the shared folder while it is open.
+
+    Operators leave written tables behind that their lazy results still read. Who has
+    stored a result can ``remove`` the paths that were noted while it was defined.
+    """
+    before = _NOTED.get()
+    paths: list[str] = []
+    token = _NOTED.set(paths)
+    try:
+        yield paths
+    finally:
+        _NOTED.reset(token)
+        if before is not None:
+            before.extend(paths)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return MADE[-1]
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (paths := _NOTED.get()) is not None:
+        paths.append(path)
+    return path
 
 
 def remove(spark: SparkSession, paths: list[str], needed: DataFrame) -> None:

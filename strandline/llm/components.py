@@ -8,24 +8,42 @@ from pyspark.sql import functions as F
 from strandline.llm.common import materialise
 
 
+#: Neighbours from which on a node's rows are met by a broadcast, and how many such nodes may be broadcast.
+HUB, MOST_HUBS = 512, 1_000_000
+
+
+def _beside_least(rows: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
+    """``rows`` with m of their a; ``least`` has a, n (its neighbours) and m.
+
+    Nodes with over HUB neighbours are fewer than two edges in HUB. If these are few
+    enough, they are broadcast, so that no task gets all rows of one of them.
+    """
+    if 2 * n_edges // HUB > MOST_HUBS:
+        return rows.join(least.select("a", "m"), "a")
+    hubs = F.broadcast(least.where(F.col("n") > HUB).select("a", F.col("m").alias("_hub")))
+    both = rows.join(hubs, "a", "left")
+    rest = both.where("_hub IS NULL").drop("_hub").join(least.where(F.col("n") <= HUB).select("a", "m"), "a")
+    return rest.unionByName(both.where("_hub IS NOT NULL").withColumnRenamed("_hub", "m"))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node and root (the smallest node reachable) for each node of ``edges`` (a, b), loops aside.
 
     Each round hangs the neighbours of every node on the smallest of them, first the
     larger ones, then the smaller ones; after about log(n) rounds only stars are left.
-    Minima are grouped with partial sums, and neighbours get them by a join, which
-    Spark may split, so a node with very many neighbours loads no single task.
+    Minima are grouped with partial sums, and neighbours get them by a join in which nodes
+    with very many neighbours are broadcast, so such a node loads no single task.
     """
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), name)
-    state = None
+    state, n_edges = None, now.count()
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.count("*").alias("n"), F.least(F.min("b"), F.col("a")).alias("m"))
+        large = _beside_least(both.where("b > a"), least, n_edges).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = large.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("m"))
+        small = _beside_least(large, least, n_edges).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = materialise(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a > b").distinct(), name)
         after = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if after == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        state = after
+        state, n_edges = after, after[0]

@@ -54,9 +54,13 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def positions(sized: DataFrame, seed: int, buckets: int) -> DataFrame:
-    """Add ``_bucket``, ``_row`` (together unique in a source) and ``start``, the source's words before the document."""
+    """Add ``_bucket``, ``_row`` (together unique in a source) and ``start``, the source's words before the document.
+
+    Documents follow the hash of their id and size; equal ones follow the column ``_tie``, if there is one.
+    """
+    tie = [c for c in ("_tie",) if c in sized.columns]
     keyed = sized.withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("_bucket", F.pmod("_hash", F.lit(buckets)).cast("int"))
-    inside = W.partitionBy("_source", "_bucket").orderBy("_hash", "doc_id", "size")
+    inside = W.partitionBy("_source", "_bucket").orderBy("_hash", "doc_id", "size", *tie)
     keyed = keyed.withColumns({"_row": F.row_number().over(inside), "_in": F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")})
     sums = sized.groupBy("_source", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(buckets)).cast("int").alias("_bucket")).agg(F.sum("size").alias("_n"))
     sums = sums.withColumn("_base", F.sum("_n").over(W.partitionBy("_source").orderBy("_bucket")) - F.col("_n")).drop("_n")
@@ -118,22 +122,28 @@ def plan_slots(quotas: DataFrame, slots: int, seed: int, shard_slots: int, grid:
     return every.select("_shard", "_source", (F.col("_first") + F.col("_part") * shard_slots).alias("_first"), F.least(F.lit(shard_slots), F.col("_n") - F.col("_part") * shard_slots).alias("_n"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = 256, shard_slots: int = 4096, buckets: int = 1024, seed: int = 17, text_column: str = "text") -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = 256, shard_slots: int = 4096, buckets: int | None = None, seed: int = 17, text_column: str = "text") -> tuple[DataFrame, DataFrame]:
     """The mix of ``docs``: (documents, slots).
 
     documents: doc_id, source, size, source_size, target, taken; one row for each row of
     ``docs``. slots: shard, source key, slot, block, words; one row for each block drawn.
 
     A null text has no words and gives nothing. A null source is a source. Rows may
-    repeat; ties in the order of documents are between equal rows. ``most`` is at most 2
-    times in whole passes, so no document is taken more often than that. The same rows
-    and seed give the same mix, whatever the partitions.
+    repeat; ties in the order of documents are between rows with the same id and size,
+    which the result doesn't tell apart. ``most`` is at most 2 times in whole passes, so no
+    document is taken more often than that. The same rows and seed give the same mix,
+    whatever the partitions. A text of any length is one document, cut into as many blocks
+    as it needs; other columns are ignored; an empty table gives empty tables.
+
+    A source's documents are dealt to ``buckets`` for running totals: as many as there are
+    million rows in the table, 1,024 at least.
     """
     return mix_sized(materialise(sizes(docs, text_column), "sizes"), weights, share, most, block_words, shard_slots, buckets, seed)
 
 
-def mix_sized(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = 256, shard_slots: int = 4096, buckets: int = 1024, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def mix_sized(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = 256, shard_slots: int = 4096, buckets: int | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """``mix`` from the rows of ``sizes``; further columns are carried to the documents."""
+    buckets = buckets or max(1024, sized.count() // 1_000_000)
     carried = [c for c in sized.columns if c not in ("doc_id", "source", "_source", "size")]
     goals = materialise(targets(sized, weights, share, most), "targets")
     b = block_words
@@ -167,20 +177,24 @@ def mix_sized(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return documents, slots
 
 
-def resample(docs: DataFrame, seed: int = 17, buckets: int = 1024, **options) -> DataFrame:
+def resample(docs: DataFrame, seed: int = 17, buckets: int | None = None, **options) -> DataFrame:
     """The rows of ``docs``, whole documents, as often as the mix takes them.
 
     A document comes as often as the mix takes all of its words. Those taken in part
     then come once more, in a pseudorandom order, until the words taken in part of their
     source are reached: a source differs from its words in the mix by less than a document.
-    A document without words comes once.
+    A document without words comes once. Null texts have no words, a null source is a
+    source, repeated rows are documents of their own, all columns are kept whatever their
+    names, and an empty table stays empty. The same rows give the same result whatever
+    their partitions: documents with equal id and size are ordered by their text's hash.
     """
     docs, restore = protect(docs, ["doc_id", "text", "source"])
     numbered = materialise(docs.withColumns({"_rid": F.monotonically_increasing_id(), "_size": F.size(words(F.col("text"))).cast("long")}), "numbered")
-    sized = numbered.select("doc_id", "source", key_of(F.col("source")).alias("_source"), F.col("_size").alias("size"), "_rid")
+    sized = numbered.select("doc_id", "source", key_of(F.col("source")).alias("_source"), F.col("_size").alias("size"), "_rid", F.xxhash64("text").alias("_tie"))
+    buckets = buckets or max(1024, sized.count() // 1_000_000)
     documents, _ = mix_sized(sized, seed=seed, buckets=buckets, **options)
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(1))
-    documents = materialise(documents.select("doc_id", "source", key_of(F.col("source")).alias("_source"), "size", "_rid", whole.alias("_whole"), F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0)).alias("_part")), "taken")
+    documents = materialise(documents.select("doc_id", "source", key_of(F.col("source")).alias("_source"), "size", "_rid", "_tie", whole.alias("_whole"), F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0)).alias("_part")), "taken")
     partly = documents.where("_part > 0")
     due = partly.groupBy("_source").agg(F.sum("_part").alias("_due"))
     more = positions(partly.drop("_whole", "_part"), seed + 1, buckets).join(due, "_source").where(F.col("start") < F.col("_due")).select("_rid", F.lit(1).alias("_more"))

@@ -59,7 +59,7 @@ def _repeat_words(w: Column) -> Column:
 
 
 def with_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """Add the column ``counts``, a struct of long counts of each whole text (null: empty)."""
+    """Add the column ``counts``, a struct of long counts of each whole text (null: empty); a column with that name is replaced."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     without = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -146,7 +146,8 @@ def quality_verdicts(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, the counts, base_failed, failed, kept.
 
     A null text is an empty one: no words, base_failed. Null languages and sources form
-    groups of their own. Repeated rows are judged each; other columns are ignored.
+    groups of their own. Repeated rows are judged each; other columns are ignored; texts of
+    any length are counted whole; an empty table gives an empty result.
     """
     narrow = with_counts(docs.select("doc_id", "text", "lang", "source")).drop("text")
     judged = judge(materialise(narrow, "quality"), **options)
@@ -154,6 +155,6 @@ def quality_verdicts(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
+    """The rows of ``docs`` that the rules keep, with the columns of ``docs``, whatever their names."""
     own, restore = protect(docs, ["doc_id", "text", "lang", "source"])
     return restore(judge(materialise(with_counts(own), "quality"), **options).where("kept"))
