@@ -8,13 +8,13 @@ first begins by removing what the stages before it left in the shared folder, ot
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strandline.llm import kneser_ney, mixing, packing, quality_rules, simhash
-from strandline.llm.common import MADE, materialise, remove, table
+from strandline.llm.common import materialise, noted, remove, table
 from strandline.llm.queries import tokenizer_path
 
 
@@ -43,8 +43,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
-#: What the stages of this run have left in the shared folder.
-_LEFT: list[str] = []
+#: What the stages of a run have left in the shared folder; a run's thread has its own.
+_LEFT: ContextVar[tuple[str, ...]] = ContextVar("_LEFT", default=())
 
 
 def tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame], first: bool = False) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
@@ -52,12 +52,11 @@ def tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame], first: bool
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if first:
-            _LEFT.clear()
-        remove(spark, _LEFT, docs)
-        before = len(MADE)
-        out = stage(spark, docs, sf_dir)
-        _LEFT.extend(MADE[before:])
+        left = [] if first else list(_LEFT.get())
+        remove(spark, left, docs)
+        with noted() as made:
+            out = stage(spark, docs, sf_dir)
+        _LEFT.set((*left, *made))
         return out
 
     return run
@@ -71,7 +70,7 @@ STAGES = [
     ("packing", tidy(pack)),
 ]
 
-#: Fingerprints, permutations and token ids aren't SQL; the tests hold the stages against brute force.
+#: Fingerprints, permutations and token ids aren't SQL; ``tests/llm`` holds each stage's operator against brute force, and the chain against its stages.
 ORACLE_SQL = None
 
 
@@ -79,6 +78,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each one's rows are written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
-        _LEFT.append(MADE[-1])
+        rows = stage(spark, docs, sf_dir)
+        with noted() as made:
+            docs = materialise(rows, f"stage-{name}")
+        _LEFT.set((*_LEFT.get(), *made))
     return STAGES[-1][1](spark, docs, sf_dir)
