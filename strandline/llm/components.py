@@ -36,6 +36,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), name)
     state, n_edges = None, now.count()
+    if not n_edges:
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.count("*").alias("n"), F.least(F.min("b"), F.col("a")).alias("m"))

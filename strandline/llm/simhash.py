@@ -532,15 +532,16 @@ def similar_pairs(sets: DataFrame, least: float = 0.8, small: int = 192, block:
     leaders = many.join(heat, "_rid").groupBy("s").agg(F.max(F.struct("heat", "_rid")).alias("m")).select("s", F.col("m._rid").alias("y"))
     led = many.join(leaders, "s").where("_rid <> y").select(F.least("_rid", "y").alias("x"), F.greatest("_rid", "y").alias("y"))
     near = near.unionByName(verified(materialise(firsts.unionByName(led).distinct(), "first-pairs"), sets, least))
-    near = near.unionByName(verified(materialise(split(pairs, components(near)).join(firsts, ["x", "y"], "left_anti"), "rest-pairs"), sets, least))
-    if many.isEmpty():
-        return near
-    rooted = apart(many, components(near), "_rid", "root")
-    mixed = rooted.groupBy("s").agg(F.min("root").alias("_l"), F.max("root").alias("_m")).where("_l < _m").select("s")
-    rest = materialise(rooted.join(mixed, "s").withColumn("parts", F.ceil(F.col("k") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("_rid"), F.col("parts"))), "crowded-shingles")
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))
-    left, right = rest.withColumn("u", F.col("part")).withColumn("v", every), rest.withColumn("v", F.col("part")).withColumn("u", every)
-    return near.unionByName(verified(materialise(_meet(left, right, ["s", "u", "v"], least), "crowded-pairs"), sets, least))
+    found = components(near)
+    rest = split(pairs, found).join(firsts, ["x", "y"], "left_anti")
+    if not many.isEmpty():
+        rooted = apart(many, found, "_rid", "root")
+        mixed = rooted.groupBy("s").agg(F.min("root").alias("_l"), F.max("root").alias("_m")).where("_l < _m").select("s")
+        crowded = materialise(rooted.join(mixed, "s").withColumn("parts", F.ceil(F.col("k") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("_rid"), F.col("parts"))), "crowded-shingles")
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))
+        left, right = crowded.withColumn("u", F.col("part")).withColumn("v", every), crowded.withColumn("v", F.col("part")).withColumn("u", every)
+        rest = rest.unionByName(_meet(left, right, ["s", "u", "v"], least))
+    return near.unionByName(verified(materialise(rest.distinct(), "rest-pairs"), sets, least))
 
 
 def keep_first(docs: DataFrame, size: int = 5, least: float = 0.8, small: int = 192, distance: int = 3) -> DataFrame:
