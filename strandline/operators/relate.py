@@ -9,17 +9,44 @@ from pyspark.sql import functions as F
 from strandline.operators.reads import hash_order
 
 
+def tape_masks(tapes: DataFrame) -> tuple[DataFrame, list[str]]:
+    """clone, cell and columns of bits, 62 tapes each: the tapes of which a cell has an edit. Tapes are few; they are numbered in one task."""
+    names = tapes.select("tape").distinct().withColumn("_i", F.row_number().over(W.orderBy("tape")) - 1)
+    words = range(-(-names.count() // 62))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_i") % 62)
+    own = tapes.where("depth > 0").join(F.broadcast(names), "tape")
+    columns = [f"w{k}" for k in words]
+    return own.groupBy("clone", "cell").agg(*(F.bit_or(F.when(F.floor(F.col("_i") / 62) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in words)), columns
+
+
+def joint_tapes(tapes: DataFrame, block: int = 1024) -> DataFrame:
+    """clone, i, j (i < j), joint: how many tapes both cells of a pair have, for pairs with any.
+
+    A clone's cells are dealt to blocks of about ``block``, and every two blocks meet in a
+    join of their own, so a clone of any size is many tasks' work. A pair is one row,
+    however many tapes there are: tapes are bits.
+    """
+    masks, columns = tape_masks(tapes)
+    sizes = masks.groupBy("clone").agg(F.ceil(F.count("*") / block).cast("int").alias("_parts"))
+    own = masks.join(sizes, "clone").withColumn("_u", F.pmod(F.xxhash64("cell"), F.col("_parts")).cast("int"))
+    side = lambda k, spans: own.select("clone", F.col("cell").alias(k), *(F.col(c).alias(f"{c}{k}") for c in columns), *spans)
+    left = side("a", [F.col("_u").alias("_p"), F.explode(F.sequence(F.col("_u"), F.col("_parts") - 1)).alias("_q")])
+    right = side("b", [F.explode(F.sequence(F.lit(0), F.col("_u"))).alias("_p"), F.col("_u").alias("_q")])
+    joint = sum((F.bit_count(F.col(f"{c}a").bitwiseAND(F.col(f"{c}b"))) for c in columns), F.lit(0)).cast("long")
+    met = left.join(right, ["clone", "_p", "_q"]).where("_p < _q OR a < b")
+    return met.select("clone", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), joint.alias("joint")).where("joint > 0")
+
+
 def pairs(prefixes: DataFrame, tapes: DataFrame) -> DataFrame:
     """clone, i, j (i < j), shared, joint, rel: shared depth over tapes that both cells have.
 
-    Prefix rows meet only if the prefix agrees, so a pair of unrelated cells makes no row there.
+    Prefix rows meet only if the prefix agrees, so a pair of unrelated cells makes no row
+    there; what both cells have is counted on bits (``joint_tapes``).
     """
     p = prefixes.select("clone", "tape", "d", "prefix", "cell")
     a, b = p.withColumnRenamed("cell", "i"), p.withColumnRenamed("cell", "j")
     shared = a.join(b, ["clone", "tape", "d", "prefix"]).where("i < j").groupBy("clone", "i", "j").agg(F.count("*").alias("shared"))
-    t = tapes.where("depth > 0").select("clone", "tape", "cell")
-    joint = t.withColumnRenamed("cell", "i").join(t.withColumnRenamed("cell", "j"), ["clone", "tape"]).where("i < j").groupBy("clone", "i", "j").agg(F.count("*").alias("joint"))
-    out = joint.join(shared, ["clone", "i", "j"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    out = joint_tapes(tapes).join(shared, ["clone", "i", "j"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
     return out.withColumn("rel", F.col("shared") / F.col("joint"))
 
 
