@@ -177,10 +177,10 @@ def inside_outside(prefixes: DataFrame, least: int = 4) -> DataFrame:
     return per.where(F.col("inside") >= least).join(told, ["clone", "tape", "d"]).select("clone", "tape", "d", "prefix", "inside", (F.col("_n") - F.col("inside")).alias("outside"))
 
 
-def children(skeleton: DataFrame, clades: DataFrame, cells: DataFrame) -> DataFrame:
+def children(skeleton: DataFrame, cells: DataFrame) -> DataFrame:
     """clone, node (null for the clone itself), clades, cells: direct child clades of each node, and cells it owns directly."""
     inner = skeleton.groupBy("clone", F.col("parent").alias("node")).agg(F.count("*").alias("clades"), F.sum("size").alias("_in"))
     nodes = skeleton.select("clone", "node", "size").unionByName(cells.groupBy("clone").agg(F.count("*").alias("size")).select("clone", F.lit(None).cast("long").alias("node"), "size"))
-    key = lambda df, n: df.withColumn("_k", F.coalesce("node", F.lit(-1))).drop(n)
-    out = key(nodes, "").join(key(inner, "node"), ["clone", "_k"], "left")
+    keyed = lambda df: df.withColumn("_k", F.coalesce("node", F.lit(-1)))
+    out = keyed(nodes).join(keyed(inner).drop("node"), ["clone", "_k"], "left")
     return out.select("clone", "node", F.coalesce("clades", F.lit(0)).alias("clades"), (F.col("size") - F.coalesce("_in", F.lit(0))).alias("cells"))

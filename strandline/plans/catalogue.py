@@ -408,14 +408,18 @@ def q_dedup_clades(v: Views) -> DataFrame:
     return compat.clades(v.characters()).withColumn("cells", F.array_join(F.col("cells").cast("array<string>"), ","))
 
 
+def _skeleton(v: Views) -> DataFrame:
+    return compat.laminar_skeleton(compat.proper_clades(compat.clades(v.characters()), v.cells))
+
+
 @query()
 def q_skeleton(v: Views) -> DataFrame:
-    return compat.laminar_skeleton(compat.clades(v.characters()))
+    return _skeleton(v)
 
 
 @query()
 def q_polytomy(v: Views) -> DataFrame:
-    return compat.laminar_skeleton(compat.clades(v.characters())).groupBy("clone", "parent").agg(F.count("*").alias("children"))
+    return compat.children(_skeleton(v), v.cells)
 
 
 @query()
@@ -589,15 +593,19 @@ def q_tv_stratified(v: Views) -> DataFrame:
     return writes.stratified_distance(writes.independent_writes(v.tapes), "site").drop("top_symbol")
 
 
-@query(WR + """, per AS (SELECT site, tape, child, count(*) AS a FROM wr GROUP BY ALL), t AS (SELECT tape, child, a, sum(a) OVER (PARTITION BY site, tape) - a AS b, sum(a) OVER (PARTITION BY site, child) - a AS c, sum(a) OVER (PARTITION BY site) - sum(a) OVER (PARTITION BY site, tape) - sum(a) OVER (PARTITION BY site, child) + a AS d FROM per),
+MH = """, per AS (SELECT site, tape, child, count(*) AS a FROM wr GROUP BY ALL), t AS (SELECT tape, child, a, sum(a) OVER (PARTITION BY site, tape) - a AS b, sum(a) OVER (PARTITION BY site, child) - a AS c, sum(a) OVER (PARTITION BY site) - sum(a) OVER (PARTITION BY site, tape) - sum(a) OVER (PARTITION BY site, child) + a AS d FROM per),
   r AS (SELECT tape, child, a * d / n AS r, b * c / n AS s, (a + d) / n AS p, (b + c) / n AS q FROM (SELECT *, a + b + c + d AS n FROM t)),
-  m AS (SELECT tape, child, sum(r) AS r, sum(s) AS s, sum(p * r) AS pr, sum(p * s + q * r) AS ps, sum(q * s) AS qs FROM r GROUP BY ALL)
-  SELECT CAST(tape AS BIGINT) AS tape, child, round(ln(r / s), 6) AS log_or, round(pr / (2 * r * r) + ps / (2 * r * s) + qs / (2 * s * s), 6) AS variance FROM m WHERE r > 0 AND s > 0""")
+  m AS (SELECT tape, child, sum(r) AS r, sum(s) AS s, sum(p * r) AS pr, sum(p * s + q * r) AS ps, sum(q * s) AS qs FROM r GROUP BY ALL),
+  mh AS (SELECT tape, child, ln(r / s) AS log_or, pr / (2 * r * r) + ps / (2 * r * s) + qs / (2 * s * s) AS variance FROM m WHERE r > 0 AND s > 0)"""
+
+
+@query(WR + MH + " SELECT CAST(tape AS BIGINT) AS tape, child, round(log_or, 6) AS log_or, round(variance, 6) AS variance FROM mh")
 def q_mantel_haenszel(v: Views) -> DataFrame:
     return writes.mantel_haenszel(writes.symbol_tables(writes.independent_writes(v.tapes), "tape", "site"), ["tape", "child"])
 
 
-@query()
+@query(WR + MH + """, z AS (SELECT tape, child AS item, log_or / sqrt(variance) AS z, row_number() OVER (PARTITION BY tape ORDER BY log_or / sqrt(variance), child) AS k FROM mh)
+  SELECT CAST(tape AS BIGINT) AS tape, max(item) FILTER (k = 1) AS item, round(max(z) FILTER (k = 2) - max(z) FILTER (k = 1), 6) AS gap, coalesce(max(z) FILTER (k = 2) - max(z) FILTER (k = 1) >= 1.0, false) AS callable FROM z WHERE k <= 2 GROUP BY tape""")
 def q_recovered_map(v: Views) -> DataFrame:
     z = writes.mantel_haenszel(writes.symbol_tables(writes.independent_writes(v.tapes), "tape", "site"), ["tape", "child"])
     return writes.call_map(z.select("tape", F.col("child").alias("item"), (F.col("log_or") / F.sqrt("variance")).alias("z")), "tape")
@@ -751,15 +759,18 @@ def q_simulate_tree(v: Views) -> DataFrame:
     return simulate.trees(v.spark, **SIM)
 
 
-@query()
+@query(KEYS + """, hi AS (SELECT anc AS node, max(steps) AS h FROM up JOIN kt USING (node) WHERE tip GROUP BY anc)
+  SELECT CAST(0 AS BIGINT) AS tree, count(*) AS n_nodes, count(*) FILTER (c.tip) AS n_tips, round(sum(coalesce(c.t - p.t, 0)), 6) AS length, round(max(c.t), 6) AS height, (SELECT round(sum(1 / h), 6) FROM hi JOIN kt USING (node) WHERE h > 0 AND parent IS NOT NULL) AS b1 FROM kt c LEFT JOIN kt p ON p.node = c.parent""")
 def q_tree_statistics(v: Views) -> DataFrame:
-    t = simulate.trees(v.spark, **SIM)
+    t = key_tree(v)
     return tree.statistics(t).join(tree.balance(t), "tree")
 
 
-@query()
+@query("""SELECT CAST(0 AS BIGINT) AS tree, '(' || string_agg(CASE WHEN r IS NULL THEN CAST(r_regionkey + 1 AS VARCHAR) ELSE '(' || r || ')' END || ':1', ',' ORDER BY r_regionkey) || ');' AS text FROM region LEFT JOIN (
+  SELECT n_regionkey, string_agg(CASE WHEN c IS NULL THEN CAST(n_nationkey + 100 AS VARCHAR) ELSE '(' || c || ')' END || ':1', ',' ORDER BY n_nationkey) AS r FROM nation LEFT JOIN (
+  SELECT c_nationkey, string_agg(CAST(c_custkey + 1000 AS VARCHAR) || ':1', ',' ORDER BY c_custkey) AS c FROM customer GROUP BY c_nationkey) ON c_nationkey = n_nationkey GROUP BY n_regionkey) ON n_regionkey = r_regionkey""")
 def q_newick(v: Views) -> DataFrame:
-    return tree.newick(simulate.trees(v.spark, **SIM))
+    return tree.newick(key_tree(v))
 
 
 @query()
@@ -769,11 +780,21 @@ def q_decorate(v: Views) -> DataFrame:
     return own.select("tree", "node", "tape", F.array_join(F.col("read").cast("array<string>"), ",").alias("read"), "seen")
 
 
-@query()
+@query(f""", sy AS (SELECT sym, count(*) / sum(count(*)) OVER () AS p FROM reads WHERE regexp_matches(sym, '{fixture.DESIGN}') GROUP BY sym),
+  ps AS (SELECT cell, tape, sum(ln(p)) AS lp FROM (SELECT cell, tape, unnest(read) AS sym FROM tapes) JOIN sy USING (sym) GROUP BY ALL),
+  po AS (SELECT k, CASE WHEN k < 6 THEN exp(k * ln(2.5) - 2.5 - lgamma(k + 1)) ELSE 1 - (SELECT sum(exp(i * ln(2.5) - 2.5 - lgamma(i + 1))) FROM range(0, 6) r(i)) END AS p FROM range(0, 7) r(k))
+  SELECT CAST(e.clone AS BIGINT) AS tree, CAST(e.tape AS BIGINT) AS tape, round(sum(CASE WHEN missing = 1 THEN ln(0.2) ELSE ln(0.8) + ln(po.p) + coalesce(lp, 0) END), 5) AS loglik
+  FROM entries e LEFT JOIN tapes t ON t.cell = e.cell AND t.tape = e.tape LEFT JOIN po ON po.k = t.depth LEFT JOIN ps ON ps.cell = e.cell AND ps.tape = e.tape GROUP BY e.clone, e.tape""", digits=5)
 def q_loglik(v: Views) -> DataFrame:
-    t = simulate.trees(v.spark, **SIM)
-    own = simulate.observed(simulate.decorate(t, 4, 3.0, SHARES), t, tree.propagate(t, simulate.losses(t, 4, 0.4)).where("lost"), 0.1)
-    return likelihood.log_likelihoods(t, own, 3.0, SHARES, silence=0.4, missed=0.1)
+    """Each clone as a star of its cells, one unit of time below the founder: the likelihood has a closed form."""
+    top = 10**12
+    tips = v.cells.select(F.col("clone").cast("long").alias("tree"), F.col("cell").cast("long").alias("node"), (F.col("clone") + top).cast("long").alias("parent"), F.lit(1.0).alias("t"), F.lit(True).alias("tip"))
+    roots = v.cells.select("clone").distinct().select(F.col("clone").cast("long").alias("tree"), (F.col("clone") + top).cast("long").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(0.0).alias("t"), F.lit(False).alias("tip"))
+    known = alphabet.shares(v.reads.where(F.col("sym").rlike(fixture.DESIGN)), []).orderBy("sym").collect()  # an alphabet
+    code = F.create_map(*(x for i, r in enumerate(known) for x in (F.lit(r["sym"]), F.lit(i))))
+    own = v.tapes.select("cell", "tape", F.transform("read", lambda x: code[x]).alias("read"), F.lit(True).alias("seen"))
+    reads_ = v.entries.select("cell", "clone", "tape").join(own, ["cell", "tape"], "left").select(F.col("clone").cast("long").alias("tree"), F.col("cell").cast("long").alias("node"), "tape", F.coalesce("read", F.array().cast("array<int>")).alias("read"), F.coalesce("seen", F.lit(False)).alias("seen"))
+    return likelihood.log_likelihoods(tips.unionByName(roots), reads_, 2.5, [r["p"] for r in known], missed=0.2)
 
 
 @query(KEYS + """ SELECT CAST(0 AS BIGINT) AS tree, round(sum(ln(0.5 * 0.7 * 0.7 * exp(-0.7 * (4 - t)) / pow(0.5 + 0.2 * exp(-0.7 * (4 - t)), 2) / (0.5 * (1 - exp(-2.8)) / (0.5 + 0.2 * exp(-2.8))))), 5) AS log_prior FROM kt WHERE NOT tip""", digits=5)

@@ -406,25 +406,35 @@ RELABEL = f"""rl AS (SELECT h.perm, h.clone, h.site, t.tape, h.child FROM (SELEC
   JOIN (SELECT perm, clone, site, tape, row_number() OVER (PARTITION BY perm, clone, site ORDER BY {order(33, 'perm', 'clone', 'site', 'tape', 'parent', 'child')}, tape, parent, child) AS i FROM wr CROSS JOIN range(1, 9) r(perm)) t USING (perm, clone, site, i))"""
 
 
-@query(WR + ", " + STRAT.format(k="", t="wr").replace("ct0", "oc0").replace("ct1", "oc1").replace("ct2", "oc2").replace("ct3", "oc3").replace("ct4", "oc4").replace("sd AS", "od AS") + ", " + RELABEL + ", " + STRAT.format(k="perm, ", t="rl") + """,
-  sp AS (SELECT tape, child, sum(difference) / 8 AS m, sum(difference * difference) / 8 AS q FROM sd GROUP BY ALL)
-  SELECT CAST(tape AS BIGINT) AS tape, child, round(CASE WHEN sqrt(greatest(coalesce(q, 0) - pow(coalesce(m, 0), 2), 0)) > 1e-9 THEN (coalesce(difference, 0) - coalesce(m, 0)) / sqrt(greatest(coalesce(q, 0) - pow(coalesce(m, 0), 2), 0)) ELSE 0 END, 4) AS z FROM od FULL JOIN sp USING (tape, child)""", digits=4)
+STANDARD = WR + ", " + STRAT.format(k="", t="wr").replace("ct0", "oc0").replace("ct1", "oc1").replace("ct2", "oc2").replace("ct3", "oc3").replace("ct4", "oc4").replace("sd AS", "od AS") + ", " + RELABEL + ", " + STRAT.format(k="perm, ", t="rl") + """,
+  sp AS (SELECT tape, child, sum(difference) / 8 AS m, sum(difference * difference) / 8 AS q FROM sd GROUP BY ALL),
+  zz AS (SELECT tape, child, CASE WHEN sqrt(greatest(coalesce(q, 0) - pow(coalesce(m, 0), 2), 0)) > 1e-9 THEN (coalesce(difference, 0) - coalesce(m, 0)) / sqrt(greatest(coalesce(q, 0) - pow(coalesce(m, 0), 2), 0)) ELSE 0 END AS z FROM od FULL JOIN sp USING (tape, child))"""
+
+
+@query(STANDARD + " SELECT CAST(tape AS BIGINT) AS tape, child, round(z, 4) AS z FROM zz", digits=4)
 def q_standardised_map(v: Views) -> DataFrame:
     own = writes.independent_writes(v.tapes)
     null = writes.clone_stratified(writes.relabelled(own, 8, 33), ("perm",))
     return writes.standardised_map(writes.clone_stratified(own), null, 8)
 
 
-@query()
+@query(STANDARD + """ SELECT CAST(tape AS BIGINT) AS tape, arg_max(child, z) AS top, round(max(z), 4) AS top_z, round(CASE WHEN sqrt(greatest(sum(z * z) - max(z) * max(z), 0) / 19) > 1e-9 THEN max(z) / sqrt(greatest(sum(z * z) - max(z) * max(z), 0) / 19) ELSE 0 END, 4) AS concentration FROM zz GROUP BY tape""", digits=4)
 def q_map_concentration(v: Views) -> DataFrame:
     own = writes.independent_writes(v.tapes)
     z = writes.standardised_map(writes.clone_stratified(own), writes.clone_stratified(writes.relabelled(own, 8, 33), ("perm",)), 8)
     return writes.concentration_of_map(z, 20)
 
 
-@query()
+@query(WR + """, per AS (SELECT site, tape, child, count(*) AS a FROM wr GROUP BY ALL), t AS (SELECT tape, child, a, sum(a) OVER (PARTITION BY site, tape) - a AS b, sum(a) OVER (PARTITION BY site, child) - a AS c, sum(a) OVER (PARTITION BY site) - sum(a) OVER (PARTITION BY site, tape) - sum(a) OVER (PARTITION BY site, child) + a AS d FROM per),
+  g AS (SELECT tape, child, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(c AS DOUBLE) AS c, CAST(d AS DOUBLE) AS d, i, exp(i * 0.05 - 8) AS th FROM t CROSS JOIN range(0, 321) r(i)),
+  q AS (SELECT *, th * (b + d) AS qa, (a + b) * th + (c + d) - (a + c) * (1 + th) AS qb FROM g),
+  x AS (SELECT *, CASE WHEN qa <= 0 THEN NULL ELSE (-qb + sqrt(qb * qb + 4 * qa * (a + c))) / (2 * qa) END AS x FROM q),
+  p AS (SELECT *, coalesce(x * th / (1 + x * th), 1.0) AS p1, coalesce(x / (1 + x), 1.0) AS p0 FROM x),
+  l AS (SELECT tape, child, i, round(sum(CASE WHEN a = 0 THEN 0 ELSE a * ln(greatest(p1, 1e-15)) END + CASE WHEN b = 0 THEN 0 ELSE b * ln(greatest(1 - p1, 1e-15)) END + CASE WHEN c = 0 THEN 0 ELSE c * ln(greatest(p0, 1e-15)) END + CASE WHEN d = 0 THEN 0 ELSE d * ln(greatest(1 - p0, 1e-15)) END), 9) AS ll FROM p GROUP BY ALL),
+  w AS (SELECT *, row_number() OVER (PARTITION BY tape, child ORDER BY ll DESC, abs(i - 160), i DESC) AS k FROM l)
+  SELECT CAST(w.tape AS BIGINT) AS tape, w.child, round(w.i * 0.05 - 8, 6) AS theta, round(w.ll - z.ll, 5) AS gain FROM w JOIN l z ON z.tape = w.tape AND z.child = w.child AND z.i = 160 WHERE k = 1""")
 def q_common_log_odds(v: Views) -> DataFrame:
-    return writes.common_log_odds(writes.symbol_tables(writes.independent_writes(v.tapes), "tape", "site"), ["tape", "child"])
+    return writes.common_log_odds(writes.symbol_tables(writes.independent_writes(v.tapes), "tape", "site"), ["tape", "child"]).withColumn("gain", F.round("gain", 5))
 
 
 TOPS = """, t AS (SELECT sample, tape, first(sym ORDER BY n DESC, sym DESC) AS sym FROM (SELECT sample, tape, sym, count(*) AS n FROM reads GROUP BY ALL) GROUP BY ALL),
@@ -513,13 +523,20 @@ def q_split_variogram(v: Views) -> DataFrame:
     return relate.split_variogram(*_split_pairs(v), [0.0, 0.05, 0.2, 0.5])
 
 
-@query()
+BINS = "CASE WHEN rel >= 0.5 THEN 3 WHEN rel >= 0.2 THEN 2 WHEN rel >= 0.05 THEN 1 ELSE 0 END"
+
+
+@query(SPLIT_PAIRS + f""", mv AS (SELECT h.cell, t.cell AS source FROM (SELECT cell, row_number() OVER (ORDER BY cell) AS i FROM cells) h JOIN (SELECT cell, row_number() OVER (ORDER BY {order(36, '1', 'cell')}, cell) AS i FROM cells) t USING (i)),
+  ro AS (SELECT split, i, j, any_value(rel) AS rel, avg(x.r * y.r) AS s FROM pa2 JOIN re2 x USING (split) JOIN re2 y USING (split, tape) WHERE x.cell = i AND y.cell = j GROUP BY split, i, j),
+  r3 AS (SELECT split, mv.cell, tape, r FROM re2 JOIN mv ON mv.source = re2.cell), rn AS (SELECT split, i, j, any_value(rel) AS rel, avg(x.r * y.r) AS s FROM pa2 JOIN r3 x USING (split) JOIN r3 y USING (split, tape) WHERE x.cell = i AND y.cell = j GROUP BY split, i, j),
+  d AS (SELECT split, bin, a, b FROM (SELECT split, {BINS} AS bin, avg(s) AS a FROM ro GROUP BY ALL) JOIN (SELECT split, {BINS} AS bin, avg(s) AS b FROM rn GROUP BY ALL) USING (split, bin))
+  SELECT CAST(bin AS BIGINT) AS bin, round(avg(a), 6) AS observed, round(avg(b), 6) AS null, round(avg(a - b), 6) AS difference, round(stddev_samp(a - b), 6) AS sd, round(CASE WHEN stddev_samp(a - b) > 0 THEN avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) END, 4) AS t FROM d GROUP BY bin""".replace("AS null,", 'AS "null",'))
 def q_variogram_excess(v: Views) -> DataFrame:
     pairs, r = _split_pairs(v)
     moves = splits.permuted_cells(v.cells, 1, 36, None).select("cell", "source")
     null = r.withColumnRenamed("cell", "source").join(moves, "source").drop("source")
     edges = [0.0, 0.05, 0.2, 0.5]
-    return relate.over_splits(relate.split_variogram(pairs, r, edges), relate.split_variogram(pairs, null, edges))
+    return relate.over_splits(relate.split_variogram(pairs, r, edges), relate.split_variogram(pairs, null, edges)).withColumn("t", F.round("t", 4))
 
 
 # Trees.

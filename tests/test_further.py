@@ -192,7 +192,7 @@ def test_skeleton_children_count_every_cell_once(spark):
     cells = spark.createDataFrame([(c, c % 2) for c in range(40)], "cell long, clone int")
     clades = compat.proper_clades(compat.clades(trie.character_ids(trie.characters(reads.explode_prefixes(tapes)))), cells)
     nodes = compat.laminar_skeleton(clades)
-    below = compat.children(nodes, clades, cells).groupBy("clone").agg(F.sum("cells").alias("n"), F.sum("clades").alias("k")).collect()
+    below = compat.children(nodes, cells).groupBy("clone").agg(F.sum("cells").alias("n"), F.sum("clades").alias("k")).collect()
     assert {(r.clone, r.n) for r in below} == {(0, 20), (1, 20)} and sum(r.k for r in below) == nodes.count()
     assert nodes.where("size >= 20").count() == 0
 
