@@ -162,3 +162,13 @@ def prefix_log_probability(prefixes: DataFrame, shares: DataFrame) -> DataFrame:
     own = prefixes.select("clone", "tape", "d", "prefix").distinct()
     each = own.withColumn("sym", F.explode(F.split("prefix", ">"))).join(shares.select("sym", "p"), "sym")
     return each.groupBy("clone", "tape", "d", "prefix").agg(F.sum(F.log("p")).alias("log_p"))
+
+
+def draws_for(shares: DataFrame, seen: list[int], most: int) -> DataFrame:
+    """s, m: the fewest draws whose expected number of distinct symbols is s; null if even ``most`` don't reach it (saturation)."""
+    spark = shares.sparkSession
+    grid = spark.range(1, most + 1).select(F.col("id").alias("m"), F.lit(1).alias("_k"))
+    mean = grid.join(shares.select("p", F.lit(1).alias("_k")), "_k").groupBy("m").agg(F.sum(1 - F.pow(1 - F.col("p"), F.col("m"))).alias("_e"))  # draws by symbols of an alphabet
+    asked = spark.createDataFrame([(s,) for s in seen], "s int")
+    hit = mean.withColumn("s", F.explode(F.array(*(F.lit(s) for s in seen)))).where("_e >= s - 1e-9").groupBy("s").agg(F.min("m").alias("m"))
+    return asked.join(hit, "s", "left")

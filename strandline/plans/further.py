@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import piecewise
-from strandline.operators import alphabet, compat, fit, margins, reads, relate, scan, splits, tree, trie, writes
+from strandline.operators import alphabet, compat, fit, margins, reads, relate, scan, splits, tree, trie, validate, writes
 from strandline.plans.catalogue import BIG, CHARS, COMBOS, CONSENSUS, KEYS, NODES, PAIRS, QUERIES, WR, Views, key_tree, query
 from strandline.sources import fixture
 
@@ -596,4 +596,56 @@ def q_ridge(v: Views) -> DataFrame:
     return fit.ridge(rows, lost, 1.0)
 
 
+# Validation.
+
+
+CLONE_RESIDUAL = ", cr AS (SELECT cell, clone, tape, missing - avg(missing) OVER (PARTITION BY clone) AS r FROM entries)"
+
+
+def _clone_residuals(v: Views) -> DataFrame:
+    mean = v.entries.groupBy("clone").agg(F.avg("missing").alias("_m"))
+    return v.entries.join(mean, "clone").withColumn("r", F.col("missing") - F.col("_m"))
+
+
+@query(CLONE_RESIDUAL + " SELECT CAST(tape AS BIGINT) AS tape, count(*) AS n, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS sd, round(avg(r) / (stddev_samp(r) / sqrt(count(*))), 4) AS z FROM cr GROUP BY tape HAVING count(*) >= 100", digits=6)
+def q_residual_z(v: Views) -> DataFrame:
+    return validate.residual_z(_clone_residuals(v), ["tape"], "r", 100).withColumn("z", F.round("z", 4))
+
+
+@query(CLONE_RESIDUAL + f""", hf AS (SELECT tape, r, {chance(61, 'cell', 'tape')} < 0.5 AS h FROM cr),
+  ag AS (SELECT tape, count(*) FILTER (h) AS a, count(*) FILTER (NOT h) AS b, avg(r) FILTER (h) AS ma, avg(r) FILTER (NOT h) AS mb, var_samp(r) FILTER (h) AS va, var_samp(r) FILTER (NOT h) AS vb FROM hf GROUP BY tape)
+  SELECT CAST(tape AS BIGINT) AS tape, a + b AS n, round(ma - mb, 6) AS difference, round(CASE WHEN sqrt(va / a + vb / b) > 0 THEN (ma - mb) / sqrt(va / a + vb / b) END, 4) AS z FROM ag""")
+def q_half_z(v: Views) -> DataFrame:
+    return validate.half_z(_clone_residuals(v), ["tape"], "r", 61, "cell", "tape").withColumn("z", F.round("z", 4))
+
+
+@query(f"""SELECT CAST(least(floor({chance(62, 'cell')} * 10), 9) AS BIGINT) AS bin, count(*) AS n, round((SELECT count(*) FROM cells) / 10, 6) AS expected, round((count(*) - (SELECT count(*) FROM cells) / 10) / sqrt((SELECT count(*) FROM cells) / 10 * 0.9), 4) AS z FROM cells GROUP BY bin""")
+def q_occupancy_z(v: Views) -> DataFrame:
+    """The hash that every permutation and split rests on, against an even spread."""
+    return validate.occupancy_z(v.cells.withColumn("u", reads.uniform(62, "cell")), "u").withColumn("z", F.round("z", 4))
+
+
+@query(KEYS + """, u AS (SELECT (1 - exp(-0.7 * h)) / (0.5 + 0.2 * exp(-0.7 * h)) / ((1 - exp(-2.8)) / (0.5 + 0.2 * exp(-2.8))) AS u FROM (SELECT 3.5 - t AS h FROM kt WHERE NOT tip))
+  SELECT CAST(least(floor(u * 10), 9) AS BIGINT) AS bin, count(*) AS n, round((SELECT count(*) FROM u) / 10, 6) AS expected, round((count(*) - (SELECT count(*) FROM u) / 10) / sqrt((SELECT count(*) FROM u) / 10 * 0.9), 4) AS z FROM u GROUP BY bin""")
+def q_height_deciles(v: Views) -> DataFrame:
+    """Branching heights of the key tree, half a level below their founder, by their distribution under the prior."""
+    h = key_tree(v).where("NOT tip").select((3.5 - F.col("t")).alias("h"))
+    return validate.occupancy_z(h.select(validate.height_cdf(F.col("h"), 1.0, 0.3, 0.5, 4.0).alias("u")), "u").withColumn("z", F.round("z", 4))
+
+
+@query(""", sh0 AS (SELECT sym, count(*) / sum(count(*)) OVER () AS p FROM reads GROUP BY sym), em AS (SELECT m, sum(1 - pow(1 - p, m)) AS e FROM sh0 CROSS JOIN range(1, 401) r(m) GROUP BY m)
+  SELECT CAST(s AS BIGINT) AS s, coalesce(min(m) FILTER (e >= s - 1e-9), -1) AS m FROM em CROSS JOIN (VALUES (1), (5), (15), (24), (40)) t(s) GROUP BY s""")
+def q_draws_for(v: Views) -> DataFrame:
+    return alphabet.draws_for(alphabet.shares(v.reads, []), [1, 5, 15, 24, 40], 400).withColumn("m", F.coalesce("m", F.lit(-1)))
+
+
+@query()
+def q_attribution(v: Views) -> DataFrame:
+    """Events kept one a clone, tape and set of cells: by the soft score and by the hard one."""
+    own = _seen(v).where("z > 2")
+    cells = v.prefixes.groupBy("clone", F.col("tape").alias("anchor"), "d", "prefix").agg(F.collect_list("cell").alias("cells"))
+    hits = own.join(cells, ["clone", "anchor", "d", "prefix"])
+    return validate.same_events(scan.collapse(hits, "soft"), scan.collapse(hits, "hard"), scan.COMBO)
+
+
 __all__ = ["QUERIES"]
