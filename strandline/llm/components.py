@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from strandline.llm.common import materialise
 
 
-#: Neighbours from which on a node's rows are met by a broadcast, and how many such nodes may be broadcast.
-HUB, MOST_HUBS = 512, 1_000_000
+#: Neighbours from which on a node's rows are met by a broadcast, and how many such nodes may be broadcast;
+#: fewer edges than FEW are a moment's work for one task, and joined plainly.
+HUB, MOST_HUBS, FEW = 512, 1_000_000, 100_000
 
 
 def _beside_least(rows: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
     """``rows`` with m of their a; ``least`` has a, n (its neighbours) and m.
 
     Nodes with over HUB neighbours are fewer than two edges in HUB. If these are few
-    enough, they are broadcast, so that no task gets all rows of one of them.
+    enough, they are broadcast, so that no task gets all rows of one of many edges.
     """
-    if 2 * n_edges // HUB > MOST_HUBS:
+    if n_edges < FEW or 2 * n_edges // HUB > MOST_HUBS:
         return rows.join(least.select("a", "m"), "a")
     hubs = F.broadcast(least.where(F.col("n") > HUB).select("a", F.col("m").alias("_hub")))
     both = rows.join(hubs, "a", "left")

@@ -484,12 +484,14 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 ok.append(both >= least * (len(x) + len(y) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("_rid")).distinct()
+    sets = sets.join(asked, "_rid", "left_semi")
+
     def beside(rows: DataFrame, columns: list[str]) -> DataFrame:
         own = lambda k: sets.select(F.col("_rid").alias(k), *(F.col(c).alias(f"{c}{k}") for c in columns))
         return rows.join(own("x"), "x").join(own("y"), "y")
 
     left = beside(pairs, ["n", "c"]).select("x", "y", "nx", "ny", "cx", "cy").mapInArrow(possible, "x long, y long")
-    left = materialise(left, "possible-pairs")
     return materialise(beside(left, ["s"]).select(F.col("x").alias("a"), F.col("y").alias("b"), "sx", "sy").mapInArrow(similar, "a long, b long"), "similar")
 
 
@@ -506,42 +508,40 @@ def fingerprint_pairs(sets: DataFrame, distance: int) -> DataFrame:
 def similar_pairs(sets: DataFrame, least: float = 0.8, small: int = 192, block: int = 1024, distance: int = 3) -> DataFrame:
     """a, b: pairs of ``sets`` with a similarity of ``least`` or more that connect exactly what all such pairs would.
 
-    First come the pairs that SimHash fingerprints within ``distance`` bits propose. The
-    rest is exact: candidates share a shingle of their prefixes (``prefixes``), so none is
-    missed, and those in different components are verified. Of a shingle with more than
-    ``small`` texts, each text first meets the one most of whose prefix is shared; then
-    all candidate pairs still apart meet in blocks of about ``block`` texts.
+    First come the pairs that SimHash fingerprints within ``distance`` bits propose, and
+    those of each shingle with more than ``small`` texts with the one most of whose prefix
+    is shared. The rest is exact: candidates share a shingle of their prefixes
+    (``prefixes``), so none is missed, and all that are in different components by then
+    are verified; texts of a shingle with more than ``small`` meet in blocks of about
+    ``block``.
     """
-    near = verified(materialise(fingerprint_pairs(sets, distance), "fingerprint-pairs"), sets, least)
-
-    def apart(rows: DataFrame, found: DataFrame, key: str, root: str) -> DataFrame:
-        """``rows`` with the component of the text ``key`` in ``found``."""
-        return rows.join(found.select(F.col("node").alias(key), F.col("root").alias(root)), key, "left").withColumn(root, F.coalesce(root, key))
-
-    def split(pairs: DataFrame, found: DataFrame) -> DataFrame:
-        return apart(apart(pairs, found, "x", "_rx"), found, "y", "_ry").where("_rx <> _ry").select("x", "y")
-
     # One shuffle and no copy of the prefixes on disk: most shingles are of one text only.
     shared = materialise(prefixes(sets, least).withColumn("k", F.count("*").over(W.partitionBy("s"))).where("k > 1"), "shared-shingles")
     few, many = shared.where(F.col("k") <= small), shared.where(F.col("k") > small)
+    crowded = not many.isEmpty()
+
+    proposed = fingerprint_pairs(sets, distance)
+    if crowded:
+        heat = shared.groupBy("_rid").agg((F.sum("k") / F.first("n")).alias("heat"))
+        leaders = many.join(heat, "_rid").groupBy("s").agg(F.max(F.struct("heat", "_rid")).alias("m")).select("s", F.col("m._rid").alias("y"))
+        led = many.join(leaders, "s").where("_rid <> y").select(F.least("_rid", "y").alias("x"), F.greatest("_rid", "y").alias("y"))
+        proposed = proposed.unionByName(led).distinct()
+    near = verified(materialise(proposed, "proposed-pairs"), sets, least)
+    found = components(near).select("node", "root")
+
+    def apart(rows: DataFrame, key: str, root: str) -> DataFrame:
+        """``rows`` with the component of the text ``key`` so far."""
+        return rows.join(found.select(F.col("node").alias(key), F.col("root").alias(root)), key, "left").withColumn(root, F.coalesce(root, key))
 
-    # Each text meets its first candidate, then only pairs still in different components are left.
-    pairs = materialise(split(_meet(few, few, ["s"], least), components(near)), "near-pairs")
-    firsts = pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
-    heat = shared.groupBy("_rid").agg((F.sum("k") / F.first("n")).alias("heat"))
-    leaders = many.join(heat, "_rid").groupBy("s").agg(F.max(F.struct("heat", "_rid")).alias("m")).select("s", F.col("m._rid").alias("y"))
-    led = many.join(leaders, "s").where("_rid <> y").select(F.least("_rid", "y").alias("x"), F.greatest("_rid", "y").alias("y"))
-    near = near.unionByName(verified(materialise(firsts.unionByName(led).distinct(), "first-pairs"), sets, least))
-    found = components(near)
-    rest = split(pairs, found).join(firsts, ["x", "y"], "left_anti")
-    if not many.isEmpty():
-        rooted = apart(many, found, "_rid", "root")
+    rest = apart(apart(_meet(few, few, ["s"], least), "x", "_rx"), "y", "_ry").where("_rx <> _ry").select("x", "y")
+    if crowded:
+        rooted = apart(many, "_rid", "root")
         mixed = rooted.groupBy("s").agg(F.min("root").alias("_l"), F.max("root").alias("_m")).where("_l < _m").select("s")
-        crowded = materialise(rooted.join(mixed, "s").withColumn("parts", F.ceil(F.col("k") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("_rid"), F.col("parts"))), "crowded-shingles")
+        parted = materialise(rooted.join(mixed, "s").withColumn("parts", F.ceil(F.col("k") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("_rid"), F.col("parts"))), "crowded-shingles")
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))
-        left, right = crowded.withColumn("u", F.col("part")).withColumn("v", every), crowded.withColumn("v", F.col("part")).withColumn("u", every)
-        rest = rest.unionByName(_meet(left, right, ["s", "u", "v"], least))
-    return near.unionByName(verified(materialise(rest.distinct(), "rest-pairs"), sets, least))
+        left, right = parted.withColumn("u", F.col("part")).withColumn("v", every), parted.withColumn("v", F.col("part")).withColumn("u", every)
+        rest = rest.unionByName(_meet(left, right, ["s", "u", "v"], least)).distinct()
+    return near.unionByName(verified(materialise(rest, "rest-pairs"), sets, least))
 
 
 def keep_first(docs: DataFrame, size: int = 5, least: float = 0.8, small: int = 192, distance: int = 3) -> DataFrame:

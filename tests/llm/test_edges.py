@@ -83,9 +83,12 @@ def test_paths_are_noted_where_they_are_made(spark):
 
 
 @pytest.mark.parametrize("size", [4, 1200])
-def test_components_of_hubs(spark, size):
+def test_components_of_hubs(spark, size, monkeypatch):
+    from strandline.llm import components as module
     from strandline.llm.components import components
 
+    monkeypatch.setattr(module, "FEW", 0)
+
     edges = [(0, i) for i in range(1, size)] + [(10_000 + i, 10_001 + i) for i in range(50)] + [(size - 1, 9_999)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(size)} | {9_999: 0} | {10_000 + i: 10_000 for i in range(51)}
