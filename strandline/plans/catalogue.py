@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.operators import alphabet, compat, fit, likelihood, margins, reads, relate, scan, simulate, tree, trie, writes

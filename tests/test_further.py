@@ -245,3 +245,29 @@ def test_shape_of_values(spark):
     x = np.random.default_rng(1).gamma(2.0, 1.0, 4000)
     got = fit.shape(spark.createDataFrame(pd.DataFrame({"x": x})), "x", -12.0, 12.0).first()
     assert got["skew"] == pytest.approx(((x - x.mean()) ** 3).mean() / x.std() ** 3) and got["over_2"] == pytest.approx((x > 2).mean())
+
+
+def test_scalar_functions(spark):
+    from strandline.functions import piecewise
+    from strandline.operators import simulate
+
+    assert trie.expected_distinct({"a": 0.5, "b": 0.5}, 2) == pytest.approx([0.0, 1.0, 1.5])
+    mean = fit.solve_mean(0.3, 1.5)
+    assert special.gauss_hermite(lambda x: 1 / (1 + np.exp(-x)), mean, 1.5) == pytest.approx(0.3)
+    assert sum(special.binomial_pmf(k, 7, 0.3) for k in range(8)) == pytest.approx(1) and special.binomial_pmf(0, 5, 0.0) == 1.0
+    grid = (np.arange(2000) + 0.5) / 2000
+    assert sum(special.beta_pdf(x, 2.5, 4.0) for x in grid) / 2000 == pytest.approx(1, abs=1e-4)
+    row = spark.range(1).select(
+        special.kl_bernoulli(F.lit(0.2), F.lit(0.5)).alias("kl"),
+        special.fisher_z(F.lit(0.5)).alias("z"),
+        special.common_prefix(F.array(*map(F.lit, "abc")), F.array(*map(F.lit, "abd"))).alias("n"),
+        tables.arm_of(F.lit("Mouse_3_left")).alias("arm"),
+        F.array(*(piecewise.interpolate(F.lit(x), [0.0, 1.0, 3.0], [5.0, 7.0, 3.0]) for x in (-1.0, 0.5, 2.0, 9.0))).alias("y"),
+        F.array(*(piecewise.interval_of(F.lit(x), [0.0, 1.0]) for x in (-1.0, 0.0, 5.0))).alias("i"),
+    ).first()
+    assert row.kl == pytest.approx(0.2 * math.log(0.4) + 0.8 * math.log(1.6)) and row.z == pytest.approx(math.atanh(0.5)) and row.n == 2
+    assert row.arm == "Mouse" and list(row.y) == pytest.approx([5.0, 6.0, 5.0, 3.0]) and list(row.i) == [-1, 0, 1]
+    trees = simulate.trees(spark, 2, 4, seed=3)
+    tips = simulate.decorate(trees, 2, 1.0, [0.5, 0.5]).join(trees.where("tip").select("tree", "node"), ["tree", "node"]).withColumn("seen", F.lit(True))
+    profile = {r.rate: r.loglik for r in likelihood.rate_profile(trees, tips, [0.01, 1.0], [0.5, 0.5]).collect()}
+    assert profile[1.0] > profile[0.01]
