@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import kneser_ney, mixing, neighbours, packing, quality_rules, simhash, token_counts, token_files, url_filters, warc
+from strandline.llm import filter_audit, kneser_ney, mixing, neighbours, packing, quality_rules, simhash, token_counts, token_files, url_filters, warc
 from strandline.llm.common import shared_path, table
 
 #: host, path, verdict
@@ -72,6 +72,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_token_counts": op2_token_counts,
@@ -83,6 +87,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_token_files": op9_token_files,
     "op10_url_filters": op10_url_filters,
+    "op11_filter_audit": op11_filter_audit,
 }
 ORACLE: dict[str, str] = {
     "op4_warc": """
@@ -122,4 +127,20 @@ ORACLE: dict[str, str] = {
         m AS (SELECT page_id, max_by({'rule': rhost || rpath, 'verdict': verdict}, length(rhost || rpath)) AS best
               FROM h JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
         SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM h LEFT JOIN m USING (page_id)""",
+    "op11_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT doc_id, part, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+        l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+                     + CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN first < doc_id THEN 16 ELSE 0 END AS bits
+              FROM w LEFT JOIN l USING (doc_id)),
+        c AS (SELECT part, bits, good, toxic, count(*) AS n FROM m GROUP BY ALL),
+        f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k, unnest([1, 2, 4, 8, 16]) AS bit),
+        o AS (SELECT a.k || b.k || c.k || d.k || e.k AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+        s AS (SELECT filter_order, step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS BIGINT) AS before FROM o CROSS JOIN range(1, 6) r(step)),
+        r AS (SELECT part, filter_order, step, bit, CAST(coalesce(sum(n) FILTER (bits & bit = 0 AND bits & before = 0), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (bits & bit > 0 AND bits & before = 0), 0) AS BIGINT) AS removed,
+                     CAST(coalesce(sum(n) FILTER (bits & bit > 0 AND bits & before > 0), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (bits = bit), 0) AS BIGINT) AS unique_fails,
+                     CAST(coalesce(sum(n) FILTER (bits & bit > 0 AND bits & before = 0 AND good), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(n) FILTER (bits & bit > 0 AND bits & before = 0 AND toxic), 0) AS BIGINT) AS toxic_lost
+              FROM c CROSS JOIN s GROUP BY part, filter_order, step, bit)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r""",
 }
