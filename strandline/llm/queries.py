@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import filter_audit, kneser_ney, mixing, neighbours, packing, quality_rules, simhash, token_counts, token_files, url_filters, warc
+from strandline.llm import filter_audit, kneser_ney, mixing, neighbours, packing, personal_data, quality_rules, simhash, token_counts, token_files, url_filters, warc, whitening
 from strandline.llm.common import shared_path, table
 
 #: host, path, verdict
@@ -76,6 +76,22 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c")
+    out = rows.select("id", "n", "deviation", "identity_error", each)
+    return out.select(F.col("id").alias("vec_id"), (F.col("at") + 1).alias("component"), "n", F.expr("try_cast(deviation AS long)").alias("deviation"), "c.whitened", "c.explained", "identity_error")
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find_personal_data(table(spark, sf_dir, "documents"))
+    plain = F.filter("spans", lambda s: s["base"])
+    of_kind = lambda kind: F.filter(plain, lambda s: s["kind"] == kind)
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = {f"n_{kind}": F.size(of_kind(kind)).cast("long") for kind in personal_data.KINDS}
+    return found.select(F.col("id").alias("doc_id"), *(c.alias(name) for name, c in counts.items()), F.sha2(listed(plain), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_token_counts": op2_token_counts,
@@ -88,6 +104,8 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_url_filters": op10_url_filters,
     "op11_filter_audit": op11_filter_audit,
+    "op12_whitening": op12_whitening,
+    "op13_personal_data": op13_personal_data,
 }
 ORACLE: dict[str, str] = {
     "op4_warc": """
