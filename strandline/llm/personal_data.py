@@ -196,22 +196,6 @@ def spelled_digits(text: str) -> list[Edit]:
     return [(*m.span(), _VALUE[m["word"].lower()] + "." * bool(m["dot"])) for run in _SPELLED.finditer(text) for m in _STEP.finditer(text, *run.span())]
 
 
-_DOT = re.compile(_DOT_SIGN)
-
-
-def spelled_digits(text: str) -> list[Edit]:
-    """Runs of two or more digit words as digits side by side; what stands for a dot between them stays one."""
-    edits: list[Edit] = []
-    for run in _SPELLED.finditer(text):
-        at = run.start()
-        while at < run.end():
-            word = _ONE_WORD.match(text, at)
-            after = _ONE_WORD.search(text, word.end(), run.end())
-            at = after.start() if after else run.end()
-            edits.append((word.start(), at, _VALUE[word[0].lower()] + "." * bool(_ONE_DOT.match(text, word.end(), at))))
-    return edits
-
-
 _DOT = re.compile(rf"{_DOT_SIGN}|\.")
 _DOT_BEFORE = re.compile(rf"(?:{_DOT_SIGN})\Z")
 _AT = re.compile(
