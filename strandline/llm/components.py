@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandline.llm.common import materialise
 
 
-#: Neighbours from which on a node's rows are met by a broadcast, and how many such nodes may be broadcast;
+#: Neighbours from which on a node's rows are met by a broadcast, and how many such nodes are broadcast at most;
 #: fewer edges than FEW are a moment's work for one task, and joined plainly.
 HUB, MOST_HUBS, FEW = 512, 1_000_000, 100_000
 
@@ -16,14 +16,16 @@ HUB, MOST_HUBS, FEW = 512, 1_000_000, 100_000
 def _beside_least(rows: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
     """``rows`` with m of their a; ``least`` has a, n (its neighbours) and m.
 
-    Nodes with over HUB neighbours are fewer than two edges in HUB. If these are few
-    enough, they are broadcast, so that no task gets all rows of one of many edges.
+    Nodes with more than h neighbours are fewer than two edges in h. h is HUB, or as much
+    more as keeps them within MOST_HUBS, so they are always broadcast and no task gets all
+    rows of one; any other node has at most HUB rows, or a millionth of all.
     """
-    if n_edges < FEW or 2 * n_edges // HUB > MOST_HUBS:
+    if n_edges < FEW:
         return rows.join(least.select("a", "m"), "a")
-    hubs = F.broadcast(least.where(F.col("n") > HUB).select("a", F.col("m").alias("_hub")))
+    hub = max(HUB, -(-2 * n_edges // MOST_HUBS))
+    hubs = F.broadcast(least.where(F.col("n") > hub).select("a", F.col("m").alias("_hub")))
     both = rows.join(hubs, "a", "left")
-    rest = both.where("_hub IS NULL").drop("_hub").join(least.where(F.col("n") <= HUB).select("a", "m"), "a")
+    rest = both.where("_hub IS NULL").drop("_hub").join(least.where(F.col("n") <= hub).select("a", "m"), "a")
     return rest.unionByName(both.where("_hub IS NOT NULL").withColumnRenamed("_hub", "m"))
 
 
