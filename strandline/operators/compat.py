@@ -7,10 +7,12 @@ by subtraction.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandline.sources.shared import forget, rewritten, written
+
 
 def carriers(characters: DataFrame) -> DataFrame:
     """clone, id, tape, level, m, cell."""
@@ -75,52 +77,70 @@ def clades(characters: DataFrame) -> DataFrame:
 def laminar_skeleton(clades: DataFrame, restarts: int = 0, seed: int = 1) -> DataFrame:
     """clone, node, parent (null at the top), size, support: nested clades, accepted from large to small.
 
-    A clade is accepted if all its cells lie directly in one accepted clade. Ties of size
-    go to more support, then to the cells' order; restarts shuffle ties and the run with
-    most clades wins.
-    """
+    A clade is accepted if all its cells lie directly in one accepted clade, that is, if it
+    crosses no clade accepted before. Ties of size go to more support, then to the cells'
+    order; a restart shuffles ties, by hash, and the run with most clades wins.
 
-    def insert(order: pd.DataFrame) -> list[tuple[int, int | None, int, int]]:
-        owner: dict[int, int] = {}
-        out: list[tuple[int, int | None, int, int]] = []
-        for cells, size, support in zip(order["cells"], order["size"], order["support"], strict=True):
-            owners = {owner.get(c, -1) for c in cells}
-            if len(owners) == 1:
-                top = owners.pop()
-                owner.update(dict.fromkeys(cells, len(out)))
-                out.append((len(out), None if top < 0 else top, int(size), int(support)))
-        return out
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(key=rows["cells"].map(tuple)).sort_values(["size", "support", "key"], ascending=[False, False, True])
-        best = insert(rows)
-        for r in range(restarts):
-            again = insert(rows.sample(frac=1, random_state=seed + r).sort_values("size", ascending=False, kind="stable"))
-            best = max(best, again, key=len)
-        out = pd.DataFrame(best, columns=["node", "parent", "size", "support"]).astype({"parent": "Int64"})
-        out.insert(0, "clone", rows["clone"].iloc[0])
-        return out
-
-    return clades.select("clone", "cells", "size", "support").groupBy("clone").applyInPandas(run, "clone int, node long, parent long, size long, support long")
+    The work goes in rounds over a table of (clade, cell). Each row has its owner, the last
+    accepted clade before its own that holds the cell, and a signature of all clades before
+    its own that hold it and aren't rejected. A clade whose cells have two owners is rejected;
+    one whose cells have one signature crosses nothing that might be accepted, and is accepted.
+    The first undecided clade is always decided. Restarts are a key, so all run at once.
+    """
+    run, own = ["run", "clone"], ["run", "clone", "rank"]
+    each = clades.select("clone", "cells", "size", "support", F.explode(F.sequence(F.lit(0), F.lit(restarts))).alias("run"))
+    mixed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("run").cast("string"), F.array_join(F.col("cells").cast("array<string>"), ",")).cast("binary"))
+    order = [F.desc("size"), F.when(F.col("run") == 0, -F.col("support")).otherwise(0), F.when(F.col("run") == 0, "").otherwise(mixed), "cells"]
+    ranked = written(each.withColumn("rank", F.row_number().over(W.partitionBy(*run).orderBy(*order))), "ranked-clades")
+    rows = written(ranked.select(*own, F.explode("cells").alias("cell"), F.lit(False).alias("_in")), "clade-cells")
+    before = W.partitionBy(*run, "cell").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
+    sign = lambda salt: F.coalesce(F.bit_xor(F.xxhash64("rank", F.lit(salt))).over(before), F.lit(0).cast("long"))
+    owner = F.coalesce(F.last(F.when(F.col("_in"), F.col("rank")), ignorenulls=True).over(before), F.lit(-1))
+    while True:
+        told = rows.select(*own, "_in", owner.alias("_o"), F.struct(sign(1), sign(2)).alias("_s"))
+        ends = lambda c: F.min(c) == F.max(c)
+        state = told.groupBy(*own).agg(F.bool_or("_in").alias("_was"), F.min("_o").alias("_top"), ends("_o").alias("_one"), ends("_s").alias("_clear"))
+        state = written(state, "clade-state")
+        if state.where("NOT _was").isEmpty():
+            break
+        live = state.where("_was OR _one").select(*own, (F.col("_was") | F.col("_clear")).alias("_in"))
+        rows = rewritten(rows.drop("_in").join(live, own).select(*own, "cell", "_in"), rows, "clade-cells")
+        forget(state)
+    accepted = state.join(ranked.select(*own, "size", "support"), own).select(*own, "_top", "size", "support")
+    accepted = accepted.withColumns({"node": (F.row_number().over(W.partitionBy(*run).orderBy("rank")) - 1).cast("long"), "_n": F.count("*").over(W.partitionBy(*run))})
+    best = accepted.groupBy("clone").agg(F.max_by("run", F.struct("_n", -F.col("run"))).alias("run"))
+    accepted = written(accepted.join(best, ["clone", "run"]), "accepted-clades")
+    above = accepted.select("clone", F.col("rank").alias("_top"), F.col("node").alias("parent"))
+    return accepted.join(above, ["clone", "_top"], "left").select("clone", "node", "parent", F.col("size").cast("long").alias("size"), F.col("support").cast("long").alias("support"))
 
 
 def independent_set(conflicts: DataFrame, characters: DataFrame) -> DataFrame:
-    """clone, id: characters without conflicts among them, taken with the fewest conflicts first."""
-
-    def run(key: tuple, chars: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, set[int]] = {int(i): set() for i in chars["id"]}
-        for a, b in zip(edges["a"], edges["b"], strict=True):
-            near[int(a)].add(int(b))
-            near[int(b)].add(int(a))
-        kept, left = [], set(near)
-        while left:
-            best = min(left, key=lambda i: (len(near[i] & left), i))
-            kept.append(best)
-            left -= near[best] | {best}
-        return pd.DataFrame({"clone": key[0], "id": sorted(kept)})
-
-    edges = conflicts.select(F.col("clone").alias("_clone"), F.col("a").alias("a"), F.col("b").alias("b"))
-    return characters.select("clone", "id").groupBy("clone").cogroup(edges.groupBy("_clone")).applyInPandas(run, "clone int, id long")
+    """clone, id: characters without conflicts among them, none of which can be added.
+
+    In each round all characters are taken that have fewer conflicts left than any they
+    conflict with (ties: the smaller id), and these leave; then conflicts are counted again.
+    A pass that takes one character at a time, with the fewest conflicts of its clone, would
+    differ where a far choice changes counts before a near one is due; it can't be split.
+    """
+    one = ["clone", "id"]
+    both = conflicts.select("clone", F.col("a").alias("id"), F.col("b").alias("to")).unionByName(conflicts.select("clone", F.col("b").alias("id"), F.col("a").alias("to")))
+    edges = written(both.where("id <> to").distinct(), "conflicts")
+    nodes = written(characters.select(*one).distinct(), "characters")
+    kept = written(nodes.join(edges, one, "left_anti"), "kept-characters")
+    while not edges.isEmpty():
+        key = edges.groupBy(*one).agg(F.count("*").alias("n")).select("clone", "id", F.struct("n", "id").alias("_k"))
+        near = edges.join(key.select("clone", F.col("id").alias("to"), F.col("_k").alias("_to")), ["clone", "to"]).groupBy(*one).agg(F.min("_to").alias("_to"))
+        taken = written(key.join(near, one).where("_k < _to").select(*one), "taken")
+        gone = edges.join(taken, one, "left_semi").select("clone", F.col("to").alias("id")).unionByName(taken).distinct()
+        gone = written(gone, "gone")
+        after = edges.join(gone, one, "left_anti").join(gone.withColumnRenamed("id", "to"), ["clone", "to"], "left_anti").select("clone", "id", "to")
+        # What no longer conflicts with anything is kept.
+        free = edges.select(*one).distinct().join(gone, one, "left_anti")
+        later = written(after, "conflicts")
+        kept = rewritten(kept.unionByName(taken).unionByName(free.join(later, one, "left_anti")), kept, "kept-characters")
+        forget(edges, taken, gone)
+        edges = later
+    return kept
 
 
 def truth_class(clades: DataFrame, truth: DataFrame) -> DataFrame:

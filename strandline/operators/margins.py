@@ -98,10 +98,12 @@ def permutation_null(values: DataFrame, group: str, block: str, id_column: str,
     return within_correlation(here.join(there, ["perm", block, "_i"]), group, "perm", x).select("perm", "rho_within")
 
 
-def permutation_summary(null: DataFrame, observed: float, value: str) -> DataFrame:
-    """Mean, spread, quantiles, z and one-sided p with (1 + n) / (B + 1)."""
-    out = null.agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.percentile(value, 0.025).alias("q025"), F.percentile(value, 0.975).alias("q975"), F.count_if(F.col(value) >= observed).alias("_ge"), F.count("*").alias("b"))
-    return out.withColumns({"z": (observed - F.col("mean")) / F.col("sd"), "p": (1 + F.col("_ge")) / (1 + F.col("b")), "excess": observed - F.col("mean")}).drop("_ge")
+def permutation_summary(null: DataFrame, observed: DataFrame, value: str) -> DataFrame:
+    """Mean, spread, quantiles, z and one-sided p with (1 + n) / (B + 1) of the one row ``observed``; values that agree to nine digits count as equal."""
+    both = null.select(F.round(value, 9).alias("_v")).join(F.broadcast(observed.select(F.round(value, 9).alias("_o"))))
+    o = F.max("_o")
+    out = both.agg(F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("sd"), F.percentile("_v", 0.025).alias("q025"), F.percentile("_v", 0.975).alias("q975"), F.count_if(F.col("_v") >= F.col("_o")).alias("_ge"), F.count("*").alias("b"), o.alias("_o"))
+    return out.withColumns({"z": (F.col("_o") - F.col("mean")) / F.col("sd"), "p": (1 + F.col("_ge")) / (1 + F.col("b")), "excess": F.col("_o") - F.col("mean")}).drop("_ge", "_o")
 
 
 def noise_corrected_share(values: DataFrame, group: str, x: str = "x") -> DataFrame:

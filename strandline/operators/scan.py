@@ -5,13 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.functions.special import hypergeometric_tail, normal_tail, x_ln_y
 from strandline.operators.reads import size_stratum
+from strandline.sources.shared import forget, rewritten, written
+
+COMBO = ["clone", "anchor", "d", "prefix", "tape"]
 
 
 def with_rates(entries: DataFrame) -> DataFrame:
@@ -119,19 +121,29 @@ def benjamini_hochberg(tests: DataFrame, p: str, tie: str, q: float) -> DataFram
     return out.withColumn("passes", F.col("rank") <= F.coalesce(last, F.lit(0))).drop("_n")
 
 
-def collapse(hits: DataFrame, score: str, cells: str = "cells") -> DataFrame:
-    """Keep the highest-scored hits of each clone and tape that share no cell with one kept before."""
+def collapse(hits: DataFrame, members: DataFrame, score: str) -> DataFrame:
+    """The hits that a pass from the highest score down keeps: those that share no cell with a hit of their clone and tape kept before.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        used: set = set()
-        keep = []
-        for i, own in rows.sort_values([score, "anchor", "d"], ascending=[False, True, True])[cells].items():
-            if used.isdisjoint(own):
-                used.update(own)
-                keep.append(i)
-        return rows.loc[keep]
-
-    return hits.groupBy("clone", "tape").applyInPandas(run, hits.schema)
+    hits: COMBO, a score and more; members: clone, anchor, d, prefix, cell. Ties of score go to
+    the smaller anchor, d and prefix. In each round a hit is kept if it is the best one left
+    in all of its cells, and hits that meet a kept one leave. That keeps what the pass keeps:
+    before a hit that is best in all its cells, the pass has kept none that meets it. The best
+    hit left is always decided, so rounds end. All work is by cell or by hit, never by clone.
+    """
+    clade, place, hit = ["clone", "anchor", "d", "prefix"], ["clone", "tape", "cell"], ["clone", "tape", "_o"]
+    own = hits.select(*COMBO, F.struct((-F.col(score)).alias("s"), "anchor", "d", "prefix").alias("_o"))
+    left = written(own.join(members.select(*clade, "cell"), clade).select(*place, "_o"), "hits")
+    kept = written(left.select(*hit).limit(0), "kept-hits")
+    while not left.isEmpty():
+        best = (F.min("_o").over(W.partitionBy(*place)) == F.col("_o")).alias("_best")
+        won = written(left.select(*hit, best).groupBy(*hit).agg(F.bool_and("_best").alias("_best")).where("_best").drop("_best"), "won-hits")
+        covered = left.join(won, hit, "left_semi").select(*place)
+        met = left.join(covered, place, "left_semi").select(*hit).distinct()
+        left = rewritten(left.join(met, hit, "left_anti"), left, "hits")
+        kept = rewritten(kept.unionByName(won), kept, "kept-hits")
+        forget(won)
+    kept = kept.select("clone", "tape", "_o.anchor", "_o.d", "_o.prefix")
+    return hits.join(kept, COMBO, "left_semi")
 
 
 def detection_plane(tests: DataFrame, x: str, y: str, nx: int, ny: int, top: float) -> DataFrame:
@@ -174,9 +186,6 @@ def clade_members(prefixes: DataFrame, least: int = 4) -> DataFrame:
     return clades.join(sizes, ["clone", "anchor", "d", "prefix"])
 
 
-COMBO = ["clone", "anchor", "d", "prefix", "tape"]
-
-
 def hold_out_margins(observed: DataFrame, null: DataFrame, value: str, hold: int) -> DataFrame:
     """COMBO, stratum, source (0 observed, else the permutation held out), margin: a value less the largest of the other permutations.
 

@@ -291,11 +291,11 @@ def q_perm_within_clone(v: Views) -> DataFrame:
     return margins.permutation_null(x, "clone", "sample", "cell", 20, 7)
 
 
-@query(PERMUTED.format(b=51) + """, ox AS (SELECT clone, r - avg(r) OVER () AS x FROM rc), oo AS (SELECT sum(s * s - q) / sum(m * (m - 1)) AS i FROM (SELECT sum(x) AS s, sum(x * x) AS q, count(*) AS m FROM ox GROUP BY clone)), ob AS (SELECT i / (SELECT avg(x * x) FROM ox) AS o FROM oo)
-  SELECT round(avg(rho_within), 6) AS mean, round(stddev_samp(rho_within), 6) AS sd, round(quantile_cont(rho_within, 0.025), 6) AS q025, round(quantile_cont(rho_within, 0.975), 6) AS q975, count(*) AS b, round((any_value(o) - avg(rho_within)) / stddev_samp(rho_within), 6) AS z, round((1 + count(*) FILTER (rho_within >= o)) / (1 + count(*)), 6) AS p, round(any_value(o) - avg(rho_within), 6) AS excess FROM np CROSS JOIN ob""")
+@query(PERMUTED.format(b=51) + """, ox AS (SELECT clone, r - avg(r) OVER () AS x FROM rc), oo AS (SELECT sum(s * s - q) / sum(m * (m - 1)) AS i FROM (SELECT sum(x) AS s, sum(x * x) AS q, count(*) AS m FROM ox GROUP BY clone)), ob AS (SELECT round(i / (SELECT avg(x * x) FROM ox), 9) AS o FROM oo), nr AS (SELECT round(rho_within, 9) AS rho_within FROM np)
+  SELECT round(avg(rho_within), 6) AS mean, round(stddev_samp(rho_within), 6) AS sd, round(quantile_cont(rho_within, 0.025), 6) AS q025, round(quantile_cont(rho_within, 0.975), 6) AS q975, count(*) AS b, round((any_value(o) - avg(rho_within)) / stddev_samp(rho_within), 6) AS z, round((1 + count(*) FILTER (rho_within >= o)) / (1 + count(*)), 6) AS p, round(any_value(o) - avg(rho_within), 6) AS excess FROM nr CROSS JOIN ob""")
 def q_perm_null_summary(v: Views) -> DataFrame:
     x = margins.cell_margin(v.entries).withColumn("x", F.col("r").cast("double"))
-    observed = margins.within_correlation(x, "clone").first()["rho_within"]
+    observed = margins.within_correlation(x, "clone")
     return margins.permutation_summary(margins.permutation_null(x, "clone", "sample", "cell", 50, 7), observed, "rho_within")
 
 
@@ -411,12 +411,23 @@ def _skeleton(v: Views) -> DataFrame:
     return compat.laminar_skeleton(compat.proper_clades(compat.clades(v.characters()), v.cells))
 
 
-@query()
+#: SQL of the skeleton: a clade is accepted after the larger ones if it crosses none accepted before; nd has clone, node, parent, size, support, cells.
+SKELETON = CHARS + """, s0 AS (SELECT clone, id, tape, list_sort(list(cell)) AS cells FROM cc GROUP BY ALL), w0 AS (SELECT clone, count(*) AS n FROM cells GROUP BY clone),
+  s1 AS (SELECT clone, cells, len(cells) AS size, count(DISTINCT tape) AS support FROM s0 JOIN w0 USING (clone) WHERE len(cells) >= 2 AND len(cells) < n GROUP BY clone, cells),
+  s2 AS (SELECT *, row_number() OVER (PARTITION BY clone ORDER BY size DESC, support DESC, cells) AS k FROM s1),
+  ac(clone, k, acc, ok) AS (SELECT DISTINCT clone, CAST(0 AS BIGINT), CAST([] AS BIGINT[][]), false FROM s2
+    UNION ALL SELECT a.clone, a.k + 1, CASE WHEN len(list_filter(acc, lambda y: list_has_any(y, cells) AND NOT list_has_all(y, cells))) = 0 THEN list_append(acc, cells) ELSE acc END,
+      len(list_filter(acc, lambda y: list_has_any(y, cells) AND NOT list_has_all(y, cells))) = 0 FROM ac a JOIN s2 ON s2.clone = a.clone AND s2.k = a.k + 1),
+  nd AS (SELECT clone, len(acc) - 1 AS node, list_max(list_filter(range(1, len(acc)), lambda i: list_has_all(acc[i], cells))) - 1 AS parent, size, support FROM ac JOIN s2 USING (clone, k) WHERE ok)"""
+
+
+@query(SKELETON + f" SELECT {BIG('clone', 'node', 'parent', 'size', 'support')} FROM nd")
 def q_skeleton(v: Views) -> DataFrame:
     return _skeleton(v)
 
 
-@query()
+@query(SKELETON + """, al AS (SELECT clone, node, size FROM nd UNION ALL SELECT clone, NULL, count(*) FROM cells WHERE clone IN (SELECT clone FROM cells) GROUP BY clone), inn AS (SELECT clone, coalesce(parent, -1) AS k, count(*) AS clades, sum(size) AS s FROM nd GROUP BY ALL)
+  SELECT CAST(al.clone AS BIGINT) AS clone, CAST(node AS BIGINT) AS node, coalesce(clades, 0) AS clades, CAST(size - coalesce(s, 0) AS BIGINT) AS cells FROM al LEFT JOIN inn ON inn.clone = al.clone AND inn.k = coalesce(node, -1)""")
 def q_polytomy(v: Views) -> DataFrame:
     return compat.children(_skeleton(v), v.cells)
 
@@ -560,11 +571,22 @@ def q_bh(v: Views) -> DataFrame:
     return scan.benjamini_hochberg(p, "p", "tape", 0.5)
 
 
-@query()
+#: SQL of the collapse of hits: greedy by the soft score, to nine digits; kp has the kept ones.
+COLLAPSED = COMBOS + """, hi AS (SELECT *, round(soft, 9) AS sc FROM st WHERE z > 2), hc AS (SELECT hi.clone, hi.anchor, hi.d, hi.prefix, hi.tape, list(cell) AS cells, any_value(sc) AS sc FROM hi JOIN mem m ON m.clone = hi.clone AND m.anchor = hi.anchor AND m.d = hi.d AND m.prefix = hi.prefix GROUP BY ALL),
+  hr AS (SELECT *, row_number() OVER (PARTITION BY clone, tape ORDER BY sc DESC, anchor, d, prefix) AS k FROM hc),
+  gr(clone, tape, k, used, ok) AS (SELECT DISTINCT clone, tape, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), false FROM hr
+    UNION ALL SELECT g.clone, g.tape, g.k + 1, CASE WHEN list_has_any(used, cells) THEN used ELSE list_concat(used, cells) END, NOT list_has_any(used, cells) FROM gr g JOIN hr ON hr.clone = g.clone AND hr.tape = g.tape AND hr.k = g.k + 1),
+  kp AS (SELECT hr.clone, hr.anchor, hr.d, hr.prefix, hr.tape FROM gr JOIN hr USING (clone, tape, k) WHERE ok)"""
+
+
+def _collapsed(v: Views) -> DataFrame:
+    hits = _stats(v).where("z > 2").withColumn("soft", F.round("soft", 9))
+    return scan.collapse(hits, scan.clade_members(v.prefixes), "soft")
+
+
+@query(COLLAPSED + f" SELECT {BIG('st.clone', 'st.anchor', 'st.d')}, st.prefix, {BIG('st.tape', 'stratum', 'm', 'k')}, round(e, 5) AS e, round(v, 5) AS v, round(hard, 5) AS hard, round(u, 5) AS u, round(soft, 5) AS soft, round(z, 5) AS z FROM st JOIN kp USING (clone, anchor, d, prefix, tape)".replace("AS st.", "AS "), digits=5)
 def q_collapsed_events(v: Views) -> DataFrame:
-    s = _stats(v).where("z > 2")
-    cells = v.prefixes.groupBy("clone", F.col("tape").alias("anchor"), "d", "prefix").agg(F.collect_list("cell").alias("cells"))
-    return scan.collapse(s.join(cells, ["clone", "anchor", "d", "prefix"]), "soft").drop("cells")
+    return _collapsed(v)
 
 
 # Writes.

@@ -431,8 +431,8 @@ def q_map_concentration(v: Views) -> DataFrame:
   x AS (SELECT *, CASE WHEN qa <= 0 THEN NULL ELSE (-qb + sqrt(qb * qb + 4 * qa * (a + c))) / (2 * qa) END AS x FROM q),
   p AS (SELECT *, coalesce(x * th / (1 + x * th), 1.0) AS p1, coalesce(x / (1 + x), 1.0) AS p0 FROM x),
   l AS (SELECT tape, child, i, round(sum(CASE WHEN a = 0 THEN 0 ELSE a * ln(greatest(p1, 1e-15)) END + CASE WHEN b = 0 THEN 0 ELSE b * ln(greatest(1 - p1, 1e-15)) END + CASE WHEN c = 0 THEN 0 ELSE c * ln(greatest(p0, 1e-15)) END + CASE WHEN d = 0 THEN 0 ELSE d * ln(greatest(1 - p0, 1e-15)) END), 9) AS ll FROM p GROUP BY ALL),
-  w AS (SELECT *, row_number() OVER (PARTITION BY tape, child ORDER BY ll DESC, abs(i - 160), i DESC) AS k FROM l)
-  SELECT CAST(w.tape AS BIGINT) AS tape, w.child, round(w.i * 0.05 - 8, 6) AS theta, round(w.ll - z.ll, 5) AS gain FROM w JOIN l z ON z.tape = w.tape AND z.child = w.child AND z.i = 160 WHERE k = 1""")
+  w AS (SELECT tape, child, first(i ORDER BY ll DESC, abs(i - 160), i DESC) AS i, max(ll) AS ll, max(ll) FILTER (i = 160) AS l0 FROM l GROUP BY tape, child)
+  SELECT CAST(tape AS BIGINT) AS tape, child, round(i * 0.05 - 8, 6) AS theta, round(ll - l0, 5) AS gain FROM w""")
 def q_common_log_odds(v: Views) -> DataFrame:
     return writes.common_log_odds(writes.symbol_tables(writes.independent_writes(v.tapes), "tape", "site"), ["tape", "child"]).withColumn("gain", F.round("gain", 5))
 
@@ -642,10 +642,9 @@ def q_draws_for(v: Views) -> DataFrame:
 @query()
 def q_attribution(v: Views) -> DataFrame:
     """Events kept one a clone, tape and set of cells: by the soft score and by the hard one."""
-    own = _seen(v).where("z > 2")
-    cells = v.prefixes.groupBy("clone", F.col("tape").alias("anchor"), "d", "prefix").agg(F.collect_list("cell").alias("cells"))
-    hits = own.join(cells, ["clone", "anchor", "d", "prefix"])
-    return validate.same_events(scan.collapse(hits, "soft"), scan.collapse(hits, "hard"), scan.COMBO)
+    hits = _seen(v).where("z > 2").withColumns({c: F.round(c, 9) for c in ("soft", "hard")})
+    members = scan.clade_members(v.prefixes)
+    return validate.same_events(scan.collapse(hits, members, "soft"), scan.collapse(hits, members, "hard"), scan.COMBO)
 
 
 __all__ = ["QUERIES"]
