@@ -62,6 +62,16 @@ def pair_totals(characters: DataFrame) -> DataFrame:
     return per.groupBy("clone").agg(F.sum("c").alias("n_characters"), F.expr("(sum(c) * sum(c) - sum(c * c)) div 2").alias("n_pairs"))
 
 
+def convention_spread(absent: DataFrame, excluded: DataFrame, totals: DataFrame) -> DataFrame:
+    """clone (null: all together), n_pairs, absent, excluded, spread: per cent of pairs without conflict if an untold state counts as absence, if it is left out, and the difference."""
+    n = lambda df, name: df.groupBy("clone").agg(F.count_if("conflict").alias(name))
+    own = totals.select("clone", "n_pairs").join(n(absent, "_a"), "clone", "left").join(n(excluded, "_e"), "clone", "left").fillna(0, ["_a", "_e"])
+    whole = own.agg(F.sum("n_pairs").alias("n_pairs"), F.sum("_a").alias("_a"), F.sum("_e").alias("_e")).withColumn("clone", F.lit(None).cast(own.schema["clone"].dataType))
+    share = lambda c: F.when(F.col("n_pairs") > 0, 100 * (F.col("n_pairs") - F.col(c)) / F.col("n_pairs"))
+    both = own.unionByName(whole).withColumns({"absent": share("_a"), "excluded": share("_e")})
+    return both.select("clone", "n_pairs", "absent", "excluded", (F.col("excluded") - F.col("absent")).alias("spread"))
+
+
 def degrees(conflicts: DataFrame) -> DataFrame:
     """clone, id, degree over conflicting pairs."""
     both = conflicts.select("clone", F.explode(F.array("a", "b")).alias("id"))
@@ -143,12 +153,12 @@ def independent_set(conflicts: DataFrame, characters: DataFrame) -> DataFrame:
     return kept
 
 
-def truth_class(clades: DataFrame, truth: DataFrame) -> DataFrame:
-    """Compare clades with known groups (cell, label): within one, a union of whole ones, or straddling."""
+def truth_class(clades: DataFrame, truth: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Compare clades (with any ``keep`` columns) with known groups (cell, label): within one, a union of whole ones, or straddling; purity is the share of the commonest label."""
     sizes = truth.groupBy("label").agg(F.count("*").alias("whole"))
-    cells = clades.withColumn("clade", F.xxhash64("clone", "cells")).select("clade", "size", F.explode("cells").alias("cell"))
-    per = cells.join(truth, "cell").groupBy("clade", "size", "label").agg(F.count("*").alias("n")).join(sizes, "label")
-    out = per.groupBy("clade", "size").agg(F.count("*").alias("labels"), F.count_if(F.col("n") < F.col("whole")).alias("broken"), (F.max("n") / F.sum("n")).alias("purity"))
+    cells = clades.withColumn("clade", F.xxhash64("clone", "cells")).select("clade", "size", *keep, F.explode("cells").alias("cell"))
+    per = cells.join(truth, "cell").groupBy("clade", "size", *keep, "label").agg(F.count("*").alias("n")).join(sizes, "label")
+    out = per.groupBy("clade", "size", *keep).agg(F.count("*").alias("labels"), F.count_if(F.col("n") < F.col("whole")).alias("broken"), (F.max("n") / F.sum("n")).alias("purity"))
     return out.withColumn("kind", F.when(F.col("labels") == 1, "WITHIN").when(F.col("broken") == 0, "UNION").otherwise("STRADDLE"))
 
 

@@ -10,96 +10,93 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.special import poisson_pmf, poisson_sf
+from strandline.functions.special import common_prefix
+from strandline.operators.tree import depths
+from strandline.sources.shared import written
 
 
-def advance(n: int, sites: int, mean: float) -> float:
-    """Chance of n more edits with ``sites`` left, which the last one fills."""
-    if n > sites:
-        return 0.0
-    return poisson_sf(n, mean) if n == sites else poisson_pmf(n, mean)
+def poisson_tail(n: int, mean: Column) -> Column:
+    """Chance of n or more events: a sum of what is left where the tail is small, so that it keeps its digits."""
+    if n == 0:
+        return F.lit(1.0)
+    pmf = lambda i: F.pow(mean, F.lit(i)) * F.exp(-mean) / math.factorial(i)
+    series = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), F.lit(1.0), lambda acc, i: 1 + mean / (n + i) * acc)
+    return F.when(mean < n + 1, pmf(n) * series).otherwise(1 - sum((pmf(i) for i in range(n)), F.lit(0.0)))
 
 
-def tape_log_likelihood(parent: dict[int, int], time: dict[int, float], reads: dict[int, tuple[int, ...] | None], rate: float, shares: list[float], sites: int, silence: float, missed: float, stem: float = 0.0) -> float:
-    """Log likelihood of a tape: ``reads`` has a tip's symbols, or None if it isn't seen. A branch of length ``stem`` leads from an empty founder to the root."""
-    children: dict[int, list[int]] = {}
-    root = None
-    for node, up in parent.items():
-        if up is None:
-            root = node
-        else:
-            children.setdefault(up, []).append(node)
-    order = sorted(parent, key=lambda n: (-time[n], n in children))
-    common: dict[int, tuple[int, ...] | None] = {}
-    value: dict[int, tuple[np.ndarray, float]] = {}
-    scale = 0.0
-    for node in order:
-        if node not in children:
-            read = reads.get(node)
-            common[node] = read
-            # With nothing seen the length doesn't matter: one value stands for all.
-            own = np.array([missed]) if read is None else np.array([0.0] * len(read) + [1 - missed])
-            value[node] = (own, 1.0 if read is None else 0.0)
-            continue
-        seen = [common[c] for c in children[node] if common[c] is not None]
-        prefix: tuple[int, ...] | None = None
-        for r in seen:
-            if prefix is None:
-                prefix = r
-            else:
-                same = next((i for i, (x, y) in enumerate(zip(prefix, r, strict=False)) if x != y), min(len(prefix), len(r)))
-                prefix = prefix[:same]
-        n = 1 if prefix is None else len(prefix) + 1
-        live, silent = np.ones(n), 1.0
-        for c in children[node]:
-            span = time[c] - time[node]
-            keep = math.exp(-silence * span)
-            below, gone = value[c]
-            if common[c] is None:
-                live = live * (keep * below[0] + (1 - keep) * gone)
-            else:
-                moved = np.zeros(n)
-                for k in range(n):
-                    p = 1.0
-                    for j in range(k, len(below)):
-                        if j > k:
-                            p *= shares[common[c][j - 1]]
-                        moved[k] += advance(j - k, sites - k, rate * span) * p * below[j]
-                live = live * (keep * moved + (1 - keep) * gone)
-            silent *= gone
-        top = max(live.max(), silent)
-        if top > 0:
-            live, silent, scale = live / top, silent / top, scale + math.log(top)
-        common[node], value[node] = prefix, (live, silent)
-    live, gone = value[root]
-    first = live[0]
-    if stem > 0:
-        keep, p, reached = math.exp(-silence * stem), 1.0, first if common[root] is None else 0.0
-        for k in range(len(live) if common[root] is not None else 0):
-            p *= shares[common[root][k - 1]] if k else 1.0
-            reached += advance(k, sites, rate * stem) * p * live[k]
-        first = keep * reached + (1 - keep) * gone
-    return math.log(first) + scale if first > 0 else -math.inf
+class Pruning:
+    """Messages along branches, as columns: prefix (null where nothing below is seen), v0 to v{sites}, gone.
 
+    v{k} is the log likelihood of what is below a node whose tape has the first k edits of
+    the prefix, gone that of one that has fallen silent; null stands for the log of 0.
+    """
 
-def log_likelihoods(trees: DataFrame, tips: DataFrame, rate: float, shares: list[float], sites: int = 6, silence: float = 0.0, missed: float = 0.0, stem: float = 0.0) -> DataFrame:
-    """tree, tape, loglik: a kernel for each tree and tape. tips: tree, node, tape, read, seen."""
-    tapes = tips.select("tree", "tape").distinct()
-    rows = trees.join(tapes, "tree").join(tips.select("tree", "node", "tape", "read", "seen"), ["tree", "node", "tape"], "left")
+    def __init__(self, rate: float, shares: list[float], sites: int, silence: float):
+        self.rate, self.sites, self.silence = rate, sites, silence
+        self.logs = F.array(*(F.lit(math.log(p)) for p in shares))
+        self.values = [f"v{k}" for k in range(sites + 1)]
+
+    def along(self, rows: DataFrame, span: Column) -> DataFrame:
+        """``rows`` with their values seen from the upper end of a branch of length ``span``."""
+        n = self.sites
+        own = rows.withColumns({"_m": F.greatest(*self.values, "gone"), "_mean": self.rate * span, "_keep": F.exp(-self.silence * span)})
+        part = {f"_b{j}": F.coalesce(F.exp(F.col(v) - F.col("_m")), F.lit(0.0)) for j, v in enumerate(self.values)}
+        part |= {"_g": F.coalesce(F.exp(F.col("gone") - F.col("_m")), F.lit(0.0)), "_c0": F.lit(0.0)}
+        part |= {f"_p{i}": F.pow("_mean", F.lit(i)) * F.exp(-F.col("_mean")) / math.factorial(i) for i in range(n)}
+        part |= {f"_t{i}": poisson_tail(i, F.col("_mean")) for i in range(n + 1)}
+        own = own.withColumns(part)
+        for j in range(n):
+            own = own.withColumn(f"_c{j + 1}", F.col(f"_c{j}") + F.coalesce(F.get(self.logs, F.get("prefix", F.lit(j))), F.lit(0.0)))
+        advance = lambda more, left: F.col(f"_t{more}" if more == left else f"_p{more}")
+        out = {}
+        for k, v in enumerate(self.values):
+            seen = sum((advance(j - k, n - k) * F.exp(F.col(f"_c{j}") - F.col(f"_c{k}")) * F.col(f"_b{j}") for j in range(k, n + 1)), F.lit(0.0))
+            live = F.when(F.col("prefix").isNull(), F.col("_b0")).otherwise(seen)
+            total = F.col("_keep") * live + (1 - F.col("_keep")) * F.col("_g")
+            out[v] = F.when(total > 0, F.log(total) + F.col("_m"))
+        return own.withColumns(out).select(*rows.columns)
+
+    def combined(self, messages: DataFrame, keys: list[str]) -> DataFrame:
+        """keys, prefix, values: the product of messages that arrive at a node, one grouped sum of logs."""
+        total = lambda v: F.when(F.count(v) == F.count(F.lit(1)), F.sum(v)).alias(v)
+        # The common start of the least and the largest prefix is that of all.
+        own = messages.groupBy(*keys).agg(F.min("prefix").alias("_low"), F.max("prefix").alias("_high"), *(total(v) for v in (*self.values, "gone")))
+        own = own.withColumn("_n", F.coalesce(common_prefix(F.col("_low"), F.col("_high")), F.lit(0)).cast("int"))
+        prefix = F.slice("_low", F.lit(1), F.col("_n")).alias("prefix")
+        return own.select(*keys, prefix, *(F.when(F.col("_n") >= k, F.col(v)).alias(v) for k, v in enumerate(self.values)), "gone")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        parent = {int(n): None if pd.isna(p) else int(p) for n, p in zip(rows["node"], rows["parent"], strict=True)}
-        time = dict(zip(rows["node"].astype(int), rows["t"], strict=True))
-        reads = {int(n): tuple(r) if s else None for n, r, s, t in zip(rows["node"], rows["read"], rows["seen"], rows["tip"], strict=True) if t}
-        ll = tape_log_likelihood(parent, time, reads, rate, shares, sites, silence, missed, stem)
-        return pd.DataFrame({"tree": [rows["tree"].iloc[0]], "tape": [rows["tape"].iloc[0]], "loglik": [ll]})
 
-    return rows.groupBy("tree", "tape").applyInPandas(run, "tree long, tape int, loglik double")
+def log_likelihoods(trees: DataFrame, tips: DataFrame, rate: float, shares: list[float], sites: int = 6, silence: float = 0.0, missed: float = 0.0, stem: float = 0.0) -> DataFrame:
+    """tree, tape, loglik. tips: tree, node, tape, read, seen; a branch of length ``stem`` leads from an empty founder to the root.
+
+    Values move up level by level: all nodes of a level send messages, and a parent's value is
+    a grouped sum of logs over its children, for each tape. So a level is one join and one
+    aggregation with partial sums, whatever the number of children, trees or tapes.
+    """
+    levels = written(depths(trees.select("tree", "node", "parent", "t", "tip")), "levels")
+    above = levels.select("tree", F.col("node").alias("parent"), F.col("t").alias("_t"))
+    branches = written(levels.where("parent IS NOT NULL").join(above, ["tree", "parent"]).select("tree", "node", "parent", "level", (F.col("t") - F.col("_t")).alias("span")), "branches")
+    step = Pruning(rate, shares, sites, silence)
+    seen = F.coalesce("seen", F.lit(False))
+    log = lambda p: F.lit(math.log(p) if p > 0 else None).cast("double")
+    at_tip = {v: F.when(seen & (F.size("read") == k), log(1 - missed)).when(~seen & F.lit(k == 0), log(missed)) for k, v in enumerate(step.values)}
+    every = levels.where("tip").select("tree", "node", "level").join(tips.select("tree", "tape").distinct(), "tree")
+    every = every.join(tips.select("tree", "node", "tape", F.col("read").cast("array<int>").alias("read"), "seen"), ["tree", "node", "tape"], "left")
+    ends = written(every.select("tree", "tape", "node", "level", F.when(seen, F.col("read")).alias("prefix"), *(c.alias(v) for v, c in at_tip.items()), F.when(~seen, F.lit(0.0)).alias("gone")), "tips")
+    now = None
+    for level in range(levels.agg(F.max("level")).first()[0] or 0, -1, -1):
+        here = ends.where(F.col("level") == level).drop("level")
+        here = here if now is None else here.unionByName(now)
+        if level:
+            own = here.join(branches.where(F.col("level") == level).drop("level"), ["tree", "node"])
+            sent = step.along(own, F.col("span")).drop("node", "span").withColumnRenamed("parent", "node")
+            now = written(step.combined(sent, ["tree", "tape", "node"]), "messages")
+        else:
+            now = here
+    return step.along(now, F.lit(float(stem))).select("tree", "tape", F.coalesce("v0", F.lit(-math.inf)).alias("loglik"))
 
 
 def one_descendant(h: Column, birth: float, death: float, rho: float) -> Column:
@@ -166,12 +163,12 @@ def split_rhat(draws: DataFrame, chain: str, step: str, value: str) -> DataFrame
 
 
 def grid_posterior(grid: DataFrame, x: str, density: str, mass: float = 0.95) -> DataFrame:
-    """mode, median, equal-tailed interval and the narrowest set's threshold of a density on an even grid."""
+    """mode (the largest of several), median, equal-tailed interval and the ends of the narrowest set of a density on an even grid; shares are compared with a slack of 1e-12."""
     from pyspark.sql import Window as W
 
     p = F.col(density) / F.sum(density).over(W.partitionBy())
     own = grid.withColumn("_p", p)
     own = own.withColumns({"_c": F.sum("_p").over(W.orderBy(x)), "_h": F.sum("_p").over(W.orderBy(F.col("_p").desc(), x))})
-    at = lambda q: F.min(F.when(F.col("_c") >= q, F.col(x)))
-    inside = F.col("_h") - F.col("_p") < mass
-    return own.agg(F.max_by(x, density).alias("mode"), at(0.5).alias("median"), at((1 - mass) / 2).alias("low"), at((1 + mass) / 2).alias("high"), F.min(F.when(inside, F.col(x))).alias("hpd_low"), F.max(F.when(inside, F.col(x))).alias("hpd_high"))
+    at = lambda q: F.min(F.when(F.col("_c") >= q - 1e-12, F.col(x)))
+    inside = F.col("_h") - F.col("_p") < mass - 1e-12
+    return own.agg(F.max_by(x, F.struct(density, x)).alias("mode"), at(0.5).alias("median"), at((1 - mass) / 2).alias("low"), at((1 + mass) / 2).alias("high"), F.min(F.when(inside, F.col(x))).alias("hpd_low"), F.max(F.when(inside, F.col(x))).alias("hpd_high"))

@@ -135,6 +135,22 @@ def feasibility(entries: DataFrame, least: int = 3) -> DataFrame:
     return per.groupBy("clone").agg(F.max("m").alias("m"), F.count("*").alias("n_tapes"), F.count_if((F.col("k") >= least) & (F.col("k") <= F.col("m") - least)).alias("informative"))
 
 
+def feasibility_bands(entries: DataFrame, edges: list[int], least: int = 3) -> DataFrame:
+    """band (of clones' sizes), clones, cells, informative, null_sd: what absences could tell of lineages, and the mean over clones of a tape's standard deviation there if cells were independent."""
+    from strandline.operators.reads import band
+
+    cells = entries.groupBy("clone", "cell").agg(F.avg("missing").alias("_p"))
+    size = cells.groupBy("clone").agg(F.count("*").alias("m"), (F.sqrt(F.sum(F.col("_p") * (1 - F.col("_p")))) / F.count("*")).alias("_sd"))
+    own = feasibility(entries, least).select("clone", "informative").join(size, "clone").withColumn("band", band(F.col("m"), edges)).where("band IS NOT NULL")
+    return own.groupBy("band").agg(F.count("*").alias("clones"), F.sum("m").alias("cells"), F.sum("informative").alias("informative"), F.avg("_sd").alias("null_sd"))
+
+
+def sample_purity(cells: DataFrame, least: int = 10) -> DataFrame:
+    """clones, median: the median, over clones of ``least`` cells, of the share of a clone's cells that its commonest sample has."""
+    per = cells.groupBy("clone", "sample").agg(F.count("*").alias("n")).groupBy("clone").agg(F.sum("n").alias("m"), (F.max("n") / F.sum("n")).alias("top"))
+    return per.where(F.col("m") >= least).agg(F.count("*").alias("clones"), F.percentile("top", 0.5).alias("median"))
+
+
 def lineage_excess(prefixes: DataFrame, entries: DataFrame) -> DataFrame:
     """d, pairs, observed, null, excess: mean product of two cells' missingness in the same clade, over all tapes but its own.
 
@@ -209,6 +225,20 @@ def with_tape_mean(values: DataFrame) -> DataFrame:
     return values.join(p, "tape")
 
 
+def with_grand_mean(values: DataFrame) -> DataFrame:
+    """Add p, the weighted mean of all x, kept off 0 and 1."""
+    p = values.agg(F.greatest(F.least(F.sum(F.col("x") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1.0)), F.lit(1 - 1e-6)), F.lit(1e-6)).alias("p"))
+    return values.join(F.broadcast(p))
+
+
+def with_two_way_mean(values: DataFrame, sweeps: int = 15) -> DataFrame:
+    """Add p, the logistic fit of both margins, of cells and of tapes, to x with weights w: residuals sum to 0 over each cell and over each tape."""
+    from strandline.operators.fit import within
+
+    rows = values.withColumns({"_arm": F.lit(0), "missing": F.col("x")})
+    return within(rows, ["_arm"], "w", sweeps).drop("_arm", "missing", "alpha", "beta")
+
+
 def standardised_pairs(values: DataFrame, group: str, keys: list[str]) -> DataFrame:
     """keys, _num, _den: sums over ordered pairs of a group of products of residuals x - p, and of their standard deviations."""
     r = F.when(F.col("w") > 0, F.col("x") - F.col("p")).otherwise(0.0)
@@ -227,6 +257,13 @@ def rho_in_clones_and_samples(values: DataFrame) -> DataFrame:
     return both.select("tape", ratio("_nw", "_dw").alias("rho_within"), ratio("_nb", "_db").alias("rho_between"))
 
 
+def pooled_rho(values: DataFrame) -> DataFrame:
+    """One row: rho_within and rho_between of ``rho_in_clones_and_samples`` over all tapes together."""
+    a = standardised_pairs(values, "clone", ["tape"]).agg(F.sum("_num").alias("_nw"), F.sum("_den").alias("_dw"))
+    b = standardised_pairs(values, "sample", ["tape"]).agg(F.sum("_num").alias("_ns"), F.sum("_den").alias("_ds"))
+    return a.join(F.broadcast(b)).select((F.col("_nw") / F.col("_dw")).alias("rho_within"), ((F.col("_ns") - F.col("_nw")) / (F.col("_ds") - F.col("_dw"))).alias("rho_between"))
+
+
 def tape_null(values: DataFrame, moves: DataFrame) -> DataFrame:
     """tape, observed, mean, sd, z, skew, p_up, p_down of rho_within against whole rows of cells moved by ``moves`` (perm, cell, source); values are compared to nine digits."""
     rho = lambda v, keys: standardised_pairs(v, "clone", keys).select(*keys, F.when(F.col("_den") > 0, F.round(F.col("_num") / F.col("_den"), 9)).alias("rho"))

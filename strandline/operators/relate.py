@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,64 +13,152 @@ from pyspark.sql import functions as F
 from strandline.operators.reads import hash_order
 
 
-def tape_masks(tapes: DataFrame) -> tuple[DataFrame, list[str]]:
-    """clone, cell and columns of bits, 62 tapes each: the tapes of which a cell has an edit. Tapes are few; they are numbered in one task."""
-    names = tapes.select("tape").distinct().withColumn("_i", F.row_number().over(W.orderBy("tape")) - 1)
-    words = range(-(-names.count() // 62))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_i") % 62)
-    own = tapes.where("depth > 0").join(F.broadcast(names), "tape")
-    columns = [f"w{k}" for k in words]
-    return own.groupBy("clone", "cell").agg(*(F.bit_or(F.when(F.floor(F.col("_i") / 62) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in words)), columns
+#: Cells of a block, and columns of a matrix at a time.
+BLOCK, WIDTH = 1024, 4096
+
+
+def cell_features(prefixes: DataFrame, tapes: DataFrame, keys: Sequence[str] = ("clone",)) -> DataFrame:
+    """keys, cell, codes (hashes of tape, depth and prefix), have (hashes of the tapes with an edit) of cells with any."""
+    p = prefixes.groupBy(*keys, "cell").agg(F.collect_list(F.xxhash64("tape", "d", "prefix")).alias("codes"))
+    t = tapes.where("depth > 0").groupBy(*keys, "cell").agg(F.collect_list(F.xxhash64("tape")).alias("have"))
+    return t.join(p, [*keys, "cell"])
 
 
-def joint_tapes(tapes: DataFrame, block: int = 1024) -> DataFrame:
-    """clone, i, j (i < j), joint: how many tapes both cells of a pair have, for pairs with any.
+def in_blocks(features: DataFrame, keys: Sequence[str], run: Callable[[pa.Table, pa.Table, bool], dict[str, np.ndarray]], schema: str, block: int = BLOCK) -> DataFrame:
+    """keys and the columns of ``schema`` that ``run`` gives for every two blocks of cells of a group.
 
-    A clone's cells are dealt to blocks of about ``block``, and every two blocks meet in a
-    join of their own, so a clone of any size is many tasks' work. A pair is one row,
-    however many tapes there are: tapes are bits.
+    A group's cells are dealt to blocks of about ``block``, and every two blocks are a task's
+    work of their own, so a group of any size is many tasks' work, and a cell is sent once
+    for each block of its group. run(left, right, same) sees each pair of blocks once.
     """
-    masks, columns = tape_masks(tapes)
-    sizes = masks.groupBy("clone").agg(F.ceil(F.count("*") / block).cast("int").alias("_parts"))
-    own = masks.join(sizes, "clone").withColumn("_u", F.pmod(F.xxhash64("cell"), F.col("_parts")).cast("int"))
-    side = lambda k, spans: own.select("clone", F.col("cell").alias(k), *(F.col(c).alias(f"{c}{k}") for c in columns), *spans)
-    left = side("a", [F.col("_u").alias("_p"), F.explode(F.sequence(F.col("_u"), F.col("_parts") - 1)).alias("_q")])
-    right = side("b", [F.explode(F.sequence(F.lit(0), F.col("_u"))).alias("_p"), F.col("_u").alias("_q")])
-    joint = sum((F.bit_count(F.col(f"{c}a").bitwiseAND(F.col(f"{c}b"))) for c in columns), F.lit(0)).cast("long")
-    met = left.join(right, ["clone", "_p", "_q"]).where("_p < _q OR a < b")
-    return met.select("clone", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), joint.alias("joint")).where("joint > 0")
+    sizes = features.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("_parts"))
+    own = features.join(sizes, list(keys)).withColumn("_u", F.pmod(F.xxhash64("cell"), F.col("_parts")).cast("int"))
+    left = own.withColumns({"_p": F.col("_u"), "_q": F.explode(F.sequence(F.col("_u"), F.col("_parts") - 1))}).drop("_u", "_parts")
+    right = own.withColumns({"_q": F.col("_u"), "_p": F.explode(F.sequence(F.lit(0), F.col("_u")))}).drop("_u", "_parts")
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))  # columns of its own, as it meets itself
+    pair = [*keys, "_p", "_q"]
+    kinds = ", ".join(f"{k} {features.schema[k].dataType.simpleString()}" for k in keys)
+
+    def meet(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        own = run(a, b, key[-2].as_py() == key[-1].as_py())
+        n = len(next(iter(own.values())))
+        return pa.table({**{k: pa.repeat(v, n) for k, v in zip(keys, key, strict=False)}, **own})
+
+    return left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInArrow(meet, f"{kinds}, {schema}")
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and values of a column of arrays without nulls."""
+    lists = column.combine_chunks()
+    n = np.asarray(lists.value_lengths().fill_null(0))
+    return np.repeat(np.arange(len(n)), n), lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def _overlap(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
+    """How many values each array of ``a`` shares with each of ``b``: products of 0-1 matrices over the values that both sides have."""
+    (row_a, x), (row_b, y) = _flat(a), _flat(b)
+    both = np.intersect1d(x, y)
+    out = np.zeros((len(a), len(b)), dtype=np.float32)
+    x_at, y_at = np.searchsorted(both, x), np.searchsorted(both, y)
+    for start in range(0, len(both), WIDTH):
+        chosen = both[start : start + WIDTH]
+        sides = []
+        for rows, at, values, n in ((row_a, x_at, x, len(a)), (row_b, y_at, y, len(b))):
+            here = np.flatnonzero((at >= start) & (at < start + len(chosen)))
+            here = here[both[at[here]] == values[here]]
+            side = np.zeros((n, len(chosen)), dtype=np.float32)
+            side[rows[here], at[here] - start] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _counts(a: pa.Table, b: pa.Table, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """shared, joint, and which pairs count: each once, of different cells that have a tape in common."""
+    shared, joint = _overlap(a["codes"], b["codes"]), _overlap(a["have"], b["have"])
+    counts = joint > 0
+    if same:
+        counts &= a["cell"].to_numpy()[:, None] < b["cell"].to_numpy()[None]
+    return shared, joint, counts
 
 
 def pairs(prefixes: DataFrame, tapes: DataFrame) -> DataFrame:
-    """clone, i, j (i < j), shared, joint, rel: shared depth over tapes that both cells have.
+    """clone, i, j (i < j), shared, joint, rel: shared depth over tapes that both cells have, for pairs with any.
 
-    Prefix rows meet only if the prefix agrees, so a pair of unrelated cells makes no row
-    there; what both cells have is counted on bits (``joint_tapes``).
+    Both counts come from products of matrices over blocks of cells (``in_blocks``), so a
+    pair is one row, made where its blocks meet, and nothing is joined by tape or prefix.
     """
-    p = prefixes.select("clone", "tape", "d", "prefix", "cell")
-    a, b = p.withColumnRenamed("cell", "i"), p.withColumnRenamed("cell", "j")
-    shared = a.join(b, ["clone", "tape", "d", "prefix"]).where("i < j").groupBy("clone", "i", "j").agg(F.count("*").alias("shared"))
-    out = joint_tapes(tapes).join(shared, ["clone", "i", "j"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
-    return out.withColumn("rel", F.col("shared") / F.col("joint"))
 
+    def run(a: pa.Table, b: pa.Table, same: bool) -> dict[str, np.ndarray]:
+        shared, joint, counts = _counts(a, b, same)
+        x, y = np.nonzero(counts)
+        i, j = a["cell"].to_numpy()[x], b["cell"].to_numpy()[y]
+        return {"i": np.minimum(i, j), "j": np.maximum(i, j), "shared": shared[x, y].astype(np.int64), "joint": joint[x, y].astype(np.int64)}
 
-def both_ways(pairs: DataFrame) -> DataFrame:
-    return pairs.unionByName(pairs.select("clone", F.col("j").alias("i"), F.col("i").alias("j"), "shared", "joint", "rel"))
+    return in_blocks(cell_features(prefixes, tapes), ["clone"], run, "i long, j long, shared long, joint long").withColumn("rel", F.col("shared") / F.col("joint"))
 
 
-def nearest(pairs: DataFrame, k: int) -> DataFrame:
-    """clone, i, j, rank: the k most related mates of each cell, itself excluded, ties to the smaller id."""
-    order = W.partitionBy("i").orderBy(F.col("rel").desc(), "j")
-    return both_ways(pairs).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("clone", "i", "j", "rank")
+def nearest_mates(prefixes: DataFrame, tapes: DataFrame, k: int, keys: Sequence[str] = ("clone",)) -> DataFrame:
+    """keys (the last one is the clone), i, j, rank: the k most related mates of each cell, itself excluded, ties to the smaller id.
 
+    Each pair of blocks keeps the k best mates of its cells, so k rows a cell and block are shuffled, and not every pair.
+    """
 
-def nearest_in(pairs: DataFrame, keys: list[str], k: int, pad: int) -> DataFrame:
-    """keys, i, j, rank, times: ``nearest`` and ``padded`` for each value of ``keys``; pairs: keys, i, j, rel."""
-    both = pairs.select(*keys, "i", "j", "rel").unionByName(pairs.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"), "rel"))
+    def best(rel: np.ndarray, own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.argsort(other, kind="stable")
+        top = np.argsort(-rel[:, order], axis=1, kind="stable")[:, :k]
+        values = np.take_along_axis(rel[:, order], top, axis=1)
+        x, y = np.nonzero(values >= 0)
+        return own[x], other[order][top[x, y]], values[x, y]
+
+    def run(a: pa.Table, b: pa.Table, same: bool) -> dict[str, np.ndarray]:
+        shared, joint, counts = _counts(a, b, False)
+        i, j = a["cell"].to_numpy(), b["cell"].to_numpy()
+        counts &= i[:, None] != j[None]
+        rel = np.where(counts, shared.astype(float) / np.maximum(joint, 1), -1.0)
+        found = [best(rel, i, j)] if same else [best(rel, i, j), best(rel.T, j, i)]
+        return {c: np.concatenate([f[n] for f in found]) for n, c in enumerate(("i", "j", "rel"))}
+
+    top = in_blocks(cell_features(prefixes, tapes, keys), keys, run, "i long, j long, rel double")
     order = W.partitionBy(*keys, "i").orderBy(F.col("rel").desc(), "j")
-    near = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    n = F.count("*").over(W.partitionBy(*keys, "i"))
-    return near.withColumn("_n", n).select(*keys, "i", "j", "rank", (F.floor(F.lit(pad) / F.col("_n")) + F.when(F.col("rank") <= pad % F.col("_n"), 1).otherwise(0)).cast("long").alias("times"))
+    return top.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*keys, "i", "j", "rank")
+
+
+def products_by_relatedness(prefixes: DataFrame, tapes: DataFrame, residuals: DataFrame, keys: Sequence[str] = ("clone",)) -> DataFrame:
+    """keys, shared, joint, pairs, with_tapes, tapes, product, mean: sums over the pairs of cells with these counts.
+
+    residuals: cell, tape, r, and those of ``keys`` it has. with_tapes are the pairs that have
+    a residual of a tape in common, tapes how many they have in all, product the sum over
+    pairs and tapes of the product of residuals, and mean the sum over pairs of its mean.
+    Products of residuals are a Gram matrix of two blocks, and only sums by (shared, joint)
+    leave a task: no row is made for a pair, let alone for a pair and tape.
+    """
+    by = [k for k in keys if k in residuals.columns]
+    own = residuals.groupBy(*by, "cell").agg(F.collect_list(F.struct(F.xxhash64("tape").alias("t"), F.col("r").cast("double").alias("r"))).alias("_r"))
+    own = own.select(*by, "cell", F.col("_r.t").alias("at"), F.col("_r.r").alias("r"))
+    features = cell_features(prefixes, tapes, keys).join(own, [*by, "cell"], "left")
+
+    def run(a: pa.Table, b: pa.Table, same: bool) -> dict[str, np.ndarray]:
+        shared, joint, counts = _counts(a, b, same)
+        sides = [(*_flat(t["at"]), _flat(t["r"])[1], t.num_rows) for t in (a, b)]
+        names = np.union1d(sides[0][1], sides[1][1])
+        dense = []
+        for rows, at, r, n in sides:
+            value, has = np.zeros((n, len(names))), np.zeros((n, len(names)))
+            where = (rows, np.searchsorted(names, at))
+            value[where], has[where] = r, 1
+            dense.append((value, has))
+        product, common = dense[0][0] @ dense[1][0].T, dense[0][1] @ dense[1][1].T
+        s, t = shared[counts].astype(np.int64), joint[counts].astype(np.int64)
+        p, c = product[counts], common[counts]
+        code = s * (t.max(initial=0) + 1) + t
+        known, which = np.unique(code, return_inverse=True)
+        total = lambda w: np.bincount(which, weights=w, minlength=len(known))
+        wide = t.max(initial=0) + 1
+        return {"shared": known // wide, "joint": known % wide, "pairs": total(np.ones(len(c))).astype(np.int64), "with_tapes": total(c > 0).astype(np.int64), "tapes": total(c).astype(np.int64), "product": total(p), "mean": total(p / np.maximum(c, 1))}
+
+    sums = in_blocks(features, keys, run, "shared long, joint long, pairs long, with_tapes long, tapes long, product double, mean double")
+    return sums.groupBy(*keys, "shared", "joint").agg(*(F.sum(c).alias(c) for c in ("pairs", "with_tapes", "tapes", "product", "mean"))).withColumn("rel", F.col("shared") / F.col("joint"))
 
 
 def random_mates(cells: DataFrame, k: int, seed: int) -> DataFrame:
@@ -118,20 +210,18 @@ def residuals(entries: DataFrame) -> DataFrame:
     return entries.withColumn("r", (F.col("missing") - F.col("p")) / F.sqrt(F.col("p") * (1 - F.col("p"))))
 
 
-def bucket_edges(pairs: DataFrame, n: int) -> DataFrame:
-    """clone-free quantile edges of relatedness: bin, low, high (the last bin has no upper edge)."""
-    edges = pairs.agg(F.array_distinct(F.percentile("rel", F.array(*(F.lit(i / n) for i in range(n))))).alias("e"))
+def bucket_edges(sums: DataFrame, n: int) -> DataFrame:
+    """Quantile edges of relatedness over pairs: bin, low, high (the last bin has no upper edge)."""
+    edges = sums.agg(F.array_distinct(F.percentile("rel", F.array(*(F.lit(i / n) for i in range(n))), F.col("pairs"))).alias("e"))
     low = edges.select(F.posexplode("e").alias("bin", "low"))
     return low.withColumn("high", F.lead("low").over(W.orderBy("bin")))
 
 
-def variogram(pairs: DataFrame, residuals: DataFrame, n_bins: int) -> DataFrame:
-    """bin, n_pairs, mean_rel, product: mean product of residuals over pairs and tapes, by bins of relatedness."""
-    edges = bucket_edges(pairs, n_bins)
-    binned = pairs.join(F.broadcast(edges), (F.col("rel") >= F.col("low")) & (F.col("high").isNull() | (F.col("rel") < F.col("high"))))
-    r = residuals.select("cell", "tape", "r")
-    own = binned.select("bin", "i", "j", "rel").join(r.select(F.col("cell").alias("i"), "tape", F.col("r").alias("ri")), "i").join(r.select(F.col("cell").alias("j"), "tape", F.col("r").alias("rj")), ["j", "tape"])
-    return own.groupBy("bin").agg(F.countDistinct("i", "j").alias("n_pairs"), F.avg("rel").alias("mean_rel"), F.avg(F.col("ri") * F.col("rj")).alias("product"))
+def variogram(sums: DataFrame, n_bins: int) -> DataFrame:
+    """bin, n_pairs, mean_rel, product: mean product of residuals over pairs and tapes, by quantile bins of relatedness, from ``products_by_relatedness``."""
+    edges = bucket_edges(sums, n_bins)
+    binned = sums.join(F.broadcast(edges), (F.col("rel") >= F.col("low")) & (F.col("high").isNull() | (F.col("rel") < F.col("high"))))  # a row for each bin
+    return binned.groupBy("bin").agg(F.sum("with_tapes").alias("n_pairs"), (F.sum(F.col("rel") * F.col("tapes")) / F.sum("tapes")).alias("mean_rel"), (F.sum("product") / F.sum("tapes")).alias("product"))
 
 
 def consensus_matrix(consensus: DataFrame) -> DataFrame:
@@ -160,9 +250,9 @@ def floored_residuals(entries: DataFrame, floor: float) -> DataFrame:
     return entries.withColumn("r", (F.col("missing") - F.col("p")) / F.greatest(F.sqrt(F.col("p") * (1 - F.col("p"))), F.lit(least)))
 
 
-def padded(mates: DataFrame, k: int) -> DataFrame:
+def padded(mates: DataFrame, k: int, keys: Sequence[str] = ()) -> DataFrame:
     """Add times: how often a mate counts when fewer than ``k`` are repeated in turn up to k."""
-    n = F.count("*").over(W.partitionBy("i"))
+    n = F.count("*").over(W.partitionBy(*keys, "i"))
     return mates.withColumn("_n", n).withColumn("times", (F.floor(F.lit(k) / F.col("_n")) + F.when(F.col("rank") <= k % F.col("_n"), 1).otherwise(0)).cast("long")).drop("_n")
 
 
@@ -186,15 +276,14 @@ def independent_mates(cells: DataFrame, k: int, seed: int) -> DataFrame:
     return ask.join(ring.select("clone", F.col("cell").alias("j"), F.col("_at").cast("long").alias("_want")), ["clone", "_want"]).select("clone", "i", "j", "rank")
 
 
-def split_variogram(pairs: DataFrame, residuals: DataFrame, edges: list[float]) -> DataFrame:
-    """split, bin, n_pairs, mean_rel, product: pairs (split, i, j, rel) by fixed bins of relatedness, and the mean over the split's tapes of the product of residuals (split, cell, tape, r)."""
+def split_variogram(sums: DataFrame, edges: list[float]) -> DataFrame:
+    """split, bin, n_pairs, mean_rel, product: over pairs by fixed bins of relatedness, the mean of a pair's mean product, from ``products_by_relatedness`` by split."""
     bin_ = F.lit(None).cast("int")
     for b, low in enumerate(edges):
         bin_ = F.when(F.col("rel") >= low, b).otherwise(bin_)
-    binned = pairs.withColumn("bin", bin_).where("bin IS NOT NULL")
-    own = binned.join(residuals.select("split", F.col("cell").alias("i"), "tape", F.col("r").alias("_ri")), ["split", "i"]).join(residuals.select("split", F.col("cell").alias("j"), "tape", F.col("r").alias("_rj")), ["split", "j", "tape"])
-    per = own.groupBy("split", "bin", "i", "j").agg(F.avg(F.col("_ri") * F.col("_rj")).alias("_s"), F.max("rel").alias("rel"))
-    return per.groupBy("split", "bin").agg(F.count("*").alias("n_pairs"), F.avg("rel").alias("mean_rel"), F.avg("_s").alias("product"))
+    own = sums.withColumn("bin", bin_).where("bin IS NOT NULL AND with_tapes > 0")
+    n = F.sum("with_tapes")
+    return own.groupBy("split", "bin").agg(n.alias("n_pairs"), (F.sum(F.col("rel") * F.col("with_tapes")) / n).alias("mean_rel"), (F.sum("mean") / n).alias("product"))
 
 
 def over_splits(observed: DataFrame, null: DataFrame) -> DataFrame:

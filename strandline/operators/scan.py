@@ -107,10 +107,16 @@ def exact_moments(combos: DataFrame, entries: DataFrame) -> DataFrame:
     return out.withColumn("p_used", F.greatest(F.coalesce("p_normal", F.lit(0.0)), "p_hyper"))
 
 
+def testable(tests: DataFrame, least: int = 4) -> DataFrame:
+    """Add testable to ``exact_moments``: the clade has ``least`` cells, is not its whole clone, and its count can vary. p of other tests is null."""
+    ok = (F.col("m") >= least) & (F.col("n_pop") > F.col("m")) & (F.col("v_pop") > 0)
+    return tests.withColumns({"testable": F.coalesce(ok, F.lit(False)), "p_used": F.when(ok, F.col("p_used"))})
+
+
 def bonferroni(tests: DataFrame, p: str, false: float) -> DataFrame:
-    """Add passes: p at most the expected number of false ones over the number of tests."""
+    """Add passes: p at most the expected number of false ones over the number of tests that have a p."""
     n = tests.agg(F.count(p).alias("_n"))
-    return tests.join(F.broadcast(n)).withColumn("passes", F.col(p) <= false / F.col("_n")).drop("_n")
+    return tests.join(F.broadcast(n)).withColumn("passes", F.coalesce(F.col(p) <= false / F.col("_n"), F.lit(False))).drop("_n")
 
 
 def benjamini_hochberg(tests: DataFrame, p: str, tie: str, q: float) -> DataFrame:

@@ -1,23 +1,18 @@
-"""Simulation: birth-death trees, edits, dropout and silencing.
+"""Laws of tree sizes, and edits, dropout and silencing on given trees.
 
-A row per seed fans out to a tree per task step; everything that follows is a kernel for
-a tree or an expression over rows. Random numbers depend on seed and ids alone.
+Edits are a kernel for a tree, the rest expressions over rows. Random numbers depend on
+seed and ids alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.reads import uniform
 
-TREE = "tree long, node long, parent long, t double, tip boolean"
-
-
 def survival(birth: float, death: float, rho: float, t: Column) -> Column:
     """Chance that a lineage has a sampled descendant after time t."""
     r = birth - death
@@ -38,80 +33,6 @@ def size_law(birth: float, death: float, rho: float, t: float, top: int) -> list
     return [stop * (1 - stop) ** (n - 1) for n in range(1, top + 1)]
 
 
-def _birth_death(rng: np.random.Generator, birth: float, death: float, height: float, most: int) -> tuple[list[int], list[float], list[int]] | None:
-    """parent and time of each node, and the lineages alive at the end; None if too many or none."""
-    parent, time, alive, now = [-1], [0.0], [0], 0.0
-    while alive:
-        now += rng.exponential(1 / (len(alive) * (birth + death)))
-        if now >= height:
-            break
-        i = int(rng.integers(len(alive)))
-        node, alive[i] = alive[i], alive[-1]
-        alive.pop()
-        time[node] = now
-        if rng.random() * (birth + death) < birth:
-            for _ in range(2):
-                parent.append(node)
-                time.append(now)
-                alive.append(len(parent) - 1)
-        if len(alive) > most:
-            return None
-    for node in alive:
-        time[node] = height
-    return (parent, time, alive) if alive else None
-
-
-def _prune(parent: list[int], time: list[float], tips: list[int]) -> pd.DataFrame:
-    """The tree of the tips: nodes with two lines below them, tips numbered first, the root last."""
-    below = np.zeros(len(parent), np.int64)  # distinct lines that reach a node
-    up = {}
-    for tip in tips:
-        node = tip
-        while parent[node] >= 0:
-            above = parent[node]
-            below[above] += 1
-            if below[above] > 1:
-                break
-            node = above
-    kept = set(tips) | {n for n in range(len(parent)) if below[n] > 1}
-    for node in kept:
-        above = parent[node]
-        while above >= 0 and above not in kept:
-            above = parent[above]
-        up[node] = above
-    order = tips + sorted((n for n in kept if n not in set(tips)), key=lambda n: -time[n])
-    number = {n: i for i, n in enumerate(order)}
-    return pd.DataFrame({"node": range(len(order)), "parent": pd.array([number.get(up[n]) for n in order], "Int64"), "t": [time[n] for n in order], "tip": [i < len(tips) for i in range(len(order))]})
-
-
-def trees(spark: SparkSession, n_trees: int, tips: int, birth: float = 1.0, death: float = 0.3, rho: float = 0.5, height: float = 1.0, seed: int = 1) -> DataFrame:
-    """tree, node, parent, t, tip: trees with exactly ``tips`` sampled tips, by rejection.
-
-    Each lineage splits and dies at given rates until ``height``; the rates are scaled so
-    that the expected sample is ``tips``. Each survivor is sampled with chance rho.
-    """
-    scale = max(1.0, np.log(max(tips, 2) / rho) / max(birth - death, 1e-6) / height)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for tree in b["tree"]:
-                attempt = 0
-                while True:
-                    rng = np.random.default_rng([seed, int(tree), attempt])
-                    attempt += 1
-                    grown = _birth_death(rng, birth * scale, death * scale, height, int(20 * tips / rho))
-                    if grown is None:
-                        continue
-                    chosen = [x for x in grown[2] if rng.random() < rho]
-                    if len(chosen) == tips:
-                        break
-                out = _prune(grown[0], grown[1], chosen)
-                out.insert(0, "tree", tree)
-                yield out
-
-    return spark.range(n_trees).withColumnRenamed("id", "tree").mapInPandas(run, TREE)
-
-
 def decorate(trees: DataFrame, n_tapes: int, rate: float, shares: list[float], sites: int = 6, seed: int = 2, stem: float = 0.0) -> DataFrame:
     """tree, node, tape, read: symbols at each node, root to tip, capped at ``sites``.
 

@@ -210,3 +210,20 @@ def root_split(tree: DataFrame) -> DataFrame:
     """tree, child, n_tips of the nodes right below the root."""
     root = tree.where("parent IS NULL").select("tree", F.col("node").alias("parent"))
     return tree.join(root, ["tree", "parent"]).select("tree", "node").join(clade_sizes(tree), ["tree", "node"]).select("tree", F.col("node").alias("child"), "n_tips")
+
+
+def history_keys(tree: DataFrame) -> DataFrame:
+    """tree, n_nodes, key: the same for trees that join the same tips in the same order, whatever their nodes' ids and the order of children.
+
+    A lineage is named by its smallest tip, which no other lineage alive at the same time
+    has, so the lineages that a node joins, and the nodes' order from the latest on (ties:
+    the smaller name), tell the whole history. Sets and sequences are folded into hashes by
+    exclusive or, so no list of a node's children or of a tree's nodes is made.
+    """
+    bits = lambda *c: F.conv(F.substring(F.md5(F.concat_ws("|", *c).cast("binary")), 1, 15), 16, 10).cast("long")
+    name = gather(tree, tree.where("tip").select(*KEY, F.col("node").alias("x")), F.min)
+    named = tree.join(name, KEY)
+    joined = named.where("parent IS NOT NULL").groupBy("tree", F.col("parent").alias("node")).agg(F.bit_xor(bits(F.col("x").cast("string"))).alias("_set"), F.count("*").alias("_n"))
+    ranked = named.join(joined, KEY).withColumn("_k", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("t"), "x", "_n")))
+    fold = F.bit_xor(bits(*(F.col(c).cast("string") for c in ("_k", "_set", "_n"))))
+    return ranked.groupBy("tree").agg(F.count("*").alias("n_nodes"), fold.alias("key"))

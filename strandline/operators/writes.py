@@ -165,3 +165,48 @@ def injectivity(map_: DataFrame, value: str, n_symbols: int) -> DataFrame:
     out = map_.agg(F.count("*").alias("called"), F.countDistinct(value).alias("distinct"))
     expected = n_symbols * (1 - F.pow(F.lit(1 - 1 / n_symbols), F.col("called")))
     return out.withColumn("expected", expected).withColumn("ratio", F.col("distinct") / F.col("expected"))
+
+
+def depletion(tapes: DataFrame, cells: DataFrame, events: DataFrame, members: DataFrame, perms: int, seed: int, least: int = 50) -> DataFrame:
+    """COMBO, cells_in, writes_in, writes_out, top, theta, gain, n_used, null_mean, null_max, p: the symbol that an event's clade writes least, against the rest of its clone.
+
+    events: COMBO; members: clone, anchor, d, prefix, cell. Independent writes are taken
+    inside and outside by themselves, on the tapes other than the event's and its anchor;
+    each symbol's common log odds over sites (``common_log_odds``) have a gain that counts
+    against the symbol where they are above 0. In the null, cells of the clone change places
+    by hash. Permutations are a key beside the event, 0 being what is observed, so all are
+    one job, and only each one's largest gain is kept: p counts those that reach the observed
+    one (to nine digits). Where inside or outside has under ``least`` writes, a permutation is not used,
+    and an event gets no row.
+    """
+    from strandline.operators.reads import hash_order
+    from strandline.operators.scan import COMBO
+
+    clade = ["clone", "anchor", "d", "prefix"]
+    own = events.select(*COMBO).distinct()
+    size = members.join(own.select(*clade).distinct(), clade, "left_semi").groupBy(*clade).agg(F.count("*").alias("cells_in"))
+    own = own.join(size, clade)
+    # One order of a clone's cells for each permutation serves all of its events.
+    ranked = cells.select("clone", "cell").join(own.select("clone").distinct(), "clone", "left_semi").withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(perms))))
+    ranked = ranked.withColumn("_k", F.row_number().over(W.partitionBy("clone", "perm").orderBy(hash_order(seed, "perm", "cell"), "cell")))
+    moved = own.join(ranked, "clone").select(*COMBO, "perm", "cell", (F.col("_k") <= F.col("cells_in")).alias("_in"))
+    inside = members.select(*clade, "cell", F.lit(True).alias("_in"))
+    seen = own.join(cells.select("clone", "cell"), "clone").join(inside, [*clade, "cell"], "left").select(*COMBO, F.lit(0).alias("perm"), "cell", F.coalesce("_in", F.lit(False)).alias("_in"))
+    step = F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("site")
+    steps = tapes.where("depth > 0").select("cell", F.col("tape").alias("_t"), "read", step)
+    steps = steps.select("cell", "_t", F.array_join(F.slice("read", F.lit(1), F.col("site") - 1), ">").alias("_parent"), F.element_at("read", F.col("site")).alias("child"), "site")
+    case = [*COMBO, "perm"]
+    wrote = seen.unionByName(moved).join(steps, "cell").where("_t <> anchor AND _t <> tape").select(*case, "_in", "_t", "_parent", "child", "site").distinct()
+    wrote = wrote.withColumn("_n", F.count("*").over(W.partitionBy(*case, "_in", "_t", "_parent"))).where("_n >= 2")
+    per = wrote.groupBy(*case, "site", "child").agg(F.count_if("_in").alias("a"), F.count_if(~F.col("_in")).alias("c"))
+    here = W.partitionBy(*case, "site")
+    tables = per.withColumns({"b": F.sum("a").over(here) - F.col("a"), "d_": F.sum("c").over(here) - F.col("c")})
+    total = per.groupBy(*case).agg(F.sum("a").alias("writes_in"), F.sum("c").alias("writes_out")).where((F.col("writes_in") >= least) & (F.col("writes_out") >= least))
+    # COMBO has a d, and so have the tables of common_log_odds.
+    keyed = tables.join(total, case).select(F.struct(*case, "writes_in", "writes_out").alias("_case"), "child", "a", "b", "c", F.col("d_").alias("d"))
+    odds = common_log_odds(keyed, ["_case", "child"])
+    signed = F.round(F.when(F.col("theta") < 0, F.col("gain")).otherwise(-F.col("gain")), 9)
+    best = odds.groupBy("_case").agg(F.min(F.struct((-signed).alias("g"), "child", "theta")).alias("_b")).select("_case.*", (-F.col("_b.g")).alias("gain"), F.col("_b.child").alias("top"), F.col("_b.theta").alias("theta"))
+    null = best.where("perm > 0").select(*COMBO, F.col("gain").alias("_null"))
+    out = best.where("perm = 0").drop("perm").join(null, COMBO, "left").groupBy(*COMBO, "writes_in", "writes_out", "top", "theta", "gain").agg(F.count("_null").alias("n_used"), F.avg("_null").alias("null_mean"), F.max("_null").alias("null_max"), F.count_if(F.col("_null") >= F.col("gain")).alias("_ge"))
+    return out.join(size, clade).select(*COMBO, "cells_in", "writes_in", "writes_out", "top", "theta", "gain", "n_used", "null_mean", "null_max", ((1 + F.col("_ge")) / (1 + F.col("n_used"))).alias("p"))

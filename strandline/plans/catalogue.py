@@ -335,27 +335,27 @@ def q_m_mle(v: Views) -> DataFrame:
     return trie.likelihood_estimates(trie.nodes(v.tapes), alphabet.shares(v.reads.where(F.col("sym").rlike(fixture.DESIGN)), [])).drop("symbols")
 
 
-CONSENSUS = """, pc AS (SELECT clone, tape, d, prefix, count(*) AS n FROM prefixes GROUP BY ALL), best AS (SELECT clone, tape, d, prefix, n FROM (SELECT *, sum(n) OVER (PARTITION BY clone, tape, d) AS a, row_number() OVER (PARTITION BY clone, tape, d ORDER BY n DESC, prefix) AS k FROM pc) WHERE k = 1 AND 2 * n >= a),
+CONSENSUS = """, pc AS (SELECT clone, tape, d, prefix, count(*) AS n FROM prefixes GROUP BY ALL), best AS (SELECT clone, tape, d, prefix, n FROM (SELECT *, sum(n) OVER (PARTITION BY clone, tape, d) AS a, row_number() OVER (PARTITION BY clone, tape, d ORDER BY n DESC, prefix) AS k FROM pc) WHERE k = 1 AND 20 * n >= a),
   cons AS (SELECT clone, tape, d, prefix, n FROM best WHERE d = 1 UNION ALL SELECT b.clone, b.tape, b.d, b.prefix, b.n FROM cons c JOIN best b ON b.clone = c.clone AND b.tape = c.tape AND b.d = c.d + 1 AND starts_with(b.prefix, c.prefix || '>'))"""
 
 
 @query(CONSENSUS + " SELECT CAST(clone AS BIGINT) AS clone, CAST(tape AS BIGINT) AS tape, CAST(d AS BIGINT) AS d, prefix, n FROM cons")
 def q_consensus(v: Views) -> DataFrame:
-    return trie.consensus(v.prefixes).select("clone", "tape", "d", "prefix", "n")
+    return trie.consensus(v.prefixes, 20).select("clone", "tape", "d", "prefix", "n")
 
 
 @query(CONSENSUS + """, j AS (SELECT x.clone AS a, y.clone AS b, count(*) AS tapes FROM cons x JOIN cons y ON x.tape = y.tape AND x.clone < y.clone WHERE x.d = 1 AND y.d = 1 GROUP BY ALL),
   s AS (SELECT x.clone AS a, y.clone AS b, count(*) AS n FROM cons x JOIN cons y ON x.tape = y.tape AND x.d = y.d AND x.prefix = y.prefix AND x.clone < y.clone GROUP BY ALL)
   SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, tapes, round(coalesce(n, 0) / tapes, 6) AS shared FROM j LEFT JOIN s USING (a, b)""")
 def q_group_relatedness(v: Views) -> DataFrame:
-    return relate.consensus_matrix(trie.consensus(v.prefixes))
+    return relate.consensus_matrix(trie.consensus(v.prefixes, 20))
 
 
 @query(CONSENSUS + """, m AS (SELECT p.cell, p.clone, c.clone AS rival, count(*) AS n FROM prefixes p JOIN cons c ON c.tape = p.tape AND c.d = p.d AND c.prefix = p.prefix GROUP BY ALL)
   SELECT cell, CAST(clone AS BIGINT) AS clone, coalesce(max(n) FILTER (rival = clone), 0) AS own, coalesce(max(n) FILTER (rival <> clone), 0) AS best,
   CAST(arg_min(rival, -n * 1000 + rival) FILTER (rival <> clone) AS BIGINT) AS rival FROM m GROUP BY cell, clone""")
 def q_collision_flags(v: Views) -> DataFrame:
-    return relate.collision_flags(v.prefixes, trie.consensus(v.prefixes))
+    return relate.collision_flags(v.prefixes, trie.consensus(v.prefixes, 20))
 
 
 # Compatibility.
@@ -548,7 +548,7 @@ def q_hyper_p(v: Views) -> DataFrame:
 
 @query()
 def q_bonferroni(v: Views) -> DataFrame:
-    return scan.event_summary(scan.bonferroni(_exact(v), "p_used", 1.0).where("passes"))
+    return scan.event_summary(scan.bonferroni(scan.testable(_exact(v)), "p_used", 1.0).where("passes AND k > e_pop"))
 
 
 @query()
@@ -648,27 +648,27 @@ def q_relatedness_pairs(v: Views) -> DataFrame:
 
 @query(PAIRS + " SELECT CAST(clone AS BIGINT) AS clone, i, j, rank FROM near")
 def q_knn(v: Views) -> DataFrame:
-    return relate.nearest(relate.pairs(v.prefixes, v.tapes), 5)
+    return relate.nearest_mates(v.prefixes, v.tapes, 5)
 
 
 @query(PAIRS + """, nm AS (SELECT i, e.tape, sum(missing) AS k FROM near JOIN entries e ON e.cell = j GROUP BY ALL)
   SELECT CAST(k AS BIGINT) AS k, count(*) AS n_entries, CAST(sum(missing) AS BIGINT) AS n_missing FROM nm JOIN entries e ON e.cell = i AND e.tape = nm.tape GROUP BY k""")
 def q_neighbour_counts(v: Views) -> DataFrame:
-    near = relate.nearest(relate.pairs(v.prefixes, v.tapes), 5)
+    near = relate.nearest_mates(v.prefixes, v.tapes, 5)
     return relate.hits_by_count(relate.neighbour_missing(near, v.entries), v.entries)
 
 
 @query(PAIRS + """, s AS (SELECT i, e.tape, min(missing) AS a, max(missing) AS b FROM near JOIN entries e ON e.cell = j GROUP BY ALL)
   SELECT CAST(tape AS BIGINT) AS tape, count(*) AS sets, CAST(sum(a) AS BIGINT) AS all_missing, CAST(sum(1 - b) AS BIGINT) AS all_present FROM s GROUP BY tape""")
 def q_unanimity(v: Views) -> DataFrame:
-    return relate.unanimity(relate.nearest(relate.pairs(v.prefixes, v.tapes), 5), v.entries)
+    return relate.unanimity(relate.nearest_mates(v.prefixes, v.tapes, 5), v.entries)
 
 
 @query(PAIRS + """, ed AS (SELECT list_distinct([quantile_cont(rel, 0), quantile_cont(rel, 0.25), quantile_cont(rel, 0.5), quantile_cont(rel, 0.75)]) AS e FROM pa), lo AS (SELECT unnest(e) AS low FROM ed), bi AS (SELECT row_number() OVER (ORDER BY low) - 1 AS bin, low, lead(low) OVER (ORDER BY low) AS high FROM lo),
   re AS (SELECT cell, e.tape, (missing - p) / sqrt(p * (1 - p)) AS r FROM (SELECT cell, tape, missing FROM entries) e JOIN (SELECT tape, greatest(least(p, 1 - 1e-6), 1e-6) AS p FROM rt) q USING (tape))
   SELECT bin, count(DISTINCT (i, j)) AS n_pairs, round(avg(rel), 6) AS mean_rel, round(avg(x.r * y.r), 6) AS product FROM pa JOIN bi ON rel >= low AND (high IS NULL OR rel < high) JOIN re x ON x.cell = i JOIN re y ON y.cell = j AND y.tape = x.tape GROUP BY bin""")
 def q_variogram_bins(v: Views) -> DataFrame:
-    return relate.variogram(relate.pairs(v.prefixes, v.tapes), relate.residuals(scan.with_rates(v.entries)), 4)
+    return relate.variogram(relate.products_by_relatedness(v.prefixes, v.tapes, relate.residuals(scan.with_rates(v.entries))), 4)
 
 
 @query(""", rg AS (SELECT clone, cell, row_number() OVER (PARTITION BY clone ORDER BY md5(concat_ws('|', '9', cell)), cell) - 1 AS pos, count(*) OVER (PARTITION BY clone) AS n FROM cells)
@@ -771,15 +771,6 @@ def q_tree_faults(v: Views) -> DataFrame:
     return tree.faults(planted.unionByName(second))
 
 
-SIM = dict(n_trees=8, tips=12, seed=5)
-SHARES = [0.4, 0.3, 0.2, 0.1]
-
-
-@query()
-def q_simulate_tree(v: Views) -> DataFrame:
-    return simulate.trees(v.spark, **SIM)
-
-
 @query(KEYS + """, hi AS (SELECT anc AS node, max(steps) AS h FROM up JOIN kt USING (node) WHERE tip GROUP BY anc)
   SELECT CAST(0 AS BIGINT) AS tree, count(*) AS n_nodes, count(*) FILTER (c.tip) AS n_tips, round(sum(coalesce(c.t - p.t, 0)), 6) AS length, round(max(c.t), 6) AS height, (SELECT round(sum(1 / h), 6) FROM hi JOIN kt USING (node) WHERE h > 0 AND parent IS NOT NULL) AS b1 FROM kt c LEFT JOIN kt p ON p.node = c.parent""")
 def q_tree_statistics(v: Views) -> DataFrame:
@@ -794,13 +785,6 @@ def q_newick(v: Views) -> DataFrame:
     return tree.newick(key_tree(v))
 
 
-@query()
-def q_decorate(v: Views) -> DataFrame:
-    t = simulate.trees(v.spark, **SIM)
-    own = simulate.observed(simulate.decorate(t, 4, 3.0, SHARES), t, tree.propagate(t, simulate.losses(t, 4, 0.4)).where("lost"), 0.1)
-    return own.select("tree", "node", "tape", F.array_join(F.col("read").cast("array<string>"), ",").alias("read"), "seen")
-
-
 @query(f""", sy AS (SELECT sym, count(*) / sum(count(*)) OVER () AS p FROM reads WHERE regexp_matches(sym, '{fixture.DESIGN}') GROUP BY sym),
   ps AS (SELECT cell, tape, sum(ln(p)) AS lp FROM (SELECT cell, tape, unnest(read) AS sym FROM tapes) JOIN sy USING (sym) GROUP BY ALL),
   po AS (SELECT k, CASE WHEN k < 6 THEN exp(k * ln(2.5) - 2.5 - lgamma(k + 1)) ELSE 1 - (SELECT sum(exp(i * ln(2.5) - 2.5 - lgamma(i + 1))) FROM range(0, 6) r(i)) END AS p FROM range(0, 7) r(k))
@@ -899,7 +883,7 @@ def q_events_by_band(v: Views) -> DataFrame:
 def q_strata_table(v: Views) -> DataFrame:
     rt = margins.tape_margin(v.entries).select("tape", "p")
     edges = rt.agg(F.percentile("p", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    near = relate.neighbour_missing(relate.nearest(relate.pairs(v.prefixes, v.tapes), 5), v.entries).select(F.col("i").alias("cell"), "tape", F.floor(F.least(F.col("k") / F.col("n"), F.lit(0.99)) * 4).alias("fband"))
+    near = relate.neighbour_missing(relate.nearest_mates(v.prefixes, v.tapes, 5), v.entries).select(F.col("i").alias("cell"), "tape", F.floor(F.least(F.col("k") / F.col("n"), F.lit(0.99)) * 4).alias("fband"))
     rows = v.entries.join(rt, "tape").join(near, ["cell", "tape"]).join(F.broadcast(edges))
     pband = F.when(F.col("p") < F.col("q")[0], 0).when(F.col("p") < F.col("q")[1], 1).when(F.col("p") < F.col("q")[2], 2).otherwise(3)
     return rows.groupBy(pband.alias("pband"), "fband").agg(F.count("*").alias("n"), F.avg("missing").alias("rate"))
@@ -925,10 +909,11 @@ def q_epoch_overlap(v: Views) -> DataFrame:
     return tree.epoch_overlap(key_tree(v), epochs).groupBy("tree", "epoch").agg(F.sum("span").alias("span"))
 
 
-@query("SELECT i * 0.1 AS t, round(0.35 / (0.5 + (0.7 - 0.5) * exp(-0.7 * i * 0.1)), 6) AS survival, round(exp(0.7 * i * 0.1), 6) AS size FROM range(0, 21) r(i)".replace("i * 0.1 AS t", "round(i * 0.1, 6) AS t"))
+@query(KEYS + " SELECT DISTINCT round(4 - t, 6) AS t, round(0.35 / (0.5 + (0.7 - 0.5) * exp(-0.7 * (4 - t))), 6) AS survival, round(exp(0.7 * (4 - t)), 6) AS size FROM kt")
 def q_survival_curve(v: Views) -> DataFrame:
-    t = F.col("id") * 0.1
-    return v.spark.range(21).select(t.alias("t"), simulate.survival(1.0, 0.3, 0.5, t).alias("survival"), simulate.expected_size(1.0, 0.3, t).alias("size"))
+    """At the heights of the key tree's nodes below a top at 4."""
+    t = key_tree(v).select((4 - F.col("t")).alias("t")).distinct()
+    return t.select("t", simulate.survival(1.0, 0.3, 0.5, F.col("t")).alias("survival"), simulate.expected_size(1.0, 0.3, F.col("t")).alias("size"))
 
 
 @query(""", h AS (SELECT user_id % 4 AS chain, value, ntile(2) OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS h FROM events), p AS (SELECT chain, h, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM h GROUP BY ALL)
@@ -938,11 +923,12 @@ def q_split_rhat(v: Views) -> DataFrame:
     return likelihood.split_rhat(draws, "chain", "event_id", "value")
 
 
-@query(""", g AS (SELECT i / 50.0 AS x, exp(-pow(i / 50.0 - 0.304, 2) * 40) AS y FROM range(0, 51) r(i)), p AS (SELECT x, y, y / sum(y) OVER () AS p FROM g), c AS (SELECT x, y, p, sum(p) OVER (ORDER BY x) AS c, sum(p) OVER (ORDER BY p DESC, x) AS h FROM p)
-  SELECT round(arg_max(x, y), 6) AS mode, round(min(x) FILTER (c >= 0.5), 6) AS median, round(min(x) FILTER (c >= 0.025), 6) AS low, round(min(x) FILTER (c >= 0.975), 6) AS high, round(min(x) FILTER (h - p < 0.95), 6) AS hpd_low, round(max(x) FILTER (h - p < 0.95), 6) AS hpd_high FROM c""")
+@query(""", g AS (SELECT CAST(r AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS y FROM rc GROUP BY r), p AS (SELECT x, y, y / sum(y) OVER () AS p FROM g), c AS (SELECT x, y, p, sum(p) OVER (ORDER BY x) AS c, sum(p) OVER (ORDER BY p DESC, x) AS h FROM p)
+  SELECT round(max(x) FILTER (y = (SELECT max(y) FROM g)), 6) AS mode, round(min(x) FILTER (c >= 0.5 - 1e-12), 6) AS median, round(min(x) FILTER (c >= 0.025 - 1e-12), 6) AS low, round(min(x) FILTER (c >= 0.975 - 1e-12), 6) AS high, round(min(x) FILTER (h - p < 0.95 - 1e-12), 6) AS hpd_low, round(max(x) FILTER (h - p < 0.95 - 1e-12), 6) AS hpd_high FROM c""")
 def q_posterior_grid(v: Views) -> DataFrame:
-    x = F.col("id") / 50.0
-    return likelihood.grid_posterior(v.spark.range(51).select(x.alias("x"), F.exp(-F.pow(x - 0.304, 2) * 40).alias("y")), "x", "y")
+    """Over the numbers of tapes that cells have."""
+    grid = margins.cell_margin(v.entries).groupBy(F.col("r").cast("double").alias("x")).agg(F.count("*").cast("double").alias("y"))
+    return likelihood.grid_posterior(grid, "x", "y")
 
 
 @query("""SELECT a.cell, CAST(a.tape AS BIGINT) AS tape, CAST(coalesce(max(x.d), 0) AS BIGINT) AS shared FROM tapes a JOIN tapes b ON b.cell = a.cell + 1 AND b.tape = a.tape

@@ -102,3 +102,32 @@ def library_grid(spark: SparkSession, **axes: list) -> DataFrame:
     for name, values in axes.items():
         out = out.withColumn(name, F.explode(F.array(*(F.lit(v) for v in values))))
     return out.withColumn("job", F.row_number().over(W.orderBy(*axes)) - 1)
+
+
+def arm_folders(spark: SparkSession, pattern: str) -> list[tuple[str, str]]:
+    """(arm, path) of the tables that a glob finds; a table named ``arm=x`` or ``x.parquet`` is arm x."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    names = [f.getPath() for f in found or []]
+    return sorted((p.getName().removeprefix("arm=").removesuffix(".parquet"), p.toString()) for p in names)
+
+
+def merge_arms(spark: SparkSession, pattern: str, arms: list[str]) -> DataFrame:
+    """The tables of all arms as one, by column names, with the arm as a column.
+
+    Columns that an arm lacks are null, and numbers of different width take the wider one. An
+    expected arm that no table has, a table of another arm, or two tables of one arm are an
+    error that names them: a merged table is never short of an arm, and none counts twice.
+    """
+    found = arm_folders(spark, pattern)
+    names = [a for a, _ in found]
+    problems = {"missing": sorted(set(arms) - set(names)), "unexpected": sorted(set(names) - set(arms)), "doubled": sorted({a for a in names if names.count(a) > 1})}
+    if any(problems.values()):
+        raise ValueError("; ".join(f"{k}: {', '.join(v)}" for k, v in problems.items() if v))
+    out = None
+    for arm, path in found:
+        one = spark.read.parquet(path).withColumn("arm", F.lit(arm))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no arms")
+    return out

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import special
+import kernels
 from strandline.operators import compat, fit, likelihood, reads, relate, splits, tree, trie, writes
 from strandline.sources import tables
 from strandline.streaming import ingest
@@ -181,7 +182,7 @@ def test_likelihood_with_a_stem_sums_to_one():
     parent, time = {0: 2, 1: 2, 2: None}, {0: 1.0, 1: 1.0, 2: 0.4}
     states = [None, (), (0,), (1,), *itertools.product((0, 1), repeat=2)]
     for silence, missed in ((0.0, 0.0), (0.7, 0.2)):
-        total = sum(math.exp(x) for tips in itertools.product(states, repeat=2) if (x := likelihood.tape_log_likelihood(parent, time, dict(enumerate(tips)), 1.3, [0.6, 0.4], 2, silence, missed, stem=0.4)) > -math.inf)
+        total = sum(math.exp(x) for tips in itertools.product(states, repeat=2) if (x := kernels.tape_log_likelihood(parent, time, dict(enumerate(tips)), 1.3, [0.6, 0.4], 2, silence, missed, stem=0.4)) > -math.inf)
         assert total == pytest.approx(1)
 
 
@@ -267,7 +268,7 @@ def test_scalar_functions(spark):
     ).first()
     assert row.kl == pytest.approx(0.2 * math.log(0.4) + 0.8 * math.log(1.6)) and row.z == pytest.approx(math.atanh(0.5)) and row.n == 2
     assert row.arm == "Mouse" and list(row.y) == pytest.approx([5.0, 6.0, 5.0, 3.0]) and list(row.i) == [-1, 0, 1]
-    trees = simulate.trees(spark, 2, 4, seed=3)
+    trees = kernels.joined_trees(spark, 2, 4, 3)
     tips = simulate.decorate(trees, 2, 1.0, [0.5, 0.5]).join(trees.where("tip").select("tree", "node"), ["tree", "node"]).withColumn("seen", F.lit(True))
     profile = {r.rate: r.loglik for r in likelihood.rate_profile(trees, tips, [0.01, 1.0], [0.5, 0.5]).collect()}
     assert profile[1.0] > profile[0.01]
