@@ -104,3 +104,16 @@ def protect(df: DataFrame, needed: list[str]) -> tuple[DataFrame, Callable[[Data
     names = {c: c if c in needed else f"_x{i}" for i, c in enumerate(df.columns)}
     out = df.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
     return out, lambda rows: rows.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
+def join_hot(rows: DataFrame, other: DataFrame, on: list[str], n: str, share: int = 2000) -> DataFrame:
+    """The inner join of ``rows`` with ``other``, whose column ``n`` tells how many rows have a key; ``n`` is dropped.
+
+    A key of more than a ``share``th of all rows would load one task. There are fewer than
+    ``share`` such keys, so their part of ``other``, a few rows a key, is broadcast; the other keys are joined as Spark likes.
+    """
+    total = other.select(*on, n).distinct().agg(F.sum(n)).first()[0] or 0
+    hot = F.coalesce(F.col(n), F.lit(0)) * share > total
+    busy = F.broadcast(other.where(hot).drop(n))
+    rest = rows.join(F.broadcast(other.where(hot).select(*on).distinct()), on, "left_anti").join(other.where(~hot).drop(n), on)
+    return rows.join(busy, on).unionByName(rest)

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import materialise, protect
+from strandline.llm.common import join_hot, materialise, protect
 from strandline.llm.components import components
 
 BITS = 64
@@ -576,24 +576,25 @@ def keep_first(docs: DataFrame, size: int = 5, least: float = 0.8, small: int =
 
 
 def group_fingerprints(marked: DataFrame, distance: int = 3, cap: int = 4096) -> DataFrame:
-    """_fp, _root, component_id for the fingerprints of ``marked`` (doc_id, _fp).
+    """_fp, _n (rows), _root, component_id for the fingerprints of ``marked`` (doc_id, _fp).
 
     component_id is the smallest doc_id that any chain of links reaches.
     """
-    distinct = materialise(marked.groupBy("_fp").agg(F.min("doc_id").alias("_first")), "fingerprints")
+    distinct = materialise(marked.groupBy("_fp").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")), "fingerprints")
     found = components(links(distinct.select("_fp"), distance, cap))
-    rooted = distinct.join(found.withColumnRenamed("node", "_fp"), "_fp", "left").select("_fp", F.coalesce("root", "_fp").alias("_root"), "_first")
+    rooted = distinct.join(found.withColumnRenamed("node", "_fp"), "_fp", "left").select("_fp", "_n", F.coalesce("root", "_fp").alias("_root"), "_first")
     least = rooted.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    return rooted.join(least, "_root").select("_fp", "_root", "component_id")
+    return rooted.join(least, "_root").select("_fp", "_n", "_root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 3, cap: int = 4096) -> DataFrame:
     """doc_id, fingerprint (hex), component_id for each row of ``docs``.
 
-    Null and empty texts have fingerprint zero and are linked like any other. Repeated
+    Null and empty texts have fingerprint zero and are linked like any other; texts of any
+    length are read whole, each in the task that holds its row. Repeated
     rows stay and share a component. Null ids stay; a component of null ids only has a
     null component_id. Other columns are ignored; an empty table gives an empty result.
     """
     marked = materialise(fingerprints(docs.select(docs["doc_id"].cast("long"), "text"), size).select("doc_id", "_fp"), "marked")
-    groups = group_fingerprints(marked, distance, cap)
-    return marked.join(groups, "_fp").select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+    groups = materialise(group_fingerprints(marked, distance, cap).drop("_root"), "groups")
+    return join_hot(marked, groups, ["_fp"], "_n").select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")

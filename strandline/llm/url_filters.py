@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.llm.common import materialise
+from strandline.llm.common import join_hot, materialise
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -98,7 +98,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     urls = pages.select(F.col(id_column).alias("_id"), F.col(url_column).alias("_url"), F.monotonically_increasing_id().alias("_rid"))
     urls = urls.select("_rid", "_id", host_of(F.col("_url")).alias("_host"), path_of(F.col("_url")).alias("_path")).withColumn("hkey", host_key(F.col("_host")))
     urls = materialise(urls, "urls")
-    hosts = urls.select("hkey").distinct().withColumn("_part", domain_of(F.col("hkey")))
+    hosts = materialise(urls.groupBy("hkey").agg(F.count("*").alias("_urls")).withColumn("_part", domain_of(F.col("hkey"))), "hosts")
 
     # Each rule's host with the domains that have hosts and that it may cover.
     parts = hosts.select("_part").distinct()
@@ -107,9 +107,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     tops = parts.withColumn("hkey", F.regexp_extract("_part", r"(?s)\A[^,]*,", 0))
     at_domains = open_hosts.where(~one_label).join(parts, "_part", "left_semi").unionByName(open_hosts.where(one_label).drop("_part").join(tops, "hkey").select("hkey", "_stack", "_part"))
     by_host = _sweep(hosts, at_domains, "_part", "hkey", ["hkey"], lane_rows)
-    covered = by_host.where(F.size("_stack") > 0).select(F.col("hkey").alias("_own"), F.explode("_stack").alias("hkey"))
+    covered = by_host.where(F.size("_stack") > 0).select(F.col("hkey").alias("_own"), "_urls", F.explode("_stack").alias("hkey"))
+    covered = materialise(covered, "covered-hosts")
 
-    met = urls.select("_rid", F.col("hkey").alias("_own"), F.col("_path").alias("pkey")).join(covered, "_own").drop("_own")
+    met = join_hot(urls.select("_rid", F.col("hkey").alias("_own"), F.col("_path").alias("pkey")), covered, ["_own"], "_urls").drop("_own")
     by_path = _sweep(met, _stacks(known, ["hkey"], "pkey"), "hkey", "pkey", ["_rid"], lane_rows)
     fits = by_path.where(F.size("_stack") > 0).select("_rid", "hkey", F.element_at("_stack", -1).alias("pkey")).join(known, ["hkey", "pkey"])
     best = F.max(F.struct((F.length("rhost") + F.length("pkey")).alias("n"), F.length("rhost").alias("h"), F.concat("rhost", "pkey").alias("rule"), "verdict")).alias("best")

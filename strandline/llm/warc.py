@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import materialise
+from strandline.llm.common import join_hot, materialise
 from strandline.llm.files import dealt, get, put
 
 MANIFEST = "name string, shard int, seq int, records long, n_bytes long, sha1 string"
@@ -42,7 +42,7 @@ def revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     payload = F.coalesce("html", F.lit("")).cast("binary")
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("_n")).where(F.col("_n") >= min_bytes)
     largest = narrow.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("_copies")).where("_copies > 1")
-    return narrow.join(largest, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to").distinct()
+    return join_hot(narrow, materialise(largest, "payloads"), ["digest"], "_copies").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to").distinct()
 
 
 def shard_bounds(ids: DataFrame, shards: int, sample: int = 20_000) -> list[int]:
