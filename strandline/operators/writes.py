@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandline.sources.shared import written
+
 
 def independent_writes(tapes: DataFrame, keys: tuple[str, ...] = ("clone",)) -> DataFrame:
     """keys, tape, parent, child, site: distinct children of parents that have at least two."""
@@ -185,7 +187,7 @@ def depletion(tapes: DataFrame, cells: DataFrame, events: DataFrame, members: Da
     clade = ["clone", "anchor", "d", "prefix"]
     own = events.select(*COMBO).distinct()
     size = members.join(own.select(*clade).distinct(), clade, "left_semi").groupBy(*clade).agg(F.count("*").alias("cells_in"))
-    own = own.join(size, clade)
+    own = written(own.join(size, clade), "events")
     # One order of a clone's cells for each permutation serves all of its events.
     ranked = cells.select("clone", "cell").join(own.select("clone").distinct(), "clone", "left_semi").withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(perms))))
     ranked = ranked.withColumn("_k", F.row_number().over(W.partitionBy("clone", "perm").orderBy(hash_order(seed, "perm", "cell"), "cell")))
@@ -204,9 +206,9 @@ def depletion(tapes: DataFrame, cells: DataFrame, events: DataFrame, members: Da
     total = per.groupBy(*case).agg(F.sum("a").alias("writes_in"), F.sum("c").alias("writes_out")).where((F.col("writes_in") >= least) & (F.col("writes_out") >= least))
     # COMBO has a d, and so have the tables of common_log_odds.
     keyed = tables.join(total, case).select(F.struct(*case, "writes_in", "writes_out").alias("_case"), "child", "a", "b", "c", F.col("d_").alias("d"))
-    odds = common_log_odds(keyed, ["_case", "child"])
+    odds = written(common_log_odds(keyed, ["_case", "child"]), "odds")
     signed = F.round(F.when(F.col("theta") < 0, F.col("gain")).otherwise(-F.col("gain")), 9)
     best = odds.groupBy("_case").agg(F.min(F.struct((-signed).alias("g"), "child", "theta")).alias("_b")).select("_case.*", (-F.col("_b.g")).alias("gain"), F.col("_b.child").alias("top"), F.col("_b.theta").alias("theta"))
     null = best.where("perm > 0").select(*COMBO, F.col("gain").alias("_null"))
     out = best.where("perm = 0").drop("perm").join(null, COMBO, "left").groupBy(*COMBO, "writes_in", "writes_out", "top", "theta", "gain").agg(F.count("_null").alias("n_used"), F.avg("_null").alias("null_mean"), F.max("_null").alias("null_max"), F.count_if(F.col("_null") >= F.col("gain")).alias("_ge"))
-    return out.join(size, clade).select(*COMBO, "cells_in", "writes_in", "writes_out", "top", "theta", "gain", "n_used", "null_mean", "null_max", ((1 + F.col("_ge")) / (1 + F.col("n_used"))).alias("p"))
+    return out.join(own, COMBO).select(*COMBO, "cells_in", "writes_in", "writes_out", "top", "theta", "gain", "n_used", "null_mean", "null_max", ((1 + F.col("_ge")) / (1 + F.col("n_used"))).alias("p"))
