@@ -360,6 +360,8 @@ def similarity(a: str, b: str, size: int) -> float:
 SAMPLED, COMMON = 16, 1 << 18
 #: Bytes of a shingle's hash in a set.
 WIDTH = 6
+#: How many shingles of their prefixes two similar texts share at least: a chance meeting is of one.
+TOGETHER = 2
 
 
 def pack_set(hashes: np.ndarray) -> bytes:
@@ -426,7 +428,8 @@ def prefixes(sets: DataFrame, least: float) -> DataFrame:
     """_rid, n, s, p: the shingles of each of ``sets``, of n, up to position p in one order of all shingles, rare ones first.
 
     Two texts with a similarity of ``least`` or more share at least that part of the
-    shingles of either, so they share one of the first n - ceil(least * n) + 1 of each.
+    shingles of either, so they share ``TOGETHER`` of the first n - ceil(least * n) +
+    ``TOGETHER`` of each, or all if either has fewer.
     """
     common, counts = common_shingles(sets)
 
@@ -443,7 +446,7 @@ def prefixes(sets: DataFrame, least: float) -> DataFrame:
                     weight = np.where(common[at] == own, counts[at], 0)
                 rids.append(rid)
                 sizes.append(len(own))
-                firsts.append(own[np.lexsort((own, weight))][: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1])
+                firsts.append(own[np.lexsort((own, weight))][: len(own) - int(np.ceil(least * len(own) - 1e-9)) + TOGETHER])
             if rids:
                 each = [len(f) for f in firsts]
                 column = lambda v, kind, each=each: pa.array(np.repeat(np.array(v, kind), each))
@@ -452,11 +455,88 @@ def prefixes(sets: DataFrame, least: float) -> DataFrame:
     return sets.select("_rid", "s").mapInArrow(run, "_rid long, n int, s long, p int")
 
 
+def _distinct_pairs(x: np.ndarray, y: np.ndarray, room: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each pair once, with whether any of its rows has room, and the sum of its times."""
+    order = np.lexsort((y, x))
+    x, y, room, times = x[order], y[order], room[order], times[order]
+    first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])) if len(x) else np.zeros(0, int)
+    return (x[first], y[first], np.logical_or.reduceat(room, first), np.add.reduceat(times, first)) if len(x) else (x, y, room, times)
+
+
+def meetings(rows: DataFrame, least: float, small: int) -> DataFrame:
+    """What comes of texts that share a shingle of their prefixes (_rid, n, s, p), by one pass over the rows in the order of shingles.
+
+    A shingle of up to ``small`` texts gives their pairs: x, y, room (whether the similarity
+    is within reach if this is the first shingle they share) and times, each pair once for
+    a batch. Texts of a shingle with more are handed on: s, _rid, n, p, with y null; however
+    many there are, a task holds a batch of them.
+    """
+
+    def pairs(s: np.ndarray, rid: np.ndarray, n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, ...]:
+        found: list[tuple[np.ndarray, ...]] = []
+        at = np.arange(len(s))
+        for d in range(1, small):
+            at = at[at + d < len(s)]
+            at = at[s[at] == s[at + d]]
+            if not len(at):
+                break
+            other = at + d
+            room = np.minimum(n[at] - p[at], n[other] - p[other]) * (1 + least) >= least * (n[at].astype(float) + n[other]) - 1e-6
+            # Two texts of one shingle have no second one to share.
+            times = 1 + (np.maximum(n[at], n[other]) < TOGETHER).astype(np.int64)
+            found.append((np.minimum(rid[at], rid[other]), np.maximum(rid[at], rid[other]), room, times))
+        return _distinct_pairs(*(np.concatenate(c) for c in zip(*found, strict=True))) if found else tuple(np.zeros(0, k) for k in (np.int64, np.int64, bool, np.int64))
+
+    kinds = [("x", pa.int64()), ("y", pa.int64()), ("room", pa.bool_()), ("times", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("p", pa.int32())]
+
+    def batch_of(**columns: np.ndarray) -> pa.RecordBatch:
+        size = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], kind) if c in columns else pa.nulls(size, kind) for c, kind in kinds], [c for c, _ in kinds])
+
+    def told(s: np.ndarray, rid: np.ndarray, n: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
+        _, which, count = np.unique(s, return_inverse=True, return_counts=True)
+        k = count[which]
+        few, many = (k > 1) & (k <= small), k > small
+        x, y, room, times = pairs(s[few], rid[few], n[few], p[few])
+        if len(x):
+            yield batch_of(x=x, y=y, room=room, times=times)
+        if many.any():
+            yield batch_of(s=s[many], x=rid[many], n=n[many], p=p[many])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int32, np.int32))
+        held, crowded = none, None
+        for batch in batches:
+            own = tuple(np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held))
+            if crowded is not None:  # the shingle before was handed on, and may go on
+                end = int(np.searchsorted(own[0], crowded, side="right"))
+                if end:
+                    yield batch_of(**dict(zip(("s", "x", "n", "p"), (c[:end] for c in own), strict=True)))
+                own = tuple(c[end:] for c in own)
+            held = own
+            if not len(own[0]):
+                continue
+            last = int(np.searchsorted(own[0], own[0][-1]))  # its rows may go on
+            if last:
+                yield from told(*(c[:last] for c in own))
+            held, crowded = tuple(c[last:] for c in own), None
+            if len(held[0]) > small:
+                crowded = held[0][-1]
+                yield batch_of(**dict(zip(("s", "x", "n", "p"), held, strict=True)))
+                held = none
+        if len(held[0]):
+            yield from told(*held)
+
+    ordered = rows.select("s", "_rid", "n", "p").repartition("s").sortWithinPartitions("s")
+    return ordered.mapInArrow(run, "x long, y long, room boolean, times long, s long, n int, p int")
+
+
 def _meet(x: DataFrame, y: DataFrame, on: list[str], least: float) -> DataFrame:
-    """x, y: distinct pairs of rows that meet and whose counts and positions leave room for the similarity."""
-    side = lambda rows, k: rows.select(*on, F.col("_rid").alias(k), *(F.col(c).alias(f"{c}{k}") for c in ("n", "p", "root") if c in rows.columns))
-    both = side(x, "x").join(side(y, "y"), on).where("x < y" + (" AND rootx <> rooty" if "root" in x.columns else ""))
-    room = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))  # of the first shingle shared and those after it
+    """x, y: distinct pairs of rows of different components that meet and whose counts and positions leave room for the similarity."""
+    side = lambda rows, k: rows.select(*on, F.col("_rid").alias(k), *(F.col(c).alias(f"{c}{k}") for c in ("n", "p", "root")))
+    both = side(x, "x").join(side(y, "y"), on).where("x < y AND rootx <> rooty")
+    # At most all shingles before this one are shared, this one, and those after it.
+    room = F.least("px", "py") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
     return both.where(room * (1 + least) >= least * (F.col("nx") + F.col("ny")) - 1e-6).select("x", "y").distinct()
 
 
@@ -510,19 +590,21 @@ def similar_pairs(sets: DataFrame, least: float = 0.8, small: int = 192, block:
 
     First come the pairs that SimHash fingerprints within ``distance`` bits propose, and
     those of each shingle with more than ``small`` texts with the one most of whose prefix
-    is shared. The rest is exact: candidates share a shingle of their prefixes
-    (``prefixes``), so none is missed, and all that are in different components by then
-    are verified; texts of a shingle with more than ``small`` meet in blocks of about
-    ``block``.
+    is in such shingles. The rest is exact: candidates share ``TOGETHER`` shingles of
+    their prefixes (``prefixes``), or one with more than ``small`` texts, so none is
+    missed, and all that are in different components by then are verified; texts of a
+    shingle with more than ``small`` meet in blocks of about ``block``.
     """
-    # One shuffle and no copy of the prefixes on disk: most shingles are of one text only.
-    shared = materialise(prefixes(sets, least).withColumn("k", F.count("*").over(W.partitionBy("s"))).where("k > 1"), "shared-shingles")
-    few, many = shared.where(F.col("k") <= small), shared.where(F.col("k") > small)
+    met = materialise(meetings(prefixes(sets, least), least, small), "meetings")
+    # A pair that shares fewer shingles than it must, and no crowded one, is no candidate.
+    few = met.where("y IS NOT NULL").groupBy("x", "y").agg(F.sum("times").alias("_n"), F.bool_or("room").alias("_room")).where((F.col("_n") >= TOGETHER) & F.col("_room")).select("x", "y")
+    many = met.where("y IS NULL").select(F.col("x").alias("_rid"), "n", "s", "p").withColumn("k", F.count("*").over(W.partitionBy("s")))
     crowded = not many.isEmpty()
 
     proposed = fingerprint_pairs(sets, distance)
     if crowded:
-        heat = shared.groupBy("_rid").agg((F.sum("k") / F.first("n")).alias("heat"))
+        many = materialise(many, "crowded")
+        heat = many.groupBy("_rid").agg((F.sum("k") / F.first("n")).alias("heat"))
         leaders = many.join(heat, "_rid").groupBy("s").agg(F.max(F.struct("heat", "_rid")).alias("m")).select("s", F.col("m._rid").alias("y"))
         led = many.join(leaders, "s").where("_rid <> y").select(F.least("_rid", "y").alias("x"), F.greatest("_rid", "y").alias("y"))
         proposed = proposed.unionByName(led).distinct()
@@ -533,7 +615,7 @@ def similar_pairs(sets: DataFrame, least: float = 0.8, small: int = 192, block:
         """``rows`` with the component of the text ``key`` so far."""
         return rows.join(found.select(F.col("node").alias(key), F.col("root").alias(root)), key, "left").withColumn(root, F.coalesce(root, key))
 
-    rest = apart(apart(_meet(few, few, ["s"], least), "x", "_rx"), "y", "_ry").where("_rx <> _ry").select("x", "y")
+    rest = apart(apart(few, "x", "_rx"), "y", "_ry").where("_rx <> _ry").select("x", "y")
     if crowded:
         rooted = apart(many, "_rid", "root")
         mixed = rooted.groupBy("s").agg(F.min("root").alias("_l"), F.max("root").alias("_m")).where("_l < _m").select("s")
