@@ -106,7 +106,9 @@ def nearest_neighbours(rows: DataFrame, every: int, k: int = 10, id_column: str
     first, ties to the smaller id. Rows with a query's own id are not its candidates. Rows
     with a null id, a null, zero or non-finite vector, or one of another length than most,
     take no part; other columns are ignored. With fewer than k candidates in the lists a
-    query would visit, it visits more. Repeated rows are found as often as they are there.
+    query would visit, it visits more. Repeated rows are found as often as they are there;
+    where rows of a query's id differ, the query is the least vector, so reruns agree. An
+    empty table, or one without usable rows, gives no rows.
     """
     spark = rows.sparkSession
     vectors = materialise(valid_vectors(rows, id_column, vector_column), "vectors")
@@ -144,7 +146,7 @@ def nearest_neighbours(rows: DataFrame, every: int, k: int = 10, id_column: str
             at = np.repeat(np.arange(batch.num_rows), [len(x) for x in lists])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(np.concatenate(lists))], ["query_id", "vec", "list"])
 
-    queries = materialise(vectors.where(F.col("id") % every == 0).dropDuplicates(["id"]), "queries")
+    queries = materialise(vectors.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vec").alias("vec")), "queries")
     visits = materialise(queries.mapInArrow(visit, "query_id long, vec array<double>, list int"), "visits")
     asked = dict(visits.groupBy("list").count().collect())
     dealt = spark.createDataFrame([(i, -(-sizes[i] // block_rows), -(-asked.get(i, 0) // block_queries)) for i in sizes], "list int, blocks int, asks int")

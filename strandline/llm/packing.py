@@ -199,7 +199,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, s
     piece is ids start to start + length - 1 of its document, at ``offset`` of its
     sequence. ids_crc32 is of the piece's ids as little-endian unsigned 32-bit integers.
     A null text is empty and has only its end id. Repeated rows are packed each, null ids
-    stay, other columns are ignored; an empty table gives no pieces.
+    stay, other columns are ignored; an empty table gives no pieces. A text of any length
+    is encoded whole, in chunks, and cut into as many windows as its ids fill.
     """
     encoded = materialise(encode(docs, tokenizer, end_id), "encoded", compression="zstd")
     vocabulary = max(len(encoder(tokenizer).marks), end_id + 1)

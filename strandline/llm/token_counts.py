@@ -17,7 +17,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
     Texts are encoded in Arrow batches that hold about equal bytes, long texts cut where
     the tokenizer cuts in any case, and only lengths leave the worker. A null text is
     empty and has no tokens; special tokens in a text count as the library takes them by
-    default. Repeated rows stay, null ids stay, other columns are ignored.
+    default. Repeated rows stay, null ids stay, other columns are ignored; an empty table
+    gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
