@@ -117,3 +117,13 @@ def join_hot(rows: DataFrame, other: DataFrame, on: list[str], n: str, share: in
     busy = F.broadcast(other.where(hot).drop(n))
     rest = rows.join(F.broadcast(other.where(hot).select(*on).distinct()), on, "left_anti").join(other.where(~hot).drop(n), on)
     return rows.join(busy, on).unionByName(rest)
+
+
+#: So many ids are broadcast at most, 8 bytes each.
+MOST_IDS = 4_000_000
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """The rows whose ``on`` is among ``ids``, a written table. Up to MOST_IDS are broadcast, so that wide rows stay where they are; more of them are joined as Spark likes."""
+    few = ids.limit(MOST_IDS + 1).count() <= MOST_IDS
+    return rows.join(F.broadcast(ids.select(on)) if few else ids.select(on), on, "left_semi")

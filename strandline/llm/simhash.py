@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import join_hot, materialise, protect
+from strandline.llm.common import join_hot, materialise, protect, with_ids
 from strandline.llm.components import components
 
 BITS = 64
@@ -564,8 +564,8 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 ok.append(both >= least * (len(x) + len(y) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    asked = pairs.select(F.explode(F.array("x", "y")).alias("_rid")).distinct()
-    sets = sets.join(asked, "_rid", "left_semi")
+    asked = materialise(pairs.select(F.explode(F.array("x", "y")).alias("_rid")).distinct(), "asked")
+    sets = with_ids(sets, asked, "_rid")
 
     def beside(rows: DataFrame, columns: list[str]) -> DataFrame:
         own = lambda k: sets.select(F.col("_rid").alias(k), *(F.col(c).alias(f"{c}{k}") for c in columns))
@@ -649,12 +649,12 @@ def keep_first(docs: DataFrame, size: int = 5, least: float = 0.8, small: int =
     # From here on a text stands for all its copies: a partial sum meets them before any shuffle.
     least_id = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rid"))
     texts = materialise(marked.groupBy("_key").agg(least_id.alias("_m")).select("_m.*"), "texts")
-    sets = materialise(shingle_sets(marked.select("_rid", "text").join(texts.select("_rid"), "_rid", "left_semi"), size), "shingle-sets")
+    sets = materialise(shingle_sets(with_ids(marked.select("_rid", "text"), texts, "_rid"), size), "shingle-sets")
     roots = components(similar_pairs(sets, least, small, distance=distance)).select(F.col("node").alias("_rid"), F.col("root").alias("_root"))
 
     rooted = texts.join(roots, "_rid", "left").withColumn("_root", F.coalesce("_root", "_rid"))
     first = rooted.groupBy("_root").agg(F.min(F.struct("none", "doc_id", "_rid")).alias("m")).select("m._rid")
-    return restore(marked.join(first, "_rid", "left_semi"))
+    return restore(with_ids(marked, materialise(first, "firsts"), "_rid"))
 
 
 def group_fingerprints(marked: DataFrame, distance: int = 3, cap: int = 4096) -> DataFrame:
