@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandline.operators.ranks import numbered
+
 
 def cell_margin(entries: DataFrame) -> DataFrame:
     return entries.groupBy("cell", "clone", "sample").agg(F.sum(1 - F.col("missing")).alias("r"))
@@ -51,13 +53,9 @@ def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str, tie: str | None = None) -> DataFrame:
-    """rho and its 95 % interval by Fisher's z; ties averaged, or broken by ``tie`` if given.
-
-    With a tie-breaker every row needs a place of its own, so one task orders all rows:
-    that form is for tables of groups, not of entries.
-    """
+    """rho and its 95 % interval by Fisher's z; ties averaged, or broken by ``tie`` if given."""
     if tie:
-        ranks = df.select(F.row_number().over(W.orderBy(x, tie)).alias("rx"), F.row_number().over(W.orderBy(y, tie)).alias("ry"))
+        ranks = numbered(numbered(df.select(x, y, tie), "rx", x, tie), "ry", y, tie)
     else:
         ranks = average_ranks(average_ranks(df.select(x, y), x, "rx"), y, "ry")
     out = ranks.agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))

@@ -28,6 +28,14 @@ def in_alphabet(reads: DataFrame, alphabet: DataFrame) -> DataFrame:
     return reads.join(alphabet.select("sym", F.lit(True).alias("good")), "sym", "left").withColumn("good", F.coalesce("good", F.lit(False)))
 
 
+def dense_codes(reads: DataFrame, alphabet: DataFrame) -> DataFrame:
+    """The reads whose symbol is in the alphabet, with code, its place there from 0 on in the order of symbols. An alphabet is put in order by one task."""
+    from pyspark.sql import Window as W
+
+    codes = alphabet.select("sym").distinct().withColumn("code", F.row_number().over(W.orderBy("sym")) - 1)
+    return reads.join(codes, "sym")
+
+
 def take_while(syms: Column, good) -> Column:
     """Symbols up to the first that ``good`` rejects."""
     bad = F.array_position(F.transform(syms, lambda x: ~good(x)), True)
@@ -68,6 +76,12 @@ def pattern_class(reads: DataFrame) -> DataFrame:
     return own.select("cell", "tape", F.when(F.col("_last") == F.col("_n"), "prefix").otherwise("gap").alias("pattern"))
 
 
+def missing_classes(reads: DataFrame, entries: DataFrame) -> DataFrame:
+    """cell, tape, pattern of every entry: absent, prefix or gap (a site without a symbol before one that has it)."""
+    seen = entries.select("cell", "tape").join(pattern_class(reads), ["cell", "tape"], "left")
+    return seen.withColumn("pattern", F.coalesce("pattern", F.lit("absent")))
+
+
 def entries(tapes: DataFrame, cells: DataFrame) -> DataFrame:
     """cell, clone, sample, tape, missing (0 or 1): every cell with every tape that any cell has."""
     every = tapes.select("tape").distinct()

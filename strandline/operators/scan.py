@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.functions.special import hypergeometric_tail, normal_tail, x_ln_y
+from strandline.operators.ranks import numbered
 from strandline.operators.reads import size_stratum
 from strandline.sources.shared import forget, rewritten, written
 
@@ -121,10 +122,11 @@ def bonferroni(tests: DataFrame, p: str, false: float) -> DataFrame:
 
 def benjamini_hochberg(tests: DataFrame, p: str, tie: str, q: float) -> DataFrame:
     """Add rank and passes: all tests up to the largest rank with p at most q rank / n."""
-    rank = F.row_number().over(W.orderBy(p, tie))
-    out = tests.withColumn("rank", rank).withColumn("_n", F.count("*").over(W.partitionBy()))
-    last = F.max(F.when(F.col(p) <= q * F.col("rank") / F.col("_n"), F.col("rank"))).over(W.partitionBy())
-    return out.withColumn("passes", F.col("rank") <= F.coalesce(last, F.lit(0))).drop("_n")
+    ranked = numbered(tests, "rank", p, tie).withColumn("rank", F.col("rank").cast("long"))
+    n = ranked.agg(F.count("*").alias("_n"))
+    with_n = ranked.join(F.broadcast(n))
+    last = with_n.agg(F.max(F.when(F.col(p) <= q * F.col("rank") / F.col("_n"), F.col("rank"))).alias("_last"))
+    return ranked.join(F.broadcast(last)).withColumn("passes", F.col("rank") <= F.coalesce("_last", F.lit(0))).drop("_last")
 
 
 def collapse(hits: DataFrame, members: DataFrame, score: str) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.operators import alphabet, compat, likelihood, margins, relate, scan, splits, tree, trie, writes
+from strandline.operators import alphabet, compat, fit, likelihood, margins, reads, relate, scan, splits, tree, trie, writes
 from strandline.plans.catalogue import BIG, CHARS, COLLAPSED, COMBOS, KEYS, QUERIES, Views, _collapsed, _exact, key_tree, query
 from strandline.plans.further import TAPE_NULL, _missing_family, chance, order
 from strandline.sources import bit_library, fixture, tables
@@ -283,4 +284,55 @@ def q_history(v: Views) -> DataFrame:
     return tree.history_keys(key_tree(v))
 
 
+# Classes of values, codes, chunks and targets.
+
+
+@query(f"SELECT class, n FROM (SELECT 'missing' AS class, (SELECT count(DISTINCT cell) FROM reads) * 120 - (SELECT count(*) FROM reads) AS n UNION ALL SELECT CASE WHEN regexp_matches(sym, '{fixture.DESIGN}') THEN 'good' ELSE 'bad' END, count(*) FROM reads GROUP BY ALL)")
+def q_wide_value_classes(v: Views) -> DataFrame:
+    """All values of the wide table, those without a symbol too."""
+    return tables.unpivot_sites(fixture.wide(v.reads)).groupBy(reads.value_class(F.col("sym"), fixture.DESIGN).alias("class")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT pattern, count(*) AS n FROM (SELECT e.cell, e.tape, CASE WHEN g.cell IS NULL THEN 'absent' WHEN last = n THEN 'prefix' ELSE 'gap' END AS pattern FROM entries e LEFT JOIN (SELECT cell, tape, max(site) AS last, count(*) AS n FROM reads WHERE site <> 2 OR cell % 5 <> 0 GROUP BY ALL) g ON g.cell = e.cell AND g.tape = e.tape) GROUP BY pattern""")
+def q_missing_classes(v: Views) -> DataFrame:
+    """With the second site of one cell in five taken out."""
+    return reads.missing_classes(v.reads.where("site <> 2 OR cell % 5 <> 0"), v.entries).groupBy("pattern").agg(F.count("*").alias("n"))
+
+
+@query(f""", c AS (SELECT sym, row_number() OVER (ORDER BY sym) - 1 AS code FROM (SELECT sym FROM reads WHERE regexp_matches(sym, '{fixture.DESIGN}') GROUP BY sym HAVING count(*) >= 20))
+  SELECT CAST(tape AS BIGINT) AS tape, code, count(*) AS n FROM reads JOIN c USING (sym) GROUP BY tape, code""")
+def q_dense_codes(v: Views) -> DataFrame:
+    known = reads.frequent_symbols(v.reads, 20, fixture.DESIGN).where("NOT promoted")
+    return reads.dense_codes(v.reads, known).groupBy("tape", "code").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(clone AS BIGINT) AS clone, n, CAST(least(floor((sum(n) OVER (ORDER BY clone) - n / 2) / sum(n) OVER () * 4), 3) AS BIGINT) AS chunk FROM (SELECT clone, count(*) AS n FROM cells GROUP BY clone)")
+def q_balanced_chunks(v: Views) -> DataFrame:
+    return tables.balanced_chunks(v.cells.groupBy("clone").agg(F.count("*").alias("n")), "n", 4, "clone")
+
+
+def _hermite(sd: float, points: int = 24) -> str:
+    x, w = np.polynomial.hermite.hermgauss(points)
+    return " + ".join(f"{float(b / np.sqrt(np.pi))!r} / (1 + exp(-((low + high) / 2 + {float(np.sqrt(2) * sd * a)!r})))" for a, b in zip(x, w, strict=True))
+
+
+@query(f""", ml(tape, p, it, low, high) AS (SELECT tape, p, 0, CAST(-20 AS DOUBLE), CAST(20 AS DOUBLE) FROM rt UNION ALL SELECT tape, p, it + 1, CASE WHEN {_hermite(1.5)} < p THEN (low + high) / 2 ELSE low END, CASE WHEN {_hermite(1.5)} < p THEN high ELSE (low + high) / 2 END FROM ml WHERE it < 60)
+  SELECT CAST(tape AS BIGINT) AS tape, round(p, 6) AS p, round((low + high) / 2, 5) AS mu FROM ml WHERE it = 60""")
+def q_mean_logit(v: Views) -> DataFrame:
+    """The mean of each tape's logits that gives its missing rate, if logits spread by 1.5."""
+    return margins.tape_margin(v.entries).select("tape", "p", F.round(fit.mean_logit(F.col("p"), 1.5), 5).alias("mu"))
+
+
+@query("SELECT CAST(tape AS BIGINT) AS tape, round(p, 6) AS p FROM rt ORDER BY p DESC, tape LIMIT 7")
+def q_top_tapes(v: Views) -> DataFrame:
+    """The tapes that are missing most."""
+    return alphabet.top_k(margins.tape_margin(v.entries).select("tape", "p"), 7, F.desc("p"), "tape")
+
+
+@query(COLLAPSED + f" SELECT {BIG('clone', 'anchor', 'd')}, prefix, {BIG('tape', 'm')} FROM st JOIN kp USING (clone, anchor, d, prefix, tape) ORDER BY m DESC, clone, anchor, d, prefix, tape LIMIT 25")
+def q_top_events(v: Views) -> DataFrame:
+    """The kept events of the largest clades."""
+    return alphabet.top_k(_collapsed(v).select(*scan.COMBO, "m"), 25, F.desc("m"), *scan.COMBO)
+
+
 __all__ = ["QUERIES"]

@@ -96,6 +96,14 @@ def assign_jobs(jobs: DataFrame, cost_column: str, n: int, tie: str) -> DataFram
     return jobs.withColumn("task", ((F.row_number().over(W.orderBy(F.col(cost_column).desc(), tie)) - 1) % n).cast("int"))
 
 
+def balanced_chunks(jobs: DataFrame, cost_column: str, n: int, *order: str) -> DataFrame:
+    """Add ``chunk``: jobs in the given order cut into ``n`` runs of about equal cost; a job belongs where the middle of its cost lies. Jobs are a table of configurations."""
+    upto = F.sum(cost_column).over(W.orderBy(*order))
+    own = jobs.withColumns({"_upto": upto, "_all": F.sum(cost_column).over(W.partitionBy())})
+    middle = (F.col("_upto") - F.col(cost_column) / 2) / F.col("_all")
+    return own.withColumn("chunk", F.least(F.floor(middle * n), F.lit(n - 1)).cast("int")).drop("_upto", "_all")
+
+
 def library_grid(spark: SparkSession, **axes: list) -> DataFrame:
     """Every combination of the axes' values, numbered."""
     out = spark.range(1).drop("id")

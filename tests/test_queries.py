@@ -6,6 +6,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from strandline.sources import shared
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -25,6 +26,12 @@ def rows(df):
     return names, sorted((tuple(map(plain, r)) for r in frame.itertuples(index=False, name=None)), key=str)
 
 
+@pytest.fixture(autouse=True)
+def tables_removed(spark):
+    yield
+    shared.remove_written(spark)
+
+
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query(spark, sf_dir, con, name):
     assert rows(entry.queries()[name](spark, sf_dir).toPandas()) == rows(con.execute(entry.oracle_sql()[name]).df())

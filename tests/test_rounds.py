@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import compat, fit, likelihood, margins, reads, relate, scan, tree, trie, validate, writes
+from strandline.operators import compat, fit, likelihood, margins, ranks, reads, relate, scan, tree, trie, validate, writes
 from strandline.sources import bit_library, shared, tables
 import kernels
 
@@ -346,3 +346,11 @@ def test_tests_and_their_summaries(spark):
     assert sorted(map(tuple, plane.collect())) == [(0, 1, 2, 1), (0, 2, 1, 1), (0, 3, 1, 1), (1, 1, 2, 1), (2, 2, 2, 1)]
     a, b = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], "i int, k string"), spark.createDataFrame([(2, "y"), (3, "z")], "i int, k string")
     assert tuple(validate.same_events(a, b, ["i", "k"]).first()) == (1, 1, 1)
+
+
+def test_numbers_in_ranges(spark):
+    rng = random.Random(13)
+    rows = [(rng.randint(0, 9), i) for i in rng.sample(range(1000), 300)]
+    got = {r.i: r.k for r in ranks.numbered(spark.createDataFrame(rows, "x int, i int").repartition(7), "k", "x", "i").collect()}
+    assert got == {i: k for k, (_, i) in enumerate(sorted(rows), 1)}
+    assert ranks.numbered(spark.createDataFrame([], "x int, i int"), "k", "x").count() == 0
