@@ -535,8 +535,7 @@ def _meet(x: DataFrame, y: DataFrame, on: list[str], least: float) -> DataFrame:
     """x, y: distinct pairs of rows of different components that meet and whose counts and positions leave room for the similarity."""
     side = lambda rows, k: rows.select(*on, F.col("_rid").alias(k), *(F.col(c).alias(f"{c}{k}") for c in ("n", "p", "root")))
     both = side(x, "x").join(side(y, "y"), on).where("x < y AND rootx <> rooty")
-    # At most all shingles before this one are shared, this one, and those after it.
-    room = F.least("px", "py") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    room = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))  # of the first shingle shared and those after it
     return both.where(room * (1 + least) >= least * (F.col("nx") + F.col("ny")) - 1e-6).select("x", "y").distinct()
 
 
@@ -596,14 +595,20 @@ def similar_pairs(sets: DataFrame, least: float = 0.8, small: int = 192, block:
     shingle with more than ``small`` meet in blocks of about ``block``.
     """
     met = materialise(meetings(prefixes(sets, least), least, small), "meetings")
-    # A pair that shares fewer shingles than it must, and no crowded one, is no candidate.
-    few = met.where("y IS NOT NULL").groupBy("x", "y").agg(F.sum("times").alias("_n"), F.bool_or("room").alias("_room")).where((F.col("_n") >= TOGETHER) & F.col("_room")).select("x", "y")
+    # If the first shingle that a pair shares is crowded, the blocks below find it; else it is here, with room.
+    few = met.where("y IS NOT NULL").groupBy("x", "y").agg(F.sum("times").alias("_n"), F.bool_or("room").alias("_room")).where("_room").drop("_room")
     many = met.where("y IS NULL").select(F.col("x").alias("_rid"), "n", "s", "p").withColumn("k", F.count("*").over(W.partitionBy("s")))
     crowded = not many.isEmpty()
 
     proposed = fingerprint_pairs(sets, distance)
+    enough = few.where(F.col("_n") >= TOGETHER).drop("_n")
     if crowded:
         many = materialise(many, "crowded")
+        # With fewer than it must share, a pair is a candidate only if both have crowded shingles, where it may share the rest.
+        busy = materialise(many.select("_rid").distinct(), "busy")
+        for k in ("x", "y"):
+            few = few.where(F.col("_n") < TOGETHER).join(busy.select(F.col("_rid").alias(k)), k, "left_semi")
+        enough = enough.unionByName(few.select("x", "y"))
         heat = many.groupBy("_rid").agg((F.sum("k") / F.first("n")).alias("heat"))
         leaders = many.join(heat, "_rid").groupBy("s").agg(F.max(F.struct("heat", "_rid")).alias("m")).select("s", F.col("m._rid").alias("y"))
         led = many.join(leaders, "s").where("_rid <> y").select(F.least("_rid", "y").alias("x"), F.greatest("_rid", "y").alias("y"))
@@ -615,7 +620,7 @@ def similar_pairs(sets: DataFrame, least: float = 0.8, small: int = 192, block:
         """``rows`` with the component of the text ``key`` so far."""
         return rows.join(found.select(F.col("node").alias(key), F.col("root").alias(root)), key, "left").withColumn(root, F.coalesce(root, key))
 
-    rest = apart(apart(few, "x", "_rx"), "y", "_ry").where("_rx <> _ry").select("x", "y")
+    rest = apart(apart(enough, "x", "_rx"), "y", "_ry").where("_rx <> _ry").select("x", "y")
     if crowded:
         rooted = apart(many, "_rid", "root")
         mixed = rooted.groupBy("s").agg(F.min("root").alias("_l"), F.max("root").alias("_m")).where("_l < _m").select("s")
