@@ -354,3 +354,21 @@ def test_numbers_in_ranges(spark):
     got = {r.i: r.k for r in ranks.numbered(spark.createDataFrame(rows, "x int, i int").repartition(7), "k", "x", "i").collect()}
     assert got == {i: k for k, (_, i) in enumerate(sorted(rows), 1)}
     assert ranks.numbered(spark.createDataFrame([], "x int, i int"), "k", "x").count() == 0
+
+
+def test_clade_counts_equal_the_permuted_join(spark):
+    """Counts from ordered runs, over batches shorter than a clade, equal those of permuted entries joined with clades."""
+    rnd = random.Random(8)
+    reads_ = {(c, t): "".join(rnd.choice("ab") for _ in range(rnd.randint(0, 3))) for c in range(60) for t in range(9) if rnd.random() < 0.7}
+    tapes = spark.createDataFrame([(c, c % 2, "s", t, list(r), len(r), 1) for (c, t), r in reads_.items()], "cell long, clone long, sample string, tape int, read array<string>, depth int, term int")
+    cells = spark.createDataFrame([(c, c % 2, "s") for c in range(60)], "cell long, clone long, sample string")
+    e = scan.with_rates(reads.entries(tapes, cells)).cache()
+    prefixes = reads.explode_prefixes(tapes)
+    got = lambda df: {(r.perm, r.clone, r.anchor, r.d, r.prefix, r.tape): (r.m, r.k, *(round(r[c], 9) for c in ("e", "v", "hard", "u"))) for r in df.collect()}
+    want = got(scan.combos(prefixes, e.withColumn("perm", F.lit(0)), by=["perm"]).unionByName(scan.combos(prefixes, scan.permuted(e, 3, 7), by=["perm"])))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert got(scan.counted_combos(scan.clade_counts(prefixes, e, 3, 7))) == want and len({k[0] for k in want}) == 4
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
