@@ -372,3 +372,20 @@ def test_clade_counts_equal_the_permuted_join(spark):
         assert got(scan.counted_combos(scan.clade_counts(prefixes, e, 3, 7))) == want and len({k[0] for k in want}) == 4
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_moved_rows_are_never_broadcast(spark):
+    """Rows of all permutations, which estimates of size take for those of one, are shuffled and not sent to the driver."""
+    from strandline.operators import splits
+
+    cells = spark.range(200).selectExpr("id AS cell", "CAST(id % 5 AS int) AS clone", "CAST(id % 2 AS string) AS sample", "CAST(id % 7 AS double) AS x")
+    values = cells.withColumn("tape", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("w", F.lit(1.0))
+    plans = [margins.permutation_null(cells, "clone", "sample", "cell", 50, 7), splits.permuted_cells(cells, 50, 7, "sample"), margins.tape_null(margins.with_tape_mean(values), splits.permuted_cells(cells, 50, 7, "sample"))]
+    for df in plans[:2]:
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    assert "perm" not in " ".join(line for line in plans[2]._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line and "source" in line)
+    # The sums-only form equals the plain definition.
+    x = np.array([r.x for r in cells.orderBy("cell").collect()])
+    c, g = x - x.mean(), np.arange(200) % 5
+    own = sum((c[g == k].sum() ** 2 - (c[g == k] ** 2).sum()) for k in range(5))
+    assert math.isclose(margins.within_correlation(cells, "clone").first().rho_within, own / (5 * 40 * 39) / c.var(), rel_tol=1e-9)
