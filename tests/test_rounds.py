@@ -389,3 +389,39 @@ def test_moved_rows_are_never_broadcast(spark):
     c, g = x - x.mean(), np.arange(200) % 5
     own = sum((c[g == k].sum() ** 2 - (c[g == k] ** 2).sum()) for k in range(5))
     assert math.isclose(margins.within_correlation(cells, "clone").first().rho_within, own / (5 * 40 * 39) / c.var(), rel_tol=1e-9)
+
+
+def test_copies_of_cells_are_one_row_of_a_block(spark, monkeypatch):
+    """Equal cells meet as one class, and mates, sums and the audit are those of all pairs."""
+    tapes, _, _ = relatives(spark, n=24)
+    for step in (24, 48):
+        tapes = tapes.unionByName(tapes.where("cell < 24").withColumn("cell", F.col("cell") + step))
+    tapes = tapes.cache()
+    prefixes = reads.explode_prefixes(tapes)
+    sent, whole = [], relate.in_blocks
+
+    def counting(features, *args):
+        sent.append(features.count())
+        return whole(features, *args)
+
+    pairs = relate.pairs(prefixes, tapes).toPandas()
+    monkeypatch.setattr(relate, "in_blocks", counting)
+    near = {(r.i, r["rank"]): r.j for r in relate.nearest_mates(prefixes, tapes, 4).collect()}
+    both = [(r.i, r.j, r.rel) for r in pairs.itertuples()] + [(r.j, r.i, r.rel) for r in pairs.itertuples()]
+    want = {}
+    for i in {b[0] for b in both}:
+        for k, (_, j) in enumerate(sorted((-rel, j) for x, j, rel in both if x == i)[:4]):
+            want[i, k + 1] = j
+    assert near == want
+    rng = np.random.default_rng(2)
+    r = {c: rng.normal(size=4) for c in range(72)}
+    res = spark.createDataFrame([(c, t, float(v)) for c, x in r.items() for t, v in enumerate(x)], "cell long, tape int, r double")
+    sums = {(x.clone, x.shared, x.joint): (x.pairs, x.tapes, round(x.product, 6)) for x in relate.products_by_relatedness(prefixes, tapes, res).collect()}
+    brute = {}
+    for p in pairs.itertuples():
+        n, t, v = brute.get((p.clone, p.shared, p.joint), (0, 0, 0.0))
+        brute[p.clone, p.shared, p.joint] = (n + 1, t + 4, v + float(r[p.i] @ r[p.j]))
+    assert sums == {k: (n, t, round(v, 6)) for k, (n, t, v) in brute.items()}
+    audit = relate.audit(relate.products_by_relatedness(prefixes, tapes, None)).collect()
+    assert sum(x.n for x in audit) == len(pairs) and audit[0]["corr"] == pytest.approx(pairs["rel"].corr(pairs["joint"]))
+    assert max(sent) <= 24
