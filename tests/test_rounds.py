@@ -425,3 +425,19 @@ def test_copies_of_cells_are_one_row_of_a_block(spark, monkeypatch):
     audit = relate.audit(relate.products_by_relatedness(prefixes, tapes, None)).collect()
     assert sum(x.n for x in audit) == len(pairs) and audit[0]["corr"] == pytest.approx(pairs["rel"].corr(pairs["joint"]))
     assert max(sent) <= 24
+
+
+def test_caliper_mates_make_no_rows_of_pairs(spark):
+    """Mates are chosen where buckets meet; only they are rows, and they are those of all pairs within the caliper."""
+    import hashlib
+
+    cells = spark.createDataFrame([(c, c % 2, c * 7 % 11) for c in range(90)], "cell long, clone int, r int")
+    df = relate.caliper_mates(cells, "r", 4, 9)
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    want = set()
+    for clone in (0, 1):
+        own = sorted((c * 7 % 11, c) for c in range(90) if c % 2 == clone)
+        for x, (_, i) in enumerate(own):
+            near = [j for y, (_, j) in enumerate(own) if j != i and abs(x - y) <= 3]
+            want |= {(clone, i, j, n + 1) for n, j in enumerate(sorted(near, key=lambda j: hashlib.md5(f"9|{i}|{j}".encode()).hexdigest())[:4])}
+    assert {tuple(r) for r in df.collect()} == want
