@@ -61,11 +61,12 @@ CHECK = ([3, 6, 12, 25, 50], 30, 71)
 @query(ALPHABETS + _drawn(*CHECK) + ", ss AS (SELECT DISTINCT se.site, se.s, se.s AS goal, wa.ps FROM se JOIN wa USING (site)), " + bisect("mo", "ss", "site, s", SEEN) + ", " + bisect("ml", "se", "site, size, rep", SCORE) + """,
   x AS (SELECT site, size, s, mo.m AS moment, CASE WHEN goal <= 1e-12 THEN 1e6 ELSE ml.m END AS mle FROM se JOIN mo USING (site, s) JOIN ml USING (site, size, rep)),
   y AS (SELECT site, size, avg(s) AS mean_s, quantile_cont(mle, [0.25, 0.5, 0.75]) AS l, quantile_cont(moment, [0.25, 0.5, 0.75]) AS m FROM x GROUP BY ALL)
-  SELECT CAST(site AS BIGINT) AS site, CAST(size AS BIGINT) AS size, round(mean_s, 6) AS mean_s, round(l[2], 5) AS mle_median, round(100 * (l[2] - size) / size, 5) AS mle_bias, round(100 * (l[3] - l[1]) / size, 5) AS mle_iqr, round(m[2], 5) AS moment_median, round(100 * (m[2] - size) / size, 5) AS moment_bias, round(100 * (m[3] - m[1]) / size, 5) AS moment_iqr FROM y""", digits=5)
+  SELECT CAST(site AS BIGINT) AS site, CAST(size AS BIGINT) AS size, round(mean_s, 6) AS mean_s, round(l[2], 5) AS mle_median, round(100 * (l[2] - size) / size, 5) AS mle_bias, round(100 * (l[3] - l[1]) / size, 5) AS mle_iqr, round(m[2], 5) AS moment_median, round(100 * (m[2] - size) / size, 5) AS moment_bias, round(100 * (m[3] - m[1]) / size, 5) AS moment_iqr FROM y""")
 def q_estimator_check(v: Views) -> DataFrame:
     """Draws from each site's alphabet, and how near both estimates come to their number."""
     known = trie.alphabets(_designed(v), ["site"])
-    return trie.estimator_check(trie.drawn_sets(known, ["site"], *CHECK), known, ["site"])
+    out = trie.estimator_check(trie.drawn_sets(known, ["site"], *CHECK), known, ["site"])
+    return out.withColumns({f"{e}_{c}": F.round(f"{e}_{c}", 5) for e in ("mle", "moment") for c in ("median", "bias", "iqr")})
 
 
 MASS = ([1, 2, 3, 5, 8, 13, 21, 40], 30, 72)

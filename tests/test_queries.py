@@ -46,3 +46,11 @@ def test_query_without_sql(spark, sf_dir, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
+
+
+def test_estimator_check_to_the_digits_of_its_sql(spark, sf_dir, con):
+    """mean_s has six digits, as in the SQL."""
+    own = entry.queries()["q_estimator_check"](spark, sf_dir).toPandas()
+    want = con.execute(entry.oracle_sql()["q_estimator_check"]).df()
+    of = lambda df: {(r.site, r.size_): r.mean_s for r in df.rename(columns={"size": "size_"}).itertuples()}
+    assert of(own) == pytest.approx(of(want), abs=1e-9)
