@@ -2,9 +2,11 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +86,41 @@ def test_probabilities(spark):
     assert np.isnan(model.perplexities(["", "a"])).tolist() == [True, False]
 
 
+def test_model_takes_little_more_than_its_table():
+    rng = np.random.default_rng(4)
+    order, tables = 4, {}
+    for k in range(1, order + 1):
+        codes = np.unique(rng.integers(1, 34, (2000, k)) @ 64 ** np.arange(k - 1, -1, -1))
+        tables[k, "p"] = (codes, rng.random(len(codes)))
+        contexts = np.unique(codes // 64)
+        tables[k, "g"] = (contexts, rng.random(len(contexts)))
+    tracemalloc.start()
+    model = kneser_ney.Model(tables, order, "abcdefghijklmnopqrstuvwxyzé")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.log.nbytes == 4 * 35**order and peak < 1.5 * model.log.nbytes + 8e6
+    p, g = (tables[order, c] for c in "pg")
+    at = model._recode(p[0], order)
+    assert np.array_equal(model.log[at], np.log(p[1]).astype(np.float32))
+    # An n-gram without a row has the shorter one's probability, times the weight of its context.
+    shorter = model._recode(tables[3, "p"][0], 3)
+    for context, weight in zip(g[0][:20], g[1][:20], strict=True):
+        own = model._recode(np.array([context]), 3)[0] * 35 + shorter % 35
+        known = {c % 35**3: v for c, v in zip(shorter, tables[3, "p"][1], strict=True)}
+        for a in own:
+            if a not in at and a % 35**3 in known:
+                assert model.log[a] == np.float32(np.log(weight * known[a % 35**3]))
+
+
+def test_pieces_of_a_batch_are_small():
+    texts = ["ab c", None, "", "é ü" * 5, "x" * 40, "y"]
+    batch = pa.record_batch({"_lang": pa.array(["sx", "n", "sx", "sx", "n", "sx"]), "text": pa.array(texts)})
+    for most in (1, 8, 1000):
+        found = list(kneser_ney._by_language(batch, most))
+        assert sorted((i, t) for _, rows, part in found for i, t in zip(rows.tolist(), part, strict=True)) == [(i, t or "") for i, t in enumerate(texts)]
+        assert all(len(part) == 1 or sum(len(t.encode()) + 1 for t in part[:-1]) < most for _, _, part in found)
+
+
 def corpus(rng):
     good = [(i, sentence(rng, 60), rng.choice(["en", None, "rare"] if i < 10 else ["en", None]), "p", 1) for i in range(400)]
     bad = [(1000 + i, sentence(rng, 60).upper().replace(" ", "!! "), "en", "p", 1) for i in range(20)]
