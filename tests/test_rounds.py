@@ -441,3 +441,44 @@ def test_caliper_mates_make_no_rows_of_pairs(spark):
             near = [j for y, (_, j) in enumerate(own) if j != i and abs(x - y) <= 3]
             want |= {(clone, i, j, n + 1) for n, j in enumerate(sorted(near, key=lambda j: hashlib.md5(f"9|{i}|{j}".encode()).hexdigest())[:4])}
     assert {tuple(r) for r in df.collect()} == want
+
+
+def test_cells_with_equal_tapes_meet_once(spark):
+    """Copies of cells add to counts, not to the rows that pairs are made from."""
+    rng, n = random.Random(9), 7
+    one = [(c, 0, t, [rng.choice("ab") for _ in range(rng.randint(0, 3))], rng.choice([1, 2])) for c in range(12) for t in range(4)]
+    rows = [(c + 100 * k, clone, "s", t, read, len(read), 3 if len(read) == 3 else term) for k in range(n) for c, clone, t, read, term in one]
+    tapes = spark.createDataFrame(rows, "cell long, clone int, sample string, tape int, read array<string>, depth int, term int")
+    prefixes = reads.explode_prefixes(tapes)
+    chars = trie.character_ids(trie.characters(prefixes)).cache()
+    assert compat.cell_sets(chars).count() <= 12 and compat.cell_sets(chars).agg(F.sum("n")).first()[0] <= 12 * n
+    pairs = compat.co_occurring(chars)
+    assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+    state = {(r[0], r[3]): r for r in rows}
+    tells = lambda cell, tape, level: (cell, tape) in state and (state[cell, tape][5] >= level or state[cell, tape][6] in (1, 3))
+    own = {r.id: r for r in chars.collect()}
+    want = {}
+    for a, b in itertools.combinations(sorted(own), 2):
+        x, y = own[a], own[b]
+        both = set(x.cells) & set(y.cells)
+        if x.tape != y.tape and both:
+            want[a, b] = (len(both), sum(tells(c, y.tape, y.level) for c in x.cells) - len(both), sum(tells(c, x.tape, x.level) for c in y.cells) - len(both))
+    excluded = {(r.a, r.b): (r.n11, r.n10, r.n01) for r in compat.excluding(pairs, chars, tapes).collect()}
+    cells = tapes.select("cell", "clone").distinct()
+    crossed = {(r.a, r.b): (r.n11, r.n10, r.n01) for r in compat.crosstab(trie.labels(tapes, chars, cells)).collect()}
+    assert want and excluded == want and crossed == want
+
+
+def test_copies_of_cells_are_sent_to_blocks_together(spark, monkeypatch):
+    rng = random.Random(10)
+    one = [(c, t, [rng.choice("ab") for _ in range(rng.randint(1, 2))]) for c in range(6) for t in range(3)]
+    tapes = spark.createDataFrame([(c + 10 * k, 0, t, read, len(read)) for k in range(150) for c, t, read in one], "cell long, clone int, tape int, read array<string>, depth int")
+    prefixes = tapes.select("cell", "clone", "tape", F.posexplode("read").alias("d", "_x"), "read").select("cell", "clone", "tape", (F.col("d") + 1).alias("d"), F.array_join(F.slice("read", F.lit(1), F.col("d") + 1), ">").alias("prefix"))
+    sent, whole = [], relate.in_blocks
+    monkeypatch.setattr(relate, "in_blocks", lambda features, keys, run, schema: sent.append(features.count()) or whole(features, keys, run, schema, 100))
+    found = [(r.i, r.j, r.shared, r.joint) for r in relate.pairs(prefixes, tapes).collect()]
+    read = {(c, t): x for c, t, x in one}
+    depth = lambda i, j: sum(next((k for k, (a, b) in enumerate(zip(read[i, t], read[j, t])) if a != b), min(len(read[i, t]), len(read[j, t]))) for t in range(3))
+    ids = [c + 10 * k for k in range(150) for c in range(6)]
+    want = [(i, j, depth(i % 10, j % 10), 3) for i, j in itertools.combinations(sorted(ids), 2)]
+    assert sent[0] <= 6 * 3 and sorted(found) == want
