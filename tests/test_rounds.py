@@ -482,3 +482,19 @@ def test_copies_of_cells_are_sent_to_blocks_together(spark, monkeypatch):
     ids = [c + 10 * k for k in range(150) for c in range(6)]
     want = [(i, j, depth(i % 10, j % 10), 3) for i, j in itertools.combinations(sorted(ids), 2)]
     assert sent[0] <= 6 * 3 and sorted(found) == want
+
+
+def test_cells_with_equal_entries_are_fitted_once(spark, monkeypatch):
+    rng = random.Random(11)
+    one = [[(t, int(rng.random() < 0.3 + 0.1 * t), rng.choice([0.5, 1.0])) for t in range(5)] for _ in range(8)]
+    rows = [(c + 10 * k, 0, t, x, w) for k in range(40) for c, e in enumerate(one) for t, x, w in e]
+    entries = lambda rows: spark.createDataFrame(rows, "cell long, clone int, tape int, missing int, w double")
+    names, whole = {}, fit.written
+    monkeypatch.setattr(fit, "written", lambda df, name: names.setdefault(name, whole(df, name)))
+    got = {(r.cell, r.tape): r.p for r in fit.within(entries(rows), ["clone"], "w").collect()}
+    assert names["entry-classes"].count() <= 8 and names["entry-classes"].agg(F.sum("m")).first()[0] == 320
+    assert len(got) == len(rows) and all(got[c + 10 * k, t] == got[c, t] for k in range(40) for c in range(8) for t in range(5))
+    # Copies change no margin, so the fit is that of one copy.
+    monkeypatch.setattr(fit, "written", whole)
+    single = {(r.cell, r.tape): r.p for r in fit.within(entries(rows[: 8 * 5]), ["clone"], "w").collect()}
+    assert all(got[k] == pytest.approx(v, abs=1e-9) for k, v in single.items())
