@@ -177,11 +177,11 @@ def depletion(tapes: DataFrame, cells: DataFrame, events: DataFrame, members: Da
     each symbol's common log odds over sites (``common_log_odds``) have a gain that counts
     against the symbol where they are above 0. In the null, cells of the clone change places
     by hash. Permutations are a key beside the event, 0 being what is observed, so all are
-    one job, and only each one's largest gain is kept: p counts those that reach the observed
+    one job, cells with equal reads write as one, and only each one's largest gain is kept: p counts those that reach the observed
     one (to nine digits). Where inside or outside has under ``least`` writes, a permutation is not used,
     and an event gets no row.
     """
-    from strandline.operators.reads import hash_order
+    from strandline.operators.reads import equal_cells, hash_order
     from strandline.operators.scan import COMBO
 
     clade = ["clone", "anchor", "d", "prefix"]
@@ -198,7 +198,9 @@ def depletion(tapes: DataFrame, cells: DataFrame, events: DataFrame, members: Da
     steps = tapes.where("depth > 0").select("cell", F.col("tape").alias("_t"), "read", step)
     steps = steps.select("cell", "_t", F.array_join(F.slice("read", F.lit(1), F.col("site") - 1), ">").alias("_parent"), F.element_at("read", F.col("site")).alias("child"), "site")
     case = [*COMBO, "perm"]
-    wrote = seen.unionByName(moved).join(steps, "cell").where("_t <> anchor AND _t <> tape").select(*case, "_in", "_t", "_parent", "child", "site").distinct()
+    # Only distinct writes count, so of cells with equal reads one is enough on each side.
+    sides = seen.unionByName(moved).join(equal_cells(tapes), "cell").select(*case, "_in", F.col("same").alias("cell")).distinct()
+    wrote = sides.join(steps, "cell").where("_t <> anchor AND _t <> tape").select(*case, "_in", "_t", "_parent", "child", "site").distinct()
     wrote = wrote.withColumn("_n", F.count("*").over(W.partitionBy(*case, "_in", "_t", "_parent"))).where("_n >= 2")
     per = wrote.groupBy(*case, "site", "child").agg(F.count_if("_in").alias("a"), F.count_if(~F.col("_in")).alias("c"))
     here = W.partitionBy(*case, "site")
