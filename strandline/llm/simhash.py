@@ -455,20 +455,34 @@ def prefixes(sets: DataFrame, least: float) -> DataFrame:
     return sets.select("_rid", "s").mapInArrow(run, "_rid long, n int, s long, p int")
 
 
-def _distinct_pairs(x: np.ndarray, y: np.ndarray, room: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Each pair once, with whether any of its rows has room, and the sum of its times."""
+def least_shared(n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
+    """How many shingles the prefixes (``prefixes``) of texts with n and m shingles share at least, if their similarity is ``least`` or more.
+
+    Of the shingles that both have, those in the prefix that ends first in the order are in
+    the other one, too; at most what lies behind that prefix is not.
+    """
+    behind = lambda k: np.maximum(np.ceil(least * k - 1e-9) - TOGETHER, 0)
+    return np.ceil(least / (1 + least) * (n + m) - 1e-6) - np.maximum(behind(n), behind(m))
+
+
+#: The ``need`` of a pair whose similarity is out of reach.
+NEVER = (1 << 31) - 1
+
+
+def _distinct_pairs(x: np.ndarray, y: np.ndarray, need: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each pair once, with the least need of its rows, and the sum of its times."""
     order = np.lexsort((y, x))
-    x, y, room, times = x[order], y[order], room[order], times[order]
+    x, y, need, times = x[order], y[order], need[order], times[order]
     first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])) if len(x) else np.zeros(0, int)
-    return (x[first], y[first], np.logical_or.reduceat(room, first), np.add.reduceat(times, first)) if len(x) else (x, y, room, times)
+    return (x[first], y[first], np.minimum.reduceat(need, first), np.add.reduceat(times, first)) if len(x) else (x, y, need, times)
 
 
 def meetings(rows: DataFrame, least: float, small: int) -> DataFrame:
     """What comes of texts that share a shingle of their prefixes (_rid, n, s, p), by one pass over the rows in the order of shingles.
 
-    A shingle of up to ``small`` texts gives their pairs: x, y, room (whether the similarity
-    is within reach if this is the first shingle they share) and times, each pair once for
-    a batch. Texts of a shingle with more are handed on: s, _rid, n, p, with y null; however
+    A shingle of up to ``small`` texts gives their pairs: x, y, need (how many shingles they
+    must share, NEVER if the similarity is out of reach with this as the first one) and
+    times, each pair once for a batch. Texts of a shingle with more are handed on: s, _rid, n, p, with y null; however
     many there are, a task holds a batch of them.
     """
 
@@ -482,12 +496,11 @@ def meetings(rows: DataFrame, least: float, small: int) -> DataFrame:
                 break
             other = at + d
             room = np.minimum(n[at] - p[at], n[other] - p[other]) * (1 + least) >= least * (n[at].astype(float) + n[other]) - 1e-6
-            # Two texts of one shingle have no second one to share.
-            times = 1 + (np.maximum(n[at], n[other]) < TOGETHER).astype(np.int64)
-            found.append((np.minimum(rid[at], rid[other]), np.maximum(rid[at], rid[other]), room, times))
-        return _distinct_pairs(*(np.concatenate(c) for c in zip(*found, strict=True))) if found else tuple(np.zeros(0, k) for k in (np.int64, np.int64, bool, np.int64))
+            need = np.where(room, least_shared(n[at].astype(float), n[other].astype(float), least), NEVER).astype(np.int32)
+            found.append((np.minimum(rid[at], rid[other]), np.maximum(rid[at], rid[other]), need, np.ones(len(at), np.int64)))
+        return _distinct_pairs(*(np.concatenate(c) for c in zip(*found, strict=True))) if found else tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int32, np.int64))
 
-    kinds = [("x", pa.int64()), ("y", pa.int64()), ("room", pa.bool_()), ("times", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("p", pa.int32())]
+    kinds = [("x", pa.int64()), ("y", pa.int64()), ("need", pa.int32()), ("times", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("p", pa.int32())]
 
     def batch_of(**columns: np.ndarray) -> pa.RecordBatch:
         size = len(next(iter(columns.values())))
@@ -497,9 +510,9 @@ def meetings(rows: DataFrame, least: float, small: int) -> DataFrame:
         _, which, count = np.unique(s, return_inverse=True, return_counts=True)
         k = count[which]
         few, many = (k > 1) & (k <= small), k > small
-        x, y, room, times = pairs(s[few], rid[few], n[few], p[few])
+        x, y, need, times = pairs(s[few], rid[few], n[few], p[few])
         if len(x):
-            yield batch_of(x=x, y=y, room=room, times=times)
+            yield batch_of(x=x, y=y, need=need, times=times)
         if many.any():
             yield batch_of(s=s[many], x=rid[many], n=n[many], p=p[many])
 
@@ -528,15 +541,68 @@ def meetings(rows: DataFrame, least: float, small: int) -> DataFrame:
             yield from told(*held)
 
     ordered = rows.select("s", "_rid", "n", "p").repartition("s").sortWithinPartitions("s")
-    return ordered.mapInArrow(run, "x long, y long, room boolean, times long, s long, n int, p int")
+    return ordered.mapInArrow(run, "x long, y long, need int, times long, s long, n int, p int")
+
+
+def _spanning(near: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the graph ``near``, whose nodes of equal ``root`` are joined already: breadth first, each step over those not yet reached."""
+    _, root = np.unique(root, return_inverse=True)
+    left, a, b = near.any(axis=1), [], []
+    while left.any():
+        queue = [int(np.argmax(left))]
+        left[queue] = False
+        joined = {root[queue[0]]}
+        while queue:
+            x = queue.pop()
+            hit = np.flatnonzero(left & (near[x] | (root == root[x])))
+            left[hit] = False
+            queue.extend(hit.tolist())
+            new = {root[y]: y for y in hit if root[y] not in joined}
+            joined.update(new)
+            a.extend([x] * len(new))
+            b.extend(new.values())
+    return np.array(a, int), np.array(b, int)
+
 
+def _block_links(rows: DataFrame, least: float, columns: int = 1 << 14) -> DataFrame:
+    """a, b: pairs with a similarity of ``least`` or more among a shingle's texts (s, _rid, root, part, parts, set), as many as connect what all such pairs of two parts would.
+
+    What texts of two parts share is counted on bits, for ``columns`` shingles of their
+    whole sets at a time, so pairs that aren't similar are never rows.
+    """
 
-def _meet(x: DataFrame, y: DataFrame, on: list[str], least: float) -> DataFrame:
-    """x, y: distinct pairs of rows of different components that meet and whose counts and positions leave room for the similarity."""
-    side = lambda rows, k: rows.select(*on, F.col("_rid").alias(k), *(F.col(c).alias(f"{c}{k}") for c in ("n", "p", "root")))
-    both = side(x, "x").join(side(y, "y"), on).where("x < y AND rootx <> rooty")
-    room = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))  # of the first shingle shared and those after it
-    return both.where(room * (1 + least) >= least * (F.col("nx") + F.col("ny")) - 1e-6).select("x", "y").distinct()
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rid, root, part = (table.column(c).to_numpy() for c in ("_rid", "root", "part"))
+        sets = [unpack_set(x.as_py()) for x in table.column("set")]
+        n = np.array([len(x) for x in sets], float)
+        _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row, many = np.repeat(np.arange(len(rid)), n.astype(int)), count[code] > 1
+        row, code = row[many], (np.cumsum(count > 1) - 1)[code[many]]
+        order = np.argsort(code, kind="stable")
+        row, code = row[order], code[order]
+        u, v = key[1].as_py(), key[2].as_py()
+        x, y = np.flatnonzero(part == u), np.flatnonzero(part == v)
+        both = np.zeros((len(x), len(y)), np.int32)
+        for start in range(0, int(code[-1]) + 1 if len(code) else 0, columns):
+            own = slice(*np.searchsorted(code, [start, start + columns]))
+            at = code[own] - start
+            bits = np.zeros((len(rid), at.max() // 64 + 1), U)
+            np.bitwise_or.at(bits, (row[own], at // 64), U(1) << (at % 64).astype(U))
+            there = bits[y]
+            for k, i in enumerate(x):
+                both[k] += np.bitwise_count(there & bits[i]).sum(axis=1, dtype=np.int32)
+        near = np.zeros((len(rid), len(rid)), bool)
+        for k, i in enumerate(x):
+            similar = (both[k] >= least * (n[i] + n[y] - both[k]) - 1e-9) & (root[i] != root[y])
+            near[i, y] |= similar
+            near[y, i] |= similar
+        a, b = _spanning(near, root)
+        return pa.table({"a": rid[a], "b": rid[b]})
+
+    # A text of part p meets each part q once, as the lower or the higher one.
+    other = rows.withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = other.select("s", F.least("part", "_q").alias("u"), F.greatest("part", "_q").alias("v"), "part", "_rid", "root", "set")
+    return met.groupBy("s", "u", "v").applyInArrow(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -584,31 +650,26 @@ def fingerprint_pairs(sets: DataFrame, distance: int) -> DataFrame:
     return same.unionByName(near).distinct()
 
 
-def similar_pairs(sets: DataFrame, least: float = 0.8, small: int = 192, block: int = 1024, distance: int = 3) -> DataFrame:
+def similar_pairs(sets: DataFrame, least: float = 0.8, small: int = 192, block: int = 2048, distance: int = 3) -> DataFrame:
     """a, b: pairs of ``sets`` with a similarity of ``least`` or more that connect exactly what all such pairs would.
 
     First come the pairs that SimHash fingerprints within ``distance`` bits propose, and
     those of each shingle with more than ``small`` texts with the one most of whose prefix
-    is in such shingles. The rest is exact: candidates share ``TOGETHER`` shingles of
-    their prefixes (``prefixes``), or one with more than ``small`` texts, so none is
-    missed, and all that are in different components by then are verified; texts of a
-    shingle with more than ``small`` meet in blocks of about ``block``.
+    is in such shingles. The rest is exact: candidates share as many shingles of their
+    prefixes (``prefixes``) as they must (``least_shared``), so none is missed, and all
+    that are in different components by then are verified; texts of a shingle with more
+    than ``small`` meet in blocks of about ``block``, which give links only.
     """
     met = materialise(meetings(prefixes(sets, least), least, small), "meetings")
-    # If the first shingle that a pair shares is crowded, the blocks below find it; else it is here, with room.
-    few = met.where("y IS NOT NULL").groupBy("x", "y").agg(F.sum("times").alias("_n"), F.bool_or("room").alias("_room")).where("_room").drop("_room")
+    # If any shingle that a pair shares is crowded, the blocks below find it; else all it shares are here, the first one with room.
+    few = met.where("y IS NOT NULL").groupBy("x", "y").agg(F.sum("times").alias("_n"), F.min("need").alias("_need"))
+    enough = few.where("_n >= _need").select("x", "y")
     many = met.where("y IS NULL").select(F.col("x").alias("_rid"), "n", "s", "p").withColumn("k", F.count("*").over(W.partitionBy("s")))
     crowded = not many.isEmpty()
 
     proposed = fingerprint_pairs(sets, distance)
-    enough = few.where(F.col("_n") >= TOGETHER).drop("_n")
     if crowded:
         many = materialise(many, "crowded")
-        # With fewer than it must share, a pair is a candidate only if both have crowded shingles, where it may share the rest.
-        busy = materialise(many.select("_rid").distinct(), "busy")
-        for k in ("x", "y"):
-            few = few.where(F.col("_n") < TOGETHER).join(busy.select(F.col("_rid").alias(k)), k, "left_semi")
-        enough = enough.unionByName(few.select("x", "y"))
         heat = many.groupBy("_rid").agg((F.sum("k") / F.first("n")).alias("heat"))
         leaders = many.join(heat, "_rid").groupBy("s").agg(F.max(F.struct("heat", "_rid")).alias("m")).select("s", F.col("m._rid").alias("y"))
         led = many.join(leaders, "s").where("_rid <> y").select(F.least("_rid", "y").alias("x"), F.greatest("_rid", "y").alias("y"))
@@ -624,10 +685,12 @@ def similar_pairs(sets: DataFrame, least: float = 0.8, small: int = 192, block:
     if crowded:
         rooted = apart(many, "_rid", "root")
         mixed = rooted.groupBy("s").agg(F.min("root").alias("_l"), F.max("root").alias("_m")).where("_l < _m").select("s")
-        parted = materialise(rooted.join(mixed, "s").withColumn("parts", F.ceil(F.col("k") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("_rid"), F.col("parts"))), "crowded-shingles")
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))
-        left, right = parted.withColumn("u", F.col("part")).withColumn("v", every), parted.withColumn("v", F.col("part")).withColumn("u", every)
-        rest = rest.unionByName(_meet(left, right, ["s", "u", "v"], least)).distinct()
+        parts = F.greatest(F.ceil(F.col("k") / block), F.lit(1)).cast("int")
+        parted = rooted.join(mixed, "s").select("s", "_rid", "root", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("_rid"), F.col("parts")).cast("int"))
+        parted = materialise(parted, "crowded-shingles")
+        busy = materialise(parted.select("_rid").distinct(), "busy")
+        own = with_ids(sets, busy, "_rid").select("_rid", F.col("s").alias("set"))
+        near = near.unionByName(materialise(_block_links(parted.join(own, "_rid"), least), "block-links"))
     return near.unionByName(verified(materialise(rest, "rest-pairs"), sets, least))
 
 

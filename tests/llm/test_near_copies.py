@@ -223,3 +223,47 @@ def test_keep_first_finds_copies_by_any_edit(spark, kind):
     assert sum(near) > 40
     want = [r[0] for i, r in enumerate(rows) if i % 2 == 0 or not near[i // 2]]
     assert sorted(r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, SCHEMA)).collect()) == want
+
+
+def test_crowded_texts_that_are_not_similar_make_no_rows_of_pairs(spark, monkeypatch):
+    # All share crowded shingles, early enough in their prefixes, but each has three words of its own.
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for _ in range(90):
+        again = list(base)
+        for lo in (6, 56, 106):
+            again[rng.randrange(lo, lo + 38)] = f"new{rng.randrange(10**9)}"
+        texts.append(" ".join(again))
+    texts += [t.replace(t.split()[0], f"new{i}") for i, t in enumerate(texts[:12])]
+    rows = [(i, t, "x", "y", 1) for i, t in enumerate(texts)]
+    sets = [shingle_set(t) for t in texts]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    roots = union_find(len(sets), near)
+    compared, verify = [], simhash.verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "verified", counted)
+    monkeypatch.setattr(simhash, "SAMPLED", 1)
+    got = simhash.keep_first(spark.createDataFrame(rows, SCHEMA), small=8, distance=0)
+    assert sorted(r.doc_id for r in got.collect()) == sorted({min(i for i, x in enumerate(roots) if x == root) for root in roots})
+    assert 50 < len(set(roots)) < len(texts)
+    assert compared[-1] <= len(texts)
+
+
+@pytest.mark.parametrize("cut", [1, 3])
+def test_block_links_connect_what_all_similar_pairs_would(spark, cut):
+    rng = np.random.default_rng(cut)
+    sets = [np.sort(rng.choice(60, rng.integers(28, 40), replace=False)).astype(np.uint64) for _ in range(40)]
+    sets += [np.delete(x, rng.integers(len(x))) for x in sets[:25]] + [np.delete(x, [0, 3]) for x in sets[10:30]]
+    root = [i if i % 7 else 0 for i in range(len(sets))]
+    df = spark.createDataFrame([(s, i, root[i], i % cut, cut, bytearray(simhash.pack_set(x))) for s in (5, 6) for i, x in enumerate(sets)], "s long, _rid long, root long, part int, parts int, set binary")
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    known = [(i, r) for i, r in enumerate(root)]
+    got = [(r.a, r.b) for r in simhash._block_links(df, 0.8, columns=16).collect()]
+    assert {tuple(sorted(p, reverse=True)) for p in got} <= set(near)
+    groups = lambda pairs: {frozenset(i for i, r in enumerate(roots) if r == x) for roots in [union_find(len(sets), pairs)] for x in set(roots)}
+    assert groups(known + got) == groups(known + near) != groups(known)
