@@ -533,3 +533,24 @@ def test_cells_with_equal_entries_are_fitted_once(spark, monkeypatch):
     monkeypatch.setattr(fit, "written", whole)
     single = {(r.cell, r.tape): r.p for r in fit.within(entries(rows[: 8 * 5]), ["clone"], "w").collect()}
     assert all(got[k] == pytest.approx(v, abs=1e-9) for k, v in single.items())
+
+
+def test_witnesses_send_characters_once_for_each_part(spark):
+    rng = np.random.default_rng(15)
+    sets = {(k, i): sorted({int(x) for x in rng.integers(0, 60, 12)}) for k in (1, 2) for i in range(3, 40, 2)}
+    characters = spark.createDataFrame([(k, i, c) for (k, i), c in sets.items()], "clone int, id int, cells array<long>")
+    pairs = [(k, a, b) for (k, a) in sets for (m, b) in sets if k == m and a < b]
+    edges = spark.createDataFrame(pairs, "clone int, a int, b int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for parts, most in ((1, 10**6), (3, 10**6), (1, 50)):
+            out = compat.witnesses(edges, characters, parts, most)
+            got = {(r.clone, r.a, r.b): (r.both, r.only_a, r.only_b) for r in out.collect()}
+            x = {(k, a, b): (set(sets[k, a]), set(sets[k, b])) for k, a, b in pairs}
+            assert got == {p: (sorted(s & t), sorted(s - t), sorted(t - s)) for p, (s, t) in x.items()}
+        # No edge is shuffled with cells: edges are dealt by parts only.
+        plan = compat.witnesses(edges, characters)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(clone" in plan and ", b#" not in "".join(p.split("hashpartitioning(")[1].split("]")[0] for p in plan.split("\n") if "hashpartitioning(" in p)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
