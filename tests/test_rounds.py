@@ -570,3 +570,27 @@ def test_nulls_of_tests_are_summed_where_their_counts_lie(spark, sf_dir):
     got = lambda df: {tuple(r[c] for c in scan.COMBO): [r[c] for c in names] for r in df.collect()}
     want, found = got(want), got(scan.counted_accumulators(counts))
     assert found and found.keys() == want.keys() and all(found[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_parts_of_several_blocks_are_sent_less(spark, monkeypatch):
+    """Parts meet block by block in a task, so cells are sent less than once for each block; mates and sums are those of all pairs."""
+    tapes, prefixes, own = relatives(spark, n=160)
+    monkeypatch.setattr(relate.in_blocks, "__defaults__", (4,))
+    near = {}
+    mates = relate.nearest_mates(prefixes, tapes, 3)
+    for r in mates.collect():
+        near.setdefault(r.i, {})[r["rank"]] = r.j
+    for i in range(160):
+        rel = {j if a == i else a: s / t for (a, j), (s, t) in own.items() if i in (a, j)}
+        assert near.get(i, {}) == {k + 1: j for k, j in enumerate(sorted(rel, key=lambda j: (-rel[j], j))[:3])}
+    want = {}
+    for (i, _), (s, t) in own.items():
+        want[i % 2, s, t] = want.get((i % 2, s, t), 0) + 1
+    assert {(x.clone, x.shared, x.joint): x.pairs for x in relate.products_by_relatedness(prefixes, tapes, None).collect()} == want
+    features = spark.range(160).selectExpr("id AS cell", "0 AS clone")
+    run = lambda a, b, same: {"tasks": np.zeros(1, dtype=int), "most": np.array([max(a.num_rows, b.num_rows)]), "pairs": np.array([a.num_rows * (a.num_rows - 1) // 2 if same else a.num_rows * b.num_rows])}
+    merge = lambda rows: {"tasks": np.ones(1, dtype=int), "most": rows["most"].max(keepdims=True), "pairs": rows["pairs"].sum(keepdims=True)}
+    met = relate.in_blocks(features, ["clone"], (run, merge), "tasks long, most long, pairs long").agg(F.sum("tasks"), F.max("most"), F.sum("pairs")).first()
+    assert met[0] <= 4 * 5 // 2 and met[1] <= 4 and met[2] == 160 * 159 // 2
+    sums = relate.products_by_relatedness(prefixes, tapes, None)
+    assert "FlatMapCoGroupsInArrow" not in relate.audit(sums)._jdf.queryExecution().executedPlan().toString()
