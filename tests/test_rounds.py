@@ -594,3 +594,16 @@ def test_parts_of_several_blocks_are_sent_less(spark, monkeypatch):
     assert met[0] <= 4 * 5 // 2 and met[1] <= 4 and met[2] == 160 * 159 // 2
     sums = relate.products_by_relatedness(prefixes, tapes, None)
     assert "FlatMapCoGroupsInArrow" not in relate.audit(sums)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_sent_to_their_cells_once(spark, sf_dir):
+    """Sites, tapes and the join with cells rest on one exchange of the lines, even where no table is broadcast."""
+    from strandline.sources import fixture
+
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = reads.tapes(fixture.reads(spark, sf_dir), fixture.DESIGN)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert plan.count("Exchange hashpartitioning") == 6 and "l_extendedprice" not in plan
